@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import chat, linededup, quality
+from dialoom.llm import chat, linededup, packing, quality
 from dialoom.llm.common import table
 
 LOOP_TEXT = "</s>[INST] ok [/INST]"
@@ -23,6 +23,10 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.chat_digest(turns.unionByName(planted))
 
 
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(table(spark, sf_dir, "documents"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linededup.line_digest(table(spark, sf_dir, "documents"))
 
@@ -61,6 +65,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": op1_quality_rules,
         "op3_chat_format": op3_chat_format,
+        "op5_best_fit_packing": op5_best_fit_packing,
         "op6_line_dedup": op6_line_dedup,
     }
 

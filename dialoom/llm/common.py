@@ -73,3 +73,15 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
 def crc_mod(col: str, m: int) -> Column:
     """crc32 of the id's decimal text, modulo m."""
     return F.crc32(F.col(col).cast("string").cast("binary")) % m
+
+
+def runs_by_size(texts: list[str | None], chars: int = 2_000_000):
+    """Slices of texts of about so many characters, so that word lists stay small whatever the batch."""
+    lo = size = 0
+    for i, t in enumerate(texts):
+        size += len(t or "")
+        if size >= chars:
+            yield texts[lo : i + 1]
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield texts[lo:]

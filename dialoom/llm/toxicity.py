@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import crc_mod, map_batches
+from dialoom.llm.common import crc_mod, map_batches, runs_by_size
 
 #: Labelled rows, chosen by hash of the id, that the classifier is fitted on at most.
 SAMPLE_ROWS = 4_000
@@ -227,6 +227,9 @@ class Scorer:
         self.sums, self.counts = np.zeros(0), np.zeros(0, np.int64)
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
+        return np.concatenate([self._scores(part) for part in runs_by_size(texts)])
+
+    def _scores(self, texts: list[str | None]) -> np.ndarray:
         words = [words_of(t) for t in texts]
         new = set().union(*words).difference(self.index)
         if len(self.index) + len(new) > CACHE_WORDS:

@@ -78,3 +78,10 @@ def line_digest(docs: DataFrame) -> DataFrame:
     """The digest columns of every document."""
     d = dedup_lines(docs.select("doc_id", "text"))
     return d.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
+def without_lines(docs: DataFrame, n_chars: str = "n_chars") -> DataFrame:
+    """The columns of docs with the dropped lines gone from the text; a column of its length follows it."""
+    out = dedup_lines(docs)
+    length = F.when(F.col("line_dedup.n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col(n_chars)) if n_chars in docs.columns else None
+    return (out if length is None else out.withColumn(n_chars, length)).select(*[F.col(f"`{c}`") for c in docs.columns])

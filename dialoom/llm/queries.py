@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import chat, decontam, html, langid, linededup, neardup, packing, quality, toxicity
+from dialoom.llm import chat, decontam, html, langid, linededup, lm, neardup, packing, quality, toxicity
 from dialoom.llm.common import table
 
 LOOP_TEXT = "</s>[INST] ok [/INST]"
@@ -51,6 +51,10 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
@@ -112,6 +116,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_line_dedup": op6_line_dedup,
         "op7_minhash_near_dedup": op7_minhash_near_dedup,
         "op8_toxicity": op8_toxicity,
+        "op9_lm_score": op9_lm_score,
         "op10_html_extraction": op10_html_extraction,
     }
 

@@ -1,3 +1,3 @@
 """Queries of the reference operators over the driver tables."""
 
-from dialoom.plans import texts  # noqa: F401
+from dialoom.plans import conversations, rewards, texts, usage  # noqa: F401

@@ -291,11 +291,6 @@ def _(spark, d):
     return _docs(spark, d).select("doc_id", text.with_system(i, "be kind").alias("input"), (~i.startswith("[SYSTEM]")).alias("modified"))
 
 
-# Domains and scenarios of queries.
-DOMAINS = "general writing coding data product design marketing sales customer_support bizdev ops career education finance legal health travel shopping food communication productivity life_admin research news entertainment others".split()
-SCENARIOS = "in_a_rush work_task learning decision_making troubleshooting brainstorming planning casual others".split()
-
-
 @query(
     "j10_value_membership",
     f"""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'coding' WHEN 1 THEN 'others' WHEN 2 THEN 'travel' ELSE 'others' END AS domain,
@@ -304,7 +299,7 @@ SCENARIOS = "in_a_rush work_task learning decision_making troubleshooting brains
 def _(spark, d):
     pick = lambda xs: F.element_at(F.array(*[F.lit(x) for x in xs]), (F.col("doc_id") % len(xs) + 1).cast("int"))
     known = lambda c, names: F.when(F.lower(text.strip(c)).isin(*names), F.lower(text.strip(c))).otherwise("others")
-    return table(spark, d, "documents").select("doc_id", known(pick([" Coding ", "Gardening", "travel", ""]), DOMAINS).alias("domain"), known(pick(["casual", "sleeping", "PLANNING"]), SCENARIOS).alias("scenario"))
+    return table(spark, d, "documents").select("doc_id", known(pick([" Coding ", "Gardening", "travel", ""]), text.DOMAINS).alias("domain"), known(pick(["casual", "sleeping", "PLANNING"]), text.SCENARIOS).alias("scenario"))
 
 
 @query("s06_query_text", "SELECT doc_id, coalesce(CASE doc_id % 4 WHEN 0 THEN lang WHEN 1 THEN source WHEN 2 THEN nullif(lang, '') ELSE source END) AS text FROM documents")

@@ -77,3 +77,19 @@ def _(spark, d):
 @query("stream_windowed_totals", f"WITH {USAGE} SELECT module, time_bucket(INTERVAL 6 HOURS, ts) AS bucket, count(*) AS calls, sum(input_tokens)::BIGINT AS input_tokens FROM u GROUP BY ALL")
 def _(spark, d):
     return usage.windowed(_usage(spark, d), "6 hours")
+
+
+@query("stream_module_totals", f"WITH {USAGE} SELECT module, {SUMS} FROM u GROUP BY module")
+def _(spark, d):
+    """The same totals by a stream over the table's files, run to its end into a memory sink."""
+    import uuid
+
+    from dialoom.streaming import usage as streams
+
+    path = f"{d}/events.parquet"
+    raw = streams.read_stream(spark, path, spark.read.parquet(path).schema)
+    rows = raw.select(F.col("event_type").alias("module"), F.floor(F.col("value") * 10).alias("input_tokens"), F.floor("value").alias("output_tokens"), "ts")
+    name = f"totals_{uuid.uuid4().hex}"
+    q = streams.running_module_totals(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q.awaitTermination()
+    return spark.table(name)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from dialoom.operators import usage
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import table
+from dialoom.sources import storage
 
 
 def _usage(spark, d):
@@ -90,6 +91,6 @@ def _(spark, d):
     raw = streams.read_stream(spark, path, spark.read.parquet(path).schema)
     rows = raw.select(F.col("event_type").alias("module"), F.floor(F.col("value") * 10).alias("input_tokens"), F.floor("value").alias("output_tokens"), "ts")
     name = f"totals_{uuid.uuid4().hex}"
-    q = streams.running_module_totals(rows).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
+    q = streams.running_module_totals(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{storage.checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)

@@ -12,11 +12,17 @@ from pyspark.sql import types as T
 from dialoom.functions.text import first_truthy
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the folder of spark.checkpoint.dir; a default only where that is unset."""
-    sc = df.sparkSession.sparkContext
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that the cluster shares, from spark.checkpoint.dir; a default only where that is unset."""
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the shared folder."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint()
 
 

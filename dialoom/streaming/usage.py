@@ -12,9 +12,14 @@ from dialoom.operators import usage
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType | str, fmt: str = "parquet", per_trigger: int | None = None) -> DataFrame:
-    """A file source; per_trigger bounds the files of a micro-batch."""
+    """A source over a folder, or over one file; per_trigger bounds the files of a micro-batch."""
     reader = spark.readStream.format(fmt).schema(schema)
-    return (reader.option("maxFilesPerTrigger", per_trigger) if per_trigger else reader).load(path)
+    if per_trigger:
+        reader = reader.option("maxFilesPerTrigger", per_trigger)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():
+        return reader.option("pathGlobFilter", at.getName()).load(at.getParent().toString())
+    return reader.load(path)
 
 
 def running_module_totals(stream: DataFrame) -> DataFrame:

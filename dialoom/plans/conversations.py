@@ -12,7 +12,9 @@ from dialoom.plans.catalog import query
 from dialoom.plans.inputs import INTER_SQL, N_PERSONAS, interactions, query_items, sql_shuffle, table
 from dialoom.sources import storage
 
-TURNS = F.size(samples.user_prompts(F.col("messages"))).cast("bigint")
+
+def _turns():
+    return F.size(samples.user_prompts(F.col("messages"))).cast("bigint")
 
 
 def _samples(spark, d):
@@ -70,7 +72,7 @@ def _(spark, d):
 
 @query("p09_infer_turns", f"WITH {INTER_SQL} SELECT conv_id, CASE WHEN conv_id % 2 = 0 THEN conv_id ELSE num_turns END AS num_turns FROM inter")
 def _(spark, d):
-    return interactions(spark, d).select("conv_id", F.coalesce(F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")), TURNS).alias("num_turns"))
+    return interactions(spark, d).select("conv_id", F.coalesce(F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")), _turns()).alias("num_turns"))
 
 
 @query("p10_messages_schema", "SELECT conv_id, turn, role, CASE WHEN conv_id % 2 = 0 THEN turn END AS kept_turn FROM conversations")
@@ -127,12 +129,12 @@ def _(spark, d):
 
 @query("a09_fewest_turns", f"WITH {INTER_SQL} SELECT persona_id, arg_min(conv_id, num_turns * 1000000000 + conv_id) AS target FROM inter GROUP BY persona_id")
 def _(spark, d):
-    return interactions(spark, d).groupBy("persona_id").agg(F.min_by("conv_id", F.struct(F.coalesce(TURNS, F.lit(0)), "conv_id")).alias("target"))
+    return interactions(spark, d).groupBy("persona_id").agg(F.min_by("conv_id", F.struct(F.coalesce(_turns(), F.lit(0)), "conv_id")).alias("target"))
 
 
 @query("w03_rank_in_persona", f"WITH {INTER_SQL} SELECT conv_id, persona_id, row_number() OVER (PARTITION BY persona_id ORDER BY num_turns, conv_id) AS rank FROM inter")
 def _(spark, d):
-    return interactions(spark, d).select("conv_id", "persona_id", TURNS.alias("t")).select("conv_id", "persona_id", F.row_number().over(Window.partitionBy("persona_id").orderBy("t", "conv_id")).cast("bigint").alias("rank"))
+    return interactions(spark, d).select("conv_id", "persona_id", _turns().alias("t")).select("conv_id", "persona_id", F.row_number().over(Window.partitionBy("persona_id").orderBy("t", "conv_id")).cast("bigint").alias("rank"))
 
 
 @query("w05_batches", "SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 + 1 AS batch_no FROM documents")
@@ -274,7 +276,7 @@ def _(spark, d):
     SELECT persona_id, string_agg(inter.conv_id || ':' || num_turns, ',' ORDER BY pos) AS history FROM x JOIN inter ON inter.conv_id = x.id GROUP BY x.persona_id""".replace("SELECT persona_id, string_agg", "SELECT x.persona_id, string_agg"),
 )
 def _(spark, d):
-    inter = interactions(spark, d).select("conv_id", "persona_id", TURNS.alias("num_turns"))
+    inter = interactions(spark, d).select("conv_id", "persona_id", _turns().alias("num_turns"))
     wanted = inter.groupBy("persona_id").agg(F.array_sort(F.collect_list(F.struct("conv_id", (F.col("conv_id") + F.when(F.col("conv_id") % 3 == 0, 1_000_000_000).otherwise(0)).alias("id")))).alias("x")).select("persona_id", F.col("x.id").alias("ids"))
     return prep.history_of(wanted, "persona_id", "ids", inter.select(F.col("conv_id").alias("id"), F.concat_ws(":", "conv_id", "num_turns").alias("body")), 4).select("persona_id", F.array_join("history", ",").alias("history"))
 
@@ -309,7 +311,7 @@ def _(spark, d):
 
 @query("j13_target_and_history", f"WITH {INTER_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY num_turns, conv_id) AS rn FROM inter) SELECT t.persona_id, t.conv_id AS target, h.conv_id AS history FROM r t JOIN r h ON h.persona_id = t.persona_id AND h.conv_id <> t.conv_id WHERE t.rn = 1")
 def _(spark, d):
-    g = prep.target_and_history(interactions(spark, d).select("persona_id", "conv_id", TURNS.alias("num_turns")), "persona_id", "conv_id")
+    g = prep.target_and_history(interactions(spark, d).select("persona_id", "conv_id", _turns().alias("num_turns")), "persona_id", "conv_id")
     return g.select("persona_id", F.col("target.conv_id").alias("target"), F.explode("history.conv_id").alias("history"))
 
 
@@ -384,7 +386,7 @@ def _(spark, d):
 
 @query("a15_success_rate", f"WITH {INTER_SQL} SELECT count(*) AS total, round(100.0 * count(*) FILTER (num_turns >= 2) / count(*), 6)::DOUBLE AS success_pct, round(avg(num_turns), 6) AS avg_turns FROM inter")
 def _(spark, d):
-    df = interactions(spark, d).select(TURNS.alias("t"))
+    df = interactions(spark, d).select(_turns().alias("t"))
     return df.agg(F.count("*").alias("total"), F.round(100.0 * F.count_if(F.col("t") >= 2) / F.nullif(F.count("*"), F.lit(0)), 6).alias("success_pct"), F.round(F.avg("t"), 6).alias("avg_turns"))
 
 

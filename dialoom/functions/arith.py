@@ -57,3 +57,11 @@ def steps(n_samples: Column, batch: int, epochs: int) -> Column:
 def filled(values: Column) -> Column:
     """Missing log-probabilities as 0."""
     return F.transform(values, lambda x: F.coalesce(x, F.lit(0.0)))
+
+
+def sft_datum(prompt: Column, completion: Column) -> Column:
+    """struct(inputs, targets, weights): next-token pairs, weighted 0 in the prompt and 1 in the completion."""
+    tokens = F.concat(prompt, completion)
+    weights = F.concat(F.transform(prompt, lambda x: F.lit(0.0)), F.transform(completion, lambda x: F.lit(1.0)))
+    n = F.size(tokens) - 1
+    return F.struct(F.slice(tokens, 1, n).alias("inputs"), F.slice(tokens, 2, n).alias("targets"), F.slice(weights, 2, n).alias("weights"))

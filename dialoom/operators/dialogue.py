@@ -37,6 +37,8 @@ class MockClient:
             return ""
         if prompt.startswith("FEEDBACK"):
             return json.dumps({"satisfied": h % 4 == 0, "feedback": f"please say more about point {h % 97}"})
+        if prompt.startswith("JUDGE"):
+            return f"Score: {h % 5 + 1} of 5" if prompt.startswith("JUDGE 1-5") else f"Score: {h % 10 + 1}"
         if prompt.startswith("STYLE"):
             return json.dumps({"adapted_query": f"quick one: {prompt.rsplit(chr(10), 1)[-1]}", "inferred_domain": ("coding", "travel", "gardening")[h % 3], "inferred_scenario": ("casual", "learning")[h % 2]})
         return f"answer {h % 10_007}"
@@ -206,3 +208,23 @@ def style_transfer(df: DataFrame, client: Client, seed: str = "t28") -> DataFram
         known(field("inferred_scenario", "casual"), text.SCENARIOS, "others").alias("inferred_scenario"),
         F.col("template").alias("prompt_type"),
     )
+
+
+def noise_prompt(persona: Column, slots: Column, strategies: Column, descriptions: dict[str, str]) -> Column:
+    """Persona, slots and numbered strategies in their given order; a note stands for an empty part."""
+    part = lambda c, note: F.when(F.size(c) == 0, note).otherwise(text.persona_lines(c))
+    return F.concat_ws("\n", part(persona, "(no persona)"), part(slots, "(no slots)"), strategy_lines(strategies, descriptions))
+
+
+def formulate(df: DataFrame, client: Client, min_length: int = 50, attempts: int = 3) -> DataFrame:
+    """personas with a system_prompt; an answer that is no valid prompt counts as none and gives ''."""
+    said = ask(df.withColumn("__prompt", F.concat(F.lit("PERSONA\n"), text.persona_lines(F.col("features"), titled=True))), client, "__prompt", "system_prompt", attempts)
+    return said.withColumn("system_prompt", F.when(text.valid_prompt(F.col("system_prompt"), min_length), F.col("system_prompt")).otherwise("")).drop("__prompt")
+
+
+def score_responses(df: DataFrame, client: Client, key: str, query: str, *more: str) -> DataFrame:
+    """(key, more, scores): an answer to each query, judged twice from its first 2,000 characters; a failed judge scores 5."""
+    answered = ask(df.select(key, *more, F.concat(F.lit("ANSWER\n"), query).alias("p")), client, "p", "response")
+    one = ask(answered.withColumn("p", F.concat(F.lit("JUDGE persona\n"), F.substring("response", 1, 2000))), client, "p", "s1")
+    two = ask(one.withColumn("p", F.concat(F.lit("JUDGE task\n"), F.substring("response", 1, 2000))), client, "p", "s2")
+    return two.select(key, *more, F.struct(text.ten_score(F.col("s1")).alias("persona_score"), text.ten_score(F.col("s2")).alias("task_score")).alias("scores"))

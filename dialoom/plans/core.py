@@ -1,3 +1,3 @@
 """Queries of the reference operators over the driver tables."""
 
-from dialoom.plans import conversations, randoms, rewards, texts, usage  # noqa: F401
+from dialoom.plans import clients, conversations, randoms, rewards, texts, usage  # noqa: F401

@@ -36,19 +36,21 @@ SEED = 5
 
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _LETTER = np.zeros(0, bool)
+#: No assigned letter lies beyond.
+LAST_LETTER = 0x32400
 
 
 def _letters() -> np.ndarray:
     global _LETTER
     if not len(_LETTER):
-        _LETTER = np.array([chr(i).isalpha() for i in range(1 << 16)])
+        _LETTER = np.array([chr(i).isalpha() for i in range(LAST_LETTER)] + [False])
     return _LETTER
 
 
 def gram_counts(text: str | None) -> np.ndarray | None:
     """Counts of hashed n-grams; None without a letter. Other characters count as one space."""
     c = np.frombuffer((text or "").lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-    letter = _letters()[np.minimum(c, 0xFFFF)] | (c > 0xFFFF)
+    letter = _letters()[np.minimum(c, LAST_LETTER)]
     if not letter.any():
         return None
     keep = letter.copy()

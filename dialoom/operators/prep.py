@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions import text
-from dialoom.operators.samples import user_prompts
+from dialoom.operators.samples import ranked, user_prompts
 
 
 def grouped(df: DataFrame, key: str, pos: str) -> DataFrame:
@@ -60,7 +60,7 @@ def interaction_tasks(personas: DataFrame, queries: DataFrame, key: str = "perso
 def indexed_tasks(df: DataFrame, key: str, pos: str) -> DataFrame:
     """query_index counts within a key; persona_index numbers keys by first appearance."""
     first = df.groupBy(key).agg(F.min(pos).alias("first"))
-    number = first.select(key, F.row_number().over(Window.orderBy("first", key)).cast("bigint").alias("persona_index"))
+    number = ranked(first, [F.col("first"), F.col(key)], "persona_index").select(key, "persona_index")
     return df.withColumn("query_index", F.row_number().over(Window.partitionBy(key).orderBy(pos)).cast("bigint")).join(number, key)
 
 

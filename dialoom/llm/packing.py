@@ -17,13 +17,14 @@ from __future__ import annotations
 import bisect
 import os
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import checkpointed, map_batches
+from dialoom.llm.common import checkpointed, map_batches, runs_by_size
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -35,8 +36,8 @@ POPULATION = 6
 GENERATIONS = 8
 #: Bins at least so full are worth injecting.
 WELL_FILLED = 0.998
-#: Distinct words whose ids a Python worker keeps, besides those of one batch.
-CACHE_WORDS = 700_000
+#: Distinct words whose ids a Python worker keeps in its young generation; there is an old one of the same size.
+CACHE_WORDS = 400_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -48,6 +49,10 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
+#: Byte-level vocabularies write a byte as a character: printable Latin-1 as itself, the others from 256 on.
+_BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+
 class WordIds(dict):
     """Little-endian id bytes of space-free strings.
 
@@ -60,21 +65,75 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
+
+    def learn(self, parts: set[str]) -> None:
+        new = []
+        for p in parts:
+            if p in self.older:
+                self[p] = self.older[p]
+            else:
+                new.append(p)
+        rest = []
+        for part in new:
+            if part.isalpha() and part.islower() and max(part) < "\u0100":
+                # one lower-case Latin-1 word: normalising and splitting leave it as it is
+                self[part] = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
+            else:
+                rest.append(part)
+        for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self[part] = array("I", e.ids).tobytes()
+
+    def ids(self, texts: list[str | None]):
+        """The id bytes of each text, in order."""
+        for run in runs_by_size(texts):
+            if len(self) > CACHE_WORDS:
+                self.older = dict(self)
+                self.clear()
+            parts = [simple_parts(t or "") for t in run]
+            found = [list(map(self.get, p)) for p in parts]
+            gaps = [(p, f, _gaps(f)) for p, f in zip(parts, found, strict=True) if None in f]
+            self.learn({p[k] for p, _, at in gaps for k in at})
+            for p, f, at in gaps:
+                for k in at:
+                    f[k] = self[p[k]]
+            yield from map(b"".join, found)
+
+
+def _gaps(found: list) -> list[int]:
+    """Where a list holds None; list.index looks faster than a loop."""
+    out, at = [], -1
+    try:
+        while True:
+            at = found.index(None, at + 1)
+            out.append(at)
+    except ValueError:
+        return out
+
 
-    def learn(self, texts: list[list[str]]) -> None:
-        """Encode all parts not kept yet in one call; start anew when there are too many."""
-        new = set().union(*texts).difference(self)
-        if len(self) + len(new) > CACHE_WORDS:
-            self.clear()
-            new = set().union(*texts)
-        new = list(new)
-        for part, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[part] = np.array(e.ids, "<u4").tobytes()
+#: Latin-1 letters, digits, spaces, stops and commas.
+_PLAIN = bytes(b for b in range(256) if chr(b).isalnum() and b not in b"\xaa\xb2\xb3\xb9\xba\xbc\xbd\xbe" or chr(b) in " \n.,")
 
-    def ids(self, texts: list[str | None]) -> list[bytes]:
-        parts = [(t or "").replace("\n", " ").split(" ") for t in texts]
-        self.learn(parts)
-        return [b"".join(map(self.__getitem__, p)) for p in parts]
+
+def simple_parts(text: str) -> list[str]:
+    """A text's parts at spaces, chosen so that few are distinct and their ids still join to the text's.
+
+    The vocabulary's splitter takes letters, and runs of punctuation, apart
+    anyway, and lower-cases. So in a text whose stops and commas each stand
+    before white space, and which has no other marks and only Latin-1 letters,
+    they may stand alone and everything be lower.
+    """
+    try:
+        plain = not text.encode("latin-1").translate(None, _PLAIN)
+    except UnicodeEncodeError:
+        plain = False
+    if plain:
+        text = text.replace("\n", " ").lower()
+        if text.count(".") + text.count(",") == text.count(". ") + text.count(", ") + text.endswith((".", ",")):
+            text = text.replace(".", " .").replace(",", " ,")
+        return text.split(" ")
+    return text.replace("\n", " ").split(" ")
 
 
 def pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
@@ -98,12 +157,12 @@ def pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
     return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), cut, PIECES, PIECES_ARROW)
 
 
-def best_fit(lengths: np.ndarray, items, bins: list[list[int]], room: list[int], capacity: int) -> None:
+def best_fit(lengths: list[int], items, bins: list[list[int]], room: list[int], capacity: int) -> None:
     """Place items, longest first, each where it leaves least room; opens bins as needed."""
-    order = sorted(range(len(bins)), key=lambda b: room[b])
+    order = sorted(range(len(bins)), key=room.__getitem__)
     rooms = [room[b] for b in order]
-    for i in sorted(items, key=lambda i: -lengths[i]):
-        n = int(lengths[i])
+    for i in sorted(items, key=lengths.__getitem__, reverse=True):
+        n = lengths[i]
         at = bisect.bisect_left(rooms, n)
         if at == len(rooms):
             b, left = len(bins), capacity - n
@@ -120,53 +179,63 @@ def best_fit(lengths: np.ndarray, items, bins: list[list[int]], room: list[int],
             order.insert(to, b)
 
 
-def _pack(lengths, items, capacity):
-    bins: list[list[int]] = []
-    best_fit(lengths, items, bins, [], capacity)
-    return bins
+class Person:
+    """A packing: bins, the room left in each, and its fitness (fewer bins, then uneven filling)."""
+
+    def __init__(self, bins: list[list[int]], room: list[int], capacity: int):
+        self.bins, self.room = bins, room
+        fill = 1 - np.array(room) / capacity
+        self.fitness = float((fill * fill).mean() - len(bins)) if bins else 0.0
 
+    @staticmethod
+    def of(bins: list[list[int]], lengths: list[int], capacity: int) -> Person:
+        return Person(bins, [capacity - sum(lengths[i] for i in b) for b in bins], capacity)
 
-def fitness(bins: list[list[int]], lengths: np.ndarray, capacity: int) -> float:
-    """Fewer bins first, then uneven filling, which leaves better blocks."""
-    fill = np.array([lengths[b].sum() for b in bins]) / capacity
-    return float(-len(bins) + (fill**2).mean()) if len(bins) else 0.0
+    @staticmethod
+    def packed(lengths: list[int], runs, capacity: int) -> Person:
+        """Best fit of one run of items after the other."""
+        bins: list[list[int]] = []
+        room: list[int] = []
+        for items in runs:
+            best_fit(lengths, items, bins, room, capacity)
+        return Person(bins, room, capacity)
 
 
-def cross(a: list[list[int]], b: list[list[int]], lengths: np.ndarray, capacity: int, rng) -> list[list[int]]:
+def cross(a: Person, b: Person, lengths: list[int], capacity: int, rng) -> Person:
     """A child of b with a random half of a's well-filled bins."""
-    full = [x for x in a if lengths[x].sum() >= WELL_FILLED * capacity and rng.random() < 0.5]
-    taken = {i for x in full for i in x}
-    clean = [x for x in b if taken.isdisjoint(x)]
-    # loosen the emptiest bins as well, so that displaced pieces find new company
-    clean.sort(key=lambda x: -int(lengths[x].sum()))
-    cut = max(0, len(clean) - max(2, len(clean) // 20))
-    placed = taken | {i for x in clean[:cut] for i in x}
-    child = [list(x) for x in full + clean[:cut]]
-    best_fit(lengths, [i for i in range(len(lengths)) if i not in placed], child, [capacity - int(lengths[x].sum()) for x in child], capacity)
-    return child
-
-
-def evolve(lengths: np.ndarray, migrants: list[list[list[int]]], seed: int, capacity: int = CAPACITY) -> list[list[int]]:
+    spare = (1 - WELL_FILLED) * capacity
+    full = [k for k, r in enumerate(a.room) if r <= spare and rng.random() < 0.5]
+    taken = {i for k in full for i in a.bins[k]}
+    clean = [k for k in range(len(b.bins)) if taken.isdisjoint(b.bins[k])]
+    # the emptiest bins are loosened as well, so that displaced pieces find new company
+    clean.sort(key=b.room.__getitem__)
+    clean = clean[: max(0, len(clean) - max(2, len(clean) // 20))]
+    bins = [list(a.bins[k]) for k in full] + [list(b.bins[k]) for k in clean]
+    room = [a.room[k] for k in full] + [b.room[k] for k in clean]
+    placed = taken.union(*(b.bins[k] for k in clean))
+    best_fit(lengths, [i for i in range(len(lengths)) if i not in placed], bins, room, capacity)
+    return Person(bins, room, capacity)
+
+
+def evolve(lengths: list[int], migrants: list[list[list[int]]], seed: int, capacity: int = CAPACITY) -> Person:
     """The elite of one island after GENERATIONS; ends as soon as the lower bound is met."""
     rng = np.random.default_rng(seed)
-    least = -(-int(lengths.sum()) // capacity)
+    least = -(-sum(lengths) // capacity)
     everyone = range(len(lengths))
-    people = [*migrants, _pack(lengths, everyone, capacity)]
-    if min(map(len, people)) > least:
-        for _ in range(POPULATION - len(people)):
-            jitter = lengths * rng.uniform(0.8, 1.2, len(lengths))
-            first = [i for i in np.argsort(-jitter)[: len(lengths) // 2].tolist()]
-            bins = _pack(lengths, first, capacity)
-            rest = set(everyone) - set(first)
-            best_fit(lengths, rest, bins, [capacity - int(lengths[x].sum()) for x in bins], capacity)
-            people.append(bins)
-        for _ in range(GENERATIONS):
-            people.sort(key=lambda p: -fitness(p, lengths, capacity))
-            if len(people[0]) <= least:
-                break
-            a, b = people[int(rng.integers(0, 3)) % len(people)], people[int(rng.integers(len(people)))]
-            people[-1] = cross(a, b, lengths, capacity, rng)
-    return max(people, key=lambda p: fitness(p, lengths, capacity))
+    people = [Person.of(m, lengths, capacity) for m in migrants] or [Person.packed(lengths, [everyone], capacity)]
+    for _ in range(POPULATION - len(people)):
+        if min(len(p.bins) for p in people) <= least:
+            break
+        order = np.argsort(-np.array(lengths) * rng.uniform(0.8, 1.2, len(lengths))).tolist()
+        half = len(order) // 2
+        people.append(Person.packed(lengths, [order[:half], order[half:]], capacity))
+    for _ in range(GENERATIONS):
+        people.sort(key=lambda p: -p.fitness)
+        if len(people[0].bins) <= least:
+            break
+        a, b = people[int(rng.integers(min(3, len(people))))], people[int(rng.integers(len(people)))]
+        people[-1] = cross(a, b, lengths, capacity, rng)
+    return max(people, key=lambda p: p.fitness)
 
 
 def _flat(bins: list[list[int]], n: int) -> list[int]:
@@ -203,9 +272,8 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str
         def run(cols):
             out: dict[str, list] = {n: [] for n in elite.names}
             for bucket, island, lengths, came in zip(cols["bucket"], cols["island"], cols["lengths"], cols["came"], strict=True):
-                x = np.array(lengths, np.int64)
-                best = evolve(x, [_bins(f) for f in came], 1_000_003 * bucket + 101 * island + k, capacity)
-                for n, v in zip(elite.names, (bucket, island, fitness(best, x, capacity), _flat(best, len(x))), strict=True):
+                best = evolve(lengths, [_bins(f) for f in came], 1_000_003 * bucket + 101 * island + k, capacity)
+                for n, v in zip(elite.names, (bucket, island, best.fitness, _flat(best.bins, len(lengths))), strict=True):
                     out[n].append(v)
             return out
 

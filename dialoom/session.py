@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -27,3 +30,25 @@ def local_session(cores: str | int = "*", app: str = "dialoom", shuffle_partitio
     spark = builder.config(map=conf).getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send the package to the executors, once for a context, where their Python would not find it.
+
+    That is so when it is neither in PYTHONPATH nor in the working folder, and
+    came into this process by another way. Spark serves the archive itself.
+    """
+    root = Path(__file__).resolve().parents[1]
+    seen = {Path(p or ".").resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)]}
+    app = spark.sparkContext.applicationId
+    if root in seen or app in _SHIPPED:
+        return
+    at = Path(tempfile.mkdtemp(), "dialoom_package.zip")
+    with zipfile.ZipFile(at, "w") as z:
+        for p in sorted((root / "dialoom").rglob("*.py")):
+            z.write(p, p.relative_to(root))
+    spark.sparkContext.addPyFile(str(at))
+    _SHIPPED.add(app)

@@ -5,12 +5,17 @@ sets are one representative. In each of several independent trees a document
 descends a path of minwise tokens: a small node compares all its members, a
 larger one branches on the next token. Sorting a tree's rows by their paths
 puts every node in one run of rows, so no node is ever gathered as a group and
-a very large node lies across partitions. Candidates are confirmed on the full
-sets, best first, and pairs that earlier links already connect are skipped.
+a very large node lies across partitions. A node still large at depth WIDE also
+gives the pairs with its hub, the member that shares most with the others.
+Candidates are confirmed on the full sets, best first, and pairs that earlier
+links already connect are skipped. What is then left apart inside a large node
+is compared exhaustively, dealt out in pairs of salted blocks.
 
 Recall: a pair of similarity s meets in a node of depth d with probability
 s ** d in each tree; with 16 trees a pair at 0.75 is missed with 2e-10 at
-depth 1, 2e-6 at depth 2 and 2e-4 at depth 3, before other paths of links.
+depth 1, 2e-6 at depth 2 and 2e-4 at depth 3 (no node is left uncompared
+below), before other paths of links. In large nodes pairs that agree in fewer
+than ALIKE of all tokens are not confirmed; one at 0.75 does so with 3e-6.
 
 Defined results: a null or empty text has an empty set and is linked with
 nothing; fewer than five words make one shingle of all; repeated rows are
@@ -20,6 +25,8 @@ table gives an empty one. Only the id and the text are read.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -35,6 +42,12 @@ TREES = 16
 DEPTH = 6
 #: A node of at most so many documents is compared exhaustively.
 LEAF = 8
+#: Nodes of this depth are compared as a whole.
+WIDE = 3
+#: Members of a large node in one block.
+BLOCK_ROWS = 512
+#: Of the TREES * DEPTH tokens, so many are equal in a pair worth confirming.
+ALIKE = 52
 SEED = 7
 #: Bits of the filter by which sets of documents without a candidate are left out early.
 FILTER_BITS = 1 << 25
@@ -117,7 +130,7 @@ def node_pairs(path: np.ndarray, rep: np.ndarray, size: np.ndarray) -> tuple[lis
 
 
 def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b, n): pairs of representatives a < b that met in n trees."""
+    """(a, b): pairs of representatives a < b, a row for each tree in which they met."""
     levels = [f"p{i}" for i in range(DEPTH)]
     trees = reps.select(
         "rep",
@@ -160,7 +173,89 @@ def candidates(reps: DataFrame) -> DataFrame:
         if kept is not None and len(kept[0]):
             yield emit(kept, len(kept[0]))
 
-    return rows.mapInArrow(run, "a bigint, b bigint").groupBy("a", "b").agg(F.count("*").alias("n"))
+    return rows.mapInArrow(run, "a bigint, b bigint")
+
+
+def wide_nodes(reps: DataFrame) -> DataFrame:
+    """(node, tree, rep, size): the members of the nodes of depth WIDE that are larger than a leaf."""
+    nodes = F.array(*[F.xxhash64(F.lit(t), *[F.get("path", F.lit(t * DEPTH + i)) for i in range(WIDE)]) for t in range(TREES)])
+    rows = reps.select("rep", F.posexplode(nodes).alias("tree", "node"))
+    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF)
+    return rows.join(sizes.hint("merge"), "node").select("node", "tree", "rep", "size")
+
+
+def hub_pairs(wide: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): each member of a large node with the node's member that has most company over all trees."""
+    weight = wide.groupBy("rep").agg(F.sum("size").alias("weight")).join(reps.select("rep", "n_shingles").hint("merge"), "rep")
+    rows = checkpointed(wide.join(weight.hint("merge"), "rep").select("node", "rep", "n_shingles", "weight"))
+    hubs = rows.groupBy("node").agg(F.max(F.struct("weight", (-F.col("rep")).alias("o"), "n_shingles")).alias("h"))
+    hubs = hubs.select("node", (-F.col("h.o")).alias("hub"), F.col("h.n_shingles").alias("n"))
+    sized = 100 * F.least("n_shingles", "n") >= PERCENT * F.greatest("n_shingles", "n")
+    return rows.join(hubs.hint("merge"), "node").where((F.col("rep") != F.col("hub")) & sized).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+
+
+def alike(rows: pa.Table) -> pa.Table:
+    """Links between the components of two blocks of a node, exact for pairs that agree in ALIKE tokens.
+
+    Pairs that meet in an earlier tree's node are left to it, and pairs that
+    links of these blocks already connect are skipped.
+    """
+    col = lambda n: rows.column(n).to_numpy()
+    path = rows.column("path").combine_chunks().flatten().to_numpy().reshape(-1, TREES * DEPTH)
+    rep, size, comp, salt, x, y = (col(n) for n in ("rep", "n_shingles", "comp", "salt", "x", "y"))
+    left, right = np.flatnonzero(salt == x), np.flatnonzero(salt == y)
+    equal = np.zeros((len(left), len(right)), np.uint8)
+    met = np.zeros((TREES, len(left), len(right)), bool)
+    for t in range(TREES):
+        same = np.ones((len(left), len(right)), bool)
+        for i in range(DEPTH):
+            e = path[left, None, t * DEPTH + i] == path[None, right, t * DEPTH + i]
+            equal += e
+            if i < WIDE:
+                same &= e
+        met[t] = same
+    own = int(rows.column("tree")[0].as_py())
+    a, b = rep[left][:, None], rep[right][None, :]
+    m, n = size[left][:, None], size[right][None, :]
+    ok = (equal >= ALIKE) & ~met[:own].any(0) & (comp[left][:, None] != comp[right][None, :]) & (100 * np.minimum(m, n) >= PERCENT * np.maximum(m, n))
+    if x[0] == y[0]:
+        ok &= a < b
+    i, j = np.nonzero(ok)
+    best = np.argsort(-equal[i, j].astype(np.int16), kind="stable")
+    sets = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("set")] if len(i) else []
+    parent: dict[int, int] = {}
+
+    def root(x):
+        while parent.setdefault(x, x) != x:
+            parent[x] = parent[parent[x]]
+            x = parent[x]
+        return x
+
+    links = []
+    for u, v in zip(left[i[best]].tolist(), right[j[best]].tolist(), strict=True):
+        cu, cv = root(int(comp[u])), root(int(comp[v]))
+        if cu != cv:
+            both = len(np.intersect1d(sets[u], sets[v], assume_unique=True))
+            if 100 * both >= PERCENT * (len(sets[u]) + len(sets[v]) - both):
+                parent[cu] = cv
+                links.append((min(rep[u], rep[v]), max(rep[u], rep[v])))
+    return pa.table({"a": pa.array([x for x, _ in links], pa.int64()), "b": pa.array([y for _, y in links], pa.int64())})
+
+
+def apart_links(wide: DataFrame, reps: DataFrame, comps: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame | None:
+    """(a, b): links inside large nodes between what comps leaves apart; only links leave a task. None if nothing is apart."""
+    named = wide.join(comps.select(F.col("id").alias("rep"), F.col("component").alias("comp")).hint("merge"), "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    named = checkpointed(named)
+    mixed = named.groupBy("node").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("node")
+    rows = checkpointed(named.join(mixed.hint("merge"), "node"))
+    if rows.isEmpty():
+        return None
+    sets = sets_of(rows.select(F.col("rep").alias("id"))).select(F.col("id").alias("rep"), "set")
+    rows = rows.join(reps.select("rep", "n_shingles", "path").hint("merge"), "rep").join(sets.hint("merge"), "rep")
+    blocks = F.ceil(F.col("size") / BLOCK_ROWS)
+    dealt = rows.withColumn("salt", F.pmod(F.xxhash64("rep"), blocks)).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), blocks - 1)))
+    dealt = dealt.select("node", "tree", "rep", "n_shingles", "path", "set", "comp", "salt", F.least("salt", "k").alias("x"), F.greatest("salt", "k").alias("y"))
+    return dealt.groupBy("node", "x", "y").applyInArrow(alike, "a bigint, b bigint")
 
 
 def id_filter(ids: DataFrame, col: str) -> np.ndarray:
@@ -227,12 +322,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     reps = checkpointed(
         marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("path").alias("path"))
     )
-    pairs = checkpointed(candidates(reps))
+    wide = checkpointed(wide_nodes(reps))
+    pairs = checkpointed(candidates(reps).union(hub_pairs(wide, reps)).groupBy("a", "b").agg(F.count("*").alias("n")))
     comps = reps.sparkSession.createDataFrame([], "id bigint, component bigint")
+    links = None
+
+    def sets_of(ids):
+        return checkpointed(full_sets(docs, id_filter(ids, "id"), text, id_col).dropDuplicates(["id"]))
+
     if not pairs.isEmpty():
-        sets = checkpointed(full_sets(docs, id_filter(pairs.select(F.explode(F.array("a", "b")).alias("id")), "id"), text, id_col).dropDuplicates(["id"]))
-        links = None
-        # the second round tries all pairs that the first has not connected, and is the last
+        sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
+        # the second round tries all pairs that the first has not connected
         for choose in (best_pairs, lambda p: p.select("a", "b")):
             tried = checkpointed(choose(pairs))
             found = confirmed(tried, sets)
@@ -243,6 +343,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
             pairs = checkpointed(_apart(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), comps))
             if pairs.isEmpty():
                 break
+    found = apart_links(wide, reps, comps, sets_of)
+    if found is not None:
+        comps = components(found if links is None else links.union(found), "a", "b")
     named = reps.select("s1", "s2", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
     named = checkpointed(named)
     joined = marks.select("doc_id", "n_shingles", "s1", "s2").join(named, ["s1", "s2"], "left")

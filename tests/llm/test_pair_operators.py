@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dialoom.llm import components, decontam, neardup
 
@@ -80,6 +81,23 @@ def test_near_duplicates_of_odd_tables(spark):
     assert neardup.near_duplicates(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("hubs", [True, False])
+def test_copies_alike_to_one_original_only(spark, monkeypatch, hubs):
+    rng = np.random.default_rng(8)
+    base, copies = rng.choice(WORDS, 300), 150
+    rows = []
+    for k in range(copies):
+        x = base.copy()
+        x[(rng.permutation(37)[:7] * 8 + 2)] = [f"e{k}_{i}" for i in range(7)]
+        rows.append((k if k < copies // 2 else k + 1, " ".join(x)))
+    rows.append((copies // 2, " ".join(base)))
+    if not hubs:  # all is left to the exact comparison
+        monkeypatch.setattr(neardup, "hub_pairs", lambda wide, reps: wide.select(F.col("rep").alias("a"), F.col("rep").alias("b")).limit(0))
+        monkeypatch.setattr(neardup, "BLOCK_ROWS", 16)
+    got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)).collect()}
+    assert got == {i: c for i, (_, c) in brute_components(rows).items()} and set(got.values()) == {0}
+
+
 @pytest.mark.parametrize("n", [2, 40])
 def test_components(spark, n):
     path = [(i, i + 1) for i in range(n)] + [(1000 + i, 1000) for i in range(1, 60)] + [(500, 500 - 1), (499, 498), (7, 5)]

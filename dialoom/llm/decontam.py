@@ -5,10 +5,10 @@ the benchmark and of the documents are hashed under every mask; equal hashes
 join, and around each hit document and item are compared token by token, so a
 passage with substituted words is still found.
 
-The document side is filtered by a bitmap of fixed size and, where the
-benchmark is small enough, by its sorted hashes; only windows that pass are
-shuffled. A larger benchmark fills the bitmap and shuffles more, with the same
-result.
+The document side is filtered by a bitmap that grows with the benchmark up to
+a limit and, where the benchmark is small enough, by its sorted hashes; all
+windows that pass are shuffled. A benchmark beyond the limit fills the bitmap
+and shuffles more, with the same result.
 
 Defined results: a null or empty text or item never matches; items of fewer
 than MIN_WORDS words never match, and items shorter than a mask are looked up
@@ -34,9 +34,9 @@ OVERLAP = 13
 SHARE = 0.8
 #: Tokens of context on each side that go along with a hit.
 CONTEXT = 64
-#: In an unbroken run of hits only each so-manyth is looked up: the run lies on one diagonal.
-EVERY = 8
-FILTER_BITS = 1 << 22
+#: The bitmap has BITS_PER_SEED bits for each hash, within these sizes.
+FILTER_BITS, MOST_BITS = 1 << 22, 1 << 29
+BITS_PER_SEED = 16
 #: Benchmark hashes that are sent along to test exactly at most.
 EXACT_HASHES = 1_000_000
 
@@ -117,14 +117,17 @@ def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFram
 
 
 def seed_filter(seeded: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
-    """A bitmap of FILTER_BITS bits, and the sorted seeds if there are at most EXACT_HASHES."""
-    at = F.col("seed").bitwiseAND(FILTER_BITS - 1) + 1
-    parts = seeded.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    """A bitmap sized by the number of seeds, and the sorted seeds if there are at most EXACT_HASHES."""
+    some = [r.seed for r in seeded.select("seed").distinct().limit(EXACT_HASHES + 1).collect()]
+    exact = np.sort(np.array(some, np.int64)) if len(some) <= EXACT_HASHES else None
+    n = len(some) if exact is not None else seeded.agg(F.approx_count_distinct("seed")).first()[0]
+    size = min(max(FILTER_BITS, 1 << (BITS_PER_SEED * n).bit_length()), MOST_BITS)
+    at = F.col("seed").bitwiseAND(size - 1) + 1
+    parts = seeded.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).toLocalIterator()
+    bits = np.zeros(size // 8, np.uint8)
     for r in parts:
         bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    some = [r.seed for r in seeded.select("seed").distinct().limit(EXACT_HASHES + 1).collect()]
-    return bits, np.sort(np.array(some, np.int64)) if len(some) <= EXACT_HASHES else None
+    return bits, exact
 
 
 def hits(docs: DataFrame, masks: list[str], bits: np.ndarray, exact: np.ndarray | None, text: str, id_col: str) -> DataFrame:
@@ -138,7 +141,7 @@ def hits(docs: DataFrame, masks: list[str], bits: np.ndarray, exact: np.ndarray
             near = None
             for m in masks:
                 s = seeds(h, m)
-                b = (s & np.uint64(FILTER_BITS - 1)).astype(np.int64)
+                b = (s & np.uint64(8 * len(bits) - 1)).astype(np.int64)
                 p = np.flatnonzero((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
                 v = s[p].view(np.int64)
                 if exact is not None and len(p):
@@ -147,10 +150,8 @@ def hits(docs: DataFrame, masks: list[str], bits: np.ndarray, exact: np.ndarray
                     p, v = p[ok], v[ok]
                 if not len(p):
                     continue
-                begin = np.concatenate([[True], np.diff(p) > 1])
-                since = np.arange(len(p)) - np.flatnonzero(begin)[np.cumsum(begin) - 1]
                 near = small(h) if near is None else near
-                for x, y in zip(p[since % EVERY == 0].tolist(), v[since % EVERY == 0].tolist(), strict=True):
+                for x, y in zip(p.tolist(), v.tolist(), strict=True):
                     lo = max(0, x - CONTEXT)
                     for n, z in zip(out, (y, i, x - lo, lo, near[lo : x + len(m) + CONTEXT]), strict=True):
                         out[n].append(z)

@@ -139,3 +139,30 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     want = decontam.contamination(docs, bench).collect()
     monkeypatch.setattr(decontam, "seed_filter", lambda seeded: (np.full(decontam.FILTER_BITS // 8, 255, np.uint8), None))
     assert decontam.contamination(docs, bench).collect() == want and len(want) == 1
+
+
+@pytest.mark.parametrize("full", [0.5, 1.0])
+def test_false_hits_hide_no_passage(spark, monkeypatch, full):
+    rng = np.random.default_rng(5)
+    words = rng.permutation(WORDS)[:60]
+    rows, bench = [], spark.createDataFrame([(1, " ".join(words))], "item_id bigint, text string")
+    for k in range(120):
+        x = words[k % 47 : k % 47 + 13 + 7 * (k % 2)].copy()
+        if k % 2:
+            x[[4, 13]] = "zz"
+        rows.append((k, " ".join([*[f"f{k}_{i}" for i in range(k)], *x, *[f"g{k}_{i}" for i in range(20)]]), "", 1))
+    sized = decontam.seed_filter
+
+    def noisy(seeded):
+        bits = sized(seeded)[0]
+        return bits | np.packbits(np.random.default_rng(6).random(8 * len(bits)) < full), None
+
+    monkeypatch.setattr(decontam, "seed_filter", noisy)
+    assert {r.doc_id for r in decontam.contamination(spark.createDataFrame(rows, DOCS), bench).collect()} == set(range(120))
+
+
+def test_the_filter_grows_with_the_seeds(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "EXACT_HASHES", 1000)
+    seeded = spark.range(600_000).select(F.xxhash64("id").alias("seed"))
+    bits, exact = decontam.seed_filter(seeded)
+    assert exact is None and 600_000 * 0.9 < np.unpackbits(bits).sum() < 0.1 * 8 * len(bits)

@@ -3,7 +3,9 @@
 A mask is a window of tokens of which some positions are ignored. Windows of
 the benchmark and of the documents are hashed under every mask; equal hashes
 join, and around each hit document and item are compared token by token, so a
-passage with substituted words is still found.
+passage with substituted words is still found. The masks leave no gap: whatever
+words of a passage are substituted, as long as SHARE of them are equal, at least
+one placing of one mask has only equal words.
 
 The document side is filtered by a bitmap that grows with the benchmark up to
 a limit and, where the benchmark is small enough, by its sorted hashes; all
@@ -11,8 +13,8 @@ windows that pass are shuffled. A benchmark beyond the limit fills the bitmap
 and shuffles more, with the same result.
 
 Defined results: a null or empty text or item never matches; items of fewer
-than MIN_WORDS words never match, and items shorter than a mask are looked up
-whole; repeated rows of a document give one row; rows with a null id are
+than MIN_WORDS words never match, and items of fewer than OVERLAP words count
+as a whole; repeated rows of a document give one row; rows with a null id are
 reported under a null id; empty tables give an empty one. Only the named
 columns are read.
 """
@@ -27,7 +29,9 @@ from pyspark.sql import functions as F
 from dialoom.llm.common import WordHashes, ascii_lower, map_batches
 
 #: 1: the token counts; 0: it may be anything.
-MASKS = ("1101101101", "11010011011", "111011011")
+MASKS = ("1111011", "110100010011", "110101011", "1011000111")
+#: For items of fewer than OVERLAP words, by their number of words.
+SHORT_MASKS = {5: ("1111", "10111", "11011", "11101"), 6: ("1111", "11011"), 7: ("11011",), 8: ("1111",), 9: ("1111",), 10: ("10111", "1111"), 11: ("10111",), 12: ("1111",)}
 MIN_WORDS = 5
 #: An aligned stretch of so many tokens (or the whole item), with so large a share equal, is contamination.
 OVERLAP = 13
@@ -70,7 +74,9 @@ def small(h: np.ndarray) -> np.ndarray:
 def overlap(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, int, int, int]:
     """The best stretch on the diagonal of a hit: (equal, length, start in doc, start in item).
 
-    An equal token counts 1 and another -2; the stretch has the largest sum.
+    An equal token counts 1 and another -2; the stretch has the largest sum. If
+    that one is no contamination but another is, it is the shortest of those
+    with the most equal tokens.
     """
     d = p - q
     lo, hi = max(0, -d), min(len(item), len(doc) - d)
@@ -79,17 +85,25 @@ def overlap(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, int
     low = np.minimum.accumulate(s)
     end = int(np.argmax(s - low))
     start = int(np.argmin(s[: end + 1]))
+    need = min(OVERLAP, len(item))
+    if len(same) >= need and not contaminated(int(same[start:end].sum()), end - start, len(item)):
+        e = np.concatenate([[0], np.cumsum(same)])
+        share = e - SHARE * np.arange(len(e))  # rises by the share at least where so many are equal
+        if (share[need:] - np.minimum.accumulate(share)[: len(e) - need] >= -1e-9).any():
+            i, j = np.nonzero(share[None, :] - share[:, None] >= -1e-9)
+            i, j = i[j - i >= need], j[j - i >= need]
+            k = np.lexsort((i, j - i, e[i] - e[j]))[0]
+            start, end = int(i[k]), int(j[k])
     return int(same[start:end].sum()), end - start, lo + d + start, lo + start
 
 
 def contaminated(equal: int, length: int, n_item: int) -> bool:
-    return length >= min(OVERLAP, n_item) and n_item >= MIN_WORDS and equal >= SHARE * length
+    return length >= min(OVERLAP, n_item) and n_item >= MIN_WORDS and equal >= SHARE * length - 1e-9
 
 
 def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(seed, item_id, q) rows, (item_id, item) rows and all masks, with whole-item masks of the short lengths in use."""
+    """(seed, item_id, q) rows, (item_id, item) rows and the masks of the lengths in use."""
     hashes = WordHashes()
-    longest = max(map(len, MASKS))
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text).alias("text"))
     items = map_batches(
         rows,
@@ -97,19 +111,18 @@ def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFram
         "item_id bigint, item array<bigint>",
         pa.schema([("item_id", pa.int64()), ("item", pa.list_(pa.int64()))]),
     )
-    short = [r.n for r in items.select(F.size("item").alias("n")).where((F.col("n") >= MIN_WORDS) & (F.col("n") < longest)).distinct().collect()]
-    masks = [*MASKS, *("1" * n for n in sorted(short))]
+    lengths = [r.n for r in items.select(F.least(F.size("item"), F.lit(OVERLAP)).alias("n")).where(F.col("n") >= MIN_WORDS).distinct().collect()]
+    masks = sorted({m for n in lengths for m in SHORT_MASKS.get(n, MASKS)})
 
     def seed(c):
         out: dict[str, list] = {"seed": [], "item_id": [], "q": []}
         for i, item in zip(c["item_id"], c["item"], strict=True):
             h = np.array(item, np.int64).view(np.uint64)
-            for m in masks:
-                if m in MASKS or len(m) == len(h):
-                    s = seeds(h, m)
-                    out["seed"] += s.view(np.int64).tolist()
-                    out["item_id"] += [i] * len(s)
-                    out["q"] += range(len(s))
+            for m in SHORT_MASKS.get(len(h), MASKS) if len(h) >= MIN_WORDS else ():
+                s = seeds(h, m)
+                out["seed"] += s.view(np.int64).tolist()
+                out["item_id"] += [i] * len(s)
+                out["q"] += range(len(s))
         return out
 
     seeded = map_batches(items, seed, "seed bigint, item_id bigint, q int", pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("q", pa.int32())]))

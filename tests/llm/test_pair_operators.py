@@ -1,5 +1,7 @@
 """Near-dedup and decontamination against brute force, with odd inputs."""
 
+from itertools import combinations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -141,6 +143,34 @@ def test_a_full_filter_changes_nothing(spark, monkeypatch):
     assert decontam.contamination(docs, bench).collect() == want and len(want) == 1
 
 
+def test_substitutions_at_every_place(spark):
+    rng = np.random.default_rng(9)
+    items = {n: rng.permutation(WORDS)[:n] for n in (*range(5, 17), 40)}
+    rows, want = [], set()
+
+    def add(n, passage, at, found):
+        x = passage.copy()
+        x[list(at)] = "zz"
+        rows.append((len(rows), " ".join(["before it", *x, "and after it"]), "", 1))
+        if found:
+            want.add((len(rows) - 1, n))
+
+    for n in range(5, 17):
+        for at in combinations(range(n), n // 5):
+            add(n, items[n], at, True)
+            add(40, items[40][11 : 11 + n], at, n >= 13)
+    for at in combinations(range(13), 3):
+        add(40, items[40][5:18], at, False)
+    for length, subs in ((20, 4), (25, 5), (30, 6)):
+        for _ in range(40):
+            add(40, items[40][3 : 3 + length], rng.permutation(length)[:subs], True)
+    bench = spark.createDataFrame([(n, " ".join(x)) for n, x in items.items()], "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id) for r in decontam.contamination(spark.createDataFrame(rows, DOCS), bench).collect()}
+    assert not want - got
+    own = {(i, 40) for i, t, _, _ in rows if set(t.split()) & set(items[40])}
+    assert (got & own) - want == set()
+
+
 @pytest.mark.parametrize("full", [0.5, 1.0])
 def test_false_hits_hide_no_passage(spark, monkeypatch, full):
     rng = np.random.default_rng(5)

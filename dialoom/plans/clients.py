@@ -11,8 +11,8 @@ from dialoom.plans.inputs import interactions, table
 from dialoom.sources import storage
 
 
-def _short(spark, d, n=60):
-    return table(spark, d, "documents").select("doc_id", "lang", "source", F.replace(F.substring("text", 1, n), F.lit("\n"), F.lit(" ")).alias("query"))
+def _asked(spark, d):
+    return table(spark, d, "documents").select("doc_id", "lang", "source", F.replace("text", F.lit("\n"), F.lit(" ")).alias("query"))
 
 
 @query(
@@ -22,12 +22,12 @@ def _short(spark, d, n=60):
 def _(spark, d):
     features = F.when(F.col("doc_id") % 2 == 0, F.array(F.struct(F.lit("home_language").alias("name"), F.col("lang").alias("value"))))
     none = F.array().cast("array<struct<name:string,value:string>>")
-    return _short(spark, d).select("doc_id", dialogue.noise_prompt(F.coalesce(features, none), none, F.array(F.lit("typo"), F.col("source")), {}).alias("prompt"))
+    return _asked(spark, d).select("doc_id", dialogue.noise_prompt(F.coalesce(features, none), none, F.array(F.lit("typo"), F.col("source")), {}).alias("prompt"))
 
 
 @query("t25_paraphrases")
 def _(spark, d):
-    said = dialogue.ask(_short(spark, d).withColumn("prompt", F.concat(F.lit("PARAPHRASE\n"), "query")), dialogue.MockClient(empty_every=7), "prompt", "answer")
+    said = dialogue.ask(_asked(spark, d).withColumn("prompt", F.concat(F.lit("PARAPHRASE\n"), "query")), dialogue.MockClient(empty_every=7), "prompt", "answer")
     return said.select("doc_id", F.when(F.col("answer") == "", F.col("query")).otherwise(F.col("answer")).alias("noisy"))
 
 
@@ -58,21 +58,21 @@ def _(spark, d):
 
 @query("c09_judged_rollouts")
 def _(spark, d):
-    said = dialogue.ask(_short(spark, d).withColumn("prompt", F.concat(F.lit("JUDGE 1-5\n"), "query")), dialogue.MockClient(empty_every=9), "prompt", "answer", attempts=2)
+    said = dialogue.ask(_asked(spark, d).withColumn("prompt", F.concat(F.lit("JUDGE 1-5\n"), "query")), dialogue.MockClient(empty_every=9), "prompt", "answer", attempts=2)
     score = F.when(F.col("answer") != "", text.unit_score(F.col("answer")))  # no answer is no score
     return said.select("doc_id", arith.combined_reward(score, F.lit(1.0)).alias("r")).select("doc_id", F.round("r.total", 6).alias("total"), "r.failed")
 
 
 @query("c10_optimise_with_fallback")
 def _(spark, d):
-    said = dialogue.ask(_short(spark, d).withColumn("prompt", F.concat(F.lit("OPTIMISE\n"), "query")), dialogue.MockClient(empty_every=5), "prompt", "answer", attempts=1)
+    said = dialogue.ask(_asked(spark, d).withColumn("prompt", F.concat(F.lit("OPTIMISE\n"), "query")), dialogue.MockClient(empty_every=5), "prompt", "answer", attempts=1)
     clean = text.clean_output(F.col("answer"))
     return said.select("doc_id", F.when(clean == "", F.col("query")).otherwise(clean).alias("optimized_prompt"), (clean == "").alias("fell_back"))
 
 
 @query("c12_scored_evaluation")
 def _(spark, d):
-    bench = table(spark, d, "benchmark").select("item_id", F.substring("text", 1, 80).alias("query"))
+    bench = table(spark, d, "benchmark").select("item_id", F.col("text").alias("query"))
     base = dialogue.score_responses(bench, dialogue.MockClient(), "item_id", "query")
     fan = evaluation.fan_out(bench, [0, 1, 2], failed=[2]).withColumn("query", F.concat("query", F.lit(" v"), F.col("checkpoint").cast("string")))
     opt = dialogue.score_responses(fan, dialogue.MockClient(), "item_id", "query", "checkpoint")

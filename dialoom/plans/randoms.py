@@ -243,7 +243,7 @@ def _(spark, d):
 
 @query("t27_noised_texts")
 def _(spark, d):
-    docs = table(spark, d, "documents").select("doc_id", F.substring("text", 1, 120).alias("text"))
+    docs = table(spark, d, "documents").select("doc_id", "text")
     return dialogue.noised(docs, "doc_id", "text", dialogue.MockClient(), LAYERS, STRATEGY_TABLE, "t27")
 
 

@@ -36,3 +36,13 @@ def asked(monkeypatch):
 def test_the_client_gets_whole_texts(name, spark, tables, asked):
     catalog.queries()[name](spark, tables).collect()
     assert all(any(t in x for x in asked) for t in TEXTS)
+
+
+@pytest.mark.parametrize(("name", "key"), [("c01_dialogues", "task_id"), ("t28_style_transfer", "doc_id")])
+def test_every_document_gets_a_row(name, key, spark, tables, monkeypatch):
+    seen = []
+    for f in ("simulate", "style_transfer"):
+        real = getattr(dialogue, f)
+        monkeypatch.setattr(dialogue, f, lambda df, *a, real=real, **b: (seen.extend(r[0] for r in df.select("query").collect()), real(df, *a, **b))[1])
+    assert {r[key] for r in catalog.queries()[name](spark, tables).collect()} == {100 * i for i in range(len(TEXTS))}
+    assert sorted(seen) == sorted(TEXTS)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable
 
 import numpy as np
@@ -21,23 +23,82 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the folder of spark.checkpoint.dir (a default only where unset)."""
+    """Cut the lineage into the folder of spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a default and a cluster an error:
+    a machine's own folder would be lost with the machine.
+    """
     sc = df.sparkSession.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return df.checkpoint()
 
 
-def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, object]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """Run f over Arrow batches; f takes and gives columns by name."""
+def give_back() -> None:
+    """Return a Python worker's freed memory to the system: idle workers stay alive beside the next stage's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not the GNU C library
+        pass
+
+
+def tidy(run: Callable, *caches) -> Callable:
+    """run over a task's batches; at the end its caches are emptied and memory is given back."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            for c in caches:
+                c.clear()
+            give_back()
+
+    return wrapped
+
+
+#: Characters of one slice of a batch: what a function sees at once is bounded by text, not by rows.
+SLICE_CHARS = 4_000_000
+
+
+def slices(b: pa.RecordBatch):
+    """A batch in runs of rows of about SLICE_CHARS bytes in all columns; one row at least."""
+    size = max(1, b.num_rows * SLICE_CHARS // max(b.nbytes, 1))
+    for at in range(0, b.num_rows, size):
+        yield b.slice(at, size)
+
+
+def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, object]], schema: str, arrow: pa.Schema, *caches) -> DataFrame:
+    """Run f over slices of Arrow batches; f takes and gives columns by name. Caches are emptied after each task."""
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type) for n, x in ((n, out[n]) for n in arrow.names)], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidy(run, *caches), schema)
+
+
+def hashed_rows(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
+    """At most limit rows, those of the least hash of keys[0] (ties by all keys), without a global sort.
+
+    A threshold on the hash, set from the row count, first leaves about twice
+    as many rows as are wanted whatever the table's size, so the exact cut sees
+    a bounded number. Only where few keys repeat so often that the threshold
+    leaves too few rows are all of them sorted.
+    """
+    n = rows.count()
+    h = F.shiftrightunsigned(F.xxhash64(keys[0]), 1)
+    share = (2 * limit + 6 * (2 * limit) ** 0.5) / max(n, 1)
+    few = rows.where(h < int(share * (1 << 63))) if share < 1 else rows
+    if share < 1 and few.count() < limit:
+        few = rows
+    return few.orderBy(h, *keys).limit(limit)
 
 
 class WordHashes(dict):

@@ -15,6 +15,7 @@ one. Only the id and the text are read.
 from __future__ import annotations
 
 import bisect
+import json
 import os
 import zlib
 from array import array
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import checkpointed, map_batches, runs_by_size
+from dialoom.llm.common import checkpointed, map_batches, runs_by_size, slices, tidy
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -36,8 +37,10 @@ POPULATION = 6
 GENERATIONS = 8
 #: Bins at least so full are worth injecting.
 WELL_FILLED = 0.998
-#: Distinct words whose ids a Python worker keeps in its young generation; there is an old one of the same size.
-CACHE_WORDS = 400_000
+#: Distinct words, and ids of words, that a task keeps; beyond either it starts anew.
+CACHE_WORDS, CACHE_IDS = 400_000, 2_000_000
+#: Characters that are cut into words at once.
+RUN_CHARS = 4_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -49,15 +52,43 @@ def tokenizer_path(name: str = TOKENIZER) -> str:
     return public_tokenizers.path(name)
 
 
-#: Byte-level vocabularies write a byte as a character: printable Latin-1 as itself, the others from 256 on.
-_BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+# How the supported vocabularies normalise and split (their files say so; any other file is
+# tokenised text by text), and how byte-level vocabularies write a byte: printable Latin-1 as itself, others from 256 on.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]
+SPLIT = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+BYTE_LEVEL = {b: 256 + i for i, b in enumerate([*range(0x21), *range(0x7F, 0xA1), 0xAD])}
+
+#: Kinds of Latin-1 characters: space, letter, digit, mark. Texts with a character of no kind are split in a plainer way.
+SPACE, LETTER, DIGIT, MARK, NO_KIND = range(5)
+
+
+def _kinds() -> np.ndarray:
+    out = np.full(256, NO_KIND, np.uint8)
+    for b in range(256):
+        c = chr(b)
+        if c in " \t\n\x0b\x0c\r":
+            out[b] = SPACE
+        elif c.isalpha() and c not in "\xaa\xba":
+            out[b] = LETTER
+        elif c in "0123456789":
+            out[b] = DIGIT
+        elif 0x20 < b < 0x7F and c != "'":
+            out[b] = MARK
+    return out
+
 
+KINDS = _kinds()
+#: A-Z and the accented capitals in lower case.
+LOWER = np.array([b + 32 if chr(b).isalpha() and chr(b).isupper() else b for b in range(256)], np.uint8)
 
-class WordIds(dict):
-    """Little-endian id bytes of space-free strings.
 
-    The vocabulary's splitter never joins text across white space, so a text's
-    ids are those of its space-separated parts in order.
+class WordIds:
+    """Token ids of texts by way of their distinct words.
+
+    The supported splitter cuts a text at white space and between letters,
+    digits and marks, so a text's ids are those of its words in order. Words
+    are found and told apart on whole arrays, and only distinct new ones are
+    tokenised.
     """
 
     def __init__(self, path: str):
@@ -65,96 +96,126 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.model = self.tokenizer.model
-        self.older: dict[str, bytes] = {}
-
-    def learn(self, parts: set[str]) -> None:
-        new = []
-        for p in parts:
-            if p in self.older:
-                self[p] = self.older[p]
-            else:
-                new.append(p)
-        rest = []
-        for part in new:
-            if part.isalpha() and part.islower() and max(part) < "\u0100":
-                # one lower-case Latin-1 word: normalising and splitting leave it as it is
-                self[part] = array("I", [t.id for t in self.model.tokenize(part if part.isascii() else part.encode().decode("latin-1").translate(_BYTE_LEVEL))]).tobytes()
-            else:
-                rest.append(part)
-        for part, e in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False), strict=True):
-            self[part] = array("I", e.ids).tobytes()
+        said = json.loads(self.tokenizer.to_str())
+        splitter = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
+        self.by_words = (
+            (said["normalizer"] or {}).get("normalizers") == NORMALIZERS
+            and len(splitter) == 2
+            and splitter[0].get("pattern") == {"Regex": SPLIT}
+            and splitter[1].get("type") == "ByteLevel"
+            and not splitter[1].get("add_prefix_space", True)
+            and not any(" " in t["content"] for t in said["added_tokens"])
+        )
+        self.special = [t["content"] for t in said["added_tokens"]]
+        self.clear()
+
+    def clear(self) -> None:
+        """Forget all words; the closing token is word 0."""
+        self.index: dict[str | bytes, int] = {}
+        self.flat = array("I", [END_ID])
+        self.ends = array("q", [1])
+
+    def _add(self, key, ids) -> int:
+        self.flat.extend(ids)
+        self.ends.append(len(self.flat))
+        self.index[key] = len(self.ends) - 1
+        return len(self.ends) - 1
+
+    def words(self, distinct: list[bytes]) -> np.ndarray:
+        """The numbers of Latin-1 words of one kind each."""
+        found = list(map(self.index.get, distinct))
+        gaps = [i for i, k in enumerate(found) if k is None]
+        if gaps:
+            tokenize, add = self.tokenizer.model.tokenize, self._add
+            wide = [i for i in gaps if not distinct[i].isascii()]
+            # one pass over all of them; a line feed keeps them apart, as no word holds one
+            written = b"\n".join([distinct[i] for i in wide]).decode("latin-1").encode().decode("latin-1").translate({k: v for k, v in BYTE_LEVEL.items() if k != 10}).split("\n")
+            written = dict(zip(wide, written))
+            for i in gaps:
+                found[i] = add(distinct[i], [t.id for t in tokenize(written[i] if i in written else distinct[i].decode("ascii"))])
+        return np.array(found, np.int64)
+
+    def parts(self, text: str) -> np.ndarray:
+        """The numbers of the space-separated parts of any text, or of the text as one part."""
+        parts = text.replace("\n", " ").split(" ") if self.by_words else [text]
+        new = list({p for p in parts if p not in self.index})
+        for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
+            self._add(p, e.ids)
+        return np.fromiter(map(self.index.__getitem__, parts), np.int64, len(parts))
+
+    def latin(self, text: str) -> np.ndarray | None:
+        """The text's Latin-1 bytes in lower case, or None if it has to be split in the plainer way."""
+        if not self.by_words or any(s in text for s in self.special):
+            return None
+        try:
+            raw = np.frombuffer(text.encode("latin-1"), np.uint8)
+        except UnicodeEncodeError:
+            return None
+        return None if (KINDS[raw] == NO_KIND).any() else LOWER[raw]
 
     def ids(self, texts: list[str | None]):
-        """The id bytes of each text, in order."""
-        for run in runs_by_size(texts):
-            if len(self) > CACHE_WORDS:
-                self.older = dict(self)
+        """The little-endian id bytes of each text, in order."""
+        return (x[:-1].astype("<u4").tobytes() for x in self.closed(texts))
+
+    def closed(self, texts: list[str | None]):
+        """The ids of each text with the closing token, in order."""
+        for run in runs_by_size(texts, RUN_CHARS):
+            if len(self.index) > CACHE_WORDS or len(self.flat) > CACHE_IDS:
                 self.clear()
-            parts = [simple_parts(t or "") for t in run]
-            found = [list(map(self.get, p)) for p in parts]
-            gaps = [(p, f, _gaps(f)) for p, f in zip(parts, found, strict=True) if None in f]
-            self.learn({p[k] for p, _, at in gaps for k in at})
-            for p, f, at in gaps:
-                for k in at:
-                    f[k] = self[p[k]]
-            yield from map(b"".join, found)
-
-
-def _gaps(found: list) -> list[int]:
-    """Where a list holds None; list.index looks faster than a loop."""
-    out, at = [], -1
-    try:
-        while True:
-            at = found.index(None, at + 1)
-            out.append(at)
-    except ValueError:
-        return out
-
-
-#: Latin-1 letters, digits, spaces, stops and commas.
-_PLAIN = bytes(b for b in range(256) if chr(b).isalnum() and b not in b"\xaa\xb2\xb3\xb9\xba\xbc\xbd\xbe" or chr(b) in " \n.,")
-
-
-def simple_parts(text: str) -> list[str]:
-    """A text's parts at spaces, chosen so that few are distinct and their ids still join to the text's.
-
-    The vocabulary's splitter takes letters, and runs of punctuation, apart
-    anyway, and lower-cases. So in a text whose stops and commas each stand
-    before white space, and which has no other marks and only Latin-1 letters,
-    they may stand alone and everything be lower.
-    """
-    try:
-        plain = not text.encode("latin-1").translate(None, _PLAIN)
-    except UnicodeEncodeError:
-        plain = False
-    if plain:
-        text = text.replace("\n", " ").lower()
-        if text.count(".") + text.count(",") == text.count(". ") + text.count(", ") + text.endswith((".", ",")):
-            text = text.replace(".", " .").replace(",", " ,")
-        return text.split(" ")
-    return text.replace("\n", " ").split(" ")
+            raws = [self.latin(t or "") for t in run]
+            numbers = self._numbers([r for r in raws if r is not None])
+            known = [next(numbers) if r is not None else np.append(self.parts(t or ""), 0) for t, r in zip(run, raws, strict=True)]
+            k = np.concatenate(known)
+            ends = np.frombuffer(self.ends, np.int64)
+            sizes = np.diff(ends, prepend=0)[k]
+            to = np.cumsum(sizes)
+            at = np.arange(to[-1]) + np.repeat(ends[k] - to, sizes)
+            ids = np.frombuffer(self.flat, np.uint32)[at]
+            del ends  # the arrays may grow again only when nothing looks at them
+            stop = to[np.cumsum([len(x) for x in known]) - 1]
+            yield from np.split(ids, stop[:-1])
+
+    def _numbers(self, raws: list[np.ndarray]):
+        """Word numbers of each of these texts with the closing one; all are cut into words at once."""
+        if not raws:
+            return
+        sizes = np.array([len(r) for r in raws]) + 1
+        line = np.full(sizes.sum(), 32, np.uint8)  # a space after each text
+        stops = np.cumsum(sizes)
+        for r, stop in zip(raws, stops, strict=True):
+            line[stop - 1 - len(r) : stop - 1] = r
+        kind = KINDS[line]
+        begins = np.flatnonzero((kind != SPACE) & ((kind != np.concatenate([[SPACE], kind[:-1]])) | (kind == DIGIT)))
+        solid = kind != SPACE
+        before = np.cumsum(solid) - solid
+        offsets = np.append(before[begins], int(solid.sum())).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(line[solid])]).dictionary_encode()
+        k = self.words(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(begins) else np.zeros(0, np.int64)
+        cuts = np.searchsorted(begins, stops)
+        lo = 0
+        for hi in cuts.tolist():
+            yield np.append(k[lo:hi], 0)
+            lo = hi
 
 
 def pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The token pieces of every document."""
     path = path or tokenizer_path()
-    kept: list[WordIds] = []
-
-    def cut(cols):
-        if not kept:
-            kept.append(WordIds(path))
-        end = np.array([END_ID], "<u4").tobytes()
-        out: dict[str, list] = {n: [] for n in PIECES_ARROW.names}
-        for i, ids in zip(cols["doc_id"], kept[0].ids(cols["text"]), strict=True):
-            raw = ids + end
-            for p, at in enumerate(range(0, len(raw), 4 * capacity)):
-                part = raw[at : at + 4 * capacity]
-                for n, v in zip(out, (i, p, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
-                    out[n].append(v)
-        return out
 
-    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), cut, PIECES, PIECES_ARROW)
+    def run(batches):
+        words = WordIds(path)
+        for whole in batches:
+            for b in slices(whole):
+                out: dict[str, list] = {n: [] for n in PIECES_ARROW.names}
+                for i, ids in zip(b.column(0).to_pylist(), words.closed(b.column(1).to_pylist()), strict=True):
+                    raw = memoryview(np.ascontiguousarray(ids, "<u4")).cast("B")
+                    for p, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        for n, v in zip(out, (i, p, at // 4, len(part) // 4, zlib.crc32(part)), strict=True):
+                            out[n].append(v)
+                yield pa.RecordBatch.from_pydict(out, schema=PIECES_ARROW)
+
+    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), PIECES)
 
 
 def best_fit(lengths: list[int], items, bins: list[list[int]], room: list[int], capacity: int) -> None:
@@ -258,8 +319,9 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str
     cut = checkpointed(pieces(docs, text, id_col, path, capacity))
     n_buckets = max(1, -(-cut.count() // BUCKET_PIECES))
     item = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
+    # the row's place in the checkpoint deals equal rows to different buckets
     buckets = (
-        cut.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_buckets)).alias("bucket"))
+        cut.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_buckets)).alias("bucket"))
         .agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
     )
     buckets = checkpointed(buckets.repartition(min(n_buckets, 10_000), "bucket"))

@@ -241,3 +241,60 @@ def test_partitions_do_not_matter(spark):
     assert out[0] == out[1] and sum(r[4] for r in out[0]) > 70
 
 
+
+
+@pytest.mark.parametrize("name", ["other", "same"])
+def test_ids_of_any_tokenizer(tmp_path, name):
+    """A tokenizer that does not lower-case, or splits in another way, is asked for whole texts."""
+    import json
+
+    said = json.loads(packing.WordIds(packing.tokenizer_path()).tokenizer.to_str())
+    if name == "other":
+        said["normalizer"] = None
+    at = tmp_path / "t.json"
+    at.write_text(json.dumps(said))
+    ids = packing.WordIds(str(at))
+    assert ids.by_words == (name == "same")
+    texts = ["Hi, you. No ,a", "ÉÀ it's 's x1y22&&&...", "", "A\n\nB"]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.ids(texts)] == [ids.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+@pytest.mark.parametrize("words", [1, 400_000])
+def test_forgetting_words_changes_no_id(monkeypatch, words):
+    monkeypatch.setattr(packing, "CACHE_WORDS", words)
+    monkeypatch.setattr(packing, "RUN_CHARS", 100)
+    ids = packing.WordIds(packing.tokenizer_path())
+    texts = [prose(i) for i in range(20)] + ODD + ["é日本 1a" * 9]
+    assert [np.frombuffer(b, "<u4").tolist() for b in ids.ids(texts)] == [ids.tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+def test_repeated_rows_are_dealt_out(spark, monkeypatch):
+    monkeypatch.setattr(packing, "BUCKET_PIECES", 200)
+    df = spark.createDataFrame([(1, "the same")] * 1200 + [(None, None)] * 3, "doc_id bigint, text string")
+    rows = packing.pack(df).collect()
+    assert len(rows) == 1203 and sum(r.doc_id is None for r in rows) == 3
+    sizes = defaultdict(int)
+    for r in rows:
+        sizes[r.sequence_id >> 24] += 1
+    assert len(sizes) > 3 and max(sizes.values()) < 320
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_best_fit_against_the_least_number_of_bins(seed):
+    """On sets small enough to try every packing, the evolved one needs no bin more."""
+    rng = np.random.default_rng(seed)
+    lengths = rng.integers(200, 1500, 9).tolist()
+
+    def least(rest, rooms, best):
+        if len(rooms) >= best:
+            return best
+        if not rest:
+            return len(rooms)
+        for k, room in enumerate(rooms):
+            if room >= rest[0] and room not in rooms[:k]:
+                best = least(rest[1:], rooms[:k] + [room - rest[0]] + rooms[k + 1 :], best)
+        return least(rest[1:], [*rooms, 2048 - rest[0]], best)
+
+    got = packing.evolve(lengths, [], seed)
+    assert sorted(i for b in got.bins for i in b) == list(range(9))
+    assert len(got.bins) == least(sorted(lengths, reverse=True), [], 10)

@@ -3,29 +3,33 @@
 A document is the set of its distinct five-word shingles. Documents with equal
 sets are one representative. In each of several independent trees a document
 descends a path of minwise tokens: a small node compares all its members, a
-larger one branches on the next token. Sorting a tree's rows by their paths
-puts every node in one run of rows, so no node is ever gathered as a group and
-a very large node lies across partitions. A node still large at depth WIDE also
-gives the pairs with its hub, the member that shares most with the others.
+larger one branches on the next token. A node still large at depth WIDE is
+compared whole: first each member with the node's hub, the member that shares
+most with the others, and what then stays apart in pairs of salted blocks.
 Candidates are confirmed on the full sets, best first, and pairs that earlier
-links already connect are skipped. What is then left apart inside a large node
-is compared exhaustively, dealt out in pairs of salted blocks.
+links already connect are skipped.
 
 Recall: a pair of similarity s meets in a node of depth d with probability
-s ** d in each tree; with 16 trees a pair at 0.75 is missed with 2e-10 at
-depth 1, 2e-6 at depth 2 and 2e-4 at depth 3 (no node is left uncompared
-below), before other paths of links. In large nodes pairs that agree in fewer
-than ALIKE of all tokens are not confirmed; one at 0.75 does so with 3e-6.
+s ** d in each tree, and no node is left uncompared at depth WIDE; the number
+of trees follows from RECALL, for a pair of just the similarity and before
+other paths of links. In large nodes pairs that agree in fewer than ALIKE of
+all tokens are not confirmed; one at 0.75 does so with 3e-6. The result does
+not depend on how rows are dealt out.
 
 Defined results: a null or empty text has an empty set and is linked with
 nothing; fewer than five words make one shingle of all; repeated rows are
-equal sets; rows with a null id are never linked and always kept; an empty
-table gives an empty one. Only the id and the text are read.
+equal sets; each row of a repeated id with unlike texts has the component of
+its own text, and texts with the same least id are linked through it; rows
+with a null id are never linked and always kept; an empty table gives an empty
+one. keep_one keeps every row of an id that is kept in any row, so that no
+text without a copy elsewhere is lost. Only the id and the text are read.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,17 +37,27 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, map_batches, windows
+from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, map_batches, slices, tidy, windows
 from dialoom.llm.components import components
 
 SHINGLE = 5
 PERCENT = 75
-TREES = 16
-DEPTH = 6
 #: A node of at most so many documents is compared exhaustively.
 LEAF = 8
-#: Nodes of this depth are compared as a whole.
+#: Nodes of this depth are compared whole, whatever their size.
 WIDE = 3
+#: The least chance to meet in a node for two sets of just the similarity; it sets the number of trees.
+RECALL = 0.9998
+#: Minwise tokens of a tree; those beyond WIDE only estimate similarity inside large nodes.
+DEPTH = 6
+
+
+def trees_for(recall: float, percent: int = PERCENT, depth: int = WIDE) -> int:
+    """The least number of independent trees in which a pair of the similarity meets with the recall."""
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - (percent / 100) ** depth)))
+
+
+TREES = trees_for(RECALL)
 #: Members of a large node in one block.
 BLOCK_ROWS = 512
 #: Of the TREES * DEPTH tokens, so many are equal in a pair worth confirming.
@@ -61,7 +75,10 @@ def shingles(text: str | None, hashes: WordHashes, k: int = SHINGLE) -> np.ndarr
     if not words:
         return np.zeros(0, np.uint64)
     h = hashes.array(words)
-    return np.unique(windows(h, k)) if len(h) >= k else windows(h, len(h)) ^ np.uint64(len(h))
+    if len(h) < k:
+        return windows(h, len(h)) ^ np.uint64(len(h))
+    s = np.sort(windows(h, k))
+    return s[np.concatenate([[True], s[1:] != s[:-1]])]
 
 
 def minwise(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
@@ -94,94 +111,38 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
         sketch,
         "doc_id bigint, n_shingles bigint, s1 bigint, s2 bigint, path array<int>",
         pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("path", pa.list_(pa.int32()))]),
+        hashes,
     )
 
 
-def node_pairs(path: np.ndarray, rep: np.ndarray, size: np.ndarray) -> tuple[list[int], list[int]]:
-    """Candidates of one first-level node whose rows are in path order."""
-    a: list[int] = []
-    b: list[int] = []
-
-    def pair(i, j):
-        if 100 * min(size[i], size[j]) >= PERCENT * max(size[i], size[j]):
-            x, y = int(rep[i]), int(rep[j])
-            a.append(min(x, y))
-            b.append(max(x, y))
-
-    stack = [(0, len(rep), 1)]
-    while stack:
-        lo, hi, level = stack.pop()
-        if hi - lo < 2:
-            continue
-        if hi - lo <= LEAF:
-            for i in range(lo, hi):
-                for j in range(i + 1, hi):
-                    pair(i, j)
-        elif level < path.shape[1]:
-            cut = lo + 1 + np.flatnonzero(path[lo + 1 : hi, level] != path[lo : hi - 1, level])
-            ends = [lo, *cut.tolist(), hi]
-            stack += [(x, y, level + 1) for x, y in zip(ends, ends[1:]) if y - x > 1]
-        else:  # alike in every token: rows are in id order, linked in a chain and to the first
-            for i in range(lo + 1, hi):
-                pair(i - 1, i)
-                if i > lo + 1:
-                    pair(lo, i)
-    return a, b
-
-
-def candidates(reps: DataFrame) -> DataFrame:
-    """(a, b): pairs of representatives a < b, a row for each tree in which they met."""
-    levels = [f"p{i}" for i in range(DEPTH)]
-    trees = reps.select(
-        "rep",
-        "n_shingles",
-        F.explode(F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), *[F.get("path", F.lit(t * DEPTH + i)).alias(p) for i, p in enumerate(levels)]) for t in range(TREES)])).alias("x"),
-    ).select("x.*", "rep", "n_shingles")
-    keys = ["tree", *levels, "rep"]
-    rows = trees.repartitionByRange(*keys).sortWithinPartitions(*keys)
+def branched(reps: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b), a row for each node in which a pair met, and (node, tree, rep, size) of the nodes left large.
 
-    def run(batches):
-        import pyarrow as pa
-
-        kept = None
-
-        def cols(b):
-            get = lambda n: b.column(b.schema.get_field_index(n)).to_numpy(zero_copy_only=False)
-            return [get("tree"), np.stack([get(p) for p in levels], 1), get("rep"), get("n_shingles")]
-
-        def emit(c, hi):
-            tree, path, rep, size = c
-            new = np.flatnonzero((tree[1:hi] != tree[: hi - 1]) | (path[1:hi, 0] != path[: hi - 1, 0])) + 1
-            ends = np.concatenate([[0], new, [hi]])
-            a, b = [], []
-            for k in np.flatnonzero(np.diff(ends) > 1):
-                x, y = node_pairs(path[ends[k] : ends[k + 1]], rep[ends[k] : ends[k + 1]], size[ends[k] : ends[k + 1]])
-                a += x
-                b += y
-            return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
-
-        for batch in batches:
-            if batch.num_rows:
-                c = cols(batch)
-                kept = c if kept is None else [np.concatenate([x, y]) for x, y in zip(kept, c, strict=True)]
-                tree, path = kept[0], kept[1]
-                last = np.flatnonzero((tree != tree[-1]) | (path[:, 0] != path[-1, 0]))
-                hi = int(last[-1]) + 1 if len(last) else 0  # the last node may go on in the next batch
-                if hi:
-                    yield emit(kept, hi)
-                    kept = [x[hi:] for x in kept]
-        if kept is not None and len(kept[0]):
-            yield emit(kept, len(kept[0]))
-
-    return rows.mapInArrow(run, "a bigint, b bigint")
-
-
-def wide_nodes(reps: DataFrame) -> DataFrame:
-    """(node, tree, rep, size): the members of the nodes of depth WIDE that are larger than a leaf."""
-    nodes = F.array(*[F.xxhash64(F.lit(t), *[F.get("path", F.lit(t * DEPTH + i)) for i in range(WIDE)]) for t in range(TREES)])
-    rows = reps.select("rep", F.posexplode(nodes).alias("tree", "node"))
-    sizes = rows.groupBy("node").agg(F.count("*").alias("size")).where(F.col("size") > LEAF)
-    return rows.join(sizes.hint("merge"), "node").select("node", "tree", "rep", "size")
+    Level by level: nodes of 2 to LEAF members are compared, larger ones branch
+    on their next token. Sizes are counted before rows are brought together, so
+    only small nodes ever become a group, and a hot node is an ordinary skewed
+    join; nothing depends on how the rows are dealt out.
+    """
+    levels = [f"n{i}" for i in range(1, WIDE + 1)]
+    tokens = lambda t, i: [F.get("path", F.lit(t * DEPTH + k)) for k in range(i)]
+    at = F.array(*[F.struct(F.lit(t).cast("short").alias("tree"), *[F.xxhash64(F.lit(t), *tokens(t, i)).alias(n) for i, n in enumerate(levels, 1)]) for t in range(TREES)])
+    rows = reps.select("rep", F.col("n_shingles").cast("int").alias("n"), F.explode(at).alias("x")).select("x.*", "rep", "n")
+    pairs = []
+    for k, node in enumerate(levels):
+        sizes = rows.groupBy(node).agg(F.count("*").alias("size")).where("size > 1")
+        rows = checkpointed(rows.join(sizes.hint("merge"), node))
+        group = rows.where(F.col("size") <= LEAF).groupBy(node).agg(F.collect_list(F.struct("rep", "n")).alias("g"))
+        met = F.flatten(F.transform("g", lambda x: F.transform(F.filter("g", lambda y: (y["rep"] > x["rep"]) & _sized(x["n"], y["n"])), lambda y: F.struct(x["rep"].alias("a"), y["rep"].alias("b")))))
+        pairs.append(group.select(F.explode(met).alias("p")).select("p.a", "p.b"))
+        rows = rows.where(F.col("size") > LEAF)
+        if k + 1 < len(levels):
+            rows = rows.drop("size", node)
+    return reduce(DataFrame.union, pairs), rows.select(F.col(levels[-1]).alias("node"), "tree", "rep", "size")
+
+
+def _sized(m, n):
+    """Set sizes that allow the similarity."""
+    return 100 * F.least(m, n).cast("bigint") >= PERCENT * F.greatest(m, n).cast("bigint")
 
 
 def hub_pairs(wide: DataFrame, reps: DataFrame) -> DataFrame:
@@ -190,8 +151,7 @@ def hub_pairs(wide: DataFrame, reps: DataFrame) -> DataFrame:
     rows = checkpointed(wide.join(weight.hint("merge"), "rep").select("node", "rep", "n_shingles", "weight"))
     hubs = rows.groupBy("node").agg(F.max(F.struct("weight", (-F.col("rep")).alias("o"), "n_shingles")).alias("h"))
     hubs = hubs.select("node", (-F.col("h.o")).alias("hub"), F.col("h.n_shingles").alias("n"))
-    sized = 100 * F.least("n_shingles", "n") >= PERCENT * F.greatest("n_shingles", "n")
-    return rows.join(hubs.hint("merge"), "node").where((F.col("rep") != F.col("hub")) & sized).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
+    return rows.join(hubs.hint("merge"), "node").where((F.col("rep") != F.col("hub")) & _sized(F.col("n_shingles"), F.col("n"))).select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
 
 
 def alike(rows: pa.Table) -> pa.Table:
@@ -275,15 +235,15 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, text: str, id_col: str) -> Da
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
-        for b in batches:
-            if b.num_rows:
+        for whole in batches:
+            for b in slices(whole):
                 at = b.column(1).to_numpy()
                 hit = (bits.value[at // 8] >> (at % 8).astype(np.uint8)) & 1
                 b = b.filter(pa.array(hit.astype(bool)))
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["id", "set"])
 
-    return rows.mapInArrow(run, "id bigint, set binary")
+    return rows.mapInArrow(tidy(run, hashes), "id bigint, set binary")
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -300,7 +260,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
 
-    return j.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+    return j.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:
@@ -322,13 +282,17 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     reps = checkpointed(
         marks.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("s1", "s2").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n_shingles"), F.first("path").alias("path"))
     )
-    wide = checkpointed(wide_nodes(reps))
-    pairs = checkpointed(candidates(reps).union(hub_pairs(wide, reps)).groupBy("a", "b").agg(F.count("*").alias("n")))
+    met, wide = branched(reps)
+    wide = checkpointed(wide)
+    if not wide.isEmpty():
+        met = met.union(hub_pairs(wide, reps))
+    pairs = checkpointed(met.groupBy("a", "b").agg(F.count("*").alias("n")))
     comps = reps.sparkSession.createDataFrame([], "id bigint, component bigint")
     links = None
 
     def sets_of(ids):
-        return checkpointed(full_sets(docs, id_filter(ids, "id"), text, id_col).dropDuplicates(["id"]))
+        # an id that is repeated with unlike texts has several sets
+        return checkpointed(full_sets(docs, id_filter(ids, "id"), text, id_col).withColumn("h", F.xxhash64("set")).dropDuplicates(["id", "h"]).drop("h"))
 
     if not pairs.isEmpty():
         sets = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("id")))
@@ -343,7 +307,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
             pairs = checkpointed(_apart(pairs.join(tried.hint("merge"), ["a", "b"], "left_anti"), comps))
             if pairs.isEmpty():
                 break
-    found = apart_links(wide, reps, comps, sets_of)
+    found = None if wide.isEmpty() else apart_links(wide, reps, comps, sets_of)
     if found is not None:
         comps = components(found if links is None else links.union(found), "a", "b")
     named = reps.select("s1", "s2", "rep").join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("s1", "s2", F.coalesce("component", "rep").alias("component_id"))
@@ -355,5 +319,6 @@ def near_duplicates(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
 def keep_one(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """The rows of docs, all columns, but of each group of near-duplicates only the least id."""
-    gone = near_duplicates(docs, text, id_col).where("NOT kept").select(F.col("doc_id").alias(id_col)).distinct()
+    ids = near_duplicates(docs, text, id_col).where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = ids.where("NOT kept").select(F.col("doc_id").alias(id_col))
     return docs.join(gone, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])

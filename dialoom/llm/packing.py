@@ -40,7 +40,7 @@ WELL_FILLED = 0.998
 #: Distinct words, and ids of words, that a task keeps; beyond either it starts anew.
 CACHE_WORDS, CACHE_IDS = 400_000, 2_000_000
 #: Characters that are cut into words at once.
-RUN_CHARS = 4_000_000
+RUN_CHARS = 2_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -187,7 +187,7 @@ class WordIds:
         kind = KINDS[line]
         begins = np.flatnonzero((kind != SPACE) & ((kind != np.concatenate([[SPACE], kind[:-1]])) | (kind == DIGIT)))
         solid = kind != SPACE
-        before = np.cumsum(solid) - solid
+        before = np.cumsum(solid, dtype=np.int32) - solid
         offsets = np.append(before[begins], int(solid.sum())).astype(np.int32)
         words = pa.Array.from_buffers(pa.binary(), len(begins), [None, pa.py_buffer(offsets), pa.py_buffer(line[solid])]).dictionary_encode()
         k = self.words(words.dictionary.to_pylist())[words.indices.to_numpy()] if len(begins) else np.zeros(0, np.int64)

@@ -196,3 +196,49 @@ def test_the_filter_grows_with_the_seeds(spark, monkeypatch):
     seeded = spark.range(600_000).select(F.xxhash64("id").alias("seed"))
     bits, exact = decontam.seed_filter(seeded)
     assert exact is None and 600_000 * 0.9 < np.unpackbits(bits).sum() < 0.1 * 8 * len(bits)
+
+
+def crowd(pair_own, others=200):
+    """Pairs above the threshold among documents just below it: all share one long passage."""
+    rng = np.random.default_rng(12)
+    shared = [f"s{i}" for i in range(300)]
+    rows = []
+    for k in range(others):
+        own = [f"o{k}_{i}" for i in range(52)]
+        for half in range(2):
+            rows.append((2 * k + half, " ".join([*shared, *own[: 52 - pair_own], *[f"h{k}_{half}_{i}" for i in range(pair_own)]])))
+    order = rng.permutation(len(rows))
+    return [(int(order[i]), t) for i, t in rows]
+
+
+@pytest.mark.parametrize("partitions", ["3", "40"])
+def test_links_in_a_crowded_node(spark, partitions):
+    rows = crowd(45)
+    want = brute_components(rows)
+    n_links = len({c for _, c in want.values()})
+    assert n_links == len(rows) // 2  # only the pairs are linked
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        got = {r.doc_id: r.component_id for r in neardup.near_duplicates(spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == {i: c for i, (_, c) in want.items()}
+
+
+def test_a_repeated_id_with_unlike_texts(spark):
+    rng = np.random.default_rng(3)
+    x, y = rng.choice(WORDS, 200), rng.choice(WORDS, 200)
+    near = y.copy()
+    near[100] = "zz"
+    rows = [(1, " ".join(x)), (1, " ".join(y)), (2, " ".join(near)), (3, " ".join(x)), (3, "only here at all")]
+    df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], DOCS)
+    got = sorted((r.doc_id, r.component_id) for r in neardup.near_duplicates(df).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1), (3, 3)]
+    assert sorted(r.text for r in neardup.keep_one(df).collect()) == sorted(t for i, t in rows if i != 2)
+
+
+def test_trees_follow_from_the_recall():
+    for recall in (0.5, 0.9, 0.99, 0.9998):
+        t = neardup.trees_for(recall)
+        assert 1 - (1 - 0.75**neardup.WIDE) ** t >= recall > 1 - (1 - 0.75**neardup.WIDE) ** (t - 1)

@@ -101,6 +101,30 @@ def hashed_rows(rows: DataFrame, limit: int, *keys: str) -> DataFrame:
     return few.orderBy(h, *keys).limit(limit)
 
 
+#: Bits of the filter by which documents that no later step asks for are left out early; false hits cost time only.
+FILTER_BITS = 1 << 25
+
+
+def filter_place(key: Column) -> Column:
+    """The bit of a key."""
+    return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
+
+
+def id_filter(ids: DataFrame, col: str) -> np.ndarray:
+    """A bit for each hashed id; FILTER_BITS bits at most come to the driver."""
+    at = filter_place(F.col(col)) + 1  # the bitmap functions count from 1
+    parts = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
+    out = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in parts:
+        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
+    return out
+
+
+def in_filter(bits: np.ndarray, places: pa.Array) -> pa.Array:
+    at = places.to_numpy(zero_copy_only=False)
+    return pa.array(((bits[at // 8] >> (at % 8).astype(np.uint8)) & 1).astype(bool))
+
+
 class WordHashes(dict):
     """64-bit hashes of words (bytes), kept for the first CACHE_WORDS distinct ones."""
 

@@ -14,9 +14,11 @@ and shuffles more, with the same result.
 
 Defined results: a null or empty text or item never matches; items of fewer
 than MIN_WORDS words never match, and items of fewer than OVERLAP words count
-as a whole; repeated rows of a document give one row; rows with a null id are
-reported under a null id; empty tables give an empty one. Only the named
-columns are read.
+as a whole; repeated rows of a document give one row, and so do repeated ids
+with unlike texts (the best stretch of any); rows with a null id are told
+apart by their texts and reported under a null id; rows of an item with a null
+id are left out, and repeated item ids count as one item in several versions;
+empty tables give an empty one. Only the named columns are read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, ascii_lower, map_batches
+from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, filter_place, id_filter, in_filter, map_batches, slices, tidy
 
 #: 1: the token counts; 0: it may be anything.
 MASKS = ("1111011", "110100010011", "110101011", "1011000111")
@@ -36,7 +38,7 @@ MIN_WORDS = 5
 #: An aligned stretch of so many tokens (or the whole item), with so large a share equal, is contamination.
 OVERLAP = 13
 SHARE = 0.8
-#: Tokens of context on each side that go along with a hit.
+#: Tokens of context on each side that go along with a hit; stretches of longer items are measured on the whole texts.
 CONTEXT = 64
 #: The bitmap has BITS_PER_SEED bits for each hash, within these sizes.
 FILTER_BITS, MOST_BITS = 1 << 22, 1 << 29
@@ -88,10 +90,13 @@ def overlap(doc: np.ndarray, item: np.ndarray, p: int, q: int) -> tuple[int, int
     need = min(OVERLAP, len(item))
     if len(same) >= need and not contaminated(int(same[start:end].sum()), end - start, len(item)):
         e = np.concatenate([[0], np.cumsum(same)])
-        share = e - SHARE * np.arange(len(e))  # rises by the share at least where so many are equal
-        if (share[need:] - np.minimum.accumulate(share)[: len(e) - need] >= -1e-9).any():
-            i, j = np.nonzero(share[None, :] - share[:, None] >= -1e-9)
-            i, j = i[j - i >= need], j[j - i >= need]
+        share = np.round(e - SHARE * np.arange(len(e)), 6)  # between two places it rises where so many are equal
+        low = np.minimum.accumulate(share)
+        j = np.arange(need, len(e))
+        i = np.searchsorted(-low, -share[j], "left")  # the first place no higher: most equal tokens up to j
+        j, i = j[i <= j - need], i[i <= j - need]
+        if len(j):
+            i = np.minimum(np.searchsorted(e, e[i], "right") - 1, j - need)  # without unequal tokens ahead
             k = np.lexsort((i, j - i, e[i] - e[j]))[0]
             start, end = int(i[k]), int(j[k])
     return int(same[start:end].sum()), end - start, lo + d + start, lo + start
@@ -101,18 +106,18 @@ def contaminated(equal: int, length: int, n_item: int) -> bool:
     return length >= min(OVERLAP, n_item) and n_item >= MIN_WORDS and equal >= SHARE * length - 1e-9
 
 
-def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(seed, item_id, q) rows, (item_id, item) rows and the masks of the lengths in use."""
+def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFrame, DataFrame, list[str], int]:
+    """(seed, item_id, q) rows, (item_id, item) rows, the masks of the lengths in use and the longest length."""
     hashes = WordHashes()
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text).alias("text"))
     items = map_batches(
         rows,
-        lambda c: {"item_id": c["item_id"], "item": [tokens(t, hashes) .view(np.int64) for t in c["text"]]},
+        lambda c: {"item_id": c["item_id"], "item": [tokens(t, hashes).view(np.int64) for t in c["text"]]},
         "item_id bigint, item array<bigint>",
         pa.schema([("item_id", pa.int64()), ("item", pa.list_(pa.int64()))]),
     )
-    lengths = [r.n for r in items.select(F.least(F.size("item"), F.lit(OVERLAP)).alias("n")).where(F.col("n") >= MIN_WORDS).distinct().collect()]
-    masks = sorted({m for n in lengths for m in SHORT_MASKS.get(n, MASKS)})
+    sizes = items.select(F.least(F.size("item"), F.lit(OVERLAP)).alias("n"), F.size("item").alias("m")).where(F.col("n") >= MIN_WORDS).groupBy("n").agg(F.max("m").alias("m")).collect()
+    masks = sorted({m for r in sizes for m in SHORT_MASKS.get(r.n, MASKS)})
 
     def seed(c):
         out: dict[str, list] = {"seed": [], "item_id": [], "q": []}
@@ -126,7 +131,7 @@ def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFram
         return out
 
     seeded = map_batches(items, seed, "seed bigint, item_id bigint, q int", pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("q", pa.int32())]))
-    return seeded, items.select("item_id", F.transform("item", lambda x: F.shiftright(x, 32).cast("int")).alias("item")), masks
+    return seeded, items.select("item_id", F.transform("item", lambda x: F.shiftright(x, 32).cast("int")).alias("item")), masks, max((r.m for r in sizes), default=0)
 
 
 def seed_filter(seeded: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
@@ -143,13 +148,19 @@ def seed_filter(seeded: DataFrame) -> tuple[np.ndarray, np.ndarray | None]:
     return bits, exact
 
 
-def hits(docs: DataFrame, masks: list[str], bits: np.ndarray, exact: np.ndarray | None, text: str, id_col: str) -> DataFrame:
-    """(seed, doc_id, p, at, near): windows of documents that pass the filter, with the tokens around them."""
+def keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(doc_id, h, text): h tells rows with a null id apart by their text."""
+    doc_id = F.col(id_col).cast("bigint")
+    return docs.select(doc_id.alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(F.col(text))).alias("h"), F.col(text).alias("text"))
+
+
+def hits(docs: DataFrame, masks: list[str], bits: np.ndarray, exact: np.ndarray | None) -> DataFrame:
+    """(seed, doc_id, h, p, at, near): windows of keyed documents that pass the filter, with the tokens around them."""
     hashes = WordHashes()
 
     def run(c):
-        out: dict[str, list] = {"seed": [], "doc_id": [], "p": [], "at": [], "near": []}
-        for i, t in zip(c["doc_id"], c["text"], strict=True):
+        out: dict[str, list] = {"seed": [], "doc_id": [], "h": [], "p": [], "at": [], "near": []}
+        for i, key, t in zip(c["doc_id"], c["h"], c["text"], strict=True):
             h = tokens(t, hashes)
             near = None
             for m in masks:
@@ -166,39 +177,75 @@ def hits(docs: DataFrame, masks: list[str], bits: np.ndarray, exact: np.ndarray
                 near = small(h) if near is None else near
                 for x, y in zip(p.tolist(), v.tolist(), strict=True):
                     lo = max(0, x - CONTEXT)
-                    for n, z in zip(out, (y, i, x - lo, lo, near[lo : x + len(m) + CONTEXT]), strict=True):
+                    for n, z in zip(out, (y, i, key, x - lo, lo, near[lo : x + len(m) + CONTEXT]), strict=True):
                         out[n].append(z)
         return out
 
-    arrow = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("p", pa.int32()), ("at", pa.int64()), ("near", pa.list_(pa.int32()))])
-    return map_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, "seed bigint, doc_id bigint, p int, at bigint, near array<int>", arrow)
+    arrow = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("p", pa.int32()), ("at", pa.int64()), ("near", pa.list_(pa.int32()))])
+    return map_batches(docs, run, "seed bigint, doc_id bigint, h bigint, p int, at bigint, near array<int>", arrow, hashes)
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id") -> DataFrame:
-    """One row for each document and item that it contains: doc_id, item_id, n_equal, n_span, doc_start, item_start.
+FOUND = ("doc_id", "h", "item_id", "n_equal", "n_span", "doc_start", "item_start", "n_item")
 
-    Starts and lengths count words; the row holds the best stretch.
-    """
-    seeded, items, masks = item_seeds(benchmark, item_text, item_col)
-    bits, exact = seed_filter(seeded)
-    joined = hits(docs, masks, bits, exact, text, id_col).join(seeded, "seed").join(items, "item_id")
+
+def verified(rows: DataFrame) -> DataFrame:
+    """The contaminating stretches of rows (doc_id, h, item_id, p, q, at, near, item)."""
 
     def verify(c):
-        out: dict[str, list] = {"doc_id": [], "item_id": [], "n_equal": [], "n_span": [], "doc_start": [], "item_start": []}
-        for d, i, p, q, at, near, item in zip(c["doc_id"], c["item_id"], c["p"], c["q"], c["at"], c["near"], c["item"], strict=True):
+        out: dict[str, list] = {n: [] for n in FOUND}
+        for d, h, i, p, q, at, near, item in zip(c["doc_id"], c["h"], c["item_id"], c["p"], c["q"], c["at"], c["near"], c["item"], strict=True):
             equal, length, x, y = overlap(np.array(near, np.int32), np.array(item, np.int32), p, q)
             if contaminated(equal, length, len(item)):
-                for n, v in zip(out, (d, i, equal, length, at + x, y), strict=True):
+                for n, v in zip(FOUND, (d, h, i, equal, length, at + x, y, len(item)), strict=True):
                     out[n].append(v)
         return out
 
-    arrow = pa.schema([(n, pa.int64()) for n in ("doc_id", "item_id", "n_equal", "n_span", "doc_start", "item_start")])
-    found = map_batches(joined.select("doc_id", "item_id", "p", "q", "at", "near", "item"), verify, ", ".join(f"{n} bigint" for n in arrow.names), arrow)
+    return map_batches(rows.select("doc_id", "h", "item_id", "p", "q", "at", "near", "item"), verify, ", ".join(f"{n} bigint" for n in FOUND), pa.schema([(n, pa.int64()) for n in FOUND]))
+
+
+def measured(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
+    """Stretches of items longer than the context, measured on the whole texts of the documents that hold them."""
+    found = checkpointed(found)
+    long = found.where(F.col("n_item") > CONTEXT).select("doc_id", "h", "item_id", (F.col("doc_start") - F.col("item_start")).alias("d")).distinct()
+    key = F.coalesce("doc_id", "h")
+    bits = docs.sparkSession.sparkContext.broadcast(id_filter(long.select(key.alias("key")), "key"))
+    hashes = WordHashes()
+    arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("near", pa.list_(pa.int32()))])
+
+    def run(batches):
+        for whole in batches:
+            whole = whole.filter(in_filter(bits.value, whole.column(3)))
+            for b in slices(whole) if whole.num_rows else ():
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([small(tokens(t, hashes)) for t in b.column(2).to_pylist()], arrow.field("near").type)], schema=arrow)
+
+    texts = docs.withColumn("place", filter_place(key)).mapInArrow(tidy(run, hashes), "doc_id bigint, h bigint, near array<int>")
+    texts = texts.withColumn("same", F.xxhash64("near")).dropDuplicates(["doc_id", "h", "same"]).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "near")
+    rows = long.join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("h").eqNullSafe(F.col("k"))).join(items.where(F.size("item") > CONTEXT), "item_id")
+    # any place of the diagonal stands for it
+    rows = rows.withColumn("p", F.greatest("d", F.lit(0))).withColumn("q", F.col("p") - F.col("d")).withColumn("at", F.lit(0))
+    return found.where(F.col("n_item") <= CONTEXT).union(verified(rows.where(F.col("q") < F.size("item")).where(F.col("p") < F.size("near"))))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, item_text: str, item_col: str) -> DataFrame:
+    seeded, items, masks, longest = item_seeds(benchmark, item_text, item_col)
+    bits, exact = seed_filter(seeded)
+    found = verified(hits(docs, masks, bits, exact).join(seeded, "seed").join(items, "item_id"))
+    return measured(found, docs, items) if longest > CONTEXT else found
+
+
+def contamination(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id") -> DataFrame:
+    """One row for each document and item that it contains: doc_id, item_id, n_equal, n_span, doc_start, item_start.
+
+    Starts and lengths count words; the row holds the best stretch.
+    """
+    found = _found(keyed(docs, text, id_col), benchmark, item_text, item_col)
     best = F.max(F.struct("n_equal", (-F.col("n_span")).alias("s"), (-F.col("doc_start")).alias("d"), (-F.col("item_start")).alias("i"))).alias("b")
-    return found.groupBy("doc_id", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n_equal").alias("n_equal"), (-F.col("b.s")).alias("n_span"), (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
+    return found.groupBy("doc_id", "h", "item_id").agg(best).select("doc_id", "item_id", F.col("b.n_equal").alias("n_equal"), (-F.col("b.s")).alias("n_span"), (-F.col("b.d")).alias("doc_start"), (-F.col("b.i")).alias("item_start"))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text", id_col: str = "doc_id", item_text: str = "text", item_col: str = "item_id") -> DataFrame:
     """The rows of docs, all columns, without contaminated documents."""
-    bad = contamination(docs, benchmark, text, id_col, item_text, item_col).select(F.col("doc_id").alias(id_col)).where(F.col(id_col).isNotNull()).distinct()
-    return docs.join(bad, id_col, "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    bad = _found(keyed(docs, text, id_col), benchmark, item_text, item_col).select(F.col("doc_id").alias("i"), F.col("h").alias("k")).distinct()
+    doc_id = F.col(f"d.`{id_col}`").cast("bigint")
+    h = F.when(doc_id.isNull(), F.xxhash64(F.col(f"d.`{text}`")))
+    return docs.alias("d").join(bad.alias("bad"), doc_id.eqNullSafe(F.col("bad.i")) & h.eqNullSafe(F.col("bad.k")), "left_anti").select(*[F.col(f"d.`{c}`") for c in docs.columns])

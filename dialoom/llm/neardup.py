@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, map_batches, slices, tidy, windows
+from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, filter_place, id_filter, in_filter, map_batches, slices, tidy, windows
 from dialoom.llm.components import components
 
 SHINGLE = 5
@@ -63,9 +63,6 @@ BLOCK_ROWS = 512
 #: Of the TREES * DEPTH tokens, so many are equal in a pair worth confirming.
 ALIKE = 52
 SEED = 7
-#: Bits of the filter by which sets of documents without a candidate are left out early.
-FILTER_BITS = 1 << 25
-
 _BLOCK = 4096
 
 
@@ -218,28 +215,16 @@ def apart_links(wide: DataFrame, reps: DataFrame, comps: DataFrame, sets_of: Cal
     return dealt.groupBy("node", "x", "y").applyInArrow(alike, "a bigint, b bigint")
 
 
-def id_filter(ids: DataFrame, col: str) -> np.ndarray:
-    """A bit for each hashed id; FILTER_BITS bits at most come to the driver."""
-    at = F.pmod(F.xxhash64(col), F.lit(FILTER_BITS)) + 1  # the bitmap functions count from 1
-    parts = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
-    out = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in parts:
-        out[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(bytes(r.bits), np.uint8)
-    return out
-
-
 def full_sets(docs: DataFrame, wanted: np.ndarray, text: str, id_col: str) -> DataFrame:
     """(id, set) of the documents whose bit is set; sets as sorted 64-bit words."""
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.pmod(F.xxhash64(F.col(id_col).cast("bigint")), F.lit(FILTER_BITS)).alias("at"), F.col(text).alias("text"))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), filter_place(F.col(id_col).cast("bigint")).alias("at"), F.col(text).alias("text"))
     hashes = WordHashes()
     bits = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches):
         for whole in batches:
             for b in slices(whole):
-                at = b.column(1).to_numpy()
-                hit = (bits.value[at // 8] >> (at % 8).astype(np.uint8)) & 1
-                b = b.filter(pa.array(hit.astype(bool)))
+                b = b.filter(in_filter(bits.value, b.column(1)))
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["id", "set"])
 

@@ -242,3 +242,74 @@ def test_trees_follow_from_the_recall():
     for recall in (0.5, 0.9, 0.99, 0.9998):
         t = neardup.trees_for(recall)
         assert 1 - (1 - 0.75**neardup.WIDE) ** t >= recall > 1 - (1 - 0.75**neardup.WIDE) ** (t - 1)
+
+
+def plain_overlap(doc, item, d):
+    """The stated stretch by trying every start and end on a diagonal: its equal tokens, length and start."""
+    at = range(max(0, -d), min(len(item), len(doc) - d))
+    same = [item[k] == doc[k + d] for k in at]
+    e = np.concatenate([[0], np.cumsum(same)])
+    spans = [(i, j, int(e[j] - e[i])) for i in range(len(e)) for j in range(i, len(e))]
+    value = lambda i, j, n: n - 2 * (j - i - n)
+    most = max(value(*x) for x in spans)
+    best = [x for x in spans if value(*x) == most]
+    ok = [x for x in spans if decontam.contaminated(x[2], x[1] - x[0], len(item)) and x[1] > x[0]]
+    if any(x in ok for x in best):
+        return {(n, j - i) for i, j, n in best}
+    n = max((x[2] for x in ok), default=None)
+    return {(n, min(x[1] - x[0] for x in ok if x[2] == n))} if ok else set()
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_overlap_against_all_stretches(seed):
+    rng = np.random.default_rng(seed)
+    item = np.arange(int(rng.integers(5, 40)))
+    doc = np.concatenate([rng.integers(100, 200, 5), item, rng.integers(100, 200, 5)])
+    doc[rng.random(len(doc)) < rng.uniform(0.05, 0.35)] = 99
+    for d in (5, 4, -2, 20):
+        q = max(0, -d) + 1
+        if q + d >= len(doc) or q >= len(item):  # no hit there
+            continue
+        equal, length, x, y = decontam.overlap(doc, item, q + d, q)
+        want = plain_overlap(doc.tolist(), item.tolist(), d)
+        assert decontam.contaminated(equal, length, len(item)) == bool(want)
+        assert not want or (equal, length) in want
+        assert not want or (x - y == d and int((doc[x : x + length] == item[y : y + length]).sum()) == equal)
+
+
+def test_items_that_overlap_and_long_spans(spark):
+    rng = np.random.default_rng(6)
+    line = [f"v{i}" for i in rng.permutation(5000)]
+    items = [(1, " ".join(line[101:114])), (2, " ".join(line[100:160])), (3, " ".join(line[1000:1400])), (4, " ".join(line[1000:1400])), (5, " ".join(line[2000:2100]))]
+    swapped = line[1000:1400]
+    swapped[30:380:50] = ["zz"] * 7
+    fill = lambda n: [f"f{i}" for i in rng.integers(0, 10**9, n)]
+    texts = [
+        (0, " ".join(fill(20) + line[100:160] + fill(9))),
+        (1, " ".join(fill(300) + swapped + fill(30))),
+        (2, " ".join(fill(20_000) + line[2000:2030] + fill(5) + line[2060:2100])),
+        (2, "the same id with another text " + " ".join(line[2000:2080])),
+        (3, " ".join(line[1100:1300])),
+        (3, " ".join(line[1100:1300])),
+        (None, "no id " + " ".join(line[1000:1200])),
+        (None, "no id, clean"),
+        (None, None),
+        (4, "clean"),
+    ]
+    docs = spark.createDataFrame([(i, t, "x", 1) for i, t in texts], DOCS)
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.n_equal, r.n_span, r.doc_start, r.item_start) for r in decontam.contamination(docs, bench).collect()}
+    assert got == {
+        (0, 1): (13, 13, 21, 0),
+        (0, 2): (60, 60, 20, 0),
+        (1, 3): (393, 400, 300, 0),
+        (1, 4): (393, 400, 300, 0),
+        (2, 5): (80, 80, 6, 0),
+        (3, 3): (200, 200, 0, 100),
+        (3, 4): (200, 200, 0, 100),
+        (None, 3): (200, 200, 2, 0),
+        (None, 4): (200, 200, 2, 0),
+    }
+    left = decontam.clean(docs.withColumn("i", F.lit(1)).withColumn("h", F.lit("clash")), bench)
+    assert left.columns == [*docs.columns, "i", "h"]
+    assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, ""), (-1, "no id, clean"), (4, "clean")]

@@ -8,7 +8,9 @@ texts stay whole rows, and only (id, position, 128-bit key hash) is exploded.
 Defined results: a null or empty text is one empty line; rows with a null id
 hold and lose no counted line; documents with the same id count as one
 document, and each row loses the lines at the positions dropped for its own
-text; an empty table gives an empty one. Only the id and the text are read.
+text; positions beyond the end of a shorter text of a repeated id are
+nothing's; an empty table gives an empty one. Only the id and the text are
+read, and other columns may have any name.
 """
 
 from __future__ import annotations
@@ -60,28 +62,42 @@ def dropped_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = M
     return lost.groupBy("doc_id").agg(F.collect_set("pos").alias("drops"))
 
 
+def _deduped(docs: DataFrame, min_chars: int, min_docs: int, text: str, id_col: str) -> DataFrame:
+    """(row, lines, drops, kept): each row of docs as a struct, its lines, their dropped positions and its new text."""
+    drops = dropped_lines(docs, min_chars, min_docs, text, id_col).select(F.col("doc_id").alias("i"), "drops")
+    joined = docs.select(F.struct("*").alias("row"), F.col(id_col).alias("i")).join(drops, "i", "left")
+    old = F.col("row").getField(text)
+    split = joined.withColumn("lines", F.split(F.coalesce(old, F.lit("")), "\n", -1))
+    # by a set of positions and not a search per line, so that a text of very many lines costs no more per line
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), "drops")
+    placed = split.withColumn("stay", F.when(F.col("drops").isNotNull(), stay))
+    kept = F.when(F.col("drops").isNull(), old).otherwise(F.array_join(F.transform("stay", lambda p: F.get("lines", p)), "\n"))
+    return placed.select("row", F.size("lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("bigint").alias("n_dropped"), kept.alias("kept"))
+
+
 def dedup_lines(docs: DataFrame, min_chars: int = MIN_CHARS, min_docs: int = MIN_DOCS, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """All columns of docs, the text without its dropped lines, plus n_lines and n_dropped in one struct line_dedup."""
-    drops = dropped_lines(docs, min_chars, min_docs, text, id_col).select(F.col("doc_id").alias("__id"), "drops")
-    joined = docs.select(F.struct("*").alias("__row"), F.col(id_col).alias("__id")).join(drops, "__id", "left")
-    lines = F.split(F.coalesce(F.col(f"__row.`{text}`"), F.lit("")), "\n", -1)
-    out = (
-        joined.withColumn("__lines", lines)
-        .withColumn("__kept", F.when(F.col("drops").isNull(), F.col("__lines")).otherwise(F.filter("__lines", lambda x, i: ~F.array_contains("drops", i))))
-    )
-    kept = F.when(F.col("drops").isNull(), F.col(f"__row.`{text}`")).otherwise(F.array_join("__kept", "\n"))
-    cols = [kept.alias(c) if c == text else F.col(f"__row.`{c}`").alias(c) for c in docs.columns]
-    return out.select(*cols, F.struct(F.size("__lines").cast("bigint").alias("n_lines"), F.coalesce(F.size("drops"), F.lit(0)).cast("bigint").alias("n_dropped")).alias("line_dedup"))
+    """All columns of docs, the text without its dropped lines, plus n_lines and n_dropped in one struct line_dedup.
+
+    Where docs has a column of that name, the struct's name ends in as many
+    underscores as make it differ from all columns.
+    """
+    name = "line_dedup"
+    while name.lower() in (c.lower() for c in docs.columns):
+        name += "_"
+    out = _deduped(docs, min_chars, min_docs, text, id_col)
+    cols = [F.col("kept").alias(c) if c == text else F.col("row").getField(c).alias(c) for c in docs.columns]
+    return out.select(*cols, F.struct("n_lines", "n_dropped").alias(name))
 
 
 def line_digest(docs: DataFrame) -> DataFrame:
     """The digest columns of every document."""
-    d = dedup_lines(docs.select("doc_id", "text"))
-    return d.select("doc_id", "line_dedup.n_lines", "line_dedup.n_dropped", F.sha2(F.coalesce("text", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+    d = _deduped(docs.select("doc_id", "text"), MIN_CHARS, MIN_DOCS, "text", "doc_id")
+    return d.select("row.doc_id", "n_lines", "n_dropped", F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
 
 
 def without_lines(docs: DataFrame, n_chars: str = "n_chars") -> DataFrame:
     """The columns of docs with the dropped lines gone from the text; a column of its length follows it."""
-    out = dedup_lines(docs)
-    length = F.when(F.col("line_dedup.n_dropped") > 0, F.length("text").cast("bigint")).otherwise(F.col(n_chars)) if n_chars in docs.columns else None
-    return (out if length is None else out.withColumn(n_chars, length)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    out = _deduped(docs, MIN_CHARS, MIN_DOCS, "text", "doc_id")
+    field = lambda c: F.col("row").getField(c)
+    new = {"text": F.col("kept"), n_chars: F.when(F.col("n_dropped") > 0, F.length("kept").cast("bigint")).otherwise(field(n_chars))}
+    return out.select(*[(new[c] if c in new else field(c)).alias(c) for c in docs.columns])

@@ -298,3 +298,21 @@ def test_best_fit_against_the_least_number_of_bins(seed):
     got = packing.evolve(lengths, [], seed)
     assert sorted(i for b in got.bins for i in b) == list(range(9))
     assert len(got.bins) == least(sorted(lengths, reverse=True), [], 10)
+
+
+def test_line_dedup_beside_clashing_names(spark):
+    common = "This line is found in very many documents"
+    names = ["line_dedup", "LINE_DEDUP_", "row", "lines", "drops", "kept", "i", "stay", "n_lines", "n_dropped", "h1", "odd.name"]
+    df = spark.createDataFrame([(i, f"{common}\nown {i}", 1, *names) for i in range(4)], "doc_id bigint, text string, n_chars bigint, " + ", ".join(f"`{n}` string" for n in names))
+    out = linededup.dedup_lines(df)
+    assert out.columns == [*df.columns, "line_dedup__"] and all(r["odd.name"] == "odd.name" and r["row"] == "row" for r in out.collect())
+    left = linededup.without_lines(df)
+    assert left.columns == df.columns
+    assert sorted((r.doc_id, r.text, r.n_chars, r.line_dedup) for r in left.collect()) == [(i, f"own {i}", len(f"own {i}"), "line_dedup") for i in range(3)] + [(3, f"{common}\nown 3", 1, "line_dedup")]
+
+
+def test_line_dedup_of_very_many_lines(spark):
+    texts = ["\n".join(f"a line that many documents hold {i * k % 150_000}" for i in range(200_000)) for k in (1, 7, 11)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = [tuple(r)[1:] for r in linededup.line_digest(df).orderBy("doc_id").collect()]
+    assert got == plain_line_dedup(texts)

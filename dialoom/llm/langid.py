@@ -7,7 +7,9 @@ the nearest by cosine names the language, and a text farther from it than
 nearly all training texts of that language is rejected.
 
 Defined results: a null text and one without letters are `und` with score 0;
-repeated rows agree; without training rows every text is `und`; an empty table
+repeated rows agree, and one row of a repeated id is fitted on; of languages
+equally near the first in order is named; a null id is judged, and never
+fitted on; without training rows every text is `und`; an empty table
 gives an empty one. Only the id, the text and, for training, the language are
 read.
 """
@@ -18,16 +20,20 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import crc_mod, map_batches
+from dialoom.llm.common import crc_mod, map_batches, tidy
 
 UNKNOWN = "und"
 BUCKETS = 4096
 ORDERS = (1, 2, 3)
-#: Training rows, chosen by hash of the id, that the centroids are fitted on at most; frequencies take all.
-SAMPLE_ROWS = 3_000
+#: Training rows, chosen by hash of the id, that the centroids are fitted on at most: each language has an equal part. Frequencies take all.
+SAMPLE_ROWS = 4_000
+#: Languages that are learned at most, the most frequent ones, so that each has LEAST_ROWS.
+LANGUAGES = 200
+LEAST_ROWS = SAMPLE_ROWS // LANGUAGES
+#: Centroids of a language; one only where it has fewer than 20 rows, and one more for each ten.
 CENTROIDS = 4
 ROUNDS = 12
 #: Share of a language's training texts that may lie beyond its rejection distance.
@@ -119,24 +125,44 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS), -1], pa.int32()), pa.array([*df.tolist(), n], pa.int64())], ["k", "n"])
 
-    got = {r.k: r.n for r in rows.mapInArrow(run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    got = {r.k: r.n for r in rows.mapInArrow(tidy(run), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     return np.array([got.get(k, 0) for k in range(BUCKETS)], float), int(got.get(-1, 0))
 
 
+def sampled(rows: DataFrame) -> DataFrame:
+    """The (id, lang) that the centroids are fitted on: of each of the most frequent languages those of least hash.
+
+    A threshold on the hash for each language, set from its row count, leaves
+    about twice as many as are wanted, so the exact cut sees a bounded number.
+    """
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
+    if not sizes:
+        return rows.limit(0)
+    each = max(SAMPLE_ROWS // len(sizes), LEAST_ROWS)
+    h = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    share = lambda n: min(1.0, (2 * each + 6 * (2 * each) ** 0.5) / n)
+    least = F.create_map(*[F.lit(x) for r in sizes for x in (r.lang, int(share(r.n) * ((1 << 63) - 1024)))])
+    few = rows.where(h <= F.coalesce(F.element_at(least, F.col("lang")), F.lit(-1))).distinct()
+    return few.withColumn("k", F.row_number().over(Window.partitionBy("lang").orderBy(h, "id"))).where(F.col("k") <= each).select("id", "lang")
+
+
 def fit(docs: DataFrame, learn: Column | None = None, text: str = "text", id_col: str = "doc_id", lang: str = "lang") -> Model:
     """Frequencies from all rows that may be learned from, centroids from a bounded sample of them."""
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull())
-    rows = (rows.where(learn) if learn is not None else rows).select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
+    rows = (rows.where(learn) if learn is not None else rows).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     df, n = _frequencies(rows.select("text"))
     idf = np.log((1 + n) / (1 + df)) + 1
-    chosen = rows.select("id", "lang").orderBy(F.xxhash64("id"), "id", "lang").limit(SAMPLE_ROWS)
+    chosen = sampled(rows.select("id", "lang"))
 
     def counts(c):
-        both = [(v, gram_counts(t)) for v, t in zip(c["lang"], c["text"], strict=True)]
-        both = [(v, x) for v, x in both if x is not None]
-        return {"lang": [v for v, _ in both], "x": [x.astype(np.float32) for _, x in both]}
-
-    got = map_batches(rows.join(F.broadcast(chosen.select("id").distinct()), "id").select("lang", "text"), counts, "lang string, x array<float>", pa.schema([("lang", pa.string()), ("x", pa.list_(pa.float32()))])).toLocalIterator()
+        both = [(i, v, gram_counts(t)) for i, v, t in zip(c["id"], c["lang"], c["text"], strict=True)]
+        both = [x for x in both if x[2] is not None]
+        return {"id": [i for i, _, _ in both], "lang": [v for _, v, _ in both], "x": [x.astype(np.float32) for _, _, x in both]}
+
+    arrow = pa.schema([("id", pa.int64()), ("lang", pa.string()), ("x", pa.list_(pa.float32()))])
+    counted = map_batches(rows.join(F.broadcast(chosen), ["id", "lang"]), counts, "id bigint, lang string, x array<float>", arrow)
+    # one row of an id, so that no more come than were chosen
+    got = counted.groupBy("id", "lang").agg(F.min("x").alias("x")).toLocalIterator()
     model = Model(idf, np.zeros((0, BUCKETS)))
     by: dict[str, list[np.ndarray]] = {}
     for r in got:

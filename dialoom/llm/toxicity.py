@@ -5,9 +5,11 @@ shares most of its vectors with the word it stands for. Embeddings and softmax
 are trained jointly in numpy: first on whole documents, then on the windows
 that carry the label. A document scores as its most toxic window of words.
 
-Defined results: a null or empty text has no window and scores near 0; repeated rows score alike; without labelled rows of both kinds every
-score is 0; an empty table gives an empty one. Only the id and the text of a
-document are read for its score.
+Defined results: a null or empty text has no window and scores near 0; repeated
+rows score alike, and the longest row of a repeated id is fitted on; a null id
+is scored, and never fitted on; without labelled rows of both kinds every score
+is 0; an empty table gives an empty one. Only the id and the text of a document
+are read for its score.
 """
 
 from __future__ import annotations
@@ -20,18 +22,18 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import crc_mod, map_batches, runs_by_size
+from dialoom.llm.common import crc_mod, hashed_rows, map_batches, runs_by_size
 
 #: Labelled rows, chosen by hash of the id, that the classifier is fitted on at most.
 SAMPLE_ROWS = 4_000
+#: Characters of their texts at most, in that order; a row whose text goes beyond what is left is passed over, never cut.
+SAMPLE_CHARS = 24_000_000
 BUCKETS = 1 << 18
 DIM = 8
 GRAMS = (3, 4, 5)
 WINDOW, STRIDE = 12, 6
 #: A bag is averaged over so many n-grams at least, so that a few words alone do not speak too loudly.
 LEAST_BAG = 60
-#: Buckets of a training document's bag at most, drawn at random; scoring has no such bound.
-TRAIN_BAG = 3_000
 DOC_EPOCHS, WINDOW_EPOCHS = 3, 5
 SEED = 11
 CACHE_WORDS = 300_000
@@ -103,15 +105,23 @@ class Model:
         """Per bucket, how far it moves the two logits apart."""
         return self.e @ (self.v[1] - self.v[0])
 
-    def step(self, rows: list[np.ndarray], size: np.ndarray, y: np.ndarray, rate: float) -> None:
-        """One update on bags of buckets; size is what each bag is averaged over."""
-        flat = np.concatenate(rows)
+    def step(self, bags: Bags, rows: list[np.ndarray], size: np.ndarray, y: np.ndarray, rate: float) -> None:
+        """One update on bags of words; size is what each bag is averaged over.
+
+        A word's vector is the sum of its buckets' and is made once for all
+        bags that hold it.
+        """
         owner = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-        used, at = np.unique(flat, return_inverse=True)
-        mean = np.zeros((len(rows), DIM), np.float32)
+        words, at = np.unique(np.concatenate(rows), return_inverse=True)
+        n = bags.start[words + 1] - bags.start[words]
+        of = np.repeat(np.arange(len(words)), n)
+        place = np.arange(len(of)) + np.repeat(bags.start[words] - np.cumsum(n) + n, n)
+        used, bucket = np.unique(bags.flat[place], return_inverse=True)
         emb = self.e[used]
+        mean = np.zeros((len(rows), DIM), np.float32)
         for k in range(DIM):
-            mean[:, k] = np.bincount(owner, emb[at, k], len(rows)) / size
+            word = np.bincount(of, emb[bucket, k], len(words))
+            mean[:, k] = np.bincount(owner, word[at], len(rows)) / size
         z = mean @ self.v.T + self.b
         p = np.exp(z - z.max(1, keepdims=True))
         p /= p.sum(1, keepdims=True)
@@ -120,7 +130,7 @@ class Model:
         d /= len(y)
         gv = d.T @ mean
         back = (d @ self.v) / size[:, None]
-        g = np.stack([np.bincount(at, back[owner, k], len(used)) for k in range(DIM)], 1)
+        g = np.stack([np.bincount(bucket, np.bincount(at, back[owner, k], len(words))[of], len(used)) for k in range(DIM)], 1)
         self.ge[used] += g * g
         self.e[used] -= rate * g / np.sqrt(self.ge[used])
         self.gv += gv * gv
@@ -128,11 +138,6 @@ class Model:
         self.b -= 0.1 * d.sum(0)
 
 
-def _expand(flat: np.ndarray, start: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """All buckets of a run of words."""
-    return np.concatenate([flat[start[w] : start[w + 1]] for w in words]) if len(words) else np.zeros(0, np.int64)
-
-
 def heard(idx: np.ndarray) -> np.ndarray:
     """False for a word that already stood among the WINDOW - 1 words before it: it counts once in a window."""
     out = np.ones(len(idx), bool)
@@ -169,16 +174,13 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
     def scored(i):
         return logits(sums, counts, docs[i])
 
-    rows = {}
+    whole = {i: np.unique(docs[i]) for i in some}
     for _ in range(DOC_EPOCHS):
         order = rng.permutation(np.concatenate([neg, rng.choice(pos, len(neg))]))
         for k in range(0, len(order), 64):
             part = order[k : k + 64]
-            for i in part:
-                if i not in rows:
-                    x = _expand(flat, start, np.unique(docs[i]))
-                    rows[i] = x if len(x) <= TRAIN_BAG else rng.choice(x, TRAIN_BAG, replace=False)
-            model.step([rows[i] for i in part], np.array([max(len(rows[i]), LEAST_BAG) for i in part], np.float32), y[part], 0.3)
+            size = np.array([max(counts[whole[i]].sum(), LEAST_BAG) for i in part], np.float32)
+            model.step(bags, [whole[i] for i in part], size, y[part], 0.3)
     for _ in range(WINDOW_EPOCHS):
         w = model.weights()
         sums = np.add.reduceat(w[flat], start[:-1])
@@ -196,7 +198,7 @@ def train(texts: list[str | None], labels: list[int]) -> Model | None:
             part = [examples[j] for j in order[k : k + 256]]
             runs = [docs[i][at : at + WINDOW] for i, at, _ in part]
             size = np.array([max(counts[r].sum(), LEAST_BAG) for r in runs], np.float32)
-            model.step([_expand(flat, start, np.unique(r)) for r in runs], size, np.array([t for *_, t in part]), 0.15)
+            model.step(bags, [np.unique(r) for r in runs], size, np.array([t for *_, t in part]), 0.15)
     w = model.weights()
     sums = np.add.reduceat(w[flat], start[:-1])
     top = np.array([scored(i).max() if len(docs[i]) else -1e3 for i in range(len(docs))])[some]
@@ -220,9 +222,9 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.w, self.slope, self.shift = model.weights(), model.slope, model.shift
-        self._clear()
+        self.clear()
 
-    def _clear(self):
+    def clear(self):
         self.index: dict[str, int] = {}
         self.sums, self.counts = np.zeros(0), np.zeros(0, np.int64)
 
@@ -233,7 +235,7 @@ class Scorer:
         words = [words_of(t) for t in texts]
         new = set().union(*words).difference(self.index)
         if len(self.index) + len(new) > CACHE_WORDS:
-            self._clear()
+            self.clear()
             new = set().union(*words)
         new = list(new)
         owner, bucket = grams(new)
@@ -252,9 +254,20 @@ def fit(docs: DataFrame, labels: DataFrame, learn=None, text: str = "text", id_c
     """Train on a bounded sample of labelled rows, chosen by hash among those that learn allows."""
     rows = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull())
     rows = rows.where(learn) if learn is not None else rows
-    chosen = rows.select(F.col(id_col).alias("id"), F.col(label).cast("int").alias("y")).orderBy(F.xxhash64("id"), "id", "y").limit(SAMPLE_ROWS)
-    got = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id").select("id", "y", "text").toLocalIterator()
-    pairs = sorted((r.id, r.y, r.text or "") for r in got)
+    chosen = hashed_rows(rows.select(F.col(id_col).cast("bigint").alias("id"), F.col(label).cast("int").alias("y")).distinct(), SAMPLE_ROWS, "id", "y")
+    texts = docs.select(F.col(id_col).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"), F.length(text).alias("n"))
+    # first the lengths alone; one row of an id, so that no more come than were chosen
+    sizes = texts.select("id", "n").join(F.broadcast(chosen), "id").groupBy("id", "y").agg(F.max("n").alias("n")).select(F.shiftrightunsigned(F.xxhash64("id"), 1).alias("h"), "id", "y", "n").collect()
+    taken, left = [], SAMPLE_CHARS
+    for _, i, v, n in sorted((r.h, r.id, r.y, r.n or 0) for r in sizes):
+        if n <= left:
+            left -= n
+            taken.append((i, v))
+    if not taken:
+        return None
+    few = F.broadcast(docs.sparkSession.createDataFrame(taken, "id bigint, y int"))
+    got = texts.join(few, "id").groupBy("id", "y").agg(F.max(F.struct("n", "text")).alias("t")).select("id", "y", "t.text").toLocalIterator()
+    pairs = sorted((r.id, r.y, r.text) for r in got)
     return train([t for *_, t in pairs], [int(v == 1) for _, v, _ in pairs])
 
 
@@ -269,7 +282,7 @@ def toxicity(docs: DataFrame, model: Model | None, text: str = "text", id_col: s
         s = scorer.scores(cols["text"])
         return {"doc_id": cols["doc_id"], "score": s, "predicted": (s >= 0.5).astype(np.int32)}
 
-    return map_batches(rows, run, "doc_id bigint, score double, predicted int", pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())]))
+    return map_batches(rows, run, "doc_id bigint, score double, predicted int", pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())]), scorer)
 
 
 def held_out(id_col: str = "doc_id"):

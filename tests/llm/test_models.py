@@ -130,3 +130,92 @@ def test_pipeline_stages(spark):
         ids, docs = left, out
     packed = p.run(spark, sf)
     assert {r.doc_id for r in packed.collect()} == ids and ids
+
+
+def test_languages_against_a_plain_nearest_centroid(spark):
+    rng = np.random.default_rng(5)
+    rows = [(i, made(rng, list(SYLLABLES)[i % 3], 8 + i % 9), list(SYLLABLES)[i % 3], 0) for i in range(90)]
+    model = langid.fit(spark.createDataFrame(rows, DOCS))
+    texts = [t for _, t, _, _ in rows[:12]] + ["ka ka ka", "schtz 12 über"]
+    names, scores, _ = model.predict(texts)
+    for t, name, score in zip(texts, names, scores, strict=True):
+        v = np.array([math.log1p(n) for n in langid.gram_counts(t)]) * model.idf
+        cos = [float(v @ c) / (math.sqrt(v @ v) * math.sqrt(c @ c)) for c in model.centroids]
+        best = max(range(len(cos)), key=cos.__getitem__)
+        assert name == model.langs[best] and score == pytest.approx(cos[best], abs=1e-5)
+    counts = langid.gram_counts("abc")
+    assert counts.sum() == 5 + 4 + 3  # " abc " has so many runs of one, two and three characters
+
+
+def test_rare_languages_are_learned(spark, monkeypatch):
+    monkeypatch.setattr(langid, "SAMPLE_ROWS", 90)
+    rng = np.random.default_rng(6)
+    rows = [(i, made(rng, "aa"), "aa", 0) for i in range(1500)] + [(5000 + i, made(rng, "bb"), "bb", 0) for i in range(25)]
+    rows += [(7, "ka lo", "bb", 0)] * 5 + [(9000, made(rng, "cc"), "cc", 0)]  # repeated ids, a language of one row
+    df = spark.createDataFrame(rows, DOCS)
+    chosen = langid.sampled(df.select(F.col("doc_id").alias("id"), "lang"))
+    assert {r.lang: r["count"] for r in chosen.groupBy("lang").count().collect()} == {"aa": 30, "bb": 26, "cc": 1}
+    model = langid.fit(df)
+    assert set(model.langs) == {"aa", "bb", "cc"}
+    names, _, _ = model.predict([made(rng, lang) for lang in ("bb", "cc", "aa")])
+    assert names == ["bb", "cc", "aa"]
+    clash = df.withColumn("x", F.lit(1)).withColumn("id", F.lit("a")).withColumn("score", F.lit("b"))
+    assert langid.languages(clash, langid.fit(clash)).count() == len(rows)
+
+
+def test_equally_near_languages_take_the_first_in_order():
+    v = np.zeros((2, langid.BUCKETS))
+    v[:, 5] = 1
+    model = langid.Model(np.ones(langid.BUCKETS), v, ["bb", "cc"], {"bb": 0.0, "cc": 0.0})
+    assert model.predict(["ka lo"])[0] == ["bb"]
+
+
+def test_toxicity_against_plain_bags():
+    """Window logits and one training step against sums over every n-gram."""
+    rng = np.random.default_rng(2)
+    docs = [made(rng, "aa", n).split() for n in (5, 30, 12)]
+    bags, model = toxicity.Bags(docs), toxicity.Model()
+    bucket = {w: toxicity.grams([w])[1].tolist() for d in docs for w in d}
+    w = model.weights()
+    sums, counts = np.add.reduceat(w[bags.flat], bags.start[:-1]), np.diff(bags.start)
+    for d, idx in zip(docs, bags.docs, strict=True):
+        assert [bags.flat[bags.start[i] : bags.start[i + 1]].tolist() for i in idx] == [bucket[x] for x in d]
+        plain, at = [], 0
+        while at < max(len(d) - toxicity.WINDOW, 0) + toxicity.STRIDE:
+            total = n = 0
+            for k in range(at, min(at + toxicity.WINDOW, len(d))):
+                n += len(bucket[d[k]])
+                if d[k] not in d[max(0, k - toxicity.WINDOW + 1) : k]:
+                    total += sum(w[b] for b in bucket[d[k]])
+            plain.append(total / max(n, toxicity.LEAST_BAG))
+            at += toxicity.STRIDE
+        assert toxicity.logits(sums, counts, idx) == pytest.approx(plain, abs=1e-6)
+    y = np.array([1, 0, 1])
+    size = np.array([70.0, 500.0, 90.0], np.float32)
+    rows = [np.unique(i) for i in bags.docs]
+    e, v, b = model.e.astype(float), model.v.astype(float), model.b.astype(float)
+    ge, gv, gb = np.zeros_like(e), np.zeros_like(v), np.zeros(2)
+    for r, n, t in zip(rows, size, y, strict=True):
+        owned = [k for i in r for k in bags.flat[bags.start[i] : bags.start[i + 1]]]
+        mean = sum(e[k] for k in owned) / n
+        z = v @ mean + b
+        d = np.exp(z) / np.exp(z).sum() - np.eye(2)[t]
+        d /= len(y)
+        gv += np.outer(d, mean)
+        gb += d
+        for k in owned:
+            ge[k] += v.T @ d / n
+    model.step(bags, rows, size, y, 0.3)
+    assert model.e == pytest.approx(e - 0.3 * ge / np.sqrt(1e-6 + ge**2), abs=1e-4)
+    assert model.v == pytest.approx(v - 0.3 * gv / np.sqrt(1e-6 + gv**2), abs=1e-4)
+    assert model.b == pytest.approx(b - 0.1 * gb, abs=1e-6)
+
+
+def test_toxicity_of_repeated_rows_and_clashing_columns(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_CHARS", 4000)
+    rng = np.random.default_rng(4)
+    rows = [(i % 50, made(rng, "aa", 12) + (" grumwort fizzbad" if i % 50 % 2 else ""), 1.0, "y", 7) for i in range(200)] + [(None, "grumwort", 1.0, "y", 7), (60, made(rng, "aa", 20_000), 1.0, "y", 7)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, score double, y string, n int")
+    labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(61)] * 2, "doc_id bigint, toxic int, id string")
+    got = toxicity.toxicity(df, toxicity.fit(df, labels)).collect()
+    assert len(got) == len(rows) and sum(r.predicted == 1 for r in got if r.doc_id is not None and r.doc_id < 50) == 100

@@ -316,3 +316,63 @@ def test_line_dedup_of_very_many_lines(spark):
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
     got = [tuple(r)[1:] for r in linededup.line_digest(df).orderBy("doc_id").collect()]
     assert got == plain_line_dedup(texts)
+
+
+@pytest.mark.parametrize("text", ["", "a | b", "| | |", "x1 1 && &&a é ß| …", " \n", "ab"])
+def test_bare_words(text):
+    plain = sum(not any(c.isalnum() or ord(c) > 127 for c in w) for w in re.findall(r"[^\x20\x09-\x0D]+", text))
+    assert quality.bare_words(np.frombuffer(text.encode(), np.uint8)) == plain
+
+
+def test_path_lengths_and_the_anomaly():
+    """The forest's scores against a walk down every tree, row by row; a value no good row has is isolated soonest."""
+    rng = np.random.default_rng(3)
+    good = rng.uniform(0, 0.1, (400, len(quality.FEATURES)))
+    forest = quality.Forest(good)
+    odd = good[:4].copy()
+    odd[:, 2] = 0.8
+    rows = np.concatenate([good[:20], odd, np.ones((1, good.shape[1]))])
+
+    def path(tree, x):
+        feature, cut, child, length = tree
+        at = depth = 0
+        while tuple(child[at]) != (at, at):
+            at, depth = child[at][int(x[feature[at]] >= cut[at])], depth + 1
+        assert length[at] >= depth
+        return length[at]
+
+    mean = np.array([np.mean([path(t, x) for t in forest.trees]) for x in rows])
+    got = forest.anomaly(rows)
+    assert got == pytest.approx(2.0 ** (-mean / forest._expected(quality.ROWS_PER_TREE)), rel=1e-5)
+    assert got[20:].min() > got[:20].max()
+
+
+def test_calibration_keeps_the_good_rows():
+    anomaly = np.concatenate([np.linspace(0.3, 0.5, 1000), [0.45, 0.6, 0.7]])
+    good = np.arange(1003) < 1000
+    assert 0.5 < quality.calibrate(anomaly, good) < 0.6
+    assert quality.calibrate(anomaly[:1000], good[:1000]) > 0.5
+
+
+def test_quality_of_repeated_ids_and_clashing_columns(spark):
+    df = spark.createDataFrame([(i // 2, prose(i) if i % 4 else junk(i), "q", 1, 2) for i in range(80)] + [(None, prose(5), "q", 1, 2)], "doc_id bigint, text string, q string, id int, n_chars bigint")
+    labels = spark.createDataFrame([(i, i % 2, 0, "x") for i in range(40)] * 3 + [(None, 1, 0, "x")], "doc_id bigint, quality int, toxic int, text string")
+    got = quality.quality_rules(df, labels).collect()
+    assert len(got) == 81 and sum(r.doc_id is None for r in got) == 1
+    kept = quality.keep_good(df, labels)
+    assert kept.columns == df.columns and kept.count() == sum(r.kept for r in got)
+
+
+def test_samples_are_exact_whatever_the_size(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from dialoom.llm.common import hashed_rows
+
+    rows = spark.range(5000).withColumn("y", F.lit(1))
+    h = F.shiftrightunsigned(F.xxhash64("id"), 1)
+    for limit in (1, 50, 400, 9000):
+        want = [r.id for r in rows.orderBy(h, "id").limit(limit).collect()]
+        assert sorted(want) == sorted(r.id for r in hashed_rows(rows, limit, "id", "y").collect())
+    same = spark.range(5000).select(F.lit(3).cast("bigint").alias("id"), F.col("id").alias("y"))
+    assert hashed_rows(same, 40, "id", "y").count() == 40
+    assert hashed_rows(rows.limit(0), 40, "id", "y").count() == 0

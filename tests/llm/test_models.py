@@ -2,13 +2,13 @@
 
 import math
 import os
+import re
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from dialoom.llm import langid, lm, toxicity
-from dialoom.llm.common import WordHashes
 
 SF = "/root/testdata/sf0.01"
 tables = pytest.mark.skipif(not os.path.isdir(SF), reason="no test tables")
@@ -64,47 +64,137 @@ def test_toxicity_and_misspellings(spark):
     assert toxicity.toxicity(df.limit(0), model).count() == 0
 
 
-def test_lm_is_a_distribution():
+def targets(v, x):
+    return v.cls[x].astype(np.int64), v.slot[x].astype(np.int64)
+
+
+@pytest.mark.parametrize("share", [0.0001, 0.01])
+def test_lm_is_a_distribution(share):
+    """Over all tokens, whatever stands around; with fewer tokens than outputs and with more."""
     rng = np.random.default_rng(0)
-    counts = rng.integers(0, 50, lm.TOKENS) * (rng.random(lm.TOKENS) < 0.001)
+    counts = rng.integers(0, 50, lm.TOKENS) * (rng.random(lm.TOKENS) < share)
     v = lm.Vocabulary.of(counts)
-    assert np.bincount(v.cls, np.exp(v.log_within.astype(float)), lm.CLASSES) == pytest.approx(np.ones(lm.CLASSES), abs=1e-3)
+    assert (lm.frequent_of(v) == lm.frequent(counts)).all()
+    again = lm.Vocabulary.ranked(lm.frequent_of(v))
+    assert (again.cls == v.cls).all() and (again.slot == v.slot).all() and (again.inp == v.inp).all()
     net = lm.Network()
-    around = np.tile(rng.integers(0, lm.INPUTS, (4, 1)), (1, lm.CLASSES))
-    assert np.exp(net.log_class(around, np.arange(lm.CLASSES)).astype(float)).sum() == pytest.approx(1, abs=1e-3)
+    around = rng.integers(0, lm.INPUTS, (4, 1))
+    h = net.hidden(around)[0].astype(float)
+    soft = lambda z: np.exp(z) / np.exp(z).sum()
+    first = soft(h @ net.w + net.c)
+    second = np.stack([soft(h @ net.w2[g] + net.c2[g]) for g in range(lm.GROUPS)])
+    p = first[v.cls] * np.where(v.slot < 0, 1, second[np.maximum(v.cls - lm.OWN, 0), v.slot]) * np.exp(v.log_rest.astype(float))
+    assert p.sum() == pytest.approx(1, abs=1e-3)
+    some = rng.integers(0, lm.TOKENS, 50)
+    got = net.log_outputs(np.tile(around, (1, 50)), *targets(v, some)) + v.log_rest[some]
+    assert got == pytest.approx(np.log(p[some]), abs=1e-3)
+
+
+def test_token_ids_are_the_words():
+    texts = ["The cat  the\tCAT.\n", None, "", " \n", "é É ß\x1f\xa0x", "the cat", "a" * 3_000_000 + " the", "the " * 300_000]
+    got = lm.token_ids(texts)
+    names: dict[str, int] = {}
+    for t, x in zip(texts, got, strict=True):
+        words = [w for w in re.split(r"[\x20\x09-\x0D]+", t or "") if w]
+        words = [w.translate({c: c + 32 for c in range(65, 91)}) for w in words]
+        assert len(words) == len(x)
+        assert all(names.setdefault(w, i) == i for w, i in zip(words[:500], x[:500].tolist(), strict=True))
+    assert len(set(names.values())) == len(names) == 7
+    assert [lm.token_ids([t])[0].tolist() for t in texts] == [x.tolist() for x in got]
 
 
 def test_lm_scores(spark):
     rng = np.random.default_rng(0)
     line = made(rng, "aa", 12)
-    rows = [(i, " ".join([line] * 40), "", 0) for i in range(60)] + [(100, None, "", 0), (101, "", "", 0), (102, " ".join(rng.permutation(line.split()).tolist() * 40), "", 0), (102, "ka", "", 0)]
-    df = spark.createDataFrame(rows, DOCS)
+    rows = [(i, " ".join([line] * 40), "", 0) for i in range(60)] + [(100, None, "", 0), (101, "", "", 0), (102, " ".join(rng.permutation(line.split()).tolist() * 40), "", 0), (102, "ka", "", 0), (None, line, "", 0), (103, line * 5000, "", 0)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, ids string, shard int")
     got = lm.score(df).collect()
     by = {r.doc_id: r for r in got}
     assert len(got) == len(rows) and (by[100].n_tokens, by[100].log_prob, by[101].log_prob) == (0, 0.0, 0.0)
     assert by[0].log_prob < 0 and by[0].n_tokens == 480 and by[0].mean_log_prob == pytest.approx(by[0].log_prob / 480)
-    assert by[1].log_prob == pytest.approx(by[0].log_prob)
+    assert by[1].log_prob == pytest.approx(by[0].log_prob, rel=1e-5) and by[None].n_tokens == 12
     assert lm.score(df.limit(0)).count() == 0
 
 
+def test_lm_does_not_depend_on_the_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_ROWS", 40)
+    rng = np.random.default_rng(7)
+    rows = [(i, made(rng, "aa", 60), "", 0) for i in range(150)]
+    rows += rows[:5] * 20  # repeated rows count each time and are trained on once
+    df = spark.createDataFrame(rows, DOCS)
+    a, b = ({r.doc_id: r.log_prob for r in lm.score(df.repartition(n)).collect()} for n in (1, 7))
+    assert a == pytest.approx(b, rel=1e-4)
+
+
 def test_lm_learns_and_sums_plainly():
     rng = np.random.default_rng(0)
     text = " ".join([made(rng, "aa", 12)] * 50)
-    h = WordHashes()
-    x = lm.token_ids(text, h)
+    x = lm.token_ids([text])[0]
     v = lm.Vocabulary.of(np.bincount(x, minlength=lm.TOKENS))
     net = lm.Network()
-    before = lm.score_texts([text], net, v, h)[1][0]
+    before = lm.log_probs([x, x[:0], x[:7]], net, v)
     plain = 0.0
     for t in range(len(x)):
         around = np.array([[v.inp[x[t + k]] if 0 <= t + k < len(x) else lm.PAD] for k in lm.AROUND])
-        z = net.hidden(around)[0] @ net.w + net.c
-        plain += z[v.cls[x[t]]] - math.log(np.exp(z).sum()) + v.log_within[x[t]]
-    assert before == pytest.approx(plain, rel=1e-4)
+        h = net.hidden(around)[0]
+        z = h @ net.w + net.c
+        plain += z[v.cls[x[t]]] - math.log(np.exp(z).sum()) + v.log_rest[x[t]]
+        if v.slot[x[t]] >= 0:
+            g = v.cls[x[t]] - lm.OWN
+            z = h @ net.w2[g] + net.c2[g]
+            plain += z[v.slot[x[t]]] - math.log(np.exp(z).sum())
+    assert before[0] == pytest.approx(plain, rel=1e-4) and before[1] == 0 and 0 > before[2] > plain
     line, places = lm.lay([x], v.inp)
     for _ in range(60):
-        net.step(np.stack([line[places + k] for k in lm.AROUND]), v.cls[x].astype(np.int64), lm.RATE)
-    assert lm.score_texts([text], net, v, h)[1][0] > before + 50
+        net.step(np.stack([line[places + k] for k in lm.AROUND]), *targets(v, x), lm.RATE)
+    assert lm.log_probs([x], net, v)[0] > before[0] + 50
+
+
+def test_one_step_follows_the_slope():
+    """The slopes of every weight against differences of the mean log-probability."""
+    rng = np.random.default_rng(1)
+    n = 300
+    cls, slot = rng.integers(0, lm.CLASSES, n), rng.integers(0, lm.MEMBERS, n)
+    around = rng.integers(0, 40, (4, n))
+    net = lm.Network()
+    start, moved = net.flat.copy(), lm.Network(net.flat.copy())
+    moved.step(around, cls, slot, 1.0)
+    # Adagrad's first step is the slope over its own size: only signs are left, where the slope is not tiny
+    loss = lambda flat: -lm.Network(flat).log_outputs(around, cls, slot).astype(float).mean()
+    tried = right = 0
+    for at in rng.choice(np.flatnonzero(np.abs(moved.flat - start) > 0.9), 60, replace=False):
+        up, down = start.copy(), start.copy()
+        up[at] += 0.02
+        down[at] -= 0.02
+        slope = (loss(up) - loss(down)) / 0.04
+        if abs(slope) > 1e-4:
+            tried += 1
+            right += np.sign(slope) == np.sign(start[at] - moved.flat[at])
+    assert tried > 20 and right == tried
+
+
+def test_lm_beats_counts_alone():
+    """On texts with an order, places left out of training are likelier under the network than under their counts."""
+    rng = np.random.default_rng(3)
+    follow = {f"w{i}": [f"w{(i * 7 + k) % 60}" for k in range(3)] for i in range(60)}
+
+    def walk(n):
+        w = ["w0"]
+        while len(w) < n:
+            w.append(follow[w[-1]][rng.integers(3)])
+        return " ".join(w)
+
+    ids = lm.token_ids([walk(300) for _ in range(60)])
+    counts = np.bincount(np.concatenate(ids[:50]), minlength=lm.TOKENS)
+    v, net = lm.Vocabulary.of(counts), lm.Network()
+    line, places = lm.lay(ids[:50], v.inp)
+    x = np.concatenate(ids[:50])
+    for _ in range(8):
+        for at in range(0, len(places), 500):
+            p = places[at : at + 500]
+            net.step(np.stack([line[p + k] for k in lm.AROUND]), *targets(v, x[at : at + 500]), lm.RATE)
+    unigram = np.log((counts + lm.ALPHA) / (counts + lm.ALPHA).sum())
+    assert lm.log_probs(ids[50:], net, v).sum() > sum(unigram[t].sum() for t in ids[50:]) + 0.5 * sum(map(len, ids[50:]))
 
 
 @tables

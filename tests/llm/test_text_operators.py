@@ -376,3 +376,82 @@ def test_samples_are_exact_whatever_the_size(spark, monkeypatch):
     same = spark.range(5000).select(F.lit(3).cast("bigint").alias("id"), F.col("id").alias("y"))
     assert hashed_rows(same, 40, "id", "y").count() == 40
     assert hashed_rows(rows.limit(0), 40, "id", "y").count() == 0
+
+
+@pytest.mark.parametrize("seed", range(30))
+def test_shared_with_repeated_lines(seed):
+    rng = np.random.default_rng(seed)
+    a, b = rng.integers(0, 5, 14).tolist(), rng.integers(0, 5, 11).tolist()
+    best = [[0] * 12 for _ in range(15)]
+    for i in range(14):
+        for j in range(11):
+            best[i + 1][j + 1] = best[i][j] + 1 if a[i] == b[j] else max(best[i][j + 1], best[i + 1][j])
+    got = html.shared(a, b)
+    assert len(got) == best[14][11] and got == sorted(set(got))
+    rest = iter(b)
+    assert all(a[i] in rest for i in got)  # in b's order too
+    assert html.shared([1, 2, 1], [2, 1]) == [1, 2]
+
+
+def test_very_many_equal_lines_are_aligned(monkeypatch):
+    a = [1] * 3000 + [2] + [3] * 3000
+    assert html.shared(a, a) == list(range(len(a)))  # beyond ALIGNED_PAIRS
+    monkeypatch.setattr(html, "ALIGNED_PAIRS", 0)
+    assert html.shared([5, 1, 2, 1, 9], [1, 2, 1]) == [1, 2, 3]
+
+
+@pytest.mark.parametrize(
+    "bad",
+    ["<a b=", "<![CDATA[x", "<!--", "<a b='x>", '<a b="><i c=', "<", "</", "<!x", "<p", "<a 'x> ", "<script>", "&amp", "<div><i>", "<p></p><i>", "<b></q>", "<a b = \"'", "<a \"'=", "<i>" * 9 + "</p>"],
+)
+def test_broken_markup_takes_time_in_proportion(bad):
+    import time
+
+    took = []
+    for n in (100_000, 400_000):
+        start = time.perf_counter()
+        html.blocks(bad * (n // len(bad)) + "<p>end")
+        took.append(time.perf_counter() - start)
+    assert took[1] < 0.4 + 12 * took[0]
+
+
+def test_a_long_page_is_read_whole():
+    words = [f"w{i}" for i in range(200_000)]
+    page = "<article>" + "".join(f"<p>{' '.join(words[i : i + 50])}</p>" for i in range(0, len(words), 50)) + "</article>"
+    bs = html.blocks("<a b=" * 200_000 + ">" + page)
+    assert len(bs) == 4000 and " ".join(b.text for b in bs).split() == words
+    assert [b.text for b in html.blocks("<i>" * 100_000 + "x" + "</q>" * 100_000 + "<div>y</div>")] == ["x", "y"]
+
+
+def test_tags_with_quotes():
+    text = lambda s: [b.text for b in html.blocks(s)]
+    assert text("<p title='a > b'>x</p>") == ["x"]
+    assert text('<p title = "<p>a\'s</p>">x<b class=y>z</b></p>') == ["xz"]
+    assert text("<p it's>x</p><p>it's</p>") == ["x", "it's"]
+    assert text("1 < 2 <p>3 <4</p> 5<6") == ["1 < 2", "3 <4", "5<6"]
+    assert text("<p>a<![CDATA[<b>&amp;]]>c") == ["a<b>&amp;c"]
+    assert text("<p>a<!-- <p>b --><?x y?><!DOCTYPE z>c</p><!-- open <p>d") == ["ac"]
+    assert text("<script>if (a < b) '</p>'</script ><p>x<textarea>y</p></textarea>z<br/>w") == ["xz w"]
+    assert text("<p>open <a href='") == ["open <a href='"]
+
+
+def test_parts_inside_an_article():
+    page = '<article><header><h1>Title here</h1></header><p>Body</p><div class="search-results menu-items"><p>Recipe text</p></div>{}<footer>by us</footer></article><header>Site</header>'
+    keep = lambda s: [b.text for b, k in zip(html.blocks(s), html.keep_of(html.blocks(s))[0], strict=True) if k]
+    assert keep(page.format("")) == ["Title here", "Body", "Recipe text"]
+    for gone in ('<div class="comment-list"><p>me too</p></div>', '<div class="menu"><p>x</p></div>', '<aside>x</aside>', '<form><p>x</p></form>', '<div role="search">x</div>', '<p class="ad-slot">x</p>', "<div hidden>x</div>", '<div class="notice">x</div>'):
+        assert keep(page.format(gone)) == ["Title here", "Body", "Recipe text"]
+    assert keep('<div class="main-menu">x</div><div>y</div>') == ["y"]
+
+
+def test_frames_in_variants_and_copies(spark):
+    """Frame lines that only some near pages share go; copies of a page, and a page alone on its host, lose nothing."""
+    rows = [(i, f"http://h/{i // 40}/{i:03}", f"<div>frame {i % 3}</div><div>own {i}</div><div>more {i}</div><div>foot {i % 2}</div>") for i in range(80)]
+    rows += [(100, "http://alone/x", "<div>frame 0</div><div>only</div>"), (101, "http://copy/a", "<div>l1</div><div>l2</div><div>l3</div>"), (102, "http://copy/b", "<div>l1</div><div>l2</div><div>l3</div>")]
+    rows += [(7, "http://h/0/007", "<div>frame 1</div><div>another text of page 7</div>"), (None, "http://h/0/008", "<div>frame 1</div><div>no id</div>"), (None, None, None)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, html string").withColumns({c: __import__("pyspark.sql.functions", fromlist=["lit"]).lit("clash") for c in ("row", "host", "path", "kept", "drops", "place", "block", "rank")})
+    got = html.extract(df).collect()
+    assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars", "n_shared"} and len(got) == len(rows)
+    texts = sorted((r.page_id if r.page_id is not None else -1, r.text) for r in got)
+    want = [(i, f"own {i}\n\nmore {i}") for i in range(80)] + [(100, "frame 0\n\nonly"), (101, "l1\n\nl2\n\nl3"), (102, "l1\n\nl2\n\nl3"), (7, "another text of page 7"), (-1, "no id"), (-1, "")]
+    assert texts == sorted(want)

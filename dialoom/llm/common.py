@@ -61,6 +61,19 @@ def tidy(run: Callable, *caches) -> Callable:
     return wrapped
 
 
+#: Bytes of an Arrow batch between the JVM and Python, where the session leaves Spark's default.
+BATCH_BYTES = 4 << 20
+_BATCHES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def in_batches(df: DataFrame, run: Callable, schema, *caches) -> DataFrame:
+    """run over the Arrow batches of each task, with batches of bounded size and a tidy end."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCHES) == "67108864b":
+        conf.set(_BATCHES, str(BATCH_BYTES))
+    return df.mapInArrow(tidy(run, *caches), schema)
+
+
 #: Characters of one slice of a batch: what a function sees at once is bounded by text, not by rows.
 SLICE_CHARS = 4_000_000
 
@@ -81,7 +94,7 @@ def map_batches(df: DataFrame, f: Callable[[dict[str, list]], dict[str, object]]
                 out = f({n: b.column(i).to_pylist() for i, n in enumerate(b.schema.names)})
                 yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, arrow.field(n).type) for n, x in ((n, out[n]) for n in arrow.names)], schema=arrow)
 
-    return df.mapInArrow(tidy(run, *caches), schema)
+    return in_batches(df, run, schema, *caches)
 
 
 def hashed_rows(rows: DataFrame, limit: int, *keys: str) -> DataFrame:

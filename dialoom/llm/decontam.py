@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, filter_place, id_filter, in_filter, map_batches, slices, tidy
+from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, filter_place, id_filter, in_batches, in_filter, map_batches, slices
 
 #: 1: the token counts; 0: it may be anything.
 MASKS = ("1111011", "110100010011", "110101011", "1011000111")
@@ -218,7 +218,7 @@ def measured(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
             for b in slices(whole) if whole.num_rows else ():
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([small(tokens(t, hashes)) for t in b.column(2).to_pylist()], arrow.field("near").type)], schema=arrow)
 
-    texts = docs.withColumn("place", filter_place(key)).mapInArrow(tidy(run, hashes), "doc_id bigint, h bigint, near array<int>")
+    texts = in_batches(docs.withColumn("place", filter_place(key)), run, "doc_id bigint, h bigint, near array<int>", hashes)
     texts = texts.withColumn("same", F.xxhash64("near")).dropDuplicates(["doc_id", "h", "same"]).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "near")
     rows = long.join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("h").eqNullSafe(F.col("k"))).join(items.where(F.size("item") > CONTEXT), "item_id")
     # any place of the diagonal stands for it

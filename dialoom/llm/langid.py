@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import crc_mod, map_batches, tidy
+from dialoom.llm.common import crc_mod, in_batches, map_batches
 
 UNKNOWN = "und"
 BUCKETS = 4096
@@ -125,7 +125,7 @@ def _frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
                     n += 1
         yield pa.RecordBatch.from_arrays([pa.array([*range(BUCKETS), -1], pa.int32()), pa.array([*df.tolist(), n], pa.int64())], ["k", "n"])
 
-    got = {r.k: r.n for r in rows.mapInArrow(tidy(run), "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
+    got = {r.k: r.n for r in in_batches(rows, run, "k int, n bigint").groupBy("k").agg(F.sum("n").alias("n")).collect()}
     return np.array([got.get(k, 0) for k in range(BUCKETS)], float), int(got.get(-1, 0))
 
 

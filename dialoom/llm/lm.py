@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import ascii_lower, checkpointed, slices, tidy
+from dialoom.llm.common import ascii_lower, checkpointed, in_batches, slices
 
 TOKEN_BITS = 22
 TOKENS = 1 << TOKEN_BITS
@@ -253,7 +253,7 @@ def tokenised(docs: DataFrame, text: str, id_col: str, shards: int) -> DataFrame
                     out["ids"].append(raw)
                 yield pa.RecordBatch.from_pydict(out, schema=arrow)
 
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), "doc_id bigint, shard int, key bigint, ids binary")
+    rows = in_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, "doc_id bigint, shard int, key bigint, ids binary")
     return checkpointed(rows.repartition(shards, "shard").sortWithinPartitions("shard", "key", "doc_id"))
 
 
@@ -274,7 +274,7 @@ def count_tokens(rows: DataFrame) -> np.ndarray:
             x = some[at : at + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int32()), pa.array(total[x], pa.int64())], ["token", "n"])
 
-    got = rows.select("ids").mapInArrow(tidy(run), "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
+    got = in_batches(rows.select("ids"), run, "token int, n bigint").groupBy("token").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(TOKENS, np.int64)
     out[got["token"].to_numpy()] = got["n"].to_numpy()
     return out
@@ -344,8 +344,8 @@ def _round(rows: DataFrame, top: np.ndarray, start: Network) -> Network:
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(sums, pa.int32()), pa.array([(s / n).astype(np.float32) for n, s in sums.values()], pa.list_(pa.float32()))], ["block", "x"])
 
-    trained = rows.select("doc_id", "shard", "key", "ids").mapInArrow(tidy(learn), "block int, n double, x array<float>")
-    got = trained.repartition("block").mapInArrow(tidy(average), "block int, x array<float>").toArrow()
+    trained = in_batches(rows.select("doc_id", "shard", "key", "ids"), learn, "block int, n double, x array<float>")
+    got = in_batches(trained.repartition("block"), average, "block int, x array<float>").toArrow()
     if not got.num_rows:
         return start
     order = np.argsort(got["block"].to_numpy())
@@ -387,7 +387,7 @@ def score(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFr
                 s = log_probs(ids, model, v)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(s), pa.array(s / np.maximum(n, 1))], schema=arrow)
 
-    return rows.select("doc_id", "ids").mapInArrow(tidy(run), "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double")
+    return in_batches(rows.select("doc_id", "ids"), run, "doc_id bigint, n_tokens bigint, log_prob double, mean_log_prob double")
 
 
 def frequent_of(v: Vocabulary) -> np.ndarray:

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, filter_place, id_filter, in_filter, map_batches, slices, tidy, windows
+from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, filter_place, id_filter, in_batches, in_filter, map_batches, slices, windows
 from dialoom.llm.components import components
 
 SHINGLE = 5
@@ -228,7 +228,7 @@ def full_sets(docs: DataFrame, wanted: np.ndarray, text: str, id_col: str) -> Da
                 if b.num_rows:
                     yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles(t, hashes).tobytes() for t in b.column(2).to_pylist()], pa.binary())], ["id", "set"])
 
-    return rows.mapInArrow(tidy(run, hashes), "id bigint, set binary")
+    return in_batches(rows, run, "id bigint, set binary", hashes)
 
 
 def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -245,7 +245,7 @@ def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> Data
             b = b.filter(pa.array(ok, pa.bool_()))
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1)], ["a", "b"])
 
-    return j.select("a", "b", "sa", "sb").mapInArrow(tidy(run), "a bigint, b bigint").distinct()
+    return in_batches(j.select("a", "b", "sa", "sb"), run, "a bigint, b bigint").distinct()
 
 
 def best_pairs(pairs: DataFrame) -> DataFrame:

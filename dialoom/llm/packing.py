@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import checkpointed, map_batches, runs_by_size, slices, tidy
+from dialoom.llm.common import checkpointed, in_batches, map_batches, runs_by_size, slices
 
 CAPACITY = 2048
 TOKENIZER = "word_bpe_49k.json"
@@ -215,7 +215,7 @@ def pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: st
                             out[n].append(v)
                 yield pa.RecordBatch.from_pydict(out, schema=PIECES_ARROW)
 
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(tidy(run), PIECES)
+    return in_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, PIECES)
 
 
 def best_fit(lengths: list[int], items, bins: list[list[int]], room: list[int], capacity: int) -> None:

@@ -320,11 +320,9 @@ def pack(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str
     n_buckets = max(1, -(-cut.count() // BUCKET_PIECES))
     item = F.struct("length", "doc_id", "piece", "start", "ids_crc32")
     # the row's place in the checkpoint deals equal rows to different buckets
-    buckets = (
-        cut.groupBy(F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_buckets)).alias("bucket"))
-        .agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
-    )
-    buckets = checkpointed(buckets.repartition(min(n_buckets, 10_000), "bucket"))
+    place = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_buckets))
+    dealt = cut.withColumn("bucket", place).repartition(min(n_buckets, 10_000), "bucket")
+    buckets = dealt.groupBy("bucket").agg(F.sort_array(F.collect_list(item), asc=False).alias("items"))
     problem = buckets.select("bucket", F.col("items.length").alias("lengths"))
 
     elite = pa.schema([("bucket", pa.int64()), ("island", pa.int32()), ("score", pa.float64()), ("bins", pa.list_(pa.int32()))])

@@ -99,25 +99,53 @@ def converse(client: Client, persona: str, query: str, target_turns: int, max_tu
     return messages
 
 
-def simulate(tasks: DataFrame, client: Client, max_turns: int = 5, retries: int = 3, delay: float = 0.0) -> DataFrame:
+#: Calls of a task that are under way at once.
+WORKERS = 5
+
+USAGE = "array<struct<operation:string,input_tokens:bigint,output_tokens:bigint>>"
+_USAGE_ARROW = pa.list_(pa.struct([("operation", pa.string()), ("input_tokens", pa.int64()), ("output_tokens", pa.int64())]))
+
+
+def _usage_array(calls: list[list[tuple]]) -> pa.Array:
+    return pa.array([[dict(zip(("operation", "input_tokens", "output_tokens"), c, strict=True)) for c in x] for x in calls], _USAGE_ARROW)
+
+
+def simulate(tasks: DataFrame, client: Client, max_turns: int = 5, retries: int = 3, delay: float = 0.0, workers: int = WORKERS, usage: bool = False) -> DataFrame:
     """(task_id, messages, num_turns, attempts) of the tasks (task_id, query, persona, target_turns) that succeed.
 
-    The whole loop of a dialogue runs in its task; retries are its own, so that
-    a repeated Spark task is the exception.
+    The whole loop of a dialogue runs in its task, several dialogues at once;
+    retries are its own, so that a repeated Spark task is the exception. With
+    usage, a column of the calls follows, and failed tasks stay, without messages.
     """
+    from dialoom.operators.clients import Metered, pooled
+
     message = pa.struct([("role", pa.string()), ("content", pa.string()), ("turn", pa.int32())])
 
+    def one(task):
+        i, q, p, n = task
+        meter = Metered(client, "dialogue") if usage else client
+        m, used = with_retries(lambda: converse(meter, p or "", q or "", n, max_turns), retries + 1, delay)
+        return i, m, sum(x["role"] == "user" for x in m or ()), used, meter.calls if usage else []
+
     def run(batches):
         for b in batches:
-            got = []
-            for i, q, p, n in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
-                m, used = with_retries(lambda q=q, p=p, n=n: converse(client, p or "", q or "", n, max_turns), retries + 1, delay)
-                if m:
-                    got.append((i, m, sum(x["role"] == "user" for x in m), used))
-            cols = list(zip(*got, strict=True)) if got else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(message)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())], ["task_id", "messages", "num_turns", "attempts"])
+            got = [x for x in pooled(one, zip(*(b.column(k).to_pylist() for k in range(4)), strict=True), workers) if x[1] or usage]
+            cols = list(zip(*got, strict=True)) if got else [[]] * 5
+            out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(message)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())]
+            names = ["task_id", "messages", "num_turns", "attempts"]
+            yield pa.RecordBatch.from_arrays(out + ([_usage_array(cols[4])] if usage else []), names + (["usage"] if usage else []))
 
-    return tasks.select("task_id", "query", "persona", "target_turns").mapInArrow(run, "task_id bigint, messages array<struct<role:string,content:string,turn:int>>, num_turns int, attempts int")
+    schema = "task_id bigint, messages array<struct<role:string,content:string,turn:int>>, num_turns int, attempts int"
+    return tasks.select("task_id", "query", "persona", "target_turns").mapInArrow(run, schema + (f", usage {USAGE}" if usage else ""))
+
+
+def usage_rows(df: DataFrame, client: Client, module: str, col: str = "usage") -> DataFrame:
+    """One row for each call that a column of calls holds: module, operation, provider, model, model_key and tokens."""
+    from dialoom.operators.clients import name_of
+
+    provider, model = name_of(client)
+    calls = df.select(F.explode(col).alias("c"))
+    return calls.select(F.lit(module).alias("module"), "c.operation", F.lit(provider).alias("provider"), F.lit(model).alias("model"), F.lit(f"{provider}/{model}").alias("model_key"), "c.input_tokens", "c.output_tokens")
 
 
 def pending(tasks: DataFrame, done: DataFrame, key: str = "task_id") -> DataFrame:
@@ -141,18 +169,30 @@ def supplement(tasks: DataFrame, client: Client, rounds: int = 3, **how) -> Data
     return done
 
 
-def ask(df: DataFrame, client: Client, prompt: str, answer: str, attempts: int = 1) -> DataFrame:
-    """df with a column of answers; '' where all attempts fail. Filter before: every row is asked."""
-    fields = [f for f in df.schema.fields if f.name != answer]
-    kept = df.select(*[f"`{f.name}`" for f in fields])
+def ask(df: DataFrame, client: Client, prompt: str, answer: str, attempts: int = 1, workers: int = WORKERS, usage: str | None = None) -> DataFrame:
+    """df with a column of answers; '' where all attempts fail. Filter before: every row is asked.
+
+    With usage, a column of that name holds the calls of the row, failed
+    attempts that were answered among them.
+    """
+    from dialoom.operators.clients import Metered, pooled
+
+    gone = {answer, usage}
+    kept = df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in gone])
+
+    def one(p):
+        meter = Metered(client) if usage else client
+        said = with_retries(lambda: meter.generate(p or ""), attempts)[0] or ""
+        return said, meter.calls if usage else []
 
     def run(batches):
         for b in batches:
-            at = b.schema.get_field_index(prompt)
-            said = [with_retries(lambda p=p: client.generate(p or ""), attempts)[0] or "" for p in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(said, pa.string())], [*b.schema.names, answer])
+            got = list(pooled(one, b.column(b.schema.get_field_index(prompt)).to_pylist(), workers))
+            more = [pa.array([x for x, _ in got], pa.string())] + ([_usage_array([x for _, x in got])] if usage else [])
+            yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, answer, *([usage] if usage else [])])
 
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(answer, T.StringType())]))
+    fields = [T.StructField(answer, T.StringType())] + ([T.StructField(usage, T._parse_datatype_string(USAGE))] if usage else [])
+    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def chosen_strategies(table: list[tuple[str, bool, float]], seed: str, key: Column) -> Column:
@@ -163,6 +203,29 @@ def chosen_strategies(table: list[tuple[str, bool, float]], seed: str, key: Colu
     return F.when(F.size(hit) > 0, hit).otherwise(F.array(one))
 
 
+# The layers, and the strategies of each as (name, mandatory, probability), that stand for a missing file.
+DEFAULT_LAYERS = [("surface_noise", 0.5), ("incomplete_info", 0.3), ("semantic_ambiguity", 0.2)]
+DEFAULT_STRATEGIES = {
+    "surface_noise": [("colloquial_speech", True, 0.0), ("incomplete_sentence", True, 0.0), ("typo_misspelling", False, 0.3), ("punctuation_format", False, 0.5), ("emotional_attitude", False, 0.5)],
+    "incomplete_info": [("missing_slots", False, 0.5), ("vague_slot_values", False, 0.6), ("unclear_priority", False, 0.7)],
+    "semantic_ambiguity": [("multi_intent", False, 0.6), ("self_contradiction", False, 0.7), ("mind_changing", False, 0.4)],
+}
+
+
+def load_strategies(path: str) -> tuple[list[tuple[str, float]], dict[str, list[tuple[str, bool, float]]]]:
+    """(layers with weights that sum to one, strategies of each layer) of a file; the defaults where there is none."""
+    from dialoom.sources.config import load
+
+    try:
+        said = load(path)
+    except FileNotFoundError:
+        return DEFAULT_LAYERS, DEFAULT_STRATEGIES
+    weights = {n: float(w) for n, w in (said.get("layer_weights") or dict(DEFAULT_LAYERS)).items()}
+    total = sum(weights.values())
+    tables = {layer: [(n, bool(x.get("mandatory")), float(x.get("probability", 0.0))) for n, x in rows.items()] for layer, rows in (said.get("strategies") or {}).items()}
+    return [(n, w / total) for n, w in weights.items()], tables
+
+
 def strategy_lines(names: Column, descriptions: dict[str, str]) -> Column:
     """Numbered strategies with their descriptions; one without is described by its name."""
     known = F.create_map(*[F.lit(x) for kv in descriptions.items() for x in kv])
@@ -222,9 +285,21 @@ def formulate(df: DataFrame, client: Client, min_length: int = 50, attempts: int
     return said.withColumn("system_prompt", F.when(text.valid_prompt(F.col("system_prompt"), min_length), F.col("system_prompt")).otherwise("")).drop("__prompt")
 
 
-def score_responses(df: DataFrame, client: Client, key: str, query: str, *more: str) -> DataFrame:
+def score_responses(df: DataFrame, client: Client, key: str, query: str, *more: str, workers: int = WORKERS) -> DataFrame:
     """(key, more, scores): an answer to each query, judged twice from its first 2,000 characters; a failed judge scores 5."""
-    answered = ask(df.select(key, *more, F.concat(F.lit("ANSWER\n"), query).alias("p")), client, "p", "response")
-    one = ask(answered.withColumn("p", F.concat(F.lit("JUDGE persona\n"), F.substring("response", 1, 2000))), client, "p", "s1")
-    two = ask(one.withColumn("p", F.concat(F.lit("JUDGE task\n"), F.substring("response", 1, 2000))), client, "p", "s2")
-    return two.select(key, *more, F.struct(text.ten_score(F.col("s1")).alias("persona_score"), text.ten_score(F.col("s2")).alias("task_score")).alias("scores"))
+    from dialoom.operators.clients import pooled
+
+    asked = df.select(key, *more, F.col(query).alias("__q"))
+
+    def one(q):
+        call = lambda p: with_retries(lambda: client.generate(p), 1)[0] or ""
+        response = call("" if q is None else f"ANSWER\n{q}")
+        return call(f"JUDGE persona\n{response[:2000]}"), call(f"JUDGE task\n{response[:2000]}")
+
+    def run(batches):
+        for b in batches:
+            got = list(pooled(one, b.column(b.num_columns - 1).to_pylist(), workers))
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.string())], [*b.schema.names[:-1], "s1", "s2"])
+
+    schema = T.StructType([*asked.schema.fields[:-1], T.StructField("s1", T.StringType()), T.StructField("s2", T.StringType())])
+    return asked.mapInArrow(run, schema).select(key, *more, F.struct(text.ten_score(F.col("s1")).alias("persona_score"), text.ten_score(F.col("s2")).alias("task_score")).alias("scores"))

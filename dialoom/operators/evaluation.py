@@ -17,10 +17,14 @@ def group_advantage(rollouts: DataFrame, state: str, reward: str = "reward", eps
     return ok.join(g, state).withColumn("advantage", F.when(F.col("__n") <= 1, 0.0).otherwise((F.col(reward) - F.col("__m")) / (F.col("__s") + eps))).drop("__m", "__s", "__n")
 
 
-def sliding_failure(steps: DataFrame, width: int, limit: float) -> DataFrame:
-    """Mean failure rate of the last steps; abort once a full window is over the limit. One row a step is ordered."""
-    w = Window.orderBy("step").rowsBetween(1 - width, 0)
-    return steps.select("step", F.avg("rate").over(w).alias("mean_rate"), F.count("*").over(w).alias("n")).select("step", "mean_rate", ((F.col("n") == width) & (F.col("mean_rate") > limit)).alias("abort"))
+def sliding_failure(steps: DataFrame, width: int, limit: float, run: str | None = None) -> DataFrame:
+    """Mean failure rate of the last steps; abort once a full window is over the limit.
+
+    One row a step is ordered, within its run where there is a column of runs.
+    """
+    keys = [run] if run else []
+    w = Window.partitionBy(*keys).orderBy("step").rowsBetween(1 - width, 0)
+    return steps.select(*keys, "step", F.avg("rate").over(w).alias("mean_rate"), F.count("*").over(w).alias("n")).select(*keys, "step", "mean_rate", ((F.col("n") == width) & (F.col("mean_rate") > limit)).alias("abort"))
 
 
 def batch_scores(results: DataFrame, size: int) -> DataFrame:

@@ -33,6 +33,15 @@ def default_bank() -> list[Dimension]:
     return out
 
 
+def read_bank(path: str) -> list[Dimension]:
+    """The bank of a YAML or JSON file: its `dimensions`, in order; a bank without any is empty."""
+    from dialoom.sources.config import load
+
+    bank = [Dimension(d.get("name") or "", d.get("category") or "", bool(d.get("is_constraint")), tuple(str(v) for v in d.get("values") or ())) for d in load(path).get("dimensions") or []]
+    validate(bank)
+    return bank
+
+
 BANK_SCHEMA = "ord int, name string, category string, is_constraint boolean, `values` array<string>"
 
 
@@ -158,6 +167,35 @@ def distances(personas: DataFrame, priority: tuple[str, ...] = (), weight: int =
     return both.join(size.select(F.col("id").alias("i"), F.col("size").alias("si")), "i").join(size.select(F.col("id").alias("j"), F.col("size").alias("sj")), "j").select("i", "j", (F.col("si") + F.col("sj") - F.col("common") - F.col("same")).alias("distance"))
 
 
+def mean_distance(personas: DataFrame) -> DataFrame:
+    """(n, distance): the mean over all pairs, from counts of names and values alone; no pair is made."""
+    long = personas.select(F.explode("features").alias("f")).select("f.name", "f.value")
+    pairs = lambda c: c * (c - 1) / 2
+    values = long.groupBy("name", "value").agg(F.count("*").cast("double").alias("c"))
+    names = values.groupBy("name").agg(F.sum("c").alias("c"), F.sum(pairs(F.col("c"))).alias("same"))
+    n = personas.agg(F.count("*").cast("double").alias("n"))
+    each = names.crossJoin(F.broadcast(n)).select("n", (pairs(F.col("n")) - pairs(F.col("n") - F.col("c")) - F.col("same")).alias("d"))  # one row is sent round
+    return each.groupBy("n").agg((F.sum("d") / F.first(pairs(F.col("n")))).alias("distance")).select(F.col("n").cast("bigint").alias("n"), "distance")
+
+
+def close_pairs(personas: DataFrame, min_distance: int, key: str = "persona_id") -> DataFrame:
+    """(i, j, distance) of the pairs i < j that lie less than min_distance apart.
+
+    Names are dealt into min_distance groups. Two personas so close differ in
+    fewer names than there are groups, so they agree in all of some group, and
+    a join on that group's features finds them.
+    """
+    groups = F.array(*[F.struct(F.lit(g).alias("g"), F.filter("features", lambda x, g=g: F.pmod(F.xxhash64(x["name"]), F.lit(min_distance)) == g).alias("part")) for g in range(min_distance)])
+    pair = lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))
+    slim = personas.select(F.col(key).alias("id"), F.transform("features", pair).alias("features"))
+    rows = slim.select("id", "features", F.explode(groups).alias("x")).select("id", "features", "x.g", F.xxhash64(F.array_sort("x.part")).alias("sig"))
+    a, b = rows.alias("a"), rows.alias("b")
+    name = lambda c: F.transform(c, lambda x: x["name"])
+    distance = F.size(F.array_union(name("a.features"), name("b.features"))) - F.size(F.array_intersect("a.features", "b.features"))
+    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")))
+    return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), distance.cast("bigint").alias("distance")).where(F.col("distance") < min_distance).distinct()
+
+
 def diverse_personas(spark: SparkSession, n: int, bank: list[Dimension], seed: str, min_distance: int = 3, max_attempts: int = 50, **how) -> DataFrame:
     """n personas that lie min_distance apart: in each round the later of two close ones draws anew.
 
@@ -167,7 +205,7 @@ def diverse_personas(spark: SparkSession, n: int, bank: list[Dimension], seed: s
     state = spark.range(n).select(F.col("id").alias("persona_id"), F.lit(0).alias("attempt"))
     while True:
         drawn = checkpointed(sample_personas(state, bank, seed, attempt=F.col("attempt"), **how))
-        close = distances(drawn).where(F.col("distance") < min_distance).select(F.col("j").alias("persona_id")).distinct().withColumn("again", F.lit(1))
+        close = close_pairs(drawn, min_distance).select(F.col("j").alias("persona_id")).distinct().withColumn("again", F.lit(1))
         state = checkpointed(drawn.select("persona_id", "attempt").join(close, "persona_id", "left").select("persona_id", (F.col("attempt") + F.when((F.col("again") == 1) & (F.col("attempt") < max_attempts - 1), 1).otherwise(0)).alias("attempt")))
         if state.join(drawn.select("persona_id", F.col("attempt").alias("was")), "persona_id").where("attempt <> was").isEmpty():
             return drawn

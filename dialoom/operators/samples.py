@@ -83,6 +83,16 @@ def ranked(df: DataFrame, order: list[Column], name: str = "rn") -> DataFrame:
     return laid.withColumn("__i", local).join(F.broadcast(table), "__p").withColumn(name, F.col("__at") + F.col("__i") + 1).drop("__p", "__i", "__at", *keys)
 
 
+def export_statistics(samples: DataFrame, path: str, persona: str = "persona_id", stamp: bool = True) -> str:
+    """The counts over all samples as one JSON file in a folder of its own, named by the time unless told not to; its path."""
+    from datetime import datetime
+
+    now = datetime.now()
+    at = f"{path}/statistics" + (now.strftime("_%Y%m%d_%H%M%S") if stamp else "")
+    statistics(samples, persona).withColumn("generated_at", F.lit(now.isoformat())).coalesce(1).write.mode("overwrite").json(at)
+    return at
+
+
 def split(df: DataFrame, key: str, seed: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
     """train, val or test for each row: exact sizes, cut off a shuffled order by truncation."""
     rows = ranked(df, [shuffle_key(seed, key), F.col(key)])
@@ -126,8 +136,7 @@ def stored_query_id(source: Column, text: Column, *ids: Column) -> Column:
 def disjoint_subsets(df: DataFrame, key: str, seed: str, n_first: int, n_second: int) -> DataFrame:
     """part 1 and part 2 of so many rows each, without a common key; an error if there are too few."""
     once = df.groupBy(key).agg(F.count("*").alias("copies"))
-    top = once.orderBy(shuffle_key(seed, key), key).limit(n_first + n_second)
-    rows = top.withColumn("rn", F.row_number().over(Window.orderBy(shuffle_key(seed, key), key)))
+    rows = ranked(once, [shuffle_key(seed, key), F.col(key)]).where(F.col("rn") <= n_first + n_second)
     n = rows.count()
     if n < n_first + n_second:
         raise ValueError(f"{n_first + n_second} distinct rows wanted, {n} there")

@@ -59,3 +59,13 @@ def least_sampled(strata: DataFrame, seen: DataFrame, keys: list[str]) -> DataFr
     n = strata.join(seen, keys, "left").select(*keys, F.coalesce("n", F.lit(0)).alias("n"))
     least = n.agg(F.min("n").alias("least"))
     return n.join(F.broadcast(least), F.col("n") == F.col("least")).select(*keys, "n")  # one row is sent round
+
+
+def export(usage: DataFrame, path: str, records: bool = True) -> list[str]:
+    """The totals, and the single calls unless told not to, as JSON lines in folders below the path."""
+    out = [f"{path}/statistics"]
+    totals(usage).coalesce(1).write.mode("overwrite").json(out[0])
+    if records:
+        out.append(f"{path}/records")
+        usage.write.mode("overwrite").json(out[1])
+    return out

@@ -185,7 +185,8 @@ def close_pairs(personas: DataFrame, min_distance: int, key: str = "persona_id")
     fewer names than there are groups, so they agree in all of some group, and
     a join on that group's features finds them.
     """
-    groups = F.array(*[F.struct(F.lit(g).alias("g"), F.filter("features", lambda x, g=g: F.pmod(F.xxhash64(x["name"]), F.lit(min_distance)) == g).alias("part")) for g in range(min_distance)])
+    part = lambda g: F.filter("features", lambda x: F.pmod(F.xxhash64(x["name"]), F.lit(min_distance)) == g)
+    groups = F.array(*[F.struct(F.lit(g).alias("g"), part(g).alias("part")) for g in range(min_distance)])
     pair = lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))
     slim = personas.select(F.col(key).alias("id"), F.transform("features", pair).alias("features"))
     rows = slim.select("id", "features", F.explode(groups).alias("x")).select("id", "features", "x.g", F.xxhash64(F.array_sort("x.part")).alias("sig"))

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from dialoom.functions import arith, text
-from dialoom.operators import dialogue, evaluation, personas
+from dialoom.functions import arith, latex, text
+from dialoom.operators import dialogue, evaluation, personas, usage
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import interactions, table
 from dialoom.sources import storage
@@ -96,3 +96,33 @@ def _(spark, d):
     states = F.array(F.struct(F.col("event_type").alias("kind"), F.col("user_id").alias("secret"), F.array(F.struct(F.col("value").alias("reward"), F.col("props").alias("raw"))).alias("rollouts")))
     kept = table(spark, d, "events").select("event_id", F.explode(storage.project_log(states, ["kind"], ["reward"])).alias("s"))
     return kept.select("event_id", "s.kind", F.explode("s.rollouts").alias("r")).select("event_id", "kind", "r.reward")
+
+
+@query(
+    "k08_usage_of_calls",
+    """WITH u AS (SELECT 4 AS i, 4 AS o FROM documents)
+SELECT s.scope, s.name, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(i + o)::BIGINT AS total_tokens
+FROM u, (VALUES ('all', ''), ('module', 'greeting'), ('model', 'mock/mock')) s(scope, name) GROUP BY s.scope, s.name""",
+)
+def _(spark, d):
+    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("REPLY\n"), F.coalesce("lang", F.lit("none"))).alias("prompt"))
+    said = dialogue.ask(asked, dialogue.MockClient(), "prompt", "answer", usage="calls")
+    return usage.totals(dialogue.usage_rows(said, dialogue.MockClient(), "greeting", "calls"))
+
+
+@query("k15_latex_examples")
+def _(spark, d):
+    features = F.array(F.struct(F.lit("conversation").alias("name"), F.col("conv_id").cast("string").alias("value")), F.struct(F.lit("turns").alias("name"), F.size("messages").cast("string").alias("value")))
+    return latex.render(interactions(spark, d).select("conv_id", F.lit(1).alias("n"), features.alias("features"), "messages"), "conv_id", "n", "features", "messages")
+
+
+@query(
+    "j09_mean_distance",
+    """WITH f AS (SELECT doc_id, unnest(['lang', 'source']) AS name, unnest([lang, source]) AS value FROM documents),
+p AS (SELECT a.doc_id AS i, b.doc_id AS j, sum((a.value IS DISTINCT FROM b.value)::INT) AS d FROM f a JOIN f b ON a.name = b.name AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT (SELECT count(DISTINCT doc_id) FROM f) AS n, round(avg(d), 6) AS distance FROM p""",
+)
+def _(spark, d):
+    feature = lambda n: F.struct(F.lit(n).alias("name"), F.col(n).alias("value"))
+    p = table(spark, d, "documents").select("doc_id", F.array(feature("lang"), feature("source")).alias("features"))
+    return personas.mean_distance(p).select("n", F.round("distance", 6).alias("distance"))

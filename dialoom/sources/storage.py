@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 import os
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -13,10 +14,16 @@ from dialoom.functions.text import first_truthy
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares, from spark.checkpoint.dir; a default only where that is unset."""
+    """The folder that the cluster shares, from spark.checkpoint.dir.
+
+    Where that is unset, a local session gets a default and a cluster an error.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints")
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
+        sc.setCheckpointDir(folder or "/tmp/checkpoints")
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -66,37 +73,11 @@ def read_queries(spark: SparkSession, paths: list[str], max_queries: int | None
     return out if max_queries is None else out.orderBy("file_ord", "pos").limit(max_queries)
 
 
-def sniff_objects(text: str) -> list[str]:
-    """The objects of a JSON array, one object, JSON lines or objects one after another; stops at the first error."""
-    body = text.strip()
-    if body.startswith("["):
-        return [json.dumps(x, ensure_ascii=False) for x in json.loads(body)]
-    decoder, out, at = json.JSONDecoder(), [], 0
-    while at < len(body):
-        try:
-            value, end = decoder.raw_decode(body, at)
-        except ValueError:
-            break
-        out.append(json.dumps(value, ensure_ascii=False))
-        at = end
-        while at < len(body) and body[at] in " \t\r\n,":
-            at += 1
-    return out
-
-
 def read_any_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, pos, item) for files of any of the shapes that sniff_objects knows; a task reads a file."""
-    files = spark.read.format("binaryFile").load(path)
-
-    def run(batches):
-        import pyarrow as pa
+    """(path, pos, item): what scans.read_any_json can read, without its notes of what it cannot."""
+    from dialoom.sources import scans
 
-        for b in batches:
-            for p, raw in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                items = sniff_objects(raw.decode("utf-8"))
-                yield pa.RecordBatch.from_arrays([pa.array([p] * len(items), pa.string()), pa.array(range(len(items)), pa.int64()), pa.array(items, pa.string())], ["path", "pos", "item"])
-
-    return files.select("path", "content").mapInArrow(run, "path string, pos bigint, item string")
+    return scans.read_any_json(spark, path).where("item IS NOT NULL").drop("unread")
 
 
 def lookup(df: DataFrame, key: str, value) -> DataFrame:
@@ -108,10 +89,13 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
 
 
 def first_query_id(sample_json: str | None) -> str | None:
-    """metadata.query_id if usable, else the first query_id in depth-first order."""
+    """metadata.query_id if usable, else the first query_id in depth-first order; malformed JSON has none."""
     if not sample_json:
         return None
-    data = json.loads(sample_json)
+    try:
+        data = json.loads(sample_json)
+    except ValueError:
+        return None
     meta = data.get("metadata") if isinstance(data, dict) else None
     if isinstance(meta, dict) and meta.get("query_id"):
         return str(meta["query_id"])
@@ -130,9 +114,13 @@ def first_query_id(sample_json: str | None) -> str | None:
     return str(found) if found else None
 
 
+def _first_query_ids(items: pa.Array) -> pa.Array:
+    return pa.array([first_query_id(x) for x in items.to_pylist()], pa.string())
+
+
 def with_query_id(df: DataFrame, item: str) -> DataFrame:
     """A query_id column: read by expression where metadata has it, by a walk of the tree elsewhere."""
-    walked = F.udf(first_query_id, "string", useArrow=True)
+    walked = F.arrow_udf(_first_query_ids, "string")
     fast = F.nullif(F.get_json_object(item, "$.metadata.query_id"), F.lit(""))
     easy = df.where(fast.isNotNull()).withColumn("query_id", fast)
     hard = df.where(fast.isNull()).withColumn("query_id", walked(F.col(item)))

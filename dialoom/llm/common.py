@@ -151,6 +151,42 @@ class WordHashes(dict):
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 
+_PRIME = np.uint64(0x9E3779B97F4A7C15)
+_SPACE = np.array([chr(b) in " \t\n\x0b\x0c\r" for b in range(256)])
+#: Bytes whose words are hashed at once.
+_CHUNK = 1 << 20
+
+
+def word_hashes(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in one line, and where each text's words end in it.
+
+    Words are found and hashed on whole arrays, in chunks, so that a very long
+    text takes no more memory at once.
+    """
+    line = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
+    space = _SPACE[line]
+    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(line) else np.zeros(0, np.int64)
+    out = np.zeros(len(starts), np.uint64)
+    power = np.ones(1, np.uint64)
+    lo = 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _CHUNK)))
+        a, b = starts[lo], starts[hi] if hi < len(starts) else len(line)
+        first = starts[lo:hi] - a
+        size = np.diff(first, append=b - a)
+        if size.max() > len(power):
+            power = np.cumprod(np.full(int(size.max()), _PRIME), dtype=np.uint64)
+        code = line[a:b].astype(np.uint64) + np.uint64(1)
+        code[space[a:b]] = 0
+        with np.errstate(over="ignore"):
+            code *= power[np.arange(b - a) - np.repeat(first, size)]
+            h = np.add.reduceat(code, first)
+            h = (h ^ (h >> np.uint64(31))) * _PRIME
+            out[lo:hi] = (h ^ (h >> np.uint64(29))) * _PRIME
+        lo = hi
+    return out, np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
+
+
 def ascii_lower(text: str) -> bytes:
     """UTF-8 with A-Z, and only A-Z, in lower case."""
     return text.encode("utf-8", "surrogatepass").lower()

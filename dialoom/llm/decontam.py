@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, ascii_lower, checkpointed, filter_place, id_filter, in_batches, in_filter, map_batches, slices
+from dialoom.llm.common import ascii_lower, checkpointed, filter_place, id_filter, in_batches, in_filter, map_batches, slices, word_hashes
 
 #: 1: the token counts; 0: it may be anything.
 MASKS = ("1111011", "110100010011", "110101011", "1011000111")
@@ -50,9 +50,13 @@ _PRIME = np.uint64(0x9E3779B97F4A7C15)
 _PUNCTUATION = b".,;:!?\"'()[]"
 
 
-def tokens(text: str | None, hashes: WordHashes) -> np.ndarray:
+def _raw(text: str | None) -> bytes:
+    return ascii_lower(text or "").translate(None, _PUNCTUATION)
+
+
+def tokens(text: str | None) -> np.ndarray:
     """Hashes of a text's words, A-Z lower-cased, common punctuation dropped."""
-    return hashes.array(ascii_lower(text or "").translate(None, _PUNCTUATION).split())
+    return word_hashes([_raw(text)])[0]
 
 
 def seeds(h: np.ndarray, mask: str) -> np.ndarray:
@@ -108,11 +112,10 @@ def contaminated(equal: int, length: int, n_item: int) -> bool:
 
 def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFrame, DataFrame, list[str], int]:
     """(seed, item_id, q) rows, (item_id, item) rows, the masks of the lengths in use and the longest length."""
-    hashes = WordHashes()
     rows = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("bigint").alias("item_id"), F.col(text).alias("text"))
     items = map_batches(
         rows,
-        lambda c: {"item_id": c["item_id"], "item": [tokens(t, hashes).view(np.int64) for t in c["text"]]},
+        lambda c: {"item_id": c["item_id"], "item": [tokens(t).view(np.int64) for t in c["text"]]},
         "item_id bigint, item array<bigint>",
         pa.schema([("item_id", pa.int64()), ("item", pa.list_(pa.int64()))]),
     )
@@ -155,52 +158,75 @@ def keyed(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def hits(docs: DataFrame, masks: list[str], bits: np.ndarray, exact: np.ndarray | None) -> DataFrame:
-    """(seed, doc_id, h, p, at, near): windows of keyed documents that pass the filter, with the tokens around them."""
-    hashes = WordHashes()
-
-    def run(c):
-        out: dict[str, list] = {"seed": [], "doc_id": [], "h": [], "p": [], "at": [], "near": []}
-        for i, key, t in zip(c["doc_id"], c["h"], c["text"], strict=True):
-            h = tokens(t, hashes)
-            near = None
-            for m in masks:
-                s = seeds(h, m)
-                b = (s & np.uint64(8 * len(bits) - 1)).astype(np.int64)
-                p = np.flatnonzero((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
-                v = s[p].view(np.int64)
-                if exact is not None and len(p):
-                    k = np.minimum(np.searchsorted(exact, v), len(exact) - 1)
-                    ok = exact[k] == v if len(exact) else np.zeros(len(v), bool)
-                    p, v = p[ok], v[ok]
-                if not len(p):
-                    continue
-                near = small(h) if near is None else near
-                for x, y in zip(p.tolist(), v.tolist(), strict=True):
-                    lo = max(0, x - CONTEXT)
-                    for n, z in zip(out, (y, i, key, x - lo, lo, near[lo : x + len(m) + CONTEXT]), strict=True):
-                        out[n].append(z)
-        return out
+    """(seed, doc_id, h, t, p, at, near): windows of keyed documents that pass the filter, with the tokens around them; t numbers the texts."""
+    arrow = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("t", pa.int64()), ("p", pa.int32()), ("at", pa.int64()), ("near", pa.list_(pa.int32()))])
 
-    arrow = pa.schema([("seed", pa.int64()), ("doc_id", pa.int64()), ("h", pa.int64()), ("p", pa.int32()), ("at", pa.int64()), ("near", pa.list_(pa.int32()))])
-    return map_batches(docs, run, "seed bigint, doc_id bigint, h bigint, p int, at bigint, near array<int>", arrow, hashes)
+    def run(batches):
+        for whole in batches:
+            yield from map(scan, slices(whole))
+
+    def scan(texts):
+        # all texts of a slice in one line; a window must end in the text in which it begins
+        h, ends = word_hashes([_raw(t) for t in texts.column(2).to_pylist()])
+        begins = np.concatenate([[0], ends[:-1]]).astype(np.int64)
+        found = []
+        for m in masks:
+            s = seeds(h, m)
+            b = (s & np.uint64(8 * len(bits) - 1)).astype(np.int64)
+            p = np.flatnonzero((bits[b >> 3] >> (b & 7).astype(np.uint8)) & 1)
+            v = s[p].view(np.int64)
+            if exact is not None:
+                k = np.minimum(np.searchsorted(exact, v), len(exact) - 1)
+                ok = exact[k] == v if len(exact) else np.zeros(len(v), bool)
+                p, v = p[ok], v[ok]
+            row = np.searchsorted(ends, p, "right")
+            ok = p + len(m) <= ends[row]
+            p, row = p[ok], row[ok]
+            found.append((v[ok], row, p, np.maximum(begins[row], p - CONTEXT), np.minimum(ends[row], p + len(m) + CONTEXT)))
+        seed, row, p, lo, hi = (np.concatenate(x) for x in zip(*found, strict=True))
+        size = hi - lo
+        to = np.cumsum(size)
+        near = small(h)[np.arange(to[-1] if len(to) else 0) + np.repeat(lo - to + size, size)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], to]), pa.int32()), pa.array(near))
+        return pa.RecordBatch.from_arrays([pa.array(seed), texts.column(0).take(pa.array(row)), texts.column(1).take(pa.array(row)), texts.column(3).take(pa.array(row)), pa.array(p - lo, pa.int32()), pa.array(lo - begins[row], pa.int64()), lists], schema=arrow)
+
+    schema = "seed bigint, doc_id bigint, h bigint, t bigint, p int, at bigint, near array<int>"
+    return in_batches(docs.withColumn("t", F.monotonically_increasing_id()), run, schema) if masks else docs.sparkSession.createDataFrame([], schema)
 
 
 FOUND = ("doc_id", "h", "item_id", "n_equal", "n_span", "doc_start", "item_start", "n_item")
 
 
 def verified(rows: DataFrame) -> DataFrame:
-    """The contaminating stretches of rows (doc_id, h, item_id, p, q, at, near, item)."""
-
-    def verify(c):
-        out: dict[str, list] = {n: [] for n in FOUND}
-        for d, h, i, p, q, at, near, item in zip(c["doc_id"], c["h"], c["item_id"], c["p"], c["q"], c["at"], c["near"], c["item"], strict=True):
-            equal, length, x, y = overlap(np.array(near, np.int32), np.array(item, np.int32), p, q)
-            if contaminated(equal, length, len(item)):
-                for n, v in zip(FOUND, (d, h, i, equal, length, at + x, y, len(item)), strict=True):
-                    out[n].append(v)
-        return out
+    """The contaminating stretches of rows (doc_id, h, item_id, t, p, q, at, near, item).
+
+    Hits of one text (t) and one diagonal of an item that the context covers
+    give the same stretch, so that of a batch's only the first is measured.
+    """
+    arrow = pa.schema([(n, pa.int64()) for n in FOUND])
 
-    return map_batches(rows.select("doc_id", "h", "item_id", "p", "q", "at", "near", "item"), verify, ", ".join(f"{n} bigint" for n in FOUND), pa.schema([(n, pa.int64()) for n in FOUND]))
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole):
+                item_id, t, p, q, at = (b.column(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2, 7))
+                ends = [b.column(k).offsets.to_numpy() for k in (7, 8)]
+                near, item = (b.column(k).values.to_numpy() for k in (7, 8))
+                n_item = np.diff(ends[1])
+                key = np.stack([item_id, t, at + p - q, np.where(n_item > CONTEXT, p + at, -1)], 1)
+                first = np.sort(np.unique(key, axis=0, return_index=True)[1])
+                out: dict[str, list] = {n: [] for n in FOUND[3:]}
+                kept = []
+                for k in first.tolist():
+                    equal, length, x, y = overlap(near[ends[0][k] : ends[0][k + 1]], item[ends[1][k] : ends[1][k + 1]], int(p[k]), int(q[k]))
+                    if contaminated(equal, length, int(n_item[k])):
+                        kept.append(k)
+                        for n, v in zip(out, (equal, length, int(at[k]) + x, y, int(n_item[k])), strict=True):
+                            out[n].append(v)
+                rows = pa.array(kept, pa.int64())
+                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), b.column(2).take(rows), *(pa.array(v, pa.int64()) for v in out.values())], schema=arrow)
+
+    narrow = rows.select("doc_id", "h", F.col("item_id").cast("bigint"), F.col("t").cast("bigint"), F.col("p").cast("bigint"), F.col("q").cast("bigint"), F.col("at").cast("bigint"), "near", "item")
+    return in_batches(narrow, run, ", ".join(f"{n} bigint" for n in FOUND))
 
 
 def measured(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -209,20 +235,19 @@ def measured(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
     long = found.where(F.col("n_item") > CONTEXT).select("doc_id", "h", "item_id", (F.col("doc_start") - F.col("item_start")).alias("d")).distinct()
     key = F.coalesce("doc_id", "h")
     bits = docs.sparkSession.sparkContext.broadcast(id_filter(long.select(key.alias("key")), "key"))
-    hashes = WordHashes()
     arrow = pa.schema([("doc_id", pa.int64()), ("h", pa.int64()), ("near", pa.list_(pa.int32()))])
 
     def run(batches):
         for whole in batches:
             whole = whole.filter(in_filter(bits.value, whole.column(3)))
             for b in slices(whole) if whole.num_rows else ():
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([small(tokens(t, hashes)) for t in b.column(2).to_pylist()], arrow.field("near").type)], schema=arrow)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([small(tokens(t)) for t in b.column(2).to_pylist()], arrow.field("near").type)], schema=arrow)
 
-    texts = in_batches(docs.withColumn("place", filter_place(key)), run, "doc_id bigint, h bigint, near array<int>", hashes)
+    texts = in_batches(docs.withColumn("place", filter_place(key)), run, "doc_id bigint, h bigint, near array<int>")
     texts = texts.withColumn("same", F.xxhash64("near")).dropDuplicates(["doc_id", "h", "same"]).select(F.col("doc_id").alias("i"), F.col("h").alias("k"), "near")
     rows = long.join(texts.hint("merge"), F.col("doc_id").eqNullSafe(F.col("i")) & F.col("h").eqNullSafe(F.col("k"))).join(items.where(F.size("item") > CONTEXT), "item_id")
     # any place of the diagonal stands for it
-    rows = rows.withColumn("p", F.greatest("d", F.lit(0))).withColumn("q", F.col("p") - F.col("d")).withColumn("at", F.lit(0))
+    rows = rows.withColumn("t", F.monotonically_increasing_id()).withColumn("p", F.greatest("d", F.lit(0))).withColumn("q", F.col("p") - F.col("d")).withColumn("at", F.lit(0))
     return found.where(F.col("n_item") <= CONTEXT).union(verified(rows.where(F.col("q") < F.size("item")).where(F.col("p") < F.size("near"))))
 
 

@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import ascii_lower, checkpointed, in_batches, slices
+from dialoom.llm.common import ascii_lower, checkpointed, in_batches, slices, word_hashes
 
 TOKEN_BITS = 22
 TOKENS = 1 << TOKEN_BITS
@@ -59,37 +59,11 @@ FIRST_ROUND = 0.25
 RUN_TOKENS = 1 << 16
 BLOCK = 4096
 
-_PRIME = np.uint64(0x9E3779B97F4A7C15)
-_SPACE = np.array([chr(b) in " \t\n\x0b\x0c\r" for b in range(256)])
-_CHUNK = 1 << 20
-
 
 def token_ids(texts: list[str | None]) -> list[np.ndarray]:
-    """The tokens of each text: hashes of its words with A-Z in lower case, found and hashed on whole arrays."""
-    raws = [ascii_lower(t or "") for t in texts]
-    line = np.frombuffer(b" ".join([*raws, b""]), np.uint8)
-    space = _SPACE[line]
-    starts = np.flatnonzero(~space & np.concatenate([[True], space[:-1]])) if len(line) else np.zeros(0, np.int64)
-    out = np.zeros(len(starts), np.int32)
-    power = np.ones(1, np.uint64)
-    lo = 0
-    while lo < len(starts):  # words in chunks, so that a very long text takes no more memory at once
-        hi = max(lo + 1, int(np.searchsorted(starts, starts[lo] + _CHUNK)))
-        a, b = starts[lo], starts[hi] if hi < len(starts) else len(line)
-        first = starts[lo:hi] - a
-        size = np.diff(first, append=b - a)
-        if size.max() > len(power):
-            power = np.cumprod(np.full(int(size.max()), _PRIME), dtype=np.uint64)
-        code = line[a:b].astype(np.uint64) + np.uint64(1)
-        code[space[a:b]] = 0
-        with np.errstate(over="ignore"):
-            code *= power[np.arange(b - a) - np.repeat(first, size)]
-            h = np.add.reduceat(code, first)
-            h = (h ^ (h >> np.uint64(31))) * _PRIME
-            out[lo:hi] = ((h ^ (h >> np.uint64(29))) * _PRIME) >> np.uint64(64 - TOKEN_BITS)
-        lo = hi
-    ends = np.searchsorted(starts, np.cumsum([len(r) + 1 for r in raws]))
-    return np.split(out, ends[:-1])
+    """The tokens of each text: hashes of its words with A-Z in lower case."""
+    h, ends = word_hashes([ascii_lower(t or "") for t in texts])
+    return np.split((h >> np.uint64(64 - TOKEN_BITS)).astype(np.int32), ends[:-1])
 
 
 @dataclass

@@ -6,8 +6,10 @@ contain. All work is column expressions.
 
 Defined results: a null text is empty; a null or unknown role is formatted
 like any other and makes the order invalid; turns sort by (turn, role, text),
-nulls first, so ties and repeated rows have one order; an empty table gives an
-empty one. Only the four named columns are read.
+nulls first, so ties and repeated rows have one order; turns with a null
+conversation id are one conversation; an empty table gives an empty one. Only
+the four named columns are read. A conversation is one row of the result, so
+it has to fit into a task, whatever its share of the table.
 """
 
 from __future__ import annotations

@@ -1,4 +1,13 @@
-"""The corpus pipeline: stages over documents, each on all that its predecessor kept."""
+"""The corpus pipeline: stages over documents, each on all that its predecessor kept.
+
+Defined results: rows are judged one by one in the quality stage, so a null or
+empty text goes there; of a repeated id whose texts are all copies elsewhere
+only one group's least id stays, and all rows of an id that stays; a row with a
+null id loses no line, is a near-duplicate of nothing and goes only for its own
+text; without labels only the base rules decide, and without a benchmark no
+document is contaminated; empty tables give an empty one. Columns other than
+the id, the text and its length n_chars go through unread, whatever their names.
+"""
 
 from __future__ import annotations
 

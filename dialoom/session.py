@@ -24,6 +24,7 @@ def local_session(cores: str | int = "*", app: str = "dialoom", shuffle_partitio
         "spark.ui.showConsoleProgress": "false",
         "spark.driver.memory": os.environ.get("DIALOOM_DRIVER_MEMORY", "8g"),
         "spark.checkpoint.dir": os.environ.get("DIALOOM_CHECKPOINT_DIR", "/tmp/checkpoints"),
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
         "spark.driver.host": "127.0.0.1",
     } | extra
     builder = SparkSession.builder.master(f"local[{cores}]").appName(app)

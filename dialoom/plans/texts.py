@@ -6,16 +6,17 @@ from pyspark.sql import functions as F
 
 from dialoom.functions import noise, text
 from dialoom.functions.rand import uniform
+from dialoom.operators import noising
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import interactions, sql_shuffle, sql_strip, sql_uniform, table
 from dialoom.sources import storage
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").withColumn("bit", F.replace(F.substring("text", 1, 40), F.lit("\n"), F.lit(" ")))
+    return table(spark, d, "documents").withColumn("bit", F.replace("text", F.lit("\n"), F.lit(" ")))
 
 
-DOCS = "d AS (SELECT *, replace(substr(text, 1, 40), chr(10), ' ') AS bit FROM documents)"
+DOCS = "d AS (SELECT *, replace(text, chr(10), ' ') AS bit FROM documents)"
 
 
 def _persona(*names):
@@ -204,10 +205,10 @@ def _noised(f):
     return lambda spark, d: _docs(spark, d).select("doc_id", f(F.col("bit"), F.col("doc_id")).alias("noisy"))
 
 
-query("t20_typos")(_noised(noise.typos))
+query("t20_typos")(lambda spark, d: noising.noisy(_docs(spark, d), "doc_id", "bit", "typo"))
 query("t21_word_swaps")(_noised(noise.swaps))
-query("t23_word_insertions")(_noised(noise.insertions))
-query("t24_synonyms")(lambda spark, d: _docs(spark, d).select("doc_id", noise.synonyms(F.concat("bit", F.lit(" Big help, make it fast. Show a good one")), F.col("doc_id")).alias("noisy")))
+query("t23_word_insertions")(lambda spark, d: noising.noisy(_docs(spark, d), "doc_id", "bit", "word_insertion"))
+query("t24_synonyms")(lambda spark, d: noising.noisy(_docs(spark, d).select("doc_id", F.concat("bit", F.lit(" Big help, make it fast. Show a good one")).alias("bit")), "doc_id", "bit", "synonym"))
 query(
     "t22_word_deletions",
     f"""WITH {DOCS}, w AS (SELECT doc_id, bit, regexp_split_to_array({sql_strip("bit")}, '\\s+') AS w FROM d),
@@ -328,6 +329,6 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", text.first_truthy(F.when(even, F.col("lang")).otherwise(""), F.when(third, F.col("source")), F.lit(None).cast("string"), F.col("text")).alias("query"))
 
 
-@query("k15_latex_escape", r"SELECT doc_id, array_to_string(list_transform(string_split(replace(substr(text, 1, 60), chr(10), ' '), ''), lambda c: CASE WHEN c IN ('&', '%', '$', '#', '_', '{', '}') THEN chr(92) || c WHEN c = '~' THEN chr(92) || 'textasciitilde{}' WHEN c = '^' THEN chr(92) || 'textasciicircum{}' WHEN c = chr(92) THEN chr(92) || 'textbackslash{}' ELSE c END), '') AS latex FROM documents")
+@query("k15_latex_escape", r"SELECT doc_id, array_to_string(list_transform(string_split(replace(text, chr(10), ' '), ''), lambda c: CASE WHEN c IN ('&', '%', '$', '#', '_', '{', '}') THEN chr(92) || c WHEN c = '~' THEN chr(92) || 'textasciitilde{}' WHEN c = '^' THEN chr(92) || 'textasciicircum{}' WHEN c = chr(92) THEN chr(92) || 'textbackslash{}' ELSE c END), '') AS latex FROM documents")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id", storage.escape_latex(F.replace(F.substring("text", 1, 60), F.lit("\n"), F.lit(" "))).alias("latex"))
+    return table(spark, d, "documents").select("doc_id", storage.escape_latex(F.replace("text", F.lit("\n"), F.lit(" "))).alias("latex"))

@@ -107,8 +107,8 @@ def deletions(text: Column, key: Column, rate: float = 0.05, seed: str = "del")
     """Some words go, the first by a shuffle of places; a text too short for it stays."""
     words = words_of(text)
     n = F.greatest(F.lit(1), (F.size(words) * F.lit(rate)).cast("int"))
-    ranked = F.array_sort(F.transform(words, lambda w, i: F.struct(shuffle_key(seed, key, i).alias("h"), i.alias("i"), w.alias("w"))))
-    left = F.array_sort(F.transform(F.slice(ranked, n + 1, F.greatest(F.size(words) - n, F.lit(0))), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"))))
+    ranked = F.sort_array(F.transform(words, lambda w, i: F.struct(shuffle_key(seed, key, i).alias("h"), i.alias("i"), w.alias("w"))))
+    left = F.sort_array(F.transform(F.slice(ranked, n + 1, F.greatest(F.size(words) - n, F.lit(0))), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w"))))
     return F.when(F.size(words) <= n + 2, text).otherwise(F.array_join(F.transform(left, lambda x: x["w"]), " "))
 
 

@@ -8,6 +8,7 @@ in Arrow batches. Both give the same text, as the tests hold.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import re
 
 import pyarrow as pa
@@ -72,7 +73,17 @@ def synonyms(text: str, key, rate: float = 0.15, tries: int = 10, seed: str = "s
     return " ".join(words)
 
 
-STRATEGIES = {"typo": typos, "word_insertion": insertions, "synonym": synonyms}
+def deletions(text: str, key, rate: float = 0.05, seed: str = "del") -> str:
+    words = _words(text)
+    n = max(1, int(len(words) * rate))
+    if len(words) <= n + 2:
+        return text
+    order = ((hashlib.md5(f"{seed}:{key}:{i}".encode(), usedforsecurity=False).digest(), i) for i in range(len(words)))
+    gone = {i for _, i in heapq.nsmallest(n, order)}
+    return " ".join(w for i, w in enumerate(words) if i not in gone)
+
+
+STRATEGIES = {"typo": typos, "word_deletion": deletions, "word_insertion": insertions, "synonym": synonyms}
 
 
 def noisy(df: DataFrame, key: str, text: str, strategy: str, out: str = "noisy") -> DataFrame:

@@ -217,7 +217,7 @@ query(
     r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY {sql_shuffle("del", "doc_id", "i")}, i) AS rn FROM x),
     k AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) FILTER (rn > n) AS noisy FROM r GROUP BY doc_id)
     SELECT n.doc_id, CASE WHEN len(w) <= n + 2 THEN bit ELSE noisy END AS noisy FROM n JOIN k USING (doc_id)""",
-)(_noised(noise.deletions))
+)(lambda spark, d: noising.noisy(_docs(spark, d), "doc_id", "bit", "word_deletion"))
 
 
 @query("t26_strategy_fanout", f"WITH s(strategy, p) AS (VALUES ('typo', 0.3), ('word_swap', 0.3), ('word_deletion', 0.3), ('word_insertion', 0.3), ('synonym', 0.3)) SELECT doc_id, strategy FROM documents, s WHERE NOT ({sql_uniform('t26', 'doc_id', 'strategy')} > 0.3::DOUBLE)")

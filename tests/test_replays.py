@@ -48,7 +48,7 @@ def generate(prompt, empty_every=0):
     return f"answer {h % 10_007}"
 
 
-@pytest.mark.parametrize(("name", "fold"), [("typo", noise.typos), ("word_insertion", noise.insertions), ("synonym", noise.synonyms)])
+@pytest.mark.parametrize(("name", "fold"), [("typo", noise.typos), ("word_deletion", noise.deletions), ("word_insertion", noise.insertions), ("synonym", noise.synonyms)])
 def test_linear_noise_is_the_fold(spark, name, fold):
     texts = [None, "", " \n", "a", "Big", "it's Big, really GOOD help!", "  ünï Çode\tfast  slow. ", "x y z " * 30, "Make the small show get help fast " * 12]
     df = spark.createDataFrame(list(enumerate(texts)), "k bigint, t string")

@@ -124,8 +124,8 @@ def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFram
 
     def seed(c):
         out: dict[str, list] = {"seed": [], "item_id": [], "q": []}
-        for i, item in zip(c["item_id"], c["item"], strict=True):
-            h = np.array(item, np.int64).view(np.uint64)
+        for i, t in zip(c["item_id"], c["text"], strict=True):
+            h = tokens(t)
             for m in SHORT_MASKS.get(len(h), MASKS) if len(h) >= MIN_WORDS else ():
                 s = seeds(h, m)
                 out["seed"] += s.view(np.int64).tolist()
@@ -133,7 +133,8 @@ def item_seeds(benchmark: DataFrame, text: str, item_col: str) -> tuple[DataFram
                 out["q"] += range(len(s))
         return out
 
-    seeded = map_batches(items, seed, "seed bigint, item_id bigint, q int", pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("q", pa.int32())]))
+    # from the texts and not from the items, so that a stage has one Python step
+    seeded = map_batches(rows, seed, "seed bigint, item_id bigint, q int", pa.schema([("seed", pa.int64()), ("item_id", pa.int64()), ("q", pa.int32())]))
     return seeded, items.select("item_id", F.transform("item", lambda x: F.shiftright(x, 32).cast("int")).alias("item")), masks, max((r.m for r in sizes), default=0)
 
 
@@ -254,7 +255,8 @@ def measured(found: DataFrame, docs: DataFrame, items: DataFrame) -> DataFrame:
 def _found(docs: DataFrame, benchmark: DataFrame, item_text: str, item_col: str) -> DataFrame:
     seeded, items, masks, longest = item_seeds(benchmark, item_text, item_col)
     bits, exact = seed_filter(seeded)
-    found = verified(hits(docs, masks, bits, exact).join(seeded, "seed").join(items, "item_id"))
+    # dealt out by text, so that scanning and measuring are stages of their own, with one Python worker a core each
+    found = verified(hits(docs, masks, bits, exact).repartition("t").join(seeded, "seed").join(items, "item_id"))
     return measured(found, docs, items) if longest > CONTEXT else found
 
 

@@ -38,9 +38,9 @@ GENERATIONS = 8
 #: Bins at least so full are worth injecting.
 WELL_FILLED = 0.998
 #: Distinct words, and ids of words, that a task keeps; beyond either it starts anew.
-CACHE_WORDS, CACHE_IDS = 400_000, 2_000_000
+CACHE_WORDS, CACHE_IDS = 120_000, 1_000_000
 #: Characters that are cut into words at once.
-RUN_CHARS = 2_000_000
+RUN_CHARS = 1_000_000
 
 PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 PIECES_ARROW = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -91,23 +91,29 @@ class WordIds:
     tokenised.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, rules: tuple[bool, list[str]] | None = None):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        said = json.loads(self.tokenizer.to_str())
+        self.by_words, self.special = rules or self.rules(self.tokenizer)
+        self.clear()
+
+    @staticmethod
+    def rules(tokenizer) -> tuple[bool, list[str]]:
+        """Whether texts may be cut into words, and the strings that stand for tokens of their own."""
+        said = json.loads(tokenizer.to_str())
         splitter = (said["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.by_words = (
+        special = [t["content"] for t in said["added_tokens"]]
+        by_words = (
             (said["normalizer"] or {}).get("normalizers") == NORMALIZERS
             and len(splitter) == 2
             and splitter[0].get("pattern") == {"Regex": SPLIT}
             and splitter[1].get("type") == "ByteLevel"
             and not splitter[1].get("add_prefix_space", True)
-            and not any(" " in t["content"] for t in said["added_tokens"])
+            and not any(" " in t for t in special)
         )
-        self.special = [t["content"] for t in said["added_tokens"]]
-        self.clear()
+        return by_words, special
 
     def clear(self) -> None:
         """Forget all words; the closing token is word 0."""
@@ -201,9 +207,11 @@ class WordIds:
 def pieces(docs: DataFrame, text: str = "text", id_col: str = "doc_id", path: str | None = None, capacity: int = CAPACITY) -> DataFrame:
     """The token pieces of every document."""
     path = path or tokenizer_path()
+    known = WordIds(path)
+    rules = known.by_words, known.special  # read once, as a task need not hold the whole file's text
 
     def run(batches):
-        words = WordIds(path)
+        words = WordIds(path, rules)
         for whole in batches:
             for b in slices(whole):
                 out: dict[str, list] = {n: [] for n in PIECES_ARROW.names}

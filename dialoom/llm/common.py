@@ -5,6 +5,7 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable
+from urllib.parse import unquote, urlparse
 
 import numpy as np
 import pyarrow as pa
@@ -22,21 +23,35 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut the lineage into the folder of spark.checkpoint.dir.
+def _checkpoint_folder(spark: SparkSession) -> str:
+    """The session's folder of checkpoints, set from spark.checkpoint.dir.
 
     Where that is unset, a local session gets a default and a cluster an error:
     a machine's own folder would be lost with the machine.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         sc.setCheckpointDir(folder or "/tmp/checkpoints")
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut the lineage into the folder of spark.checkpoint.dir."""
+    _checkpoint_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of checkpoints as a path that tasks can open files in; it has to be mounted on all machines."""
+    at = urlparse(_checkpoint_folder(spark))
+    if at.scheme not in ("", "file"):
+        raise ValueError(f"files that are mapped into memory need a mounted spark.checkpoint.dir, not {at.scheme}:")
+    return unquote(at.path)
+
+
 def give_back() -> None:
     """Return a Python worker's freed memory to the system: idle workers stay alive beside the next stage's."""
     gc.collect()

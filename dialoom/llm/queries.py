@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import chat, decontam, html, langid, linededup, lm, neardup, packing, quality, repair, toxicity
+from dialoom.llm import alignment, chat, decontam, html, langid, linededup, lm, neardup, packing, quality, repair, toxicity
 from dialoom.llm.common import table
 
 LOOP_TEXT = "</s>[INST] ok [/INST]"
@@ -59,6 +59,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.alignments(table(spark, sf_dir, "documents"), hashed=True)
+
+
 def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digest(repair.damaged(table(spark, sf_dir, "conversations")), there=F.col("there"))
 
@@ -122,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_toxicity": op8_toxicity,
         "op9_lm_score": op9_lm_score,
         "op10_html_extraction": op10_html_extraction,
+        "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_structure_repair": op12_structure_repair,
     }
 

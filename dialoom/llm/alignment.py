@@ -113,8 +113,8 @@ class Aligned:
 class Units:
     """The distinct units of a task by number, with their alignments end to end."""
 
-    def __init__(self, tokenizers: Tokenizers):
-        self.tokenizers = tokenizers
+    def __init__(self, tokenizers: Tokenizers, most: int):
+        self.tokenizers, self.most = tokenizers, most
         self.clear()
 
     def clear(self) -> None:
@@ -126,7 +126,7 @@ class Units:
 
     @property
     def full(self) -> bool:
-        return len(self.text) > CACHE_UNITS or self.n_links > CACHE_LINKS
+        return len(self.text) > self.most or self.n_links > CACHE_LINKS
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The unit numbers of all texts in one line, and where each text's begin; new units are aligned.
@@ -161,11 +161,11 @@ def _runs(texts: list[str | None]):
         yield at, [texts[k] for k in at]
 
 
-def partial_counts(docs: DataFrame, text: str, a_path: str, b_path: str) -> DataFrame:
+def partial_counts(docs: DataFrame, text: str, a_path: str, b_path: str, cache_units: int = CACHE_UNITS) -> DataFrame:
     """(key, n): each task's links, added up."""
 
     def run(batches):
-        units = Units(Tokenizers(a_path, b_path))
+        units = Units(Tokenizers(a_path, b_path), cache_units)
         seen = np.zeros(0, np.int64)
 
         def counted():
@@ -299,17 +299,17 @@ def pair_counts(shards: list[tuple[str, int, int]]) -> dict[tuple[int, int], int
 _OUT = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups", pa.string())])
 
 
-def alignments(docs: DataFrame, text: str = "text", id_col: str = "doc_id", a_path: str | None = None, b_path: str | None = None, hashed: bool = False) -> DataFrame:
+def alignments(docs: DataFrame, text: str = "text", id_col: str = "doc_id", a_path: str | None = None, b_path: str | None = None, hashed: bool = False, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Each document's groups as text and its counts; hashed gives groups_sha256 in place of groups."""
     a_path, b_path = a_path or tokenizer_path(A_FILE), b_path or tokenizer_path(B_FILE)
     folder = f"{shared_folder(docs.sparkSession)}/pairs-{uuid.uuid4().hex}"
-    shards, best = write_shards(checkpointed(partial_counts(docs, text, a_path, b_path)), folder)
+    shards, best = write_shards(checkpointed(partial_counts(docs, text, a_path, b_path, cache_units)), folder)
     most = np.zeros(max(best, default=0) + 1, np.int64)
     most[list(best)] = list(best.values())
     schema = _OUT.set(7, pa.field("groups_sha256" if hashed else "groups", pa.string()))
 
     def run(batches):
-        units, counts = Units(Tokenizers(a_path, b_path)), Counts(shards)
+        units, counts = Units(Tokenizers(a_path, b_path), cache_units), Counts(shards)
         per = np.zeros((0, 7), np.int64)
 
         def grown():

@@ -138,9 +138,9 @@ def filter_place(key: Column) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(FILTER_BITS))
 
 
-def id_filter(ids: DataFrame, col: str) -> np.ndarray:
+def id_filter(ids: DataFrame, col: str, place: Callable[[Column], Column] = filter_place) -> np.ndarray:
     """A bit for each hashed id; FILTER_BITS bits at most come to the driver."""
-    at = filter_place(F.col(col)) + 1  # the bitmap functions count from 1
+    at = place(F.col(col)) + 1  # the bitmap functions count from 1
     parts = ids.select(at.alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect()
     out = np.zeros(FILTER_BITS // 8, np.uint8)
     for r in parts:

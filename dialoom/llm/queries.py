@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialoom.llm import alignment, chat, decontam, html, langid, linededup, lm, neardup, packing, quality, repair, toxicity
+from dialoom.llm import alignment, chat, decontam, html, langid, linededup, lm, neardup, ngramjoin, packing, quality, repair, toxicity
 from dialoom.llm.common import table
 
 LOOP_TEXT = "</s>[INST] ok [/INST]"
@@ -67,6 +67,10 @@ def op12_structure_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair.repair_digest(repair.damaged(table(spark, sf_dir, "conversations")), there=F.col("there"))
 
 
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = f"""
 WITH t AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -97,21 +101,23 @@ FROM m GROUP BY doc_id
 """
 
 
-OP7_SQL = r"""
+_JOIN_SQL = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM documents
 ), s AS (
-  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
-    ELSE list_distinct([array_to_string(w[i:i+4], ' ') FOR i IN range(1, len(w) - 3)]) END AS s FROM w
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < {k} THEN [array_to_string(w, ' ')]
+    ELSE list_distinct([array_to_string(w[i:i+{k}-1], ' ') FOR i IN range(1, len(w) - {k} + 2)]) END AS s FROM w
 ), e AS (SELECT doc_id, len(s) AS n, unnest(s) AS g FROM s),
 p AS (
   SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
-  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 75 * (a.n + b.n - count(*))
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= {percent} * (a.n + b.n - count(*))
 ), sym AS (SELECT a, b FROM p UNION ALL SELECT b, a FROM p),
 r AS (SELECT doc_id AS x, doc_id AS y FROM documents UNION SELECT r.x, sym.b FROM r JOIN sym ON sym.a = r.y)
-SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id, s.doc_id = c.component_id AS kept
+SELECT s.doc_id, len(s.s) AS n_shingles, c.component_id{kept}
 FROM s JOIN (SELECT x, min(y) AS component_id FROM r GROUP BY x) c ON c.x = s.doc_id
 """
+OP7_SQL = _JOIN_SQL.format(k=5, percent=75, kept=", s.doc_id = c.component_id AS kept")
+OP13_SQL = _JOIN_SQL.format(k=4, percent=85, kept="")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -128,8 +134,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_html_extraction": op10_html_extraction,
         "op11_tokenizer_alignment": op11_tokenizer_alignment,
         "op12_structure_repair": op12_structure_repair,
+        "op13_ngram_join": op13_ngram_join,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_format": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL}
+    return {"op3_chat_format": OP3_SQL, "op6_line_dedup": OP6_SQL, "op7_minhash_near_dedup": OP7_SQL, "op13_ngram_join": OP13_SQL}

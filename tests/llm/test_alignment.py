@@ -103,14 +103,12 @@ def same(got, want):
         assert got[6] == want[6]
 
 
-@pytest.mark.parametrize("units", [True, False])
-def test_as_all_overlaps(spark, units, monkeypatch):
-    if not units:
-        monkeypatch.setattr(alignment, "CACHE_UNITS", 3)  # a task forgets its units again and again
+@pytest.mark.parametrize("cache", [alignment.CACHE_UNITS, 3])
+def test_as_all_overlaps(spark, cache):
     texts = ODD + ODD[-2:] + ["the cat <|endoftext|>▁ sat"]
     df = spark.createDataFrame([(i, t, "clash", 1) for i, t in enumerate(texts)] + [(None, "the cat", "clash", 1)], DOCS).repartition(3)
     want, _ = plain([*texts, "the cat"])
-    got = {r.doc_id: tuple(r[f] for f in FIELDS) for r in alignment.alignments(df).collect()}
+    got = {r.doc_id: tuple(r[f] for f in FIELDS) for r in alignment.alignments(df, cache_units=cache).collect()}
     assert len(got) == len(texts) + 1
     for i, w in zip([*range(len(texts)), None], want):
         same(got[i], w)

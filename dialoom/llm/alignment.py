@@ -2,15 +2,19 @@
 
 Two tokenizers read the same bytes; offsets where tokens of both end cut them
 into groups, and overlapping tokens are linked. Each link is an int64 key, B's
-id above A's. A task adds its keys up with np.unique; the partial counts are
-sorted globally by range and runs of equal keys summed, each range written as a
-shard of keys and counts in the shared checkpoint folder; a second pass over
-the texts maps the shards into memory and finds its keys by searchsorted.
+id above A's. One pass tokenises and keeps, for each run of documents, their
+groups, its distinct keys and its links as places among these. A task adds its
+keys up with np.unique; the partial counts are sorted globally by range and runs
+of equal keys summed, each range written as a shard of keys and counts in the
+shared checkpoint folder; then the shards are mapped into memory and each run's
+keys found by searchsorted.
 
 Both tokenizers begin a token at a single space between two other characters,
 so a text is the sequence of its units, cut there, and each distinct unit of a
 task is tokenised and aligned once. That B's pieces never go across such a
-place is read from its vocabulary; otherwise a text is one unit.
+place is read from its vocabulary; otherwise a text is one unit. A's merges run
+in their own library, by the ids of the given file, which must follow its
+merges.
 
 Counts are over all rows, repeated ones too. Shards are written under a name of
 the attempt and renamed when whole, so a lost executor leaves none by halves.
@@ -26,6 +30,8 @@ the id and the text are read.
 from __future__ import annotations
 
 import hashlib
+import itertools
+import json
 import os
 import re
 import uuid
@@ -42,7 +48,7 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bits of a key that hold A's id.
 A_BITS = 32
 #: Distinct units, and links of them, that a task keeps; beyond either it starts anew.
-CACHE_UNITS, CACHE_LINKS = 300_000, 4_000_000
+CACHE_UNITS, CACHE_LINKS = 500_000, 8_000_000
 #: Characters of texts that are taken at once.
 RUN_CHARS = 2_000_000
 
@@ -55,59 +61,111 @@ def tokenizer_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+# Fixed value: how byte-level vocabularies of this kind cut a text before merging.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+class Table:
+    """The bytes of a vocabulary's tokens, end to end."""
+
+    def __init__(self, tokens: dict[int, bytes]):
+        n = max(tokens) + 1
+        self.sizes = np.zeros(n, np.int64)
+        for i, t in tokens.items():
+            self.sizes[i] = len(t)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        self.flat = np.frombuffer(b"".join(tokens.get(i, b"") for i in range(n)), np.uint8)
+
+    def joined(self, ids: np.ndarray) -> np.ndarray:
+        sizes = self.sizes[ids]
+        to = np.cumsum(sizes)
+        return self.flat[np.arange(to[-1] if len(to) else 0) + np.repeat(self.begins[ids] - to + sizes, sizes)]
+
+
 class Tokenizers:
     """A and B with the bytes of each of their tokens."""
 
     def __init__(self, a_path: str, b_path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import sentencepiece
-        from tokenizers import Tokenizer
+        import tiktoken
 
-        self.a = Tokenizer.from_file(a_path)
-        self.a.encode_special_tokens = True
-        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
-        # byte-level vocabularies write printable Latin-1 as itself and the other bytes from 256 on, in order
+        with open(a_path, encoding="utf-8") as f:
+            said = json.load(f)
+        # printable Latin-1 is written as itself and the other bytes from 256 on, in order
         plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
-        rest = [x for x in range(256) if x not in plain]
-        byte_of = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(rest)}
-        self.a_bytes = {i: bytes(byte_of[c] for c in t) for t, i in self.a.get_vocab(with_added_tokens=False).items() if all(c in byte_of for c in t)}
+        byte_of = {chr(x): x for x in plain} | {chr(256 + i): x for i, x in enumerate(x for x in range(256) if x not in plain)}
+        vocab, merges = said["model"]["vocab"], [m.split(" ") if isinstance(m, str) else m for m in said["model"]["merges"]]
+        made = [vocab[x + y] for x, y in merges]
+        if said["pre_tokenizer"]["type"] != "ByteLevel" or said["normalizer"] or any(x >= y for x, y in zip(made, made[1:])):
+            raise ValueError(f"{a_path} is no byte-level vocabulary whose ids follow its merges")
+        special = {t["content"] for t in said["added_tokens"]}
+        ranks = {bytes(byte_of[c] for c in t): i for t, i in vocab.items() if t not in special}
+        self.a = tiktoken.Encoding("a", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.a_table = Table({i: t for t, i in ranks.items()})
+        self.b = sentencepiece.SentencePieceProcessor(model_file=b_path)
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
-        self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.b_table = Table({i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else b"" if self.b.is_control(i) or self.b.is_unknown(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)})
         self.by_units = not any(re.search("[^▁]▁", p) for p in pieces)
+        # each id as text with what follows it: A's within a group and at its end, then B's
+        self.words = [f"{i}{end}" for n, ends in ((len(self.a_table.sizes), ",|"), (len(pieces), ",;")) for end in ends for i in range(n)]
 
     def units(self, text: str) -> list[str]:
         """The text in units, without the space before each."""
         return _CUT.split(text) if self.by_units else [text]
 
-    def aligned(self, units: list[str]) -> list[Aligned | None]:
-        """The alignment of a space and each unit; None where the bytes do not come back."""
-        out = []
-        for u, a, b in zip(units, self.a.encode_batch_fast([" " + u for u in units], add_special_tokens=False), self.b.encode(units, num_threads=1), strict=True):
-            whole = (" " + u).encode()
-            as_, bs = [self.a_bytes.get(i, b"") for i in a.ids], [self.b_bytes[i] for i in b]
-            out.append(Aligned(a.ids, as_, b, bs) if b"".join(as_) == whole == b"".join(bs) else None)
-        return out
+
+def _flat(lists: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    return np.fromiter(itertools.chain.from_iterable(lists), np.int64, int(sizes.sum())), sizes
+
+
+def _sums(x: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The sum of each run of so many values."""
+    total = np.concatenate([[0], np.cumsum(x)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
 
 
 class Aligned:
-    """The groups and links of two tokenisations of the same bytes."""
-
-    __slots__ = ("groups", "keys", "n_a", "n_b", "text")
-
-    def __init__(self, a: list[int], a_bytes: list[bytes], b: list[int], b_bytes: list[bytes]):
-        a_end, b_end = np.cumsum([len(x) for x in a_bytes]).tolist(), np.cumsum([len(x) for x in b_bytes]).tolist()
-        keys, groups = [], []
-        i = j = i0 = j0 = 0
-        while i < len(a):
-            keys.append(b[j] << A_BITS | a[i])
-            x, y = a_end[i], b_end[j]
-            i += x <= y
-            j += y <= x
-            if x == y:
-                groups.append((a[i0:i], b[j0:j]))
-                i0, j0 = i, j
-        self.n_a, self.n_b, self.keys, self.groups = len(a), len(b), keys, len(groups)
-        self.text = ";".join(",".join(map(str, x)) + "|" + ",".join(map(str, y)) for x, y in groups)
+    """The groups and links of a space and each of some units, on whole arrays.
+
+    rows: n_a, n_b, groups, links, and 1 where the bytes do not come back (and
+    all else is 0); keys of all links by unit; the groups as text, each with its
+    semicolon.
+    """
+
+    def __init__(self, t: Tokenizers, units: list[str]):
+        raw = [(" " + u).encode() for u in units]
+        size = np.fromiter(map(len, raw), np.int64, len(raw))
+        a, n_a = _flat([t.a.encode_ordinary(" " + u) for u in units])
+        b, n_b = _flat(t.b.encode(units, num_threads=1))
+        good = (_sums(t.a_table.sizes[a], n_a) == size) & (_sums(t.b_table.sizes[b], n_b) == size)
+        a, b = a[np.repeat(good, n_a)], b[np.repeat(good, n_b)]
+        whole = np.frombuffer(b"".join(x for x, g in zip(raw, good.tolist()) if g), np.uint8)
+        same = _sums((t.a_table.joined(a) == whole) & (t.b_table.joined(b) == whole), size[good]) == size[good]
+        if not same.all():
+            a, b = a[np.repeat(same, n_a[good])], b[np.repeat(same, n_b[good])]
+            good[np.flatnonzero(good)[~same]] = False
+        n_a, n_b, size = n_a * good, n_b * good, size * good
+        # each end of a token of either closes one overlap, and an end of both a group
+        a_end, b_end, unit_end = np.cumsum(t.a_table.sizes[a]), np.cumsum(t.b_table.sizes[b]), np.cumsum(size)
+        ends = np.union1d(a_end, b_end)
+        cuts = np.intersect1d(a_end, b_end, assume_unique=True)
+        at_a, at_b = np.searchsorted(a_end, ends), np.searchsorted(b_end, ends)
+        self.keys = b[at_b] << A_BITS | a[at_a]
+        counted = lambda x: np.diff(np.searchsorted(x, unit_end, "right"), prepend=0)
+        self.rows = np.column_stack([n_a, n_b, counted(cuts), counted(ends), ~good]).astype(np.int64)
+        self.texts = self._texts(t, a, b, np.searchsorted(cuts, a_end), np.searchsorted(cuts, b_end), n_a + n_b)
+
+    @staticmethod
+    def _texts(t: Tokenizers, a, b, a_group, b_group, sizes) -> list[str]:
+        last = lambda g: np.append(g[1:] != g[:-1], True) if len(g) else np.zeros(0, bool)
+        n = len(t.a_table.sizes)
+        words = np.concatenate([a + n * last(a_group), 2 * n + b + len(t.b_table.sizes) * last(b_group)])
+        order = np.argsort(np.concatenate([2 * a_group, 2 * b_group + 1]), kind="stable")
+        said = list(map(t.words.__getitem__, words[order].tolist()))
+        ends = np.cumsum(sizes).tolist()
+        return ["".join(said[lo:hi]) for lo, hi in zip([0, *ends], ends)]
 
 
 class Units:
@@ -119,14 +177,13 @@ class Units:
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
-        self.text: list[str] = []
-        self.rows: list[tuple[int, int, int, int, bool]] = []
-        self.keys: list[np.ndarray] = []
-        self.n_links = 0
+        self.texts: list[str] = []
+        self.rows = np.zeros((0, 5), np.int64)
+        self.keys = np.zeros(0, np.int64)
 
     @property
     def full(self) -> bool:
-        return len(self.text) > self.most or self.n_links > CACHE_LINKS
+        return len(self.index) > self.most or len(self.keys) > CACHE_LINKS
 
     def numbers(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The unit numbers of all texts in one line, and where each text's begin; new units are aligned.
@@ -134,70 +191,96 @@ class Units:
         A text is a unit at least, so every text has a beginning of its own.
         """
         parts = list(map(self.tokenizers.units, texts))
-        index = self.index
-        new = list({u for p in parts for u in p if u not in index})
-        for u, x in zip(new, self.tokenizers.aligned(new), strict=True):
-            index[u] = len(self.text)
-            self.text.append(x.text if x else "")
-            self.rows.append((x.n_a, x.n_b, x.groups, len(x.keys), False) if x else (0, 0, 0, 0, True))
-            self.keys.append(np.array(x.keys if x else [], np.int64))
-            self.n_links += len(x.keys) if x else 0
-        sizes = np.array([len(p) for p in parts], np.int64)
-        return np.fromiter((index[u] for p in parts for u in p), np.int64, int(sizes.sum())), np.cumsum(sizes) - sizes
-
-
-def _runs(texts: list[str | None]):
-    """(positions, texts) of the non-empty texts, in runs of bounded size."""
-    at: list[int] = []
-    size = 0
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        index, n = self.index, len(self.index)
+        flat = list(itertools.chain.from_iterable(parts))
+        new = [u for u in dict.fromkeys(flat) if u not in index]
+        if new:
+            index.update(zip(new, range(n, n + len(new))))
+            x = Aligned(self.tokenizers, new)
+            self.rows = np.concatenate([self.rows, x.rows])
+            self.keys = np.concatenate([self.keys, x.keys])
+            self.texts += x.texts
+        return np.fromiter(map(index.__getitem__, flat), np.int64, len(flat)), np.cumsum(sizes) - sizes
+
+
+def _runs(ids: list, texts: list[str | None]):
+    """(ids, texts) in runs of bounded size."""
+    lo = size = 0
     for i, t in enumerate(texts):
-        if t:
-            at.append(i)
-            size += len(t)
-            if size >= RUN_CHARS:
-                yield at, [texts[k] for k in at]
-                at, size = [], 0
-    if at:
-        yield at, [texts[k] for k in at]
+        size += len(t or "")
+        if size >= RUN_CHARS or i - lo > RUN_CHARS // 100:
+            yield ids[lo : i + 1], texts[lo : i + 1]
+            lo, size = i + 1, 0
+    if lo < len(texts):
+        yield ids[lo:], texts[lo:]
 
 
-def partial_counts(docs: DataFrame, text: str, a_path: str, b_path: str, cache_units: int = CACHE_UNITS) -> DataFrame:
-    """(key, n): each task's links, added up."""
+_COUNTED = ("n_a", "n_b", "n_groups", "n_links")
+_RUN = pa.schema([("doc_id", pa.list_(pa.int64())), *[(c, pa.list_(pa.int64())) for c in _COUNTED], ("groups", pa.list_(pa.string())), ("keys", pa.list_(pa.int64())), ("times", pa.list_(pa.int64())), ("links", pa.binary())])
+_RUN_DDL = "doc_id array<bigint>, " + "".join(f"{c} array<bigint>, " for c in _COUNTED) + "groups array<string>, keys array<bigint>, times array<bigint>, links binary"
+
+
+def _aligned_run(units: Units, ids: list, texts: list[str | None], hashed: bool) -> list:
+    """The values of _RUN for some texts: links are places among the run's distinct keys, 16 bits each if they are few."""
+    rows, groups = np.zeros((len(texts), 5), np.int64), [""] * len(texts)
+    at = [i for i, t in enumerate(texts) if t]
+    keys = links = np.zeros(0, np.int64)
+    times = keys
+    if at:
+        k, begins = units.numbers([texts[i] for i in at])
+        of_text = np.add.reduceat(units.rows[k], begins)
+        broken = of_text[:, 4] > 0
+        rows[at] = of_text * ~broken[:, None]
+        said = list(map(units.texts.__getitem__, k.tolist()))
+        for i, lo, hi, lost in zip(at, begins.tolist(), np.append(begins[1:], len(k)).tolist(), broken.tolist(), strict=True):
+            if not lost:
+                joined = "".join(said[lo:hi])[:-1]
+                groups[i] = hashlib.sha256(joined.encode()).hexdigest() if hashed else joined
+        k = k[~np.repeat(broken, np.diff(begins, append=len(k)))]
+        n = units.rows[k, 3]
+        to = np.cumsum(n)
+        if len(to) and to[-1]:
+            first = np.cumsum(units.rows[:, 3]) - units.rows[:, 3]
+            keys, links, times = np.unique(units.keys[np.arange(to[-1]) + np.repeat(first[k] - to + n, n)], return_inverse=True, return_counts=True)
+    return [ids, *[rows[:, c] for c in range(4)], groups, keys, times, links.astype(_place(len(keys))).tobytes()]
+
+
+def _place(n: int) -> str:
+    return "<u2" if n <= 1 << 16 else "<u4"
+
+
+def aligned_runs(docs: DataFrame, text: str, id_col: str, a_path: str, b_path: str, hashed: bool, cache_units: int) -> DataFrame:
+    """A row for each run of documents: their groups and counts, and their links by the run's distinct keys."""
 
     def run(batches):
         units = Units(Tokenizers(a_path, b_path), cache_units)
-        seen = np.zeros(0, np.int64)
-
-        def counted():
-            """The keys of all units so far, each as often as its unit."""
-            if not units.text:
-                return
-            sizes = np.array([len(k) for k in units.keys])
-            keys, of = np.unique(np.concatenate(units.keys), return_inverse=True)
-            n = np.zeros(len(keys), np.int64)
-            np.add.at(n, of, np.repeat(seen, sizes))
-            keys, n = keys[n > 0], n[n > 0]
-            for at in range(0, len(keys), 100_000):
-                yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["key", "n"])
-
         for whole in batches:
             for b in slices(whole):
-                for _, texts in _runs(b.column(0).to_pylist()):
+                for ids, texts in _runs(b.column(0).to_pylist(), b.column(1).to_pylist()):
                     if units.full:
-                        yield from counted()
                         units.clear()
-                        seen = np.zeros(0, np.int64)
-                    k, begins = units.numbers(texts)
-                    bad = np.array([r[4] for r in units.rows])
-                    broken = np.logical_or.reduceat(bad[k], begins)
-                    if broken.any():
-                        k = k[~np.repeat(broken, np.diff(begins, append=len(k)))]
-                    seen = np.concatenate([seen, np.zeros(len(units.text) - len(seen), np.int64)])
-                    seen += np.bincount(k, minlength=len(seen))
-        yield from counted()
+                    yield pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip(_aligned_run(units, ids, texts, hashed), _RUN)], schema=_RUN)
         units.clear()
 
-    return in_batches(docs.select(F.col(text).alias("text")), run, "key bigint, n bigint")
+    return in_batches(docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text")), run, _RUN_DDL)
+
+
+def partial_counts(runs: DataFrame) -> DataFrame:
+    """(key, n): each task's links, added up."""
+
+    def run(batches):
+        keys = n = np.zeros(0, np.int64)
+        for b in batches:
+            new, times = (b.column(c).flatten().to_numpy() for c in (0, 1))
+            keys, of = np.unique(np.concatenate([keys, new]), return_inverse=True)
+            total = np.zeros(len(keys), np.int64)
+            np.add.at(total, of, np.concatenate([n, times]))
+            n = total
+        for at in range(0, len(keys), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(keys[at : at + 100_000]), pa.array(n[at : at + 100_000])], ["key", "n"])
+
+    return in_batches(runs.select("keys", "times"), run, "key bigint, n bigint")
 
 
 def write_shards(counts: DataFrame, folder: str) -> tuple[list[tuple[str, int, int]], dict[int, int]]:
@@ -296,55 +379,24 @@ def pair_counts(shards: list[tuple[str, int, int]]) -> dict[tuple[int, int], int
     return {(int(k) & ((1 << A_BITS) - 1), int(k) >> A_BITS): int(n) for name, *_ in shards for k, n in zip(np.fromfile(name + ".keys", np.int64), np.fromfile(name + ".counts", np.int64))}
 
 
-_OUT = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")], ("groups", pa.string())])
-
-
 def alignments(docs: DataFrame, text: str = "text", id_col: str = "doc_id", a_path: str | None = None, b_path: str | None = None, hashed: bool = False, cache_units: int = CACHE_UNITS) -> DataFrame:
     """Each document's groups as text and its counts; hashed gives groups_sha256 in place of groups."""
-    a_path, b_path = a_path or tokenizer_path(A_FILE), b_path or tokenizer_path(B_FILE)
-    folder = f"{shared_folder(docs.sparkSession)}/pairs-{uuid.uuid4().hex}"
-    shards, best = write_shards(checkpointed(partial_counts(docs, text, a_path, b_path, cache_units)), folder)
+    runs = checkpointed(aligned_runs(docs, text, id_col, a_path or tokenizer_path(A_FILE), b_path or tokenizer_path(B_FILE), hashed, cache_units))
+    shards, best = write_shards(partial_counts(runs), f"{shared_folder(docs.sparkSession)}/pairs-{uuid.uuid4().hex}")
     most = np.zeros(max(best, default=0) + 1, np.int64)
     most[list(best)] = list(best.values())
-    schema = _OUT.set(7, pa.field("groups_sha256" if hashed else "groups", pa.string()))
+    name = "groups_sha256" if hashed else "groups"
+    out = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in (*_COUNTED, "n_best", "count_sum")], (name, pa.string())])
 
     def run(batches):
-        units, counts = Units(Tokenizers(a_path, b_path), cache_units), Counts(shards)
-        per = np.zeros((0, 7), np.int64)
-
-        def grown():
-            """The rows of the units, with the new ones' counts looked up."""
-            lo = len(per)
-            if lo == len(units.text):
-                return per
-            sizes = np.array([len(k) for k in units.keys[lo:]])
-            keys = np.concatenate(units.keys[lo:])
-            n = counts.of(keys) if len(keys) else keys
-            b = most[np.minimum(keys >> A_BITS, len(most) - 1)] == n
-            sums = [np.add.reduceat(np.append(x, 0), np.cumsum(sizes) - sizes) * (sizes > 0) for x in (b.astype(np.int64), n)]
-            return np.concatenate([per, np.column_stack([np.array(units.rows[lo:], np.int64), *sums])])
-
-        for whole in batches:
-            for b in slices(whole):
-                ids, texts = b.column(0), b.column(1).to_pylist()
-                sums, groups = np.zeros((len(texts), 7), np.int64), [""] * len(texts)
-                for at, run_texts in _runs(texts):
-                    if units.full:
-                        units.clear()
-                        per = per[:0]
-                    k, begins = units.numbers(run_texts)
-                    per = grown()
-                    of_text = np.add.reduceat(per[k], begins)
-                    broken = of_text[:, 4] > 0
-                    sums[at] = of_text * ~broken[:, None]
-                    ends = np.append(begins[1:], len(k)).tolist()
-                    names = units.text
-                    for i, lo, hi, lost in zip(at, begins.tolist(), ends, broken.tolist(), strict=True):
-                        if not lost:
-                            joined = ";".join([names[x] for x in k[lo:hi].tolist()])
-                            groups[i] = hashlib.sha256(joined.encode()).hexdigest() if hashed else joined
-                yield pa.RecordBatch.from_arrays([ids, *[pa.array(sums[:, c]) for c in (0, 1, 2, 3, 5, 6)], pa.array(groups, pa.string())], schema=schema)
-        units.clear()
-
-    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    return in_batches(rows, run, f"doc_id bigint, n_a bigint, n_b bigint, n_groups bigint, n_links bigint, n_best bigint, count_sum bigint, {schema.names[7]} string")
+        counts = Counts(shards)
+        for b in batches:
+            for r in b.to_pylist():
+                keys, sizes = np.array(r["keys"], np.int64), np.array(r["n_links"], np.int64)
+                n = counts.of(keys)
+                best = most[keys >> A_BITS] == n
+                links = np.frombuffer(r["links"], _place(len(keys)))
+                sums = _sums(best[links], sizes), _sums(n[links], sizes)
+                yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip([r["doc_id"], *[r[c] for c in _COUNTED], *sums, r["groups"]], out)], schema=out)
+
+    return in_batches(runs, run, "doc_id bigint, " + "".join(f"{c} bigint, " for c in (*_COUNTED, "n_best", "count_sum")) + f"{name} string")

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from dialoom.functions import noise, text
+from dialoom.functions import nested, noise, text
 from dialoom.functions.rand import uniform
 from dialoom.operators import noising
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import interactions, sql_shuffle, sql_strip, sql_uniform, table
-from dialoom.sources import storage
+from dialoom.sources import scans, storage
 
 
 def _docs(spark, d):
@@ -323,6 +325,57 @@ def _(spark, d):
     return storage.with_query_id(table(spark, d, "documents").select("doc_id", item.alias("item")), "item").select("doc_id", "query_id")
 
 
+# A user's events of each ten thousand nested in one another, in order; an id comes after what its event holds.
+_TREES = "e AS (SELECT user_id, event_id, event_type, event_id // 10000 AS part, row_number() OVER (PARTITION BY user_id, event_id // 10000 ORDER BY event_id) AS k FROM events)"
+_NESTED = f"""
+WITH RECURSIVE {_TREES},
+w AS (
+  SELECT user_id, part, k, event_id, event_type = 'error' AS found FROM e WHERE k = 1
+  UNION ALL SELECT e.user_id, e.part, e.k, e.event_id, e.event_type = 'error' FROM w JOIN e ON e.user_id = w.user_id AND e.part = w.part AND e.k = w.k + 1 WHERE NOT w.found
+)
+SELECT user_id, part, max(CASE WHEN found THEN 'q' || event_id END) AS query_id FROM w GROUP BY user_id, part"""
+
+
+def _trees(spark, d, head, tail, leaf):
+    e = table(spark, d, "events").withColumn("part", F.expr("event_id div 10000"))
+    e = e.groupBy("user_id", "part").agg(F.sort_array(F.collect_list(F.struct("event_id", head.alias("head"), tail.alias("tail")))).alias("e"))
+    item = F.concat(F.array_join(F.transform("e", lambda x: x["head"]), ""), F.lit(leaf), F.array_join(F.transform(F.reverse("e"), lambda x: x["tail"]), ""))
+    return e.select("user_id", "part", item.alias("item"))
+
+
+@query("a05_nested_query_id", _NESTED)
+def _(spark, d):
+    """The first id of a tree thousands deep, by the table function in SQL."""
+    nested.register(spark)
+    head = F.concat(F.lit('{"event": {"at": ['), F.col("event_id").cast("string"), F.lit(']}, "then": '))
+    tail = F.concat(F.lit(', "id": null'), F.when(F.col("event_type") == "error", F.concat(F.lit(', "query_id": "q'), "event_id", F.lit('"'))).otherwise(""), F.lit("}"))
+    _trees(spark, d, head, tail, "null").createOrReplaceTempView("a05_trees")
+    return spark.sql("SELECT t.user_id, t.part, f.value AS query_id FROM a05_trees t, LATERAL json_first(t.item, 'query_id') f")
+
+
+@query("a05_all_ids_by_depth", f"WITH {_TREES} SELECT user_id, part, (k - 1)::INT AS depth, event_id::VARCHAR AS value FROM e")
+def _(spark, d):
+    """Every id of such a tree with its depth."""
+    head = F.concat(F.lit('{"id": '), F.col("event_id").cast("string"), F.lit(', "then": '))
+    return _trees(spark, d, head, F.lit("}"), "[]").lateralJoin(nested.json_find(F.col("item").outer(), F.lit("id"))).select("user_id", "part", "depth", "value")
+
+
+@query("s13_any_json", "SELECT doc_id, md5(text) AS text_md5, 0::BIGINT AS unread FROM documents")
+def _(spark, d):
+    """All documents written as arrays of some thousands, as objects one after another and as indented objects, and read back in splits."""
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    folder = f"{storage.checkpoint_dir(spark)}/any-json-{uuid.uuid4().hex}"
+    bucket = F.pmod(F.xxhash64("doc_id"), F.lit(max(1, docs.count() // 10_000)))
+    item = lambda **o: F.to_json(F.struct("doc_id", "text"), o)
+    packed = lambda k: docs.where(F.col("doc_id") % 3 == k).groupBy(bucket).agg(F.collect_list(item()).alias("i"))
+    packed(0).select(F.concat(F.lit("["), F.array_join("i", ", "), F.lit("]"))).write.option("maxRecordsPerFile", 1).text(f"{folder}/arrays")
+    packed(1).select(F.array_join("i", "")).write.text(f"{folder}/objects")
+    docs.where(F.col("doc_id") % 3 == 2).select(item(pretty="true")).write.text(f"{folder}/indented")
+    got = scans.read_any_json(spark, [f"{folder}/{x}" for x in ("arrays", "objects", "indented")])
+    read = F.from_json("item", "doc_id bigint, text string")
+    return got.select(read["doc_id"].alias("doc_id"), F.md5(read["text"]).alias("text_md5"), "unread")
+
+
 @query("p22_query_coalesce", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN lang WHEN doc_id % 3 = 0 THEN source ELSE text END AS query FROM documents")
 def _(spark, d):
     even, third = F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0

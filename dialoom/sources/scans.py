@@ -5,14 +5,14 @@ Paths are resolved by Spark's file systems, so they may lie in any store it read
 
 from __future__ import annotations
 
-import json
 import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.operators.samples import keep_first, stored_query_id
-from dialoom.sources.storage import checkpointed, query_text
+from dialoom.sources.json_items import json_items
+from dialoom.sources.storage import checkpointed, is_json, query_text
 
 INDEX = "index.json"
 
@@ -92,51 +92,23 @@ def read_store(spark: SparkSession, folder: str, persona: str | None = None) ->
     return keep_first(rows, ["persona_id", "query_id"], "pos").select("persona_id", "pos", "query_id", "item")
 
 
-def sniff(body: str) -> tuple[list[str], int]:
-    """The objects of a JSON array, one object, JSON lines or objects one after another, and how many characters are left unread at the first error."""
-    body = body.strip()
-    decoder, out, at = json.JSONDecoder(), [], 0
-    while at < len(body):
-        try:
-            value, at = decoder.raw_decode(body, at)
-        except ValueError:
-            break
-        out += [json.dumps(x, ensure_ascii=False) for x in (value if isinstance(value, list) and not out else [value])]
-        while at < len(body) and body[at] in " \t\r\n,":
-            at += 1
-    return out, len(body) - at
-
-
 def read_any_json(spark: SparkSession, path: str | list[str]) -> DataFrame:
-    """(path, pos, item, unread) for files of any shape that sniff knows.
+    """(path, pos, item, unread): the items of arrays, single objects, JSON lines and objects one after another.
 
     Files whose first line is a whole object are JSON lines: they are read line
-    by line in splits, and a malformed line is a row with a null item and its
-    length as unread. Other files are read whole, a file at a time; what
-    follows the first error there is one such row at the end. So nothing is
-    lost without a word.
+    by line, and a malformed line is a row with a null item and its length as
+    unread. Other files are cut at braces and followed through all of them, see
+    json_items. Either way a file is read in splits, and nothing is lost
+    without a word. The names of files, and no more, come to the driver, where
+    Spark lists them anyway.
     """
     lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("start"), F.monotonically_increasing_id().alias("pos"), "value").where(F.trim("value") != "")
     first = lines.where("start = 0").groupBy("path").agg(F.min_by("value", "pos").alias("head"))
-    kinds = checkpointed(first.select("path", (F.ltrim("head").startswith("{") & F.try_parse_json("head").isNotNull()).alias("by_line")))
-    parsed = F.try_parse_json("value")
-    by_line = lines.join(kinds.where("by_line").select("path"), "path", "left_semi").select("path", "pos", F.when(parsed.isNotNull(), F.trim("value")).alias("item"), F.when(parsed.isNull(), F.length("value")).otherwise(0).cast("bigint").alias("unread"))
+    kinds = checkpointed(first.select("path", (F.ltrim("head").startswith("{") & is_json(F.col("head"))).alias("by_line")))
+    whole = is_json(F.col("value"))
+    by_line = lines.join(kinds.where("by_line").select("path"), "path", "left_semi").select("path", "pos", F.when(whole, F.trim("value")).alias("item"), F.when(whole, 0).otherwise(F.length("value")).cast("bigint").alias("unread"))
     others = [r.path for r in kinds.where("NOT by_line").select("path").toLocalIterator()]
-    if not others:
-        return by_line
-    files = spark.read.text(others, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
-
-    def run(batches):
-        import pyarrow as pa
-
-        for b in batches:
-            for p, body in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                items, unread = sniff(body)
-                out = [(p, i, x, 0) for i, x in enumerate(items)] + ([(p, len(items), None, unread)] if unread else [])
-                cols = list(zip(*out, strict=True)) if out else [[]] * 4
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int64(), pa.string(), pa.int64()), strict=True)], ["path", "pos", "item", "unread"])
-
-    return by_line.unionByName(files.mapInArrow(run, "path string, pos bigint, item string, unread bigint"))
+    return by_line.unionByName(json_items(spark, others)) if others else by_line
 
 
 def save_interactions(df: DataFrame, path: str, sample: Column | None = None) -> DataFrame:

@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import json
 import os
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from dialoom.functions import nested
 from dialoom.functions.text import first_truthy
 
 
@@ -48,6 +47,21 @@ def read_json_documents(spark: SparkSession, path: str | list[str], schema: T.St
     return (reader.schema(schema) if schema else reader).json(path)
 
 
+def json_values(body: Column) -> Column:
+    """The comma-separated JSON values of a text as array<variant>; null if it is anything else.
+
+    Spark's parser stops behind the first value; the mark behind the values
+    tells whether it came to the end.
+    """
+    read = F.try_variant_get(F.try_parse_json(F.concat(F.lit("[["), body, F.lit('],"end"]'))), "$", "array<variant>")
+    return F.when(F.try_variant_get(F.get(read, F.lit(1)), "$", "string") == "end", F.try_variant_get(F.get(read, F.lit(0)), "$", "array<variant>"))
+
+
+def is_json(line: Column) -> Column:
+    """Whether a text is one JSON value and no more."""
+    return F.coalesce(F.size(json_values(line)) == 1, F.lit(False))
+
+
 def query_text(item: Column) -> Column:
     """The text of a query item given as JSON: a string itself, the first usable field, or the first turn."""
     obj = lambda f: F.get_json_object(item, f"$.{f}")
@@ -62,7 +76,7 @@ def read_queries(spark: SparkSession, paths: list[str], max_queries: int | None
         if "://" not in path and not os.path.exists(path):
             continue
         if path.endswith(".jsonl"):
-            rows = spark.read.text(path).where(F.trim("value") != "").where(F.try_parse_json("value").isNotNull()).select(F.col("value").alias("item"), F.monotonically_increasing_id().alias("pos"))
+            rows = spark.read.text(path).where(F.trim("value") != "").where(is_json(F.col("value"))).select(F.col("value").alias("item"), F.monotonically_increasing_id().alias("pos"))
         else:
             whole = spark.read.text(path, wholetext=True).select(F.when(F.ltrim("value").startswith("["), F.col("value")).otherwise(F.get_json_object("value", "$.queries")).alias("v"))
             rows = whole.select(F.posexplode(F.from_json("v", "array<variant>"))).select(F.to_json("col").alias("item"), F.col("pos").cast("bigint"))
@@ -88,43 +102,15 @@ def lookup(df: DataFrame, key: str, value) -> DataFrame:
     return got
 
 
-def first_query_id(sample_json: str | None) -> str | None:
-    """metadata.query_id if usable, else the first query_id in depth-first order; malformed JSON has none."""
-    if not sample_json:
-        return None
-    try:
-        data = json.loads(sample_json)
-    except ValueError:
-        return None
-    meta = data.get("metadata") if isinstance(data, dict) else None
-    if isinstance(meta, dict) and meta.get("query_id"):
-        return str(meta["query_id"])
-
-    def walk(x):
-        if isinstance(x, dict):
-            if "query_id" in x:
-                yield x["query_id"]
-            for v in x.values():
-                yield from walk(v)
-        elif isinstance(x, list):
-            for v in x:
-                yield from walk(v)
-
-    found = next(walk(data), None)
-    return str(found) if found else None
-
-
-def _first_query_ids(items: pa.Array) -> pa.Array:
-    return pa.array([first_query_id(x) for x in items.to_pylist()], pa.string())
-
-
 def with_query_id(df: DataFrame, item: str) -> DataFrame:
-    """A query_id column: read by expression where metadata has it, by a walk of the tree elsewhere."""
-    walked = F.arrow_udf(_first_query_ids, "string")
+    """A query_id column: metadata.query_id if usable, else the item's first query_id; malformed JSON has none.
+
+    Read by expression where metadata has it, elsewhere by a search that takes
+    any depth.
+    """
     fast = F.nullif(F.get_json_object(item, "$.metadata.query_id"), F.lit(""))
     easy = df.where(fast.isNotNull()).withColumn("query_id", fast)
-    hard = df.where(fast.isNull()).withColumn("query_id", walked(F.col(item)))
-    return easy.unionByName(hard)
+    return easy.unionByName(nested.first_value(df.where(fast.isNull()), item, "query_id", "query_id"))
 
 
 # ---- sinks

@@ -7,7 +7,6 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.functions import latex
 from dialoom.operators import clients, dialogue, personas, samples, usage
 from dialoom.sources import scans, storage
 
@@ -221,43 +220,3 @@ def test_interactions_statistics_and_metrics(spark, tmp_path):
 def test_query_ids_of_malformed_samples(spark):
     df = spark.createDataFrame([('{"metadata": {"query_id": "a"}}',), ('{"x": [{"query_id": "b"}]}',), ("{broken",), (None,)], "item string")
     assert {r.item: r.query_id for r in storage.with_query_id(df, "item").collect()} == {'{"metadata": {"query_id": "a"}}': "a", '{"x": [{"query_id": "b"}]}': "b", "{broken": None, None: None}
-
-
-# ---- LaTeX
-
-
-def test_inline_marks():
-    assert latex.inline("a_b & **bold *it* `c_d`** *x* `**y**` 5 * 3") == r"a\_b \& \textbf{bold \textit{it} \texttt{c\_d}} \textit{x} \texttt{**y**} 5 * 3"
-    assert latex.inline("~^\\{}") == r"\textasciitilde{}\textasciicircum{}\textbackslash{}\{\}"
-    assert latex.inline("**a `b** c`") == r"**a \texttt{b** c}"
-
-
-@pytest.mark.parametrize(
-    ("line", "want"),
-    [
-        ("", ("", False)),
-        ("plain", (r"\hspace*{1.2em}plain", False)),
-        ("---", (r"\hspace*{1.2em}---", False)),
-        ("## Head #1", (r"\hspace*{2.4em}\textbf{Head \#1}", True)),
-        ("> > deep", (r"\hspace*{3.6em}deep", False)),
-        ("- item", (r"\hspace*{1.2em}\textbullet{} item", False)),
-        ("    * sub", (r"\hspace*{3.6em}\textbullet{} sub", False)),
-        ("\t2) two", (r"\hspace*{3.6em}2. two", False)),
-        ("| a | **b** |", (r"\hspace*{1.2em}a | \textbf{b}", False)),
-        ("|:--|--:|", ("", False)),
-    ],
-)
-def test_lines(line, want):
-    assert latex.line_of(line) == want
-
-
-def test_examples(spark):
-    rows = [(1, 1, [("a_b", "x"), ("c", "y"), ("d", "z")], [("user", "hi\n\n# Top\nthere"), ("ASSISTANT ", ""), ("tool", None)])]
-    df = spark.createDataFrame(rows, "k int, n int, f array<struct<name:string,value:string>>, m array<struct<role:string,content:string>>")
-    tex = latex.render(df, "k", "n", "f", "m").first().tex.split("\n")
-    at = tex.index(r"\noindent\textbf{User (Turn 1):}")
-    assert tex[at : at + 7] == [r"\noindent\textbf{User (Turn 1):}", r"\vspace{2pt}", r"\hspace*{1.2em}hi\par", r"\vspace{2pt}", r"\noindent \hspace*{1.2em}\textbf{Top}\par", r"\hspace*{1.2em}there\par", r"\vspace{6pt}"]
-    assert r"\noindent\textbf{Assistant (Turn 2):}" in tex and r"\noindent\textbf{Tool (Turn 3):}" in tex and tex.count(r"\hspace*{1.2em}\par") == 2
-    split = tex.index(r"\end{minipage}\hfill")
-    assert [x for x in tex[:split] if x.endswith(r"\par")] == [r"\textbf{a\_b}: x\par", r"\textbf{c}: y\par"] and tex[split + 3] == r"\textbf{d}: z\par"
-    assert tex[0] == r"\begin{tcolorbox}[" and tex[-1] == r"\end{tcolorbox}"

@@ -27,6 +27,20 @@ def sliding_failure(steps: DataFrame, width: int, limit: float, run: str | None
     return steps.select(*keys, "step", F.avg("rate").over(w).alias("mean_rate"), F.count("*").over(w).alias("n")).select(*keys, "step", "mean_rate", ((F.col("n") == width) & (F.col("mean_rate") > limit)).alias("abort"))
 
 
+def watched_runs(steps: DataFrame, width: int = 5, limit: float = 0.8) -> DataFrame:
+    """(run, step, event, mean_rate, tokens): each step's mean rate of the last steps and tokens so far, and the first abort of a run.
+
+    The batch form of streaming.state.watched_runs, over (run, step, rate, tokens).
+    """
+    order = Window.partitionBy("run").orderBy("step")
+    last = order.rowsBetween(1 - width, 0)
+    rows = steps.select("run", "step", F.avg("rate").over(last).alias("mean_rate"), F.sum("tokens").over(order.rowsBetween(Window.unboundedPreceding, 0)).alias("tokens"), F.count("*").over(last).alias("n"))
+    over = (F.col("n") == width) & (F.col("mean_rate") > limit)
+    first = F.min(F.when(over, F.col("step"))).over(Window.partitionBy("run"))
+    events = F.when(F.col("step") == first, F.array(F.lit("step"), F.lit("abort"))).otherwise(F.array(F.lit("step")))
+    return rows.withColumn("events", events).select("run", "step", F.explode("events").alias("event"), "mean_rate", "tokens")
+
+
 def batch_scores(results: DataFrame, size: int) -> DataFrame:
     """Means of each run of lines; malformed lines keep their place, and all means divide by the rows with original scores."""
     scored = F.col("parsed") & F.col("original_scores.persona_score").isNotNull()

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dialoom.functions import arith
 from dialoom.operators import evaluation, samples
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import table
+from dialoom.sources import storage
+from dialoom.streaming import state
+from dialoom.streaming import usage as streams
 
 
 def _events(spark, d):
@@ -51,6 +56,34 @@ def _(spark, d):
     return evaluation.sliding_failure(steps, 5, 0.5).select("step", F.round("mean_rate", 6).alias("mean_rate"), "abort")
 
 
+_WATCHED = """
+WITH w AS (SELECT user_id AS run, event_id AS step, avg((value > 20)::INT) OVER l AS mean_rate, count(*) OVER l AS n,
+  sum(floor(value * 10)::BIGINT) OVER (PARTITION BY user_id ORDER BY event_id)::BIGINT AS tokens
+  FROM events WINDOW l AS (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW))
+SELECT run, step, 'step' AS event, round(mean_rate, 6) AS mean_rate, tokens FROM w
+UNION ALL SELECT run, min(step), 'abort', round(arg_min(mean_rate, step), 6), arg_min(tokens, step) FROM w WHERE n = 5 AND mean_rate > 0.5 GROUP BY run"""
+
+
+def _steps(events):
+    return events.select(F.col("user_id").alias("run"), F.col("event_id").alias("step"), (F.col("value") > 20).cast("int").alias("rate"), F.floor(F.col("value") * 10).alias("tokens"), F.col("ts").alias("at"))
+
+
+@query("w02_watched_runs", _WATCHED)
+def _(spark, d):
+    return evaluation.watched_runs(_steps(_events(spark, d)), 5, 0.5).withColumn("mean_rate", F.round("mean_rate", 6))
+
+
+@query("w02_watched_runs_stream", _WATCHED)
+def _(spark, d):
+    """The same by state that a stream keeps, over the table's files, into a folder."""
+    path = f"{d}/events.parquet"
+    folder = f"{storage.checkpoint_dir(spark)}/watched-{uuid.uuid4().hex}"
+    raw = streams.read_stream(spark, path, spark.read.parquet(path).schema)
+    rows = state.watched_runs(_steps(raw), 5, 0.5, idle="3650 days")
+    rows.writeStream.format("parquet").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start(f"{folder}/rows").awaitTermination()
+    return spark.read.schema(state.WATCHED).parquet(f"{folder}/rows").withColumn("mean_rate", F.round("mean_rate", 6))
+
+
 @query("a21_step_means", "SELECT event_id // 50 AS step, round(coalesce(avg(CASE WHEN event_id % 3 <> 0 THEN value END), 0), 6) AS mean_reward, round(count(*) FILTER (event_id % 3 = 0) / count(*), 6) AS fail_rate FROM events GROUP BY ALL")
 def _(spark, d):
     r = F.when(F.col("event_id") % 3 != 0, F.col("value"))

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dialoom.operators import usage
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import table
-from dialoom.sources import storage
+from dialoom.sources import commitlog, storage
+from dialoom.streaming import usage as streams
 
 
 def _usage(spark, d):
@@ -83,10 +86,6 @@ def _(spark, d):
 @query("stream_module_totals", f"WITH {USAGE} SELECT module, {SUMS} FROM u GROUP BY module")
 def _(spark, d):
     """The same totals by a stream over the table's files, run to its end into a memory sink."""
-    import uuid
-
-    from dialoom.streaming import usage as streams
-
     path = f"{d}/events.parquet"
     raw = streams.read_stream(spark, path, spark.read.parquet(path).schema)
     rows = raw.select(F.col("event_type").alias("module"), F.floor(F.col("value") * 10).alias("input_tokens"), F.floor("value").alias("output_tokens"), "ts")
@@ -94,3 +93,24 @@ def _(spark, d):
     q = streams.running_module_totals(rows).writeStream.outputMode("complete").format("memory").queryName(name).option("checkpointLocation", f"{storage.checkpoint_dir(spark)}/{name}").trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
+
+
+@query("k10_commit_log", "SELECT event_id, user_id, value, event_id % 3 AS part FROM events")
+def _(spark, d):
+    """Events appended to a log in three commits, and read back."""
+    path = f"{storage.checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    events = table(spark, d, "events").select("event_id", "user_id", "value", (F.col("event_id") % 3).alias("part"))
+    for part in range(3):
+        commitlog.append(events.where(F.col("part") == part), path)
+    return commitlog.read(spark, path, "event_id bigint, user_id bigint, value double, part bigint").drop("commit", "file", "pos")
+
+
+@query("k11_streamed_log", f"WITH {USAGE} SELECT module, {SUMS} FROM u GROUP BY module")
+def _(spark, d):
+    """Calls logged by a stream, each micro-batch a commit, and added up from the log."""
+    at = f"{storage.checkpoint_dir(spark)}/log-{uuid.uuid4().hex}"
+    path = f"{d}/events.parquet"
+    raw = streams.read_stream(spark, path, spark.read.parquet(path).schema)
+    rows = raw.select(F.col("event_type").alias("module"), F.floor(F.col("value") * 10).alias("input_tokens"), F.floor("value").alias("output_tokens"))
+    commitlog.append_stream(rows, f"{at}/log", f"{at}/checkpoint", "calls").awaitTermination()
+    return usage.by_module(commitlog.read(spark, f"{at}/log", "module string, input_tokens bigint, output_tokens bigint"))

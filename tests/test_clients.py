@@ -203,7 +203,7 @@ def test_any_json_says_what_it_left(spark, tmp_path):
     assert all(r.unread == 0 for r in got if r.item)
 
 
-def test_interactions_statistics_and_metrics(spark, tmp_path):
+def test_interactions_and_statistics(spark, tmp_path):
     df = spark.createDataFrame([("i1", "p", 2), ("i2", "p", 1)], "interaction_id string, persona_id string, num_turns int")
     assert scans.save_interactions(df, str(tmp_path / "s")).count() == 2
     again = scans.save_interactions(df.limit(1).withColumn("num_turns", F.lit(9)).unionByName(spark.createDataFrame([("i3", "q", 5)], df.schema)), str(tmp_path / "s"), F.struct("interaction_id"))
@@ -212,9 +212,6 @@ def test_interactions_statistics_and_metrics(spark, tmp_path):
     at = samples.export_statistics(spark.createDataFrame([("p", 2, ["a", "b"])], "persona_id string, num_turns int, prompt_trajectory array<string>"), str(tmp_path / "t"), stamp=False)
     said = spark.read.json(at).first()
     assert (said.total_samples, said.total_prompts, at.endswith("/statistics")) == (1, 2, True)
-    for step in (1, 2, 1):
-        scans.record_metrics(spark, str(tmp_path / "m"), step, loss=step / 2, reward=1.0)
-    assert sorted(map(tuple, scans.read_metrics(spark, str(tmp_path / "m")).collect())) == [(1, "loss", 0.5), (1, "reward", 1.0), (2, "loss", 1.0), (2, "reward", 1.0)]
 
 
 def test_query_ids_of_malformed_samples(spark):

@@ -10,7 +10,7 @@ from __future__ import annotations
 import json
 import time
 import zlib
-from typing import Protocol
+from typing import TYPE_CHECKING, Protocol
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -20,6 +20,9 @@ from pyspark.sql import types as T
 from dialoom.functions import text
 from dialoom.functions.rand import choice, shuffle_key, uniform
 
+if TYPE_CHECKING:
+    from dialoom.operators.ledger import Ledger
+
 
 class Client(Protocol):
     def generate(self, prompt: str) -> str: ...
@@ -110,33 +113,37 @@ def _usage_array(calls: list[list[tuple]]) -> pa.Array:
     return pa.array([[dict(zip(("operation", "input_tokens", "output_tokens"), c, strict=True)) for c in x] for x in calls], _USAGE_ARROW)
 
 
-def simulate(tasks: DataFrame, client: Client, max_turns: int = 5, retries: int = 3, delay: float = 0.0, workers: int = WORKERS, usage: bool = False) -> DataFrame:
+def simulate(tasks: DataFrame, client: Client, max_turns: int = 5, retries: int = 3, delay: float = 0.0, workers: int = WORKERS, usage: bool = False, ledger: Ledger | None = None) -> DataFrame:
     """(task_id, messages, num_turns, attempts) of the tasks (task_id, query, persona, target_turns) that succeed.
 
     The whole loop of a dialogue runs in its task, several dialogues at once;
     retries are its own, so that a repeated Spark task is the exception. With
     usage, a column of the calls follows, and failed tasks stay, without messages.
+    With a ledger, calls that were answered in any run before are not made again.
     """
     from dialoom.operators.clients import Metered, pooled
 
     message = pa.struct([("role", pa.string()), ("content", pa.string()), ("turn", pa.int32())])
 
-    def one(task):
+    def one(task, book):
         i, q, p, n = task
-        meter = Metered(client, "dialogue") if usage else client
+        paid = book.paid(client, i) if book else client
+        meter = Metered(paid, "dialogue") if usage else paid
         m, used = with_retries(lambda: converse(meter, p or "", q or "", n, max_turns), retries + 1, delay)
         return i, m, sum(x["role"] == "user" for x in m or ()), used, meter.calls if usage else []
 
     def run(batches):
+        book = ledger.session() if ledger else None
         for b in batches:
-            got = [x for x in pooled(one, zip(*(b.column(k).to_pylist() for k in range(4)), strict=True), workers) if x[1] or usage]
+            got = [x for x in pooled(lambda t: one(t, book), zip(*(b.column(k).to_pylist() for k in range(4)), strict=True), workers) if x[1] or usage]
             cols = list(zip(*got, strict=True)) if got else [[]] * 5
             out = [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.list_(message)), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int32())]
             names = ["task_id", "messages", "num_turns", "attempts"]
             yield pa.RecordBatch.from_arrays(out + ([_usage_array(cols[4])] if usage else []), names + (["usage"] if usage else []))
 
     schema = "task_id bigint, messages array<struct<role:string,content:string,turn:int>>, num_turns int, attempts int"
-    return tasks.select("task_id", "query", "persona", "target_turns").mapInArrow(run, schema + (f", usage {USAGE}" if usage else ""))
+    rows = tasks.select("task_id", "query", "persona", "target_turns")
+    return (ledger.dealt(rows, F.col("task_id")) if ledger else rows).mapInArrow(run, schema + (f", usage {USAGE}" if usage else ""))
 
 
 def usage_rows(df: DataFrame, client: Client, module: str, col: str = "usage") -> DataFrame:
@@ -169,30 +176,36 @@ def supplement(tasks: DataFrame, client: Client, rounds: int = 3, **how) -> Data
     return done
 
 
-def ask(df: DataFrame, client: Client, prompt: str, answer: str, attempts: int = 1, workers: int = WORKERS, usage: str | None = None) -> DataFrame:
+def ask(df: DataFrame, client: Client, prompt: str, answer: str, attempts: int = 1, workers: int = WORKERS, usage: str | None = None, ledger: Ledger | None = None) -> DataFrame:
     """df with a column of answers; '' where all attempts fail. Filter before: every row is asked.
 
     With usage, a column of that name holds the calls of the row, failed
-    attempts that were answered among them.
+    attempts that were answered among them. With a ledger, rows of equal
+    prompts, of this run or any before, are asked and paid once.
     """
     from dialoom.operators.clients import Metered, pooled
 
     gone = {answer, usage}
     kept = df.select(*[F.col(f"`{f.name}`") for f in df.schema.fields if f.name not in gone])
 
-    def one(p):
-        meter = Metered(client) if usage else client
+    def one(p, book):
+        paid = book.paid(client, p or "") if book else client
+        meter = Metered(paid) if usage else paid
         said = with_retries(lambda: meter.generate(p or ""), attempts)[0] or ""
         return said, meter.calls if usage else []
 
     def run(batches):
+        book = ledger.session() if ledger else None
         for b in batches:
-            got = list(pooled(one, b.column(b.schema.get_field_index(prompt)).to_pylist(), workers))
+            if book:
+                b = b.drop_columns(["__bucket"])
+            got = list(pooled(lambda p: one(p, book), b.column(b.schema.get_field_index(prompt)).to_pylist(), workers))
             more = [pa.array([x for x, _ in got], pa.string())] + ([_usage_array([x for _, x in got])] if usage else [])
             yield pa.RecordBatch.from_arrays([*b.columns, *more], [*b.schema.names, answer, *([usage] if usage else [])])
 
     fields = [T.StructField(answer, T.StringType())] + ([T.StructField(usage, T._parse_datatype_string(USAGE))] if usage else [])
-    return kept.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    rows = ledger.dealt(kept, F.coalesce(prompt, F.lit(""))) if ledger else kept
+    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def chosen_strategies(table: list[tuple[str, bool, float]], seed: str, key: Column) -> Column:

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from dialoom.functions import arith, text
-from dialoom.operators import dialogue, evaluation, personas, usage
+from dialoom.operators import dialogue, evaluation, ledger, personas, usage
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import interactions, table
 from dialoom.sources import storage
@@ -120,3 +122,18 @@ def _(spark, d):
     feature = lambda n: F.struct(F.lit(n).alias("name"), F.col(n).alias("value"))
     p = table(spark, d, "documents").select("doc_id", F.array(feature("lang"), feature("source")).alias("features"))
     return personas.mean_distance(p).select("n", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "c05_paid_once",
+    """SELECT doc_id, 1::BIGINT AS runs_equal, (SELECT count(DISTINCT lang || source) FROM documents) AS calls, (SELECT sum(4)::BIGINT FROM (SELECT DISTINCT lang, source FROM documents)) AS input_tokens FROM documents""",
+)
+def _(spark, d):
+    """Two runs of the same questions over all documents; the ledger's calls and tokens are those of the distinct prompts."""
+    book = ledger.Ledger(f"{storage.checkpoint_dir(spark)}/ledger-{uuid.uuid4().hex}", buckets=16)
+    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("REPLY\n"), "lang", F.lit("-"), "source").alias("prompt"))
+    first = storage.checkpointed(dialogue.ask(asked, dialogue.MockClient(), "prompt", "answer", ledger=book))
+    again = storage.checkpointed(dialogue.ask(asked, dialogue.MockClient(), "prompt", "said", ledger=book)).select("doc_id", "said")
+    paid = book.calls(spark).agg(F.count("*").alias("calls"), F.sum("input_tokens").alias("input_tokens"))
+    both = first.join(again, "doc_id").select("doc_id", (F.col("answer") == F.col("said")).cast("bigint").alias("runs_equal"))
+    return both.join(F.broadcast(paid))

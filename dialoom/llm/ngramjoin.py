@@ -12,9 +12,12 @@ second bound before members are compared.
 
 No link is lost: with any order of tokens that is the same for all, two sets of
 the similarity share one of their first n - ceil(0.85 n) + 1 tokens each. The
-order is that of hashes with frequent tokens last; frequent ones are those that
-stand first in many documents by the hash alone, the most frequent of them in a
-filter of 4 MB. What the filter takes for frequent changes the work only.
+order is that of hashes with frequent tokens last. Frequent are those that stand
+first in many documents, counted round by round, as others come to the front of
+documents that lose theirs; sets without a frequent token at the front are never
+read again. The tokens are kept in a filter of 4 MB, and what it takes for
+frequent changes the work only. Of the first tokens only those of two sets or
+more leave the one shuffle that brings equal ones together.
 
 Sets are told apart by a 64-bit hash and their size. The result does not depend
 on how rows are dealt out.
@@ -32,6 +35,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,14 +104,38 @@ def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> Dat
     )
 
 
-def frequent_filter(marks: DataFrame) -> np.ndarray:
-    """A bit for each frequent token's place; the threshold rises until the tokens fit the filter."""
-    counts = marks.where("doc_id IS NOT NULL").select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
+def token_place(token: Column) -> Column:
+    """The bit of a token in a filter of tokens, whether it is marked as frequent or not."""
+    return token.bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def token_rows(marks: DataFrame, asked: np.ndarray, tokens: np.ndarray | None = None) -> DataFrame:
+    """(sid, token): the first tokens, by the hash alone, of the documents in the filter asked; with a filter of tokens only those in it."""
+    shared = marks.sparkSession.sparkContext.broadcast((asked, tokens))  # filters of a fixed size
+
+    def run(batches):
+        asked, tokens = shared.value
+        for b in batches:
+            b = b.filter(in_filter(asked, b.column(0)))
+            sid, first = b.column(1), b.column(2)
+            rows = pa.RecordBatch.from_arrays([sid.take(pc.list_parent_indices(first)), first.flatten()], ["sid", "token"])
+            if tokens is not None:
+                rows = rows.filter(in_filter(tokens, pc.bit_wise_and(rows.column(1), FILTER_BITS - 1)))
+            if rows.num_rows:
+                yield rows
+
+    rows = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select(filter_place(F.col("doc_id")).alias("at"), "sid", "first")
+    return in_batches(rows, run, "sid bigint, token bigint")
+
+
+def frequent_filter(counts: DataFrame) -> np.ndarray | None:
+    """A bit for each frequent token of (token, n); the threshold rises until the tokens fit the filter. None without one."""
     many = checkpointed(counts.where(F.col("n") > FREQUENT))
-    least = FREQUENT
-    while many.where(F.col("n") > least).count() > FREQUENT_TOKENS:
+    least, size = FREQUENT, many.count()
+    while size > FREQUENT_TOKENS:
         least *= 2
-    return id_filter(many.where(F.col("n") > least), "token", lambda t: F.pmod(t, F.lit(FILTER_BITS)))
+        size = many.where(F.col("n") > least).count()
+    return id_filter(many.where(F.col("n") > least), "token", token_place) if size else None
 
 
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -118,36 +146,23 @@ def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return np.concatenate([t[~hot], t[hot] | LAST])[: first_tokens(len(t))]
 
 
-def token_sets(docs: DataFrame, asked: np.ndarray, whole: np.ndarray | None, frequent: np.ndarray | None, text: str, id_col: str) -> DataFrame:
-    """(sid, n, first, set) of the documents in the filter asked; sets, as sorted 64-bit words, of those in whole."""
-    place = filter_place(F.col(id_col).cast("bigint"))
-    rows = docs.where(F.col(id_col).isNotNull()).select(place.alias("at"), F.col(text).alias("text"))
+def token_sets(docs: DataFrame, asked: np.ndarray, frequent: np.ndarray | None, text: str, id_col: str) -> DataFrame:
+    """Of the documents in the filter asked: (sid, set), the set as sorted 64-bit words, or with frequent tokens (sid, first)."""
+    rows = docs.where(F.col(id_col).isNotNull()).select(filter_place(F.col(id_col).cast("bigint")).alias("at"), F.col(text).alias("text"))
     hashes = WordHashes()
-    # the filters are of a fixed size
-    shared = docs.sparkSession.sparkContext.broadcast((asked, asked if whole is None else whole, frequent))
+    shared = docs.sparkSession.sparkContext.broadcast((asked, frequent))  # filters of a fixed size
 
     def run(batches):
-        asked, whole, frequent = shared.value
+        asked, frequent = shared.value
         for b in batches:
             for part in slices(b):
                 part = part.filter(in_filter(asked, part.column(0)))
-                sets = [shingles(t, hashes, SHINGLE) for t in part.column(1).to_pylist()]
-                keep = [i for i, s in enumerate(sets) if len(s)]
-                if not keep:
-                    continue
-                full = in_filter(whole, part.column(0)).to_pylist()
-                sets, full = [sets[i] for i in keep], [full[i] for i in keep]
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(map(set_id, sets), pa.int64()),
-                        pa.array(map(len, sets), pa.int64()),
-                        pa.array([ordered(s, frequent) if frequent is not None else None for s in sets], pa.list_(pa.int64())),
-                        pa.array([s.tobytes() if f else None for s, f in zip(sets, full)], pa.binary()),
-                    ],
-                    ["sid", "n", "first", "set"],
-                )
-
-    return in_batches(rows, run, "sid bigint, n bigint, first array<bigint>, set binary", hashes)
+                sets = [s for s in (shingles(t, hashes, SHINGLE) for t in part.column(1).to_pylist()) if len(s)]
+                if sets:
+                    found = pa.array([s.tobytes() for s in sets], pa.binary()) if frequent is None else pa.array([ordered(s, frequent) for s in sets], pa.list_(pa.int64()))
+                    yield pa.RecordBatch.from_arrays([pa.array(map(set_id, sets), pa.int64()), found], ["sid", "set" if frequent is None else "first"])
+
+    return in_batches(rows, run, "sid bigint, " + ("set binary" if frequent is None else "first array<bigint>"), hashes)
 
 
 def in_runs(df: DataFrame, keys: list[str], f: Callable[[list[tuple]], Iterator[tuple[int, int]]]) -> DataFrame:
@@ -236,27 +251,46 @@ def _share(n: Column, m: Column) -> Column:
     return F.ceil(PERCENT * (n + m) / (100 + PERCENT))
 
 
-def candidates(tokens: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
+    """(sid, token): first tokens that two sets or more have first; and (sid, n, last) of all sets."""
+    same = Window.partitionBy("token")
+    asked = id_filter(reps, "rep")
+    rows = token_rows(marks, asked).repartition("token")
+    rows = rows.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same)).withColumn("n", F.count("*").over(same))
+    rows = checkpointed(rows.where("lo < hi").select("sid", "token", "n"))
+    ends = reps.select("sid", "n", "last")
+    bits = frequent_filter(rows.groupBy("token").agg(F.first("n").alias("n")))
+    if bits is None:
+        return rows.select("sid", "token").distinct(), ends
+    new = bits
+    while new is not None:
+        bits = bits | new
+        # whoever has none of these tokens first stays as it is
+        moved = token_rows(marks, asked, bits).select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
+        moved = checkpointed(token_sets(docs, id_filter(moved, "rep"), bits, text, id_col).dropDuplicates(["sid"]))
+        new = frequent_filter(moved.select(F.explode("first").alias("token")).where(F.col("token") < LAST).groupBy("token").agg(F.count("*").alias("n")))
+    theirs = moved.select("sid", F.explode("first").alias("token"))
+    others = rows.select("sid", "token").union(token_rows(marks, asked, id_filter(theirs, "token", token_place))).join(moved.select("sid").hint("merge"), "sid", "left_anti")
+    ends = ends.join(moved.select("sid", F.element_at("first", -1).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
+    return theirs.union(others).distinct(), ends
+
+
+def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(q, comp, sub): the groups that a set must ask; and (sid, comp, sub) of all members of such groups.
 
-    tokens: (sid, n, first). Only tokens of two sets at least are kept after
-    the one shuffle of all first tokens.
+    rows are first tokens (sid, token), ends the size and last first token of
+    each set.
     """
-    rows = tokens.select("sid", "n", F.size("first").alias("size"), F.element_at("first", -1).alias("last"), F.explode("first").alias("token")).repartition("token")
     same = Window.partitionBy("token")
-    rows = rows.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same)).where("lo < hi").drop("lo", "hi")
-    rows = checkpointed(rows.dropDuplicates(["token", "sid"]))
-    sids = rows.groupBy("sid").agg(F.first("n").alias("n"), F.first("size").alias("size"), F.first("last").alias("last"))
-    # only components of sets that share a token matter; others are counted for their size
-    named = sids.join(comps.select(F.col("id").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    sizes = named.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("n"))
-    sizes = sizes.select("comp", "members", parts(F.col("members"), F.col("n")).alias("subs"))
-    named = checkpointed(named.join(sizes.hint("merge"), "comp").withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs"))
+    named = ends.join(comps.select(F.col("id").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    named = checkpointed(named)
+    sizes = named.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("n")).select("comp", "members", parts(F.col("members"), F.col("n")).alias("subs"))
+    named = checkpointed(named.join(sizes.hint("merge"), "comp").withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).withColumn("size", F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1).drop("subs"))
     groups = named.groupBy("comp", "sub").agg(
         F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("last").alias("last_lo"), F.count("*").alias("size"), F.first("size").alias("tokens")
     )
 
-    cross = rows.select("token", "sid").join(named.select("sid", "comp", "sub", "members").hint("merge"), "sid").repartition("token")
+    cross = rows.join(named.select("sid", "comp", "sub", "members").hint("merge"), "sid").repartition("token")
     cross = cross.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).where("lo < hi").drop("lo", "hi")
     cross = checkpointed(cross)
     matrix = cross.select("token", F.col("comp").alias("g"), F.col("sub").alias("g_sub"), F.col("members").alias("g_members")).distinct()
@@ -289,25 +323,21 @@ def opened_links(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFr
 def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     marks = checkpointed(sketches(docs, text, id_col))
-    sets_of = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"))
-    reps = checkpointed(sets_of)
-    frequent = frequent_filter(marks)
-    grouped = checkpointed(key_groups(reps))
-    asked = id_filter(reps, "rep")
-    in_groups = id_filter(grouped.select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid"), "rep")
-    known = checkpointed(token_sets(docs, asked, in_groups, frequent, text, id_col))
+    sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select("doc_id", "sid", "n_shingles", "keys", F.element_at("first", -1).alias("last"))
+    reps = checkpointed(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("last").alias("last")))
 
-    def once(sets):
-        return sets.where("set IS NOT NULL").select("sid", "set").dropDuplicates(["sid"])
+    def sets_of(sids):
+        ids = sids.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
+        return token_sets(docs, id_filter(ids, "rep"), None, text, id_col).dropDuplicates(["sid"])
 
-    near = in_runs(grouped.join(once(known).hint("merge"), "sid").select("r", "key", "sub", "sid", "set"), ["r", "key", "sub"], linked)
+    grouped = checkpointed(key_groups(reps))
+    near = in_runs(grouped.join(sets_of(grouped.select("sid")).hint("merge"), "sid").select("r", "key", "sub", "sid", "set"), ["r", "key", "sub"], linked)
     links = checkpointed(near.distinct())
-    asks, members = candidates(known.select("sid", "n", "first"), components(links, "a", "b"))
+    asks, members = candidates(*shared_tokens(marks, reps, docs, text, id_col), components(links, "a", "b"))
     if not asks.isEmpty():
         members = checkpointed(members)
-        ids = asks.select(F.col("q").alias("sid")).union(members.select("sid")).distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
-        sets = checkpointed(once(token_sets(docs, id_filter(ids, "rep"), None, None, text, id_col)))
-        links = checkpointed(links.union(opened_links(asks, members, sets)).distinct())
+        found = opened_links(asks, members, sets_of(asks.select(F.col("q").alias("sid")).union(members.select("sid"))))
+        links = checkpointed(links.union(found).distinct())
     comps = components(links, "a", "b").select(F.col("id").alias("sid"), "component")
     named = reps.select("sid", "rep").join(comps.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

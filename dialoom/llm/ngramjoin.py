@@ -52,6 +52,8 @@ GROUP, GROUP_TOKENS = 32, 1_000_000
 KEYS = 2
 #: A token that stands first in more documents is frequent; at most so many are told apart.
 FREQUENT, FREQUENT_TOKENS = 64, 1 << 21
+#: Times that first tokens are looked through for frequent ones; any number gives the same links.
+ROUNDS = 2
 SEED = 13
 #: Tokens are 62 bits of a hash; this bit puts the frequent ones last.
 LAST = 1 << 62
@@ -221,9 +223,11 @@ def opened(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     union = np.unique(np.concatenate(list(members.values())))
     for q, s in _arrays([(i, s) for i, asks, s in rows if asks]).items():
         if 100 * (len(s) + len(union) - len(np.union1d(s, union))) >= PERCENT * len(s):
+            # a group's members are of one component, so that one link is enough
             for i, m in members.items():
                 if i != q and _similar(s, m):
                     yield min(q, i), max(q, i)
+                    break
 
 
 def parts(count: Column, tokens: Column) -> Column:
@@ -263,20 +267,22 @@ def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str,
     if bits is None:
         return rows.select("sid", "token").distinct(), ends
     new = bits
-    while new is not None:
+    for _ in range(ROUNDS):
         bits = bits | new
         # whoever has none of these tokens first stays as it is
         moved = token_rows(marks, asked, bits).select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
-        moved = checkpointed(token_sets(docs, id_filter(moved, "rep"), bits, text, id_col).dropDuplicates(["sid"]))
+        moved = checkpointed(token_sets(docs, id_filter(moved, "rep"), bits, text, id_col))
         new = frequent_filter(moved.select(F.explode("first").alias("token")).where(F.col("token") < LAST).groupBy("token").agg(F.count("*").alias("n")))
+        if new is None:
+            break
     theirs = moved.select("sid", F.explode("first").alias("token"))
     others = rows.select("sid", "token").union(token_rows(marks, asked, id_filter(theirs, "token", token_place))).join(moved.select("sid").hint("merge"), "sid", "left_anti")
-    ends = ends.join(moved.select("sid", F.element_at("first", -1).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
+    ends = ends.join(moved.groupBy("sid").agg(F.max(F.element_at("first", -1)).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
     return theirs.union(others).distinct(), ends
 
 
 def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(q, comp, sub): the groups that a set must ask; and (sid, comp, sub) of all members of such groups.
+    """(q, comp, sub, n, found): the groups that a set may have to ask; and (sid, comp, sub) of all sets.
 
     rows are first tokens (sid, token), ends the size and last first token of
     each set.
@@ -305,19 +311,29 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame) -> tuple[Data
     by_query = F.col("own") - F.col("found") <= F.col("n") - _share(F.col("n"), least)
     by_member = F.col("tokens") - F.col("found") <= F.col("n_lo") - _share(F.col("n"), F.col("n_lo"))
     may = F.when(F.col("last") <= F.col("last_lo"), by_query).when(F.col("size") == 1, by_member).otherwise(True)
-    asks = checkpointed(met.where(sized & may).select(F.col("sid").alias("q"), F.col("g").alias("comp"), F.col("g_sub").alias("sub"), "n"))
-    members = named.select("sid", "comp", "sub").join(asks.select("comp", "sub").distinct().hint("merge"), ["comp", "sub"])
-    return asks, members
+    asks = checkpointed(met.where(sized & may).select(F.col("sid").alias("q"), F.col("g").alias("comp"), F.col("g_sub").alias("sub"), "n", "found"))
+    return asks, named.select("sid", "comp", "sub")
 
 
-def opened_links(asks: DataFrame, members: DataFrame, sets: DataFrame) -> DataFrame:
+def opened_links(asks: DataFrame, named: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): links between queries and the groups they ask; many queries of one group are dealt into blocks."""
-    sizes = asks.groupBy("comp", "sub").agg(parts(F.count("*"), F.sum("n")).alias("blocks"))
-    sizes = checkpointed(sizes)
+    sizes = checkpointed(asks.groupBy("comp", "sub").agg(parts(F.count("*"), F.sum("n")).alias("blocks")))
     q = asks.join(sizes.hint("merge"), ["comp", "sub"]).select("comp", "sub", F.pmod(F.xxhash64("q"), F.col("blocks")).alias("block"), F.col("q").alias("sid"), F.lit(True).alias("asks"))
-    m = members.join(sizes.hint("merge"), ["comp", "sub"]).select("comp", "sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "sid", F.lit(False).alias("asks"))
-    rows = q.union(m).join(sets.hint("merge"), "sid").select("comp", "sub", "block", "sid", "asks", "set")
-    return in_runs(rows, ["comp", "sub", "block"], opened)
+    m = named.join(sizes.hint("merge"), ["comp", "sub"]).select("comp", "sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "sid", F.lit(False).alias("asks"))
+    rows = checkpointed(q.union(m))
+    return in_runs(rows.join(sets_of(rows.select("sid")).hint("merge"), "sid").select("comp", "sub", "block", "sid", "asks", "set"), ["comp", "sub", "block"], opened)
+
+
+def linked_by_matrix(asks: DataFrame, named: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """links with those that the matrix finds: first the best group of each component that a set asks, then the rest of those not yet joined to it."""
+    best = checkpointed(asks.groupBy("q", "comp").agg(F.max_by(F.struct("sub", "n"), F.struct("found", "sub")).alias("x")).select("q", "comp", "x.sub", "x.n"))
+    links = checkpointed(links.union(opened_links(best, named, sets_of)).distinct())
+    now = components(links, "a", "b")
+    rest = asks.join(best.select("q", "comp", "sub").hint("merge"), ["q", "comp", "sub"], "left_anti")
+    for c in ("q", "comp"):
+        rest = rest.join(now.select(F.col("id").alias(c), F.col("component").alias(f"now_{c}")).hint("merge"), c, "left").withColumn(f"now_{c}", F.coalesce(f"now_{c}", c))
+    rest = checkpointed(rest.where("now_q <> now_comp").select("q", "comp", "sub", "n"))
+    return links if rest.isEmpty() else checkpointed(links.union(opened_links(rest, named, sets_of)).distinct())
 
 
 def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
@@ -328,16 +344,14 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
 
     def sets_of(sids):
         ids = sids.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
-        return token_sets(docs, id_filter(ids, "rep"), None, text, id_col).dropDuplicates(["sid"])
+        return token_sets(docs, id_filter(ids, "rep"), None, text, id_col)
 
     grouped = checkpointed(key_groups(reps))
     near = in_runs(grouped.join(sets_of(grouped.select("sid")).hint("merge"), "sid").select("r", "key", "sub", "sid", "set"), ["r", "key", "sub"], linked)
     links = checkpointed(near.distinct())
-    asks, members = candidates(*shared_tokens(marks, reps, docs, text, id_col), components(links, "a", "b"))
+    asks, named = candidates(*shared_tokens(marks, reps, docs, text, id_col), components(links, "a", "b"))
     if not asks.isEmpty():
-        members = checkpointed(members)
-        found = opened_links(asks, members, sets_of(asks.select(F.col("q").alias("sid")).union(members.select("sid"))))
-        links = checkpointed(links.union(found).distinct())
+        links = linked_by_matrix(asks, named, links, sets_of)
     comps = components(links, "a", "b").select(F.col("id").alias("sid"), "component")
     named = reps.select("sid", "rep").join(comps.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from dialoom.functions.rand import shuffle_key, uniform
@@ -153,18 +153,20 @@ def persona_id(features: Column) -> Column:
     return F.concat(F.lit("persona_"), F.substring(F.md5(F.concat(F.lit("{"), body, F.lit("}"))), 1, 12))
 
 
-def distances(personas: DataFrame, priority: tuple[str, ...] = (), weight: int = 2, key: str = "persona_id") -> DataFrame:
-    """(i, j, distance) of all pairs i < j: over all keys of either, the weight of those that differ.
+def _distance(a: Column, b: Column, priority: tuple[str, ...] = (), weight: int = 2) -> Column:
+    """The weight of the names in which two arrays of features differ, names that only one has among them."""
+    pair = lambda c: F.transform(c, lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value")))
+    name = lambda c: F.transform(c, lambda x: x["name"])
+    same = F.transform(F.array_intersect(pair(a), pair(b)), lambda x: x["name"])
+    differ = F.array_except(F.array_union(name(a), name(b)), same)
+    heavy = F.size(F.filter(differ, lambda n: n.isin(*priority))) if priority else F.lit(0)
+    return (F.size(differ) + heavy * (weight - 1)).cast("bigint")
 
-    An equi-join on the name gives each pair's common dimensions. Two personas
-    without one have no row: they differ in everything.
-    """
-    w = F.when(F.col("f.name").isin(*priority), weight).otherwise(1) if priority else F.lit(1)
-    long = personas.select(F.col(key).alias("id"), F.explode("features").alias("f")).select("id", "f.name", "f.value", w.cast("bigint").alias("w"))
-    size = long.groupBy("id").agg(F.sum("w").alias("size"))
-    a, b = long.alias("a"), long.alias("b")
-    both = a.join(b, (F.col("a.name") == F.col("b.name")) & (F.col("a.id") < F.col("b.id"))).groupBy(F.col("a.id").alias("i"), F.col("b.id").alias("j")).agg(F.sum("a.w").alias("common"), F.sum(F.when(F.col("a.value") == F.col("b.value"), F.col("a.w")).otherwise(0)).alias("same"))
-    return both.join(size.select(F.col("id").alias("i"), F.col("size").alias("si")), "i").join(size.select(F.col("id").alias("j"), F.col("size").alias("sj")), "j").select("i", "j", (F.col("si") + F.col("sj") - F.col("common") - F.col("same")).alias("distance"))
+
+def distances(personas: DataFrame, pairs: DataFrame, priority: tuple[str, ...] = (), weight: int = 2, key: str = "persona_id") -> DataFrame:
+    """(i, j, distance) of the given pairs: over all names of either, the weight of those that differ."""
+    side = lambda c: personas.select(F.col(key).alias(c), F.col("features").alias(f"__{c}"))
+    return pairs.join(side("i"), "i").join(side("j"), "j").select("i", "j", _distance(F.col("__i"), F.col("__j"), priority, weight).alias("distance"))
 
 
 def mean_distance(personas: DataFrame) -> DataFrame:
@@ -178,38 +180,105 @@ def mean_distance(personas: DataFrame) -> DataFrame:
     return each.groupBy("n").agg((F.sum("d") / F.first(pairs(F.col("n")))).alias("distance")).select(F.col("n").cast("bigint").alias("n"), "distance")
 
 
-def close_pairs(personas: DataFrame, min_distance: int, key: str = "persona_id") -> DataFrame:
+def close_pairs(personas: DataFrame, min_distance: int, key: str = "persona_id", priority: tuple[str, ...] = (), weight: int = 2) -> DataFrame:
     """(i, j, distance) of the pairs i < j that lie less than min_distance apart.
 
-    Names are dealt into min_distance groups. Two personas so close differ in
-    fewer names than there are groups, so they agree in all of some group, and
-    a join on that group's features finds them.
+    Names are dealt into min_distance groups, by their order, so that none is
+    empty. Two personas so close differ in fewer names than there are groups,
+    as a name weighs one at least, so they agree in all of some group, and a
+    join on that group's features finds them. A distance beyond the number of
+    names, where all pairs may be close, is an error.
     """
-    part = lambda g: F.filter("features", lambda x: F.pmod(F.xxhash64(x["name"]), F.lit(min_distance)) == g)
+    names = sorted(r.name for r in personas.select(F.explode("features.name").alias("name")).distinct().limit(MOST_NAMES + 1).collect())
+    if len(names) > MOST_NAMES:
+        raise ValueError(f"more than {MOST_NAMES} names")
+    if min_distance > max(len(names), 1):
+        raise ValueError(f"{len(names)} names are too few for a distance of {min_distance}")
+    part = lambda g: F.filter("features", lambda x: x["name"].isin(*names[g::min_distance]))
     groups = F.array(*[F.struct(F.lit(g).alias("g"), part(g).alias("part")) for g in range(min_distance)])
     pair = lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))
     slim = personas.select(F.col(key).alias("id"), F.transform("features", pair).alias("features"))
     rows = slim.select("id", "features", F.explode(groups).alias("x")).select("id", "features", "x.g", F.xxhash64(F.array_sort("x.part")).alias("sig"))
     a, b = rows.alias("a"), rows.alias("b")
-    name = lambda c: F.transform(c, lambda x: x["name"])
-    distance = F.size(F.array_union(name("a.features"), name("b.features"))) - F.size(F.array_intersect("a.features", "b.features"))
     met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")))
-    return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), distance.cast("bigint").alias("distance")).where(F.col("distance") < min_distance).distinct()
+    return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), _distance(F.col("a.features"), F.col("b.features"), priority, weight).alias("distance")).where(F.col("distance") < min_distance).distinct()
 
 
-def diverse_personas(spark: SparkSession, n: int, bank: list[Dimension], seed: str, min_distance: int = 3, max_attempts: int = 50, **how) -> DataFrame:
-    """n personas that lie min_distance apart: in each round the later of two close ones draws anew.
+#: Names of features that are told apart; a bank has some dozens.
+MOST_NAMES = 1000
 
-    After max_attempts the last draw stays. The loop ends when none is close;
-    only the number of close ones comes to the driver.
+
+def accept_first(personas: DataFrame, min_distance: int, key: str = "persona_id", priority: tuple[str, ...] = (), weight: int = 2) -> DataFrame:
+    """The personas that a pass in order of their keys accepts: those that lie min_distance from all accepted before.
+
+    Equal personas are one, as the first decides for all. On the graph of close
+    pairs each round settles many at once: who has no undecided neighbour
+    before it is accepted, and its neighbours behind it go. The result is that
+    of the pass one by one; only whether it is over comes to the driver.
+    """
+    if min_distance < 1:
+        return personas
+    features = F.array_sort(F.transform("features", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))))
+    once = checkpointed(personas.withColumn("__f", features).groupBy("__f").agg(F.min(key).alias(key), F.min_by("features", key).alias("features")).drop("__f"))
+    left = checkpointed(close_pairs(once, min_distance, key, priority, weight).select("i", "j"))
+    gone = once.select(F.col(key).alias("id")).limit(0)
+    while not left.isEmpty():
+        waiting = left.select(F.col("j").alias("id")).distinct()
+        accepted = checkpointed(left.select(F.col("i").alias("id")).distinct().join(waiting, "id", "left_anti"))
+        new = checkpointed(left.join(accepted.select(F.col("id").alias("i")), "i").select(F.col("j").alias("id")).distinct())
+        gone = gone.union(new)
+        settled = accepted.union(new)
+        left = checkpointed(left.join(settled.select(F.col("id").alias("i")), "i", "left_anti").join(settled.select(F.col("id").alias("j")), "j", "left_anti"))
+    kept = once.select(key).join(gone.select(F.col("id").alias(key)), key, "left_anti")
+    return personas.join(kept, key, "left_semi")
+
+
+def diverse_personas(ids: DataFrame, bank: list[Dimension], seed: str, min_distance: int = 3, max_attempts: int = 50, key: str = "persona_id", priority: tuple[str, ...] = (), **how) -> DataFrame:
+    """A persona for each id, min_distance apart: whoever the pass in order of ids rejects draws anew.
+
+    Each round draws for the rejected and passes over all again, with the
+    accepted before the new. After max_attempts the last draw stays, as a
+    persona for each id was asked for.
+    """
+    drawn = checkpointed(sample_personas(ids.withColumn("attempt", F.lit(0)), bank, seed, key=key, attempt=F.col("attempt"), **how))
+    for attempt in range(1, max_attempts):
+        order = drawn.withColumn("__at", F.struct("attempt", key))
+        kept = checkpointed(accept_first(order, min_distance, "__at", priority).select(key))
+        rejected = checkpointed(drawn.select(key).join(kept, key, "left_anti"))
+        if rejected.isEmpty():
+            break
+        again = sample_personas(rejected.withColumn("attempt", F.lit(attempt)), bank, seed, key=key, attempt=F.col("attempt"), **how)
+        drawn = checkpointed(drawn.join(kept, key, "left_semi").unionByName(again.select(*drawn.columns)))
+    return drawn
+
+
+def observed_bank(df: DataFrame, name: str, value: str, category: Column, constraint: Column) -> DataFrame:
+    """A bank of what a table holds: a dimension for each name with its sorted values; category and constraint are aggregates."""
+    rows = df.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name"), F.col(value).alias("value")).agg(category.alias("category"), constraint.alias("is_constraint"))
+    return rows.groupBy("name").agg(F.max("category").alias("category"), F.bool_or("is_constraint").alias("is_constraint"), F.sort_array(F.collect_list("value")).alias("values"))
+
+
+def apportioned(seen: DataFrame, n: int, seed: str, stratum: str = "stratum", count: str = "seen") -> DataFrame:
+    """seen with a quota: how many of n new draws each stratum gets, so that the least filled are filled first and evenly.
+
+    The level to which water poured over the counts would rise: with the m
+    lowest of them under it, it is (n + their sum) / m. What is left of whole
+    levels goes to the first strata of a shuffled order. One row a stratum is
+    ordered.
     """
-    state = spark.range(n).select(F.col("id").alias("persona_id"), F.lit(0).alias("attempt"))
-    while True:
-        drawn = checkpointed(sample_personas(state, bank, seed, attempt=F.col("attempt"), **how))
-        close = close_pairs(drawn, min_distance).select(F.col("j").alias("persona_id")).distinct().withColumn("again", F.lit(1))
-        state = checkpointed(drawn.select("persona_id", "attempt").join(close, "persona_id", "left").select("persona_id", (F.col("attempt") + F.when((F.col("again") == 1) & (F.col("attempt") < max_attempts - 1), 1).otherwise(0)).alias("attempt")))
-        if state.join(drawn.select("persona_id", F.col("attempt").alias("was")), "persona_id").where("attempt <> was").isEmpty():
-            return drawn
+    every = Window.partitionBy(F.lit(0))
+    order = every.orderBy(count, shuffle_key(seed, stratum), stratum)
+    upto = order.rowsBetween(Window.unboundedPreceding, 0)
+    rows = seen.withColumn("__m", F.row_number().over(order)).withColumn("__sum", F.sum(count).over(upto))
+    under = F.max(F.when(F.col(count) * F.col("__m") - F.col("__sum") <= n, F.struct("__m", "__sum"))).over(every)
+    rows = rows.withColumn("__u", under)
+    m, volume = F.col("__u.__m"), F.col("__u.__sum") + n
+    level = F.floor(volume / m)
+    lowest = F.col("__m") <= m
+    place = F.row_number().over(every.orderBy(lowest.desc(), shuffle_key(seed, stratum), stratum))
+    extra = F.when(lowest & (place <= volume - level * m), 1).otherwise(0)
+    quota = F.when(lowest, F.greatest(level - F.col(count), F.lit(0)) + extra).otherwise(0)
+    return rows.withColumn("quota", quota.cast("bigint")).drop("__m", "__sum", "__u")
 
 
 def resolve_others(value: Column, proposal: Column | None) -> Column:

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialoom.functions.rand import shuffle_key
 from dialoom.functions.text import first_truthy
+from dialoom.operators.selection import parted
 
 
 def interactions(messages: DataFrame, key: str = "conv_id") -> DataFrame:
@@ -94,11 +94,10 @@ def export_statistics(samples: DataFrame, path: str, persona: str = "persona_id"
 
 
 def split(df: DataFrame, key: str, seed: str, train: float = 0.8, val: float = 0.1) -> DataFrame:
-    """train, val or test for each row: exact sizes, cut off a shuffled order by truncation."""
-    rows = ranked(df, [shuffle_key(seed, key), F.col(key)])
+    """train, val or test for each row: exact sizes, cut off a shuffled order by truncation; no row is shuffled."""
     n = df.count()
-    a, b = int(n * train), int(n * train) + int(n * val)
-    return rows.withColumn("split", F.when(F.col("rn") <= a, "train").when(F.col("rn") <= b, "val").otherwise("test")).drop("rn")
+    part = parted(df, key, seed, [int(n * train), int(n * val)], "__part")
+    return part.withColumn("split", F.when(F.col("__part") == 0, "train").when(F.col("__part") == 1, "val").otherwise("test")).drop("__part")
 
 
 def keep_first(df: DataFrame, keys: list[Column | str], pos: str, bypass: Column | None = None) -> DataFrame:
@@ -136,8 +135,7 @@ def stored_query_id(source: Column, text: Column, *ids: Column) -> Column:
 def disjoint_subsets(df: DataFrame, key: str, seed: str, n_first: int, n_second: int) -> DataFrame:
     """part 1 and part 2 of so many rows each, without a common key; an error if there are too few."""
     once = df.groupBy(key).agg(F.count("*").alias("copies"))
-    rows = ranked(once, [shuffle_key(seed, key), F.col(key)]).where(F.col("rn") <= n_first + n_second)
-    n = rows.count()
+    n = once.count()
     if n < n_first + n_second:
         raise ValueError(f"{n_first + n_second} distinct rows wanted, {n} there")
-    return rows.withColumn("part", F.when(F.col("rn") <= n_first, 1).otherwise(2)).drop("rn")
+    return parted(once, key, seed, [n_first, n_second], "__part").where("__part < 2").withColumn("part", (F.col("__part") + 1).cast("int")).drop("__part")

@@ -33,15 +33,19 @@ def _(spark, d):
     return said.select("doc_id", F.when(F.col("answer") == "", F.col("query")).otherwise(F.col("answer")).alias("noisy"))
 
 
+def _ids(spark, d):
+    return table(spark, d, "documents").select(F.col("doc_id").alias("persona_id")).distinct()
+
+
 @query("t29_persona_prompts")
 def _(spark, d):
-    p = personas.sample_personas(spark.range(50).withColumnRenamed("id", "persona_id"), personas.default_bank(), "t29")
+    p = personas.sample_personas(_ids(spark, d), personas.default_bank(), "t29")
     return dialogue.formulate(p, dialogue.MockClient(), min_length=5).select("persona_id", "system_prompt")
 
 
 @query("c05b_persona_batch")
 def _(spark, d):
-    p = personas.sample_personas(spark.range(50).withColumnRenamed("id", "persona_id"), personas.default_bank(), "c05b")
+    p = personas.sample_personas(_ids(spark, d), personas.default_bank(), "c05b")
     made = dialogue.formulate(p, dialogue.MockClient(empty_every=3), min_length=5)
     return made.where("system_prompt <> ''").select(personas.persona_id(F.col("features")).alias("persona_key"), "system_prompt", F.size("features").alias("num_features"))
 
@@ -88,9 +92,11 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", x.alias("x")).select("doc_id", F.size("x.inputs").cast("bigint").alias("n_inputs"), F.aggregate("x.weights", F.lit(0.0), lambda a, v: a + v).alias("weight_sum"))
 
 
-@query("m11_backoff", "SELECT a AS attempt, 0.5::DOUBLE * pow(2, a - 1) AS pause FROM range(1, 6) t(a)")
+@query("m11_backoff", "SELECT event_id, 1 + event_id % 5 AS attempt, 0.5::DOUBLE * pow(2, event_id % 5) AS pause FROM events WHERE event_type = 'error'")
 def _(spark, d):
-    return spark.range(1, 6).select(F.col("id").alias("attempt"), (F.lit(0.5) * F.pow(F.lit(2.0), F.col("id") - 1)).alias("pause"))
+    """The pause before each failed event is tried again."""
+    failed = table(spark, d, "events").where("event_type = 'error'").select("event_id", (1 + F.col("event_id") % 5).alias("attempt"))
+    return failed.withColumn("pause", F.lit(0.5) * F.pow(F.lit(2.0), F.col("attempt") - 1))
 
 
 @query("p11_log_projection", "SELECT event_id, event_type AS kind, value AS reward FROM events")
@@ -102,12 +108,12 @@ def _(spark, d):
 
 @query(
     "k08_usage_of_calls",
-    """WITH u AS (SELECT 4 AS i, 4 AS o FROM documents)
+    """WITH u AS (SELECT 2 * (1 + len(list_filter(string_split_regex(coalesce(text, ''), '\\s+'), lambda x: x <> ''))) AS i, 4 AS o FROM documents)
 SELECT s.scope, s.name, count(*) AS calls, sum(i)::BIGINT AS input_tokens, sum(o)::BIGINT AS output_tokens, sum(i + o)::BIGINT AS total_tokens
 FROM u, (VALUES ('all', ''), ('module', 'greeting'), ('model', 'mock/mock')) s(scope, name) GROUP BY s.scope, s.name""",
 )
 def _(spark, d):
-    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("REPLY\n"), F.coalesce("lang", F.lit("none"))).alias("prompt"))
+    asked = table(spark, d, "documents").select("doc_id", F.concat(F.lit("REPLY\n"), F.coalesce("text", F.lit(""))).alias("prompt"))
     said = dialogue.ask(asked, dialogue.MockClient(), "prompt", "answer", usage="calls")
     return usage.totals(dialogue.usage_rows(said, dialogue.MockClient(), "greeting", "calls"))
 

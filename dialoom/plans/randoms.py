@@ -5,33 +5,42 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from dialoom.functions.rand import choice, normal, shuffle_key, uniform
-from dialoom.operators import dialogue, personas, samples
+from dialoom.operators import dialogue, personas, samples, selection
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import sql_normal, sql_shuffle, sql_uniform, table
 
 BANK = personas.default_bank()
 BANK_SQL = "bank(ord, name, category, is_constraint, vals) AS (VALUES " + ", ".join(f"({i}, '{d.name}', '{d.category}', {str(d.is_constraint).lower()}, [{', '.join(repr(v) for v in d.values)}])" for i, d in enumerate(BANK)) + ")"
-N = 200
 
 
-@query("s01_bank", f"WITH {BANK_SQL} SELECT ord, name, category, is_constraint, len(vals)::INT AS n_values, list_contains(vals, 'others') AS has_others FROM bank")
+def _observed(spark, d):
+    """A dimension for each source, its values the languages seen there."""
+    return personas.observed_bank(table(spark, d, "documents"), "source", "lang", F.when(F.max("n_chars") > 9000, "constraint").otherwise("behavioral"), F.max("n_chars") > 12000)
+
+
+OBSERVED_SQL = """v AS (SELECT source AS name, lang AS value, CASE WHEN max(n_chars) > 9000 THEN 'constraint' ELSE 'behavioral' END AS category, max(n_chars) > 12000 AS is_constraint FROM documents WHERE source IS NOT NULL GROUP BY ALL),
+bank AS (SELECT name, max(category) AS category, bool_or(is_constraint) AS is_constraint, list(value ORDER BY value) FILTER (value IS NOT NULL) AS vals FROM v GROUP BY name)"""
+
+
+@query("s01_bank", f"WITH {OBSERVED_SQL} SELECT name, category, is_constraint, len(vals)::INT AS n_values, list_contains(vals, 'en') AS has_en FROM bank")
 def _(spark, d):
-    return personas.bank_frame(spark, BANK).select("ord", "name", "category", "is_constraint", F.size("values").alias("n_values"), F.array_contains("values", "others").alias("has_others"))
+    return _observed(spark, d).select("name", "category", "is_constraint", F.size("values").alias("n_values"), F.array_contains("values", "en").alias("has_en"))
 
 
-@query("p01_constraint_dimensions", f"WITH {BANK_SQL} SELECT name, category FROM bank WHERE is_constraint OR category = 'behavioral'")
+@query("p01_constraint_dimensions", f"WITH {OBSERVED_SQL} SELECT name, category FROM bank WHERE is_constraint OR category = 'behavioral'")
 def _(spark, d):
-    return personas.bank_frame(spark, BANK).where(F.coalesce("is_constraint", F.lit(False)) | (F.col("category") == "behavioral")).select("name", "category")
+    return _observed(spark, d).where(F.coalesce("is_constraint", F.lit(False)) | (F.col("category") == "behavioral")).select("name", "category")
 
 
-@query("p02_dimension_values", f"WITH {BANK_SQL} SELECT name, unnest(vals) AS value, unnest(range(len(vals)))::INT AS pos FROM bank WHERE name IN ('dim_03', 'dim_20')")
+@query("p02_dimension_values", f"WITH {OBSERVED_SQL} SELECT name, unnest(vals) AS value, unnest(range(len(vals)))::INT AS pos FROM bank WHERE name IN (SELECT min(source) FROM documents UNION SELECT max(source) FROM documents)")
 def _(spark, d):
-    return personas.bank_frame(spark, BANK).where(F.col("name").isin("dim_03", "dim_20")).select("name", F.posexplode("values").alias("pos", "value"))
+    ends = table(spark, d, "documents").agg(F.array(F.min("source"), F.max("source")).alias("n")).select(F.explode("n").alias("name")).distinct()
+    return _observed(spark, d).join(ends, "name", "left_semi").select("name", F.posexplode("values").alias("pos", "value"))
 
 
-def _draw_sql(seed: str, n: int, least: int, most: int, required: tuple[str, ...] = ()) -> str:
+def _draw_sql(seed: str, least: int, most: int, required: tuple[str, ...] = ()) -> str:
     fixed = f"name IN ({', '.join(repr(r) for r in required)})" if required else "false"
-    return f"""{BANK_SQL}, x AS (SELECT p AS persona_id, b.*, CASE WHEN {fixed} THEN 0 WHEN {sql_uniform(seed + '/in', 'p', 'name')} < 0.7::DOUBLE THEN 1 ELSE 2 END AS prio FROM range({n}) t(p), bank b),
+    return f"""{BANK_SQL}, x AS (SELECT p AS persona_id, b.*, CASE WHEN {fixed} THEN 0 WHEN {sql_uniform(seed + '/in', 'p', 'name')} < 0.7::DOUBLE THEN 1 ELSE 2 END AS prio FROM (SELECT DISTINCT doc_id AS p FROM documents) t, bank b),
       r AS (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY prio, {sql_shuffle(seed + '/order', 'persona_id', 'name')}, ord) AS rn, greatest({least}, least({most}, count(*) FILTER (prio <= 1) OVER (PARTITION BY persona_id))) AS n FROM x),
       f AS (SELECT persona_id, ord, name, is_constraint, vals[least(floor({sql_uniform(seed + '/value', 'persona_id', 'name')} * len(vals))::INT, len(vals) - 1) + 1] AS value FROM r WHERE rn <= n)"""
 
@@ -40,47 +49,62 @@ def _exploded(df):
     return df.select("persona_id", F.explode("features").alias("f")).select("persona_id", "f.ord", "f.name", "f.value")
 
 
-def _ids(spark, n=N):
-    return spark.range(n).select(F.col("id").alias("persona_id"))
+def _ids(spark, d):
+    """A persona for each document."""
+    return table(spark, d, "documents").select(F.col("doc_id").alias("persona_id")).distinct()
 
 
-@query("r02_random_personas", f"WITH {_draw_sql('r02', N, 15, 15)} SELECT persona_id, ord, name, value FROM f")
+@query("r02_random_personas", f"WITH {_draw_sql('r02', 15, 15)} SELECT persona_id, ord, name, value FROM f")
 def _(spark, d):
-    return _exploded(personas.sample_personas(_ids(spark), BANK, "r02"))
+    return _exploded(personas.sample_personas(_ids(spark, d), BANK, "r02"))
 
 
-@query("r01_bounded_personas", f"WITH {_draw_sql('r01', N, 20, 25)} SELECT persona_id, count(*) AS n FROM f GROUP BY persona_id")
+@query("r01_bounded_personas", f"WITH {_draw_sql('r01', 20, 25)} SELECT persona_id, count(*) AS n FROM f GROUP BY persona_id")
 def _(spark, d):
-    return personas.sample_personas(_ids(spark), BANK, "r01", least=20, most=25).select("persona_id", F.size("features").cast("bigint").alias("n"))
+    return personas.sample_personas(_ids(spark, d), BANK, "r01", least=20, most=25).select("persona_id", F.size("features").cast("bigint").alias("n"))
 
 
-@query("r06_required_dimensions", f"WITH {_draw_sql('r06', N, 15, 18, ('dim_02', 'dim_30'))} SELECT persona_id, ord, name, value FROM f")
+@query("r06_required_dimensions", f"WITH {_draw_sql('r06', 15, 18, ('dim_02', 'dim_30'))} SELECT persona_id, ord, name, value FROM f")
 def _(spark, d):
-    return _exploded(personas.sample_personas(_ids(spark), BANK, "r06", least=15, most=18, required=("dim_02", "dim_30")))
+    return _exploded(personas.sample_personas(_ids(spark, d), BANK, "r06", least=15, most=18, required=("dim_02", "dim_30")))
 
 
 @query(
     "r07_constraint_bounds",
-    f"""WITH {_draw_sql('r07', N, 15, 15)}, c AS (SELECT persona_id, count(*) FILTER (is_constraint) AS n_con, count(*) AS n FROM f GROUP BY persona_id)
+    f"""WITH {_draw_sql('r07', 15, 15)}, c AS (SELECT persona_id, count(*) FILTER (is_constraint) AS n_con, count(*) AS n FROM f GROUP BY persona_id)
     SELECT persona_id, least(greatest(n_con, 6), 7) AS n_constraints, n + least(greatest(n_con, 6), 7) - n_con AS n_features FROM c""",
 )
 def _(spark, d):
-    p = personas.bounded_constraints(personas.sample_personas(_ids(spark), BANK, "r07"), BANK, "r07", 6, 7)
+    p = personas.bounded_constraints(personas.sample_personas(_ids(spark, d), BANK, "r07"), BANK, "r07", 6, 7)
     cons = [x.name for x in BANK if x.is_constraint]
     return p.select("persona_id", F.size(F.filter("features", lambda x: x["name"].isin(*cons))).cast("bigint").alias("n_constraints"), F.size("features").cast("bigint").alias("n_features"))
 
 
 @query(
     "r03_balanced_strata",
-    f"WITH o AS (SELECT c, i, row_number() OVER (PARTITION BY c ORDER BY {sql_shuffle('r03', 'c', 'i')}, i) - 1 AS pos FROM range(20) a(c), range(12) b(i)) SELECT p AS persona_id, i::INT AS stratum FROM range({N}) t(p) JOIN o ON o.c = p // 12 AND o.pos = p % 12",
+    f"WITH c AS (SELECT DISTINCT doc_id // 12 AS c FROM documents), o AS (SELECT c, i, row_number() OVER (PARTITION BY c ORDER BY {sql_shuffle('r03', 'c', 'i')}, i) - 1 AS pos FROM c, range(12) b(i)) SELECT p.doc_id AS persona_id, i::INT AS stratum FROM (SELECT DISTINCT doc_id FROM documents) p JOIN o ON o.c = p.doc_id // 12 AND o.pos = p.doc_id % 12",
 )
 def _(spark, d):
-    return _ids(spark).select("persona_id", personas.stratum(F.col("persona_id"), 12, "r03").alias("stratum"))
+    return _ids(spark, d).select("persona_id", personas.stratum(F.col("persona_id"), 12, "r03").alias("stratum"))
 
 
-@query("u05_strata_product", f"WITH {BANK_SQL}, a AS (SELECT unnest(vals) AS x, unnest(range(len(vals))) AS i FROM bank WHERE name = 'dim_00'), b AS (SELECT unnest(vals) AS y, unnest(range(len(vals))) AS j FROM bank WHERE name = 'dim_02') SELECT x, y, (row_number() OVER (ORDER BY i, j) - 1)::INT AS pos FROM a, b")
+@query(
+    "r03_apportioned_strata",
+    f"""WITH s AS (SELECT lang || '/' || source AS stratum, count(*) AS seen FROM documents WHERE lang IS NOT NULL AND source IS NOT NULL GROUP BY ALL), n AS (SELECT sum(seen)::BIGINT // 2 AS n FROM s),
+    slots AS (SELECT stratum, seen + k AS level FROM s, n, range(n) t(k)), taken AS (SELECT stratum, row_number() OVER (ORDER BY level, {sql_shuffle('r03/level', 'stratum')}, stratum) AS place FROM slots)
+    SELECT stratum, seen, (SELECT count(*) FROM taken t WHERE t.stratum = s.stratum AND place <= (SELECT n FROM n)) AS quota FROM s""",
+)
 def _(spark, d):
-    return spark.createDataFrame([(*v, i) for i, v in enumerate(personas.strata_values(BANK, ["dim_00", "dim_02"]))], "x string, y string, pos int")
+    """Half as many new draws as there are documents, to the strata that have least."""
+    seen = table(spark, d, "documents").select(F.concat("lang", F.lit("/"), "source").alias("stratum")).where("stratum IS NOT NULL").groupBy("stratum").agg(F.count("*").alias("seen"))
+    return personas.apportioned(seen, seen.agg(F.sum("seen")).first()[0] // 2, "r03/level")
+
+
+@query("u05_strata_product", "WITH a AS (SELECT list(DISTINCT lang ORDER BY lang) FILTER (lang IS NOT NULL) AS x, list(DISTINCT source ORDER BY source) FILTER (source IS NOT NULL) AS y FROM documents), i AS (SELECT *, unnest(range(len(x))) AS i FROM a), j AS (SELECT *, unnest(range(len(y))) AS j FROM i) SELECT x[i + 1] AS x, y[j + 1] AS y, (i * len(y) + j)::INT AS pos FROM j")
+def _(spark, d):
+    """Every language with every source that occurs."""
+    sets = table(spark, d, "documents").agg(F.sort_array(F.collect_set("lang")).alias("xs"), F.sort_array(F.collect_set("source")).alias("ys"))
+    return sets.select("ys", F.posexplode("xs").alias("i", "x")).select("i", "x", F.size("ys").alias("n"), F.posexplode("ys").alias("j", "y")).select("x", "y", (F.col("i") * F.col("n") + F.col("j")).cast("int").alias("pos"))
 
 
 RULES = [
@@ -91,29 +115,53 @@ RULES = [
 
 @query(
     "r04_rule_chain",
-    f"""WITH {BANK_SQL}, a AS (SELECT p AS persona_id, 'd00_v' || (p % 4) AS a, 'd02_v' || (p % 5) AS b, 'd04_v0' AS c FROM range({N}) t(p)),
+    f"""WITH {BANK_SQL}, a AS (SELECT p AS persona_id, 'd00_v' || (p % 4) AS a, 'd02_v' || (p % 5) AS b, 'd04_v0' AS c FROM (SELECT DISTINCT doc_id AS p FROM documents) t),
     s AS (SELECT persona_id, a, CASE WHEN a IN ('d00_v0', 'd00_v1') AND {sql_uniform('r04/0', 'persona_id')} < 0.8::DOUBLE THEN 'd02_v3' ELSE b END AS b, c FROM a)
     SELECT persona_id, a, b, CASE WHEN b = 'd02_v3' AND {sql_uniform('r04/1', 'persona_id')} < 0.9::DOUBLE THEN (SELECT vals FROM bank WHERE name = 'dim_04')[least(floor({sql_uniform('r04/1/v', 'persona_id')} * {len(BANK[4].values)})::INT, {len(BANK[4].values) - 1}) + 1] ELSE c END AS c FROM s""",
 )
 def _(spark, d):
     start = F.create_map(F.lit("dim_00"), F.concat(F.lit("d00_v"), (F.col("persona_id") % 4).cast("string")), F.lit("dim_02"), F.concat(F.lit("d02_v"), (F.col("persona_id") % 5).cast("string")), F.lit("dim_04"), F.lit("d04_v0"))
     f = personas.apply_rules(start, F.col("persona_id"), BANK, RULES, "r04")
-    return _ids(spark).select("persona_id", f.alias("f")).select("persona_id", *[F.element_at("f", k).alias(n) for k, n in (("dim_00", "a"), ("dim_02", "b"), ("dim_04", "c"))])
+    return _ids(spark, d).select("persona_id", f.alias("f")).select("persona_id", *[F.element_at("f", k).alias(n) for k, n in (("dim_00", "a"), ("dim_02", "b"), ("dim_04", "c"))])
+
+
+@query(
+    "j09_pair_distances",
+    f"""WITH {_draw_sql('j09', 15, 15)}, n AS (SELECT persona_id AS i, lead(persona_id) OVER (ORDER BY persona_id) AS j FROM (SELECT DISTINCT persona_id FROM f)),
+    u AS (SELECT n.i, n.j, f.name FROM n JOIN f ON f.persona_id IN (n.i, n.j) WHERE n.j IS NOT NULL GROUP BY ALL)
+    SELECT u.i, u.j, count(*) FILTER (a.value IS DISTINCT FROM b.value) AS distance FROM u LEFT JOIN f a ON a.persona_id = u.i AND a.name = u.name LEFT JOIN f b ON b.persona_id = u.j AND b.name = u.name GROUP BY u.i, u.j""",
+)
+def _(spark, d):
+    """Each persona against the next one."""
+    ids = samples.ranked(_ids(spark, d), [F.col("persona_id")])
+    pairs = ids.select("rn", F.col("persona_id").alias("i")).join(ids.select((F.col("rn") - 1).alias("rn"), F.col("persona_id").alias("j")), "rn").select("i", "j")
+    return personas.distances(personas.sample_personas(_ids(spark, d), BANK, "j09"), pairs)
 
 
-@query("j09_pair_distances", f"WITH {_draw_sql('j09', 60, 15, 15)}, s AS (SELECT persona_id, count(*) AS n FROM f GROUP BY persona_id), c AS (SELECT a.persona_id AS i, b.persona_id AS j, count(*) AS common, count(*) FILTER (a.value = b.value) AS same FROM f a JOIN f b ON a.name = b.name AND a.persona_id < b.persona_id GROUP BY ALL) SELECT i, j, x.n + y.n - common - same AS distance FROM c JOIN s x ON x.persona_id = i JOIN s y ON y.persona_id = j")
+def _document_features(spark, d):
+    """Documents as personas: what they are, and a few more values by their ids."""
+    docs = table(spark, d, "documents")
+    size = F.floor(F.log2(F.coalesce("n_chars", F.lit(0)) + 1)).cast("string")
+    more = [F.struct(F.lit(f"by_{m}").alias("name"), (F.xxhash64("doc_id", F.lit(m)) % m).cast("string").alias("value")) for m in (11, 13, 17, 19)]
+    named = [F.struct(F.lit(n).alias("name"), F.coalesce(c, F.lit("none")).alias("value")) for n, c in (("lang", F.col("lang")), ("source", F.col("source")), ("size", size))]
+    return docs.select(F.col("doc_id").alias("persona_id"), F.array(*named, *more).alias("features"))
+
+
+@query("r08_accepted_documents")
 def _(spark, d):
-    return personas.distances(personas.sample_personas(_ids(spark, 60), BANK, "j09"))
+    """The documents that a pass in order of their ids accepts, no two nearer than three, where the source counts twice."""
+    return personas.accept_first(_document_features(spark, d), 3, priority=("source",)).select("persona_id")
 
 
 @query("r08_diverse_personas")
 def _(spark, d):
-    return personas.diverse_personas(spark, 40, BANK, "r08").select("persona_id", personas.persona_id(F.col("features")).alias("persona_key"), F.size("features").alias("n"))
+    drawn = personas.diverse_personas(_ids(spark, d), BANK, "r08", min_distance=4)
+    return drawn.select("persona_id", personas.persona_id(F.col("features")).alias("persona_key"), F.size("features").alias("n"))
 
 
-@query("d03_persona_ids", f"WITH {_draw_sql('d03', N, 15, 15)} SELECT persona_id, 'persona_' || substr(md5('{{' || string_agg('\"' || name || '\": \"' || value || '\"', ', ' ORDER BY name) || '}}'), 1, 12) AS persona_key FROM f GROUP BY persona_id")
+@query("d03_persona_ids", f"WITH {_draw_sql('d03', 15, 15)} SELECT persona_id, 'persona_' || substr(md5('{{' || string_agg('\"' || name || '\": \"' || value || '\"', ', ' ORDER BY name) || '}}'), 1, 12) AS persona_key FROM f GROUP BY persona_id")
 def _(spark, d):
-    return personas.sample_personas(_ids(spark), BANK, "d03").select("persona_id", personas.persona_id(F.col("features")).alias("persona_key"))
+    return personas.sample_personas(_ids(spark, d), BANK, "d03").select("persona_id", personas.persona_id(F.col("features")).alias("persona_key"))
 
 
 @query("r09_resolve_others", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'very_new_' || lang ELSE lang END AS value FROM documents")
@@ -136,22 +184,30 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", F.greatest(F.lit(2.0), F.least(F.lit(5.0), F.rint(normal("r11", 3.0, 0.5, "doc_id")))).cast("int").alias("target_turns"))
 
 
-@query("r12_random_allocation", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {sql_shuffle('r12', 'doc_id')}, doc_id) AS rn FROM documents) SELECT (rn - 1) // 5 AS persona_id, doc_id FROM r WHERE rn <= 200")
+# A persona for each ten documents; each takes some queries.
+_PERSONAS = "(SELECT count(*) // 10 FROM documents)"
+
+
+def _wanted(spark, d, each):
+    return table(spark, d, "documents").count() // 10 * each
+
+
+@query("r12_random_allocation", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {sql_shuffle('r12', 'doc_id')}, doc_id) AS rn FROM documents) SELECT (rn - 1) // 5 AS persona_id, doc_id FROM r WHERE rn <= 5 * {_PERSONAS}")
 def _(spark, d):
-    top = table(spark, d, "documents").select("doc_id").orderBy(shuffle_key("r12", "doc_id"), "doc_id").limit(200)
-    r = samples.ranked(top, [shuffle_key("r12", "doc_id"), F.col("doc_id")])
-    return r.select(F.floor((F.col("rn") - 1) / 5).alias("persona_id"), "doc_id")
+    top = selection.first_rows(table(spark, d, "documents").select("doc_id"), "doc_id", "r12", _wanted(spark, d, 5))
+    return selection.numbered(top, "doc_id", "r12").select(F.floor((F.col("rn") - 1) / 5).alias("persona_id"), "doc_id")
 
 
-@query("r13_round_robin_allocation", "WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE doc_id % 3 <> 0) SELECT (rn - 1) // 4 AS persona_id, doc_id FROM r WHERE rn <= 100")
+@query("r13_round_robin_allocation", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS rn FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE doc_id IS NOT NULL)) SELECT (rn - 1) // 4 AS persona_id, doc_id FROM r WHERE rn <= 4 * {_PERSONAS}")
 def _(spark, d):
-    free = table(spark, d, "documents").where(F.col("doc_id") % 3 != 0).select("doc_id").orderBy("doc_id").limit(100)
-    return samples.ranked(free, [F.col("doc_id")]).select(F.floor((F.col("rn") - 1) / 4).alias("persona_id"), "doc_id")
+    """Queries without a label are free, and go round in order."""
+    free = table(spark, d, "documents").select("doc_id").join(table(spark, d, "labels").select("doc_id"), "doc_id", "left_anti")
+    return samples.ranked(free, [F.col("doc_id")]).where(F.col("rn") <= _wanted(spark, d, 4)).select(F.floor((F.col("rn") - 1) / 4).alias("persona_id"), "doc_id")
 
 
-@query("r14_reset_and_redraw", f"SELECT doc_id FROM documents ORDER BY {sql_shuffle('r14/second', 'doc_id')}, doc_id LIMIT 40")
+@query("r14_reset_and_redraw", f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {sql_shuffle('r14/second', 'doc_id')}, doc_id) AS rn FROM documents) SELECT doc_id FROM r WHERE rn <= {_PERSONAS}")
 def _(spark, d):
-    return table(spark, d, "documents").select("doc_id").orderBy(shuffle_key("r14/second", "doc_id"), "doc_id").limit(40)
+    return selection.first_rows(table(spark, d, "documents").select("doc_id"), "doc_id", "r14/second", _wanted(spark, d, 1))
 
 
 LAYERS = [("surface_noise", 0.5), ("incomplete_info", 0.3), ("semantic_ambiguity", 0.2)]
@@ -202,11 +258,14 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", (~(u > 0.4)).alias("applied"), (u < 0.4).alias("selected"))
 
 
-@query("r20_queries_per_persona", f"WITH r AS (SELECT doc_id, text, row_number() OVER (ORDER BY {sql_shuffle('r20', 'doc_id')}, doc_id) AS rn FROM documents) SELECT (rn - 1) // 5 AS persona_id, doc_id, greatest(2, least(5, round_even({sql_normal('r20/turns', 3.0, 0.5, 'doc_id')}, 0)))::INT AS target_turns FROM r WHERE rn <= 100")
+@query(
+    "r20_queries_per_persona",
+    f"WITH r AS (SELECT doc_id, row_number() OVER (ORDER BY {sql_shuffle('r20', 'doc_id')}, doc_id) AS rn FROM documents) SELECT (rn - 1) // 5 AS persona_id, doc_id, greatest(2, least(5, round_even({sql_normal('r20/turns', 3.0, 0.5, 'doc_id')}, 0)))::INT AS target_turns FROM r WHERE rn <= 5 * {_PERSONAS}",
+)
 def _(spark, d):
-    r = samples.ranked(table(spark, d, "documents").select("doc_id").orderBy(shuffle_key("r20", "doc_id"), "doc_id").limit(100), [shuffle_key("r20", "doc_id"), F.col("doc_id")])
+    top = selection.first_rows(table(spark, d, "documents").select("doc_id"), "doc_id", "r20", _wanted(spark, d, 5))
     turns = F.greatest(F.lit(2.0), F.least(F.lit(5.0), F.rint(normal("r20/turns", 3.0, 0.5, "doc_id")))).cast("int")
-    return r.select(F.floor((F.col("rn") - 1) / 5).alias("persona_id"), "doc_id", turns.alias("target_turns"))
+    return selection.numbered(top, "doc_id", "r20").select(F.floor((F.col("rn") - 1) / 5).alias("persona_id"), "doc_id", turns.alias("target_turns"))
 
 
 @query("j11_strategy_lines", "SELECT doc_id, '1. **typo**: neighbouring keys' || chr(10) || '2. **' || lang || '**: ' || lang AS lines FROM documents")
@@ -215,10 +274,10 @@ def _(spark, d):
     return table(spark, d, "documents").select("doc_id", dialogue.strategy_lines(names, {"typo": "neighbouring keys"}).alias("lines"))
 
 
-@query("j12_preferred_values", f"WITH {BANK_SQL} SELECT name, CASE WHEN name = 'dim_03' THEN 'd03_v1' ELSE array_to_string(vals, ',') END AS allowed FROM bank")
+@query("j12_preferred_values", f"WITH {OBSERVED_SQL} SELECT name, CASE WHEN list_has_any(vals, ['en', 'nowhere']) THEN 'en' ELSE array_to_string(vals, ',') END AS allowed FROM bank")
 def _(spark, d):
-    both = F.array_intersect(F.array(F.lit("d03_v1"), F.lit("elsewhere")), "values")
-    return personas.bank_frame(spark, BANK).select("name", F.array_join(F.when(F.size(both) > 0, both).otherwise(F.col("values")), ",").alias("allowed"))
+    both = F.array_intersect(F.array(F.lit("en"), F.lit("nowhere")), "values")
+    return _observed(spark, d).select("name", F.array_join(F.when(F.size(both) > 0, both).otherwise(F.col("values")), ",").alias("allowed"))
 
 
 def _dialogues(spark, d):

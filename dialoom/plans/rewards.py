@@ -136,9 +136,12 @@ def _(spark, d):
     return x.select("event_id", F.size("x.weights").cast("bigint").alias("n"), total(F.col("x.weights")).alias("weight_sum"), total(F.col("x.advantages")).alias("advantage_sum"))
 
 
-@query("m05_learning_rate", "SELECT s AS step, round(CASE WHEN s < 20 THEN 0.0001::DOUBLE * s / 20 ELSE 0.00001::DOUBLE + 0.5::DOUBLE * 0.00009::DOUBLE * (1 + cos(pi() * (s - 20) / 180.0::DOUBLE)) END, 12) AS lr FROM range(200) t(s)")
+@query("m05_learning_rate", "WITH s AS (SELECT DISTINCT event_id // 50 AS s FROM events), n AS (SELECT count(*) AS n, greatest(1, count(*) // 10) AS w FROM s) SELECT s AS step, round(CASE WHEN s < w THEN 0.0001::DOUBLE * s / w ELSE 0.00001::DOUBLE + 0.5::DOUBLE * 0.00009::DOUBLE * (1 + cos(pi() * (s - w) / (n - w)::DOUBLE)) END, 12) AS lr FROM s, n")
 def _(spark, d):
-    return spark.range(200).select(F.col("id").alias("step"), F.round(arith.learning_rate(F.col("id"), 200, 1e-4, 1e-5, 20), 12).alias("lr"))
+    """A rate for each step of fifty events, a tenth of them to warm up."""
+    steps = _events(spark, d).select(F.floor(F.col("event_id") / 50).alias("step")).distinct()
+    n = steps.count()
+    return steps.select("step", F.round(arith.learning_rate(F.col("step"), n, 1e-4, 1e-5, max(1, n // 10)), 12).alias("lr"))
 
 
 @query("m06_left_truncation", "WITH x AS (SELECT event_id, event_id % 9 AS p, event_id % 6 AS c FROM events) SELECT event_id, CASE WHEN c >= 4 THEN 0 ELSE least(p, 4 - c) END AS kept_prompt, least(c, 4) AS kept_completion, CASE WHEN c < 4 AND least(p, 4 - c) > 0 THEN p - least(p, 4 - c) + 1 END AS first_prompt FROM x")

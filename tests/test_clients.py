@@ -139,10 +139,16 @@ def test_bank_and_strategies_from_files(tmp_path):
 def test_close_pairs_and_the_mean(spark):
     bank = [personas.Dimension(f"d{i}", "basic_info", False, ("a", "b")) for i in range(6)]
     drawn = personas.sample_personas(spark.range(40).withColumnRenamed("id", "persona_id"), bank, "s", least=3, most=6).cache()
-    all_pairs = {(r.i, r.j): r.distance for r in personas.distances(drawn).collect()}
+    ids = drawn.select("persona_id")
+    every = ids.select(F.col("persona_id").alias("i")).crossJoin(ids.select(F.col("persona_id").alias("j"))).where("i < j")
+    all_pairs = {(r.i, r.j): r.distance for r in personas.distances(drawn, every).collect()}
     rows = {r.persona_id: {f.name: f.value for f in r.features} for r in drawn.collect()}
     plain = {(i, j): sum(x.get(k) != y.get(k) for k in x.keys() | y.keys()) for i, x in rows.items() for j, y in rows.items() if i < j}
-    assert all(plain[p] == d for p, d in all_pairs.items())
+    assert all_pairs == plain
+    heavy = {(r.i, r.j): r.distance for r in personas.distances(drawn, every, ("d0", "d3"), 3).collect()}
+    assert heavy == {(i, j): sum((3 if k in ("d0", "d3") else 1) for k in x.keys() | y.keys() if x.get(k) != y.get(k)) for i, x in rows.items() for j, y in rows.items() if i < j}
+    with pytest.raises(ValueError, match="too few"):
+        personas.close_pairs(drawn, 7)
     for least in (1, 2, 3, 5):
         got = {(r.i, r.j): r.distance for r in personas.close_pairs(drawn, least).collect()}
         assert got == {p: d for p, d in plain.items() if d < least}

@@ -162,9 +162,9 @@ def test_scored_evaluation(spark):
 @tables
 def test_persona_prompts(spark):
     made = run(spark, "t29_persona_prompts", "persona_id")
-    assert len(made) == 50 and all(re.fullmatch(r"answer \d+", r.system_prompt) for r in made.values())
+    assert len(made) == 200 and all(re.fullmatch(r"answer \d+", r.system_prompt) for r in made.values())
     batch = catalog.queries()["c05b_persona_batch"](spark, SF).collect()
-    assert 20 < len(batch) < 50 and all(r.num_features == 15 and re.fullmatch(r"persona_[0-9a-f]{12}", r.persona_key) for r in batch)
+    assert 80 < len(batch) < 200 and all(r.num_features == 15 and re.fullmatch(r"persona_[0-9a-f]{12}", r.persona_key) for r in batch)
 
 
 @tables

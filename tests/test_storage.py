@@ -108,8 +108,8 @@ def test_personas(spark):
         assert 15 <= len(names) <= 20 and "dim_05" in names and [f.ord for f in r.features] == sorted(f.ord for f in r.features)
         assert all(f.value in personas.dimension(bank, f.name).values for f in r.features)
     few = personas.default_bank()[:4]
-    close = personas.diverse_personas(spark, 12, few, "d", min_distance=2, max_attempts=20, least=3, most=4)
-    assert personas.distances(close).where("distance < 2").count() == 0
+    close = personas.diverse_personas(spark.range(12).withColumnRenamed("id", "persona_id"), few, "d", min_distance=2, max_attempts=20, least=3, most=4)
+    assert close.count() == 12 and personas.close_pairs(close, 2).count() == 0
     with pytest.raises(KeyError):
         personas.dimension(bank, "nope")
     with pytest.raises(ValueError, match="unknown strategy"):

@@ -15,6 +15,27 @@ def interactions(messages: DataFrame, key: str = "conv_id") -> DataFrame:
     return messages.groupBy(key).agg(F.array_sort(F.collect_list(msg)).alias("messages"))
 
 
+#: What stands between the texts of a history.
+TURN_MARK = "\x1f"
+
+
+def histories(messages: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, history): a conversation's texts joined once, in turn order."""
+    m = F.array_sort(F.collect_list(F.struct(F.col("turn"), F.coalesce("text", F.lit("")).alias("text"))))
+    return messages.groupBy(key).agg(F.array_join(F.transform(m, lambda x: x["text"]), TURN_MARK).alias("history"))
+
+
+def history_ends(messages: DataFrame, key: str = "conv_id") -> DataFrame:
+    """(key, turn, upto): the history before a turn is the first `upto` characters of its conversation's.
+
+    A running sum of lengths; so what is kept is in proportion to a
+    conversation, whatever its number of turns, and prefixes are taken when read.
+    """
+    before = Window.partitionBy(key).orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
+    size = F.length(F.coalesce("text", F.lit(""))) + len(TURN_MARK)
+    return messages.select(key, "turn", size.alias("__n")).select(key, "turn", F.greatest(F.coalesce(F.sum("__n").over(before), F.lit(0)) - len(TURN_MARK), F.lit(0)).alias("upto"))
+
+
 def user_prompts(messages: Column) -> Column:
     """What the user said, in order."""
     return F.transform(F.filter(messages, lambda m: m["role"] == "user"), lambda m: F.coalesce(m["content"], F.lit("")))

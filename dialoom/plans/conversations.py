@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from dialoom.functions.rand import shuffle_key
 from dialoom.operators import prep, samples
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import INTER_SQL, N_PERSONAS, interactions, query_items, sql_shuffle, table
-from dialoom.sources import storage
+from dialoom.sources import keyed, storage
 
 
 def _turns():
@@ -149,10 +151,21 @@ def _(spark, d):
     return table(spark, d, "conversations").select("conv_id", "turn", F.row_number().over(w).cast("bigint").alias("message_no"), F.sum((F.col("role") == "user").cast("bigint")).over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("exchange_no"))
 
 
-@query("w08_history_so_far", "SELECT conv_id, turn, md5(coalesce(string_agg(text, chr(31)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS so_far_md5 FROM conversations")
+_SO_FAR = "SELECT conv_id, turn, md5(coalesce(string_agg(text, chr(31)) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '')) AS so_far_md5 FROM conversations"
+
+
+@query("w08_history_so_far", _SO_FAR)
 def _(spark, d):
-    w = Window.partitionBy("conv_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    return table(spark, d, "conversations").select("conv_id", "turn", F.md5(F.array_join(F.collect_list("text").over(w), "\x1f")).alias("so_far_md5"))
+    """Each turn's history as a prefix of its conversation's one text, taken when it is read."""
+    said = table(spark, d, "conversations")
+    turns = samples.history_ends(said).join(samples.histories(said), "conv_id")
+    return turns.select("conv_id", "turn", F.md5(F.substr("history", F.lit(1), F.col("upto").cast("int"))).alias("so_far_md5"))
+
+
+@query("w08_history_sizes", "SELECT conv_id, turn, coalesce(sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) - 1, 0)::BIGINT AS n_chars FROM conversations")
+def _(spark, d):
+    """How long each turn's history is, from the offsets alone."""
+    return samples.history_ends(table(spark, d, "conversations")).withColumnRenamed("upto", "n_chars")
 
 
 @query("w06_keep_first_text", "SELECT min(doc_id) AS doc_id, md5(text) AS text_md5 FROM documents GROUP BY text")
@@ -203,6 +216,29 @@ def _(spark, d):
     return storage.without_keys(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels"), "doc_id")
 
 
+def _keyed(spark, d):
+    path = f"{storage.checkpoint_dir(spark)}/keyed-{uuid.uuid4().hex}"
+    kept = keyed.KeyedTable.create(spark, path, "doc_id bigint, text string, state string", "doc_id", 16)
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    kept.upsert(docs.where("doc_id % 2 = 0").withColumn("state", F.lit("old")))
+    return kept, docs
+
+
+@query("k01_keyed_upsert", "SELECT doc_id, md5(text) AS text_md5, CASE WHEN doc_id % 3 = 0 THEN 'new' ELSE 'old' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
+def _(spark, d):
+    """Documents written to a table by buckets of their key, and some of them written again."""
+    kept, docs = _keyed(spark, d)
+    kept.upsert(docs.where("doc_id % 3 = 0").withColumn("state", F.lit("new")))
+    return kept.read().select("doc_id", F.md5("text").alias("text_md5"), "state")
+
+
+@query("k02_keyed_delete", "SELECT doc_id, 'old' AS state FROM documents WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM labels)")
+def _(spark, d):
+    kept, _ = _keyed(spark, d)
+    kept.delete(table(spark, d, "labels"))
+    return kept.read().select("doc_id", "state")
+
+
 @query("k05_append_first_wins", "SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 'old' ELSE 'new' END AS state FROM documents WHERE doc_id % 2 = 0 OR doc_id % 3 = 0")
 def _(spark, d):
     docs = table(spark, d, "documents").select("doc_id")

@@ -44,6 +44,8 @@ class MockClient:
             return f"Score: {h % 5 + 1} of 5" if prompt.startswith("JUDGE 1-5") else f"Score: {h % 10 + 1}"
         if prompt.startswith("STYLE"):
             return json.dumps({"adapted_query": f"quick one: {prompt.rsplit(chr(10), 1)[-1]}", "inferred_domain": ("coding", "travel", "gardening")[h % 3], "inferred_scenario": ("casual", "learning")[h % 2]})
+        if prompt.startswith("INTENT"):
+            return ('```json\n{"intent": "book", "slots": {"n": "1"}, "compressed_text": "short"}\n```', 'Sure: {"slots": {"n": "2"}}', "no braces here", "")[len(prompt) % 4]
         return f"answer {h % 10_007}"
 
     def generate_with_tokens(self, prompt: str) -> tuple[str, int, int]:
@@ -269,6 +271,32 @@ def noised(df: DataFrame, key: str, col: str, client: Client, layers, strategies
     return off.unionByName(said.select(key, "text", F.when(clean == "", F.col("text")).otherwise(clean).alias("noisy_text"), "layer", "layer_index", "strategies"))
 
 
+INTENT_TEMPLATE = "INTENT\n{text}"
+
+
+def extract_intents(df: DataFrame, client: Client, key: str, col: str, template: str = INTENT_TEMPLATE, **how) -> DataFrame:
+    """(key, intent, slots, compressed_text, confidence) of each text, as a model reads it.
+
+    A fence around the answer, or words before its object, are passed over;
+    fields that it lacks take defaults. Where it holds no object, or there is no
+    answer, the first request verb names the intent, with half the confidence.
+    """
+    head, tail = template.split("{text}")
+    said_text = F.coalesce(col, F.lit(""))
+    said = ask(df.select(key, said_text.alias("__text"), F.concat(F.lit(head), said_text, F.lit(tail)).alias("__prompt")), client, "__prompt", "__answer", **how)
+    js = text.json_object(text.unfenced(F.col("__answer")))
+    said = said.withColumn("__js", F.when(js.startswith("{"), js))
+    found = F.col("__js").isNotNull()
+    field = lambda f, other: F.coalesce(F.get_json_object("__js", f"$.{f}"), other)
+    return said.select(
+        key,
+        F.when(found, field("intent", F.lit("unknown"))).otherwise(text.intent(F.col("__text"))).alias("intent"),
+        F.when(found, field("slots", F.lit("{}"))).otherwise("{}").alias("slots"),
+        F.when(found, field("compressed_text", F.col("__text"))).otherwise(F.col("__text")).alias("compressed_text"),
+        F.when(found, 1.0).otherwise(0.5).alias("confidence"),
+    )
+
+
 def style_transfer(df: DataFrame, client: Client, seed: str = "t28") -> DataFrame:
     """Queries in a persona's manner, with the domain and scenario that the model infers; known values only."""
     template = F.when(uniform(seed, "doc_id") < 0.5, "partial").otherwise("full")
@@ -299,7 +327,7 @@ def formulate(df: DataFrame, client: Client, min_length: int = 50, attempts: int
 
 
 def score_responses(df: DataFrame, client: Client, key: str, query: str, *more: str, workers: int = WORKERS) -> DataFrame:
-    """(key, more, scores): an answer to each query, judged twice from its first 2,000 characters; a failed judge scores 5."""
+    """(key, more, scores): an answer to each query, judged twice from its first 2,000 characters; a failed judge scores 5, and scores.failed says so."""
     from dialoom.operators.clients import pooled
 
     asked = df.select(key, *more, F.col(query).alias("__q"))
@@ -315,4 +343,4 @@ def score_responses(df: DataFrame, client: Client, key: str, query: str, *more:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.string())], [*b.schema.names[:-1], "s1", "s2"])
 
     schema = T.StructType([*asked.schema.fields[:-1], T.StructField("s1", T.StringType()), T.StructField("s2", T.StringType())])
-    return asked.mapInArrow(run, schema).select(key, *more, F.struct(text.ten_score(F.col("s1")).alias("persona_score"), text.ten_score(F.col("s2")).alias("task_score")).alias("scores"))
+    return asked.mapInArrow(run, schema).select(key, *more, F.struct(text.ten_score(F.col("s1")).alias("persona_score"), text.ten_score(F.col("s2")).alias("task_score"), ((F.col("s1") == "") | (F.col("s2") == "")).alias("failed")).alias("scores"))

@@ -12,7 +12,10 @@ import heapq
 import re
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SelectedColumn
 
 from dialoom.functions.noise import FILLERS, NEIGHBOURS, SYNONYMS
 
@@ -97,3 +100,27 @@ def noisy(df: DataFrame, key: str, text: str, strategy: str, out: str = "noisy")
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string())], [key, out])
 
     return slim.mapInArrow(run, f"`{key}` {slim.schema[key].dataType.simpleString()}, `{out}` string")
+
+
+class Noise:
+    """noise(TABLE(t), strategy, key => 'doc_id', text => 'text'): a row (key, noisy) for each row of a table, in SQL."""
+
+    @staticmethod
+    def analyze(rows: AnalyzeArgument, strategy: AnalyzeArgument, key: AnalyzeArgument | None = None, text: AnalyzeArgument | None = None) -> AnalyzeResult:
+        if strategy.value not in STRATEGIES:
+            raise ValueError(f"unknown strategy {strategy.value!r}; there are {', '.join(sorted(STRATEGIES))}")
+        names = [a.value if a is not None else other for a, other in ((key, "doc_id"), (text, "text"))]
+        fields = {f.name: f for f in rows.dataType.fields}
+        for n in names:
+            if n not in fields:
+                raise ValueError(f"the table has no column {n}")
+        return AnalyzeResult(T.StructType([fields[names[0]], T.StructField("noisy", T.StringType())]), select=[SelectedColumn(f"`{n}`") for n in names])
+
+    def eval(self, row: Row, strategy: str, key: str = "doc_id", text: str = "text"):
+        said = row[text]
+        yield row[key], None if said is None else STRATEGIES[strategy](said, row[key])
+
+
+def register(spark: SparkSession) -> None:
+    """The strategies as a table function of the session's catalogue."""
+    spark.udtf.register("noise", F.udtf(Noise, useArrow=False))

@@ -26,6 +26,11 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
+def oracle(name: str) -> str:
+    """The SQL of a query registered before, for another that gives the same rows."""
+    return _ORACLE[name]
+
+
 def _load() -> None:
     from dialoom.plans import core  # noqa: F401
 

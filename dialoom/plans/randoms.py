@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from dialoom.functions import text
 from dialoom.functions.rand import choice, normal, shuffle_key, uniform
 from dialoom.operators import dialogue, personas, samples, selection
 from dialoom.plans.catalog import query
@@ -312,3 +313,16 @@ def _(spark, d):
     return dialogue.style_transfer(docs, dialogue.MockClient())
 
 
+_VERBS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in text.INTENT_VERBS.items()) + "}"
+
+
+@query(
+    "t27c_intents",
+    f"""WITH d AS (SELECT doc_id, text AS t, (7 + length(text)) % 4 AS k, list_filter(string_split_regex(lower(text), '\\s+'), lambda w: element_at({_VERBS}, w) IS NOT NULL) AS hits FROM documents)
+    SELECT doc_id, CASE k WHEN 0 THEN 'book' WHEN 1 THEN 'unknown' ELSE coalesce({_VERBS}[hits[1]], 'general_request') END AS intent,
+      CASE k WHEN 0 THEN '{{"n":"1"}}' ELSE '{{}}' END AS slots, md5(CASE k WHEN 0 THEN 'short' ELSE t END) AS compressed_md5, CASE WHEN k < 2 THEN 1.0 ELSE 0.5 END::DOUBLE AS confidence FROM d""",
+)
+def _(spark, d):
+    """Intents as the mock model reads them: an answer in a fence, one whose innermost object has no field of these, one without an object, and none."""
+    said = dialogue.extract_intents(table(spark, d, "documents"), dialogue.MockClient(), "doc_id", "text")
+    return said.select("doc_id", "intent", "slots", F.md5("compressed_text").alias("compressed_md5"), "confidence")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from dialoom.functions import nested, noise, text
 from dialoom.functions.rand import uniform
 from dialoom.operators import noising
+from dialoom.plans import catalog
 from dialoom.plans.catalog import query
 from dialoom.plans.inputs import interactions, sql_shuffle, sql_strip, sql_uniform, table
 from dialoom.sources import scans, storage
@@ -222,6 +223,14 @@ query(
 )(lambda spark, d: noising.noisy(_docs(spark, d), "doc_id", "bit", "word_deletion"))
 
 
+@query("t22_word_deletions_sql", catalog.oracle("t22_word_deletions"))
+def _(spark, d):
+    """The same by the table function of the session's catalogue."""
+    noising.register(spark)
+    _docs(spark, d).select("doc_id", "bit").createOrReplaceTempView("t22_documents")
+    return spark.sql("SELECT doc_id, noisy FROM noise(TABLE(t22_documents), 'word_deletion', text => 'bit')")
+
+
 @query("t26_strategy_fanout", f"WITH s(strategy, p) AS (VALUES ('typo', 0.3), ('word_swap', 0.3), ('word_deletion', 0.3), ('word_insertion', 0.3), ('synonym', 0.3)) SELECT doc_id, strategy FROM documents, s WHERE NOT ({sql_uniform('t26', 'doc_id', 'strategy')} > 0.3::DOUBLE)")
 def _(spark, d):
     names = F.explode(F.array(*[F.lit(s) for s in noise.STRATEGIES])).alias("strategy")

@@ -138,12 +138,20 @@ def append_first_wins(existing: DataFrame, new: DataFrame, key: str) -> DataFram
 
 
 def export_dataset(df: DataFrame, path: str, features: bool = True, prompts: bool = True, prompt: str = "system_prompt", drop_empty: bool = True) -> None:
-    """JSON lines of the personas that have a prompt; drop_empty also leaves out empty ones."""
-    if not path.endswith((".json", ".jsonl")):
+    """The personas that have a prompt, as JSON lines or a YAML list by the path's ending; drop_empty also leaves out empty ones.
+
+    In YAML each is an entry in flow style, so the parts of the folder, one
+    after the other, are one list.
+    """
+    if not path.endswith((".json", ".jsonl", ".yaml", ".yml")):
         raise ValueError(f"unknown format: {path}")
     kept = df.where((F.coalesce(prompt, F.lit("")) != "") if drop_empty else F.col(prompt).isNotNull()) if prompts else df
     gone = ([] if features else ["features"]) + ([] if prompts else [prompt])
-    kept.drop(*gone).write.mode("overwrite").json(path)
+    kept = kept.drop(*gone)
+    if path.endswith((".yaml", ".yml")):
+        kept.select(F.concat(F.lit("- "), F.to_json(F.struct(*kept.columns)))).write.mode("overwrite").text(path)
+    else:
+        kept.write.mode("overwrite").json(path)
 
 
 def export_splits(df: DataFrame, path: str, split: str | None = "split") -> list[str]:

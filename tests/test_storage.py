@@ -48,6 +48,11 @@ def test_exports(spark, tmp_path):
     for empty, n in ((True, 1), (False, 2)):
         storage.export_dataset(df, str(tmp_path / f"x{n}.json"), drop_empty=empty)
         assert spark.read.json(str(tmp_path / f"x{n}.json")).count() == n
+    rows = spark.createDataFrame([("a: b", "p #1\n\"x\"", {"k": "yes"})], "persona_id string, system_prompt string, features map<string,string>")
+    storage.export_dataset(rows, str(tmp_path / "y.yaml"))
+    yaml = pytest.importorskip("yaml")
+    body = "".join(p.read_text() for p in sorted((tmp_path / "y.yaml").glob("part-*")))
+    assert yaml.safe_load(body) == [{"persona_id": "a: b", "system_prompt": 'p #1\n"x"', "features": {"k": "yes"}}]
     with pytest.raises(ValueError, match="unknown format"):
         storage.export_dataset(df, "x.csv")
     parts = storage.export_splits(samples.split(spark.range(25), "id", "s"), str(tmp_path / "s"))

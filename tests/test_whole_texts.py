@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.operators import dialogue
+from dialoom.operators import dialogue, noising
 from dialoom.plans import catalog
 
 TEXTS = [f"{i} start of a text " + "word " * (40 + i) + f"end{i}" for i in range(30)]
@@ -46,3 +46,16 @@ def test_every_document_gets_a_row(name, key, spark, tables, monkeypatch):
         monkeypatch.setattr(dialogue, f, lambda df, *a, real=real, **b: (seen.extend(r[0] for r in df.select("query").collect()), real(df, *a, **b))[1])
     assert {r[key] for r in catalog.queries()[name](spark, tables).collect()} == {100 * i for i in range(len(TEXTS))}
     assert sorted(seen) == sorted(TEXTS)
+
+
+def test_noise_in_sql(spark):
+    df = spark.createDataFrame([(k, " ".join(f"please make it fast number {i}" for i in range(40)), 1) for k in range(20)] + [(99, None, 1), (100, "", 1)], "doc_id bigint, text string, noisy int")
+    df.createOrReplaceTempView("some_documents")
+    noising.register(spark)
+    for name in noising.STRATEGIES:
+        want = sorted(map(str, noising.noisy(df, "doc_id", "text", name).collect()))
+        assert want == sorted(map(str, spark.sql(f"SELECT * FROM noise(TABLE(some_documents), '{name}')").collect()))
+    with pytest.raises(Exception, match="unknown strategy"):
+        spark.sql("SELECT * FROM noise(TABLE(some_documents), 'nothing')").collect()
+    with pytest.raises(Exception, match="no column"):
+        spark.sql("SELECT * FROM noise(TABLE(some_documents), 'typo', text => 'body')").collect()

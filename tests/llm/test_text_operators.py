@@ -455,3 +455,25 @@ def test_frames_in_variants_and_copies(spark):
     texts = sorted((r.page_id if r.page_id is not None else -1, r.text) for r in got)
     want = [(i, f"own {i}\n\nmore {i}") for i in range(80)] + [(100, "frame 0\n\nonly"), (101, "l1\n\nl2\n\nl3"), (102, "l1\n\nl2\n\nl3"), (7, "another text of page 7"), (-1, "no id"), (-1, "")]
     assert texts == sorted(want)
+
+
+# ---- names of parts, and articles beside the text
+
+
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ('<body class="no-sidebar"><div class="post no-sidebar"><p>Hello there</p></div></body>', ["Hello there"]),
+        ('<div id="content"><p>The long main text.</p></div><article class="teaser"><p>Read more</p></article>', ["The long main text."]),
+        ('<div id="content"><p>The long main text of a page.</p></div><article><p>Short</p></article>', ["The long main text of a page.", "Short"]),
+        ('<article><p>The text.</p></article><article class="comment"><p>nice post</p></article>', ["The text."]),
+        ('<article><p>The text.</p></article><article class="widget ad"><p>buy</p></article>', ["The text."]),
+        ("<main hidden><p>secret</p></main><p>open</p>", ["open"]),
+        ('<article><p>One.</p><div class="related-posts"><p>see</p></div><div class="share-price-table"><p>12</p></div></article>', ["One.", "12"]),
+        ('<article><div class="ad-hoc"><p>x</p></div><div id="comment-analysis"><p>y</p></div><p class="comment">z</p><div class="share-buttons">w</div></article>', ["x", "y", "z"]),
+        ('<div class="site-header"><p>a</p></div><div class="main-nav-wrapper"><p>b</p></div><p>T</p>', ["T"]),
+    ],
+)
+def test_names_of_parts(page, want):
+    bs = html.blocks(page)
+    assert [b.text for b, keep in zip(bs, html.keep_of(bs)[0]) if keep] == want

@@ -111,14 +111,15 @@ def token_place(token: Column) -> Column:
     return token.bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
-def token_rows(marks: DataFrame, asked: np.ndarray, tokens: np.ndarray | None = None) -> DataFrame:
-    """(sid, token): the first tokens, by the hash alone, of the documents in the filter asked; with a filter of tokens only those in it."""
-    shared = marks.sparkSession.sparkContext.broadcast((asked, tokens))  # filters of a fixed size
+def token_rows(sets: DataFrame, asked: np.ndarray | None = None, tokens: np.ndarray | None = None) -> DataFrame:
+    """(sid, token): the first tokens of sets (at, sid, first), of those in the filter asked; with a filter of tokens only those in it."""
+    shared = sets.sparkSession.sparkContext.broadcast((asked, tokens))  # filters of a fixed size
 
     def run(batches):
         asked, tokens = shared.value
         for b in batches:
-            b = b.filter(in_filter(asked, b.column(0)))
+            if asked is not None:
+                b = b.filter(in_filter(asked, b.column(0)))
             sid, first = b.column(1), b.column(2)
             rows = pa.RecordBatch.from_arrays([sid.take(pc.list_parent_indices(first)), first.flatten()], ["sid", "token"])
             if tokens is not None:
@@ -126,13 +127,12 @@ def token_rows(marks: DataFrame, asked: np.ndarray, tokens: np.ndarray | None =
             if rows.num_rows:
                 yield rows
 
-    rows = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select(filter_place(F.col("doc_id")).alias("at"), "sid", "first")
-    return in_batches(rows, run, "sid bigint, token bigint")
+    return in_batches(sets.select("at", "sid", "first"), run, "sid bigint, token bigint")
 
 
 def frequent_filter(counts: DataFrame) -> np.ndarray | None:
     """A bit for each frequent token of (token, n); the threshold rises until the tokens fit the filter. None without one."""
-    many = checkpointed(counts.where(F.col("n") > FREQUENT))
+    many = counts.where(F.col("n") > FREQUENT)
     least, size = FREQUENT, many.count()
     while size > FREQUENT_TOKENS:
         least *= 2
@@ -259,24 +259,29 @@ def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str,
     """(sid, token): first tokens that two sets or more have first; and (sid, n, last) of all sets."""
     same = Window.partitionBy("token")
     asked = id_filter(reps, "rep")
-    rows = token_rows(marks, asked).repartition("token")
+    sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select(filter_place(F.col("doc_id")).alias("at"), "sid", "first")
+    rows = token_rows(sets, asked).repartition("token")
     rows = rows.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same)).withColumn("n", F.count("*").over(same))
     rows = checkpointed(rows.where("lo < hi").select("sid", "token", "n"))
     ends = reps.select("sid", "n", "last")
-    bits = frequent_filter(rows.groupBy("token").agg(F.first("n").alias("n")))
-    if bits is None:
+    new = bits = frequent_filter(rows.groupBy("token").agg(F.first("n").alias("n")))
+    if new is None:
         return rows.select("sid", "token").distinct(), ends
-    new = bits
+    moved = None
     for _ in range(ROUNDS):
         bits = bits | new
-        # whoever has none of these tokens first stays as it is
-        moved = token_rows(marks, asked, bits).select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
-        moved = checkpointed(token_sets(docs, id_filter(moved, "rep"), bits, text, id_col))
+        # whoever has none of the new tokens first stays as it is
+        changed = token_rows(sets, asked, new).select("sid")
+        if moved is not None:
+            changed = changed.join(moved.select("sid").hint("merge"), "sid", "left_anti").union(token_rows(moved.withColumn("at", F.lit(0)), None, new).select("sid"))
+        ids = changed.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
+        again = checkpointed(token_sets(docs, id_filter(ids, "rep"), bits, text, id_col))
+        moved = again if moved is None else checkpointed(moved.join(again.select("sid").hint("merge"), "sid", "left_anti").union(again))
         new = frequent_filter(moved.select(F.explode("first").alias("token")).where(F.col("token") < LAST).groupBy("token").agg(F.count("*").alias("n")))
         if new is None:
             break
     theirs = moved.select("sid", F.explode("first").alias("token"))
-    others = rows.select("sid", "token").union(token_rows(marks, asked, id_filter(theirs, "token", token_place))).join(moved.select("sid").hint("merge"), "sid", "left_anti")
+    others = rows.select("sid", "token").union(token_rows(sets, asked, id_filter(theirs, "token", token_place))).join(moved.select("sid").hint("merge"), "sid", "left_anti")
     ends = ends.join(moved.groupBy("sid").agg(F.max(F.element_at("first", -1)).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
     return theirs.union(others).distinct(), ends
 
@@ -289,7 +294,6 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame) -> tuple[Data
     """
     same = Window.partitionBy("token")
     named = ends.join(comps.select(F.col("id").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
-    named = checkpointed(named)
     sizes = named.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("n")).select("comp", "members", parts(F.col("members"), F.col("n")).alias("subs"))
     named = checkpointed(named.join(sizes.hint("merge"), "comp").withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).withColumn("size", F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1).drop("subs"))
     groups = named.groupBy("comp", "sub").agg(
@@ -317,16 +321,16 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame) -> tuple[Data
 
 def opened_links(asks: DataFrame, named: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(a, b): links between queries and the groups they ask; many queries of one group are dealt into blocks."""
-    sizes = checkpointed(asks.groupBy("comp", "sub").agg(parts(F.count("*"), F.sum("n")).alias("blocks")))
+    sizes = asks.groupBy("comp", "sub").agg(parts(F.count("*"), F.sum("n")).alias("blocks"))
     q = asks.join(sizes.hint("merge"), ["comp", "sub"]).select("comp", "sub", F.pmod(F.xxhash64("q"), F.col("blocks")).alias("block"), F.col("q").alias("sid"), F.lit(True).alias("asks"))
     m = named.join(sizes.hint("merge"), ["comp", "sub"]).select("comp", "sub", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), "sid", F.lit(False).alias("asks"))
-    rows = checkpointed(q.union(m))
+    rows = q.union(m)
     return in_runs(rows.join(sets_of(rows.select("sid")).hint("merge"), "sid").select("comp", "sub", "block", "sid", "asks", "set"), ["comp", "sub", "block"], opened)
 
 
 def linked_by_matrix(asks: DataFrame, named: DataFrame, links: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """links with those that the matrix finds: first the best group of each component that a set asks, then the rest of those not yet joined to it."""
-    best = checkpointed(asks.groupBy("q", "comp").agg(F.max_by(F.struct("sub", "n"), F.struct("found", "sub")).alias("x")).select("q", "comp", "x.sub", "x.n"))
+    best = asks.groupBy("q", "comp").agg(F.max_by(F.struct("sub", "n"), F.struct("found", "sub")).alias("x")).select("q", "comp", "x.sub", "x.n")
     links = checkpointed(links.union(opened_links(best, named, sets_of)).distinct())
     now = components(links, "a", "b")
     rest = asks.join(best.select("q", "comp", "sub").hint("merge"), ["q", "comp", "sub"], "left_anti")
@@ -355,6 +359,6 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     comps = components(links, "a", "b").select(F.col("id").alias("sid"), "component")
     named = reps.select("sid", "rep").join(comps.hint("merge"), "sid", "left").withColumn("component", F.coalesce("component", "sid"))
     least = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    named = checkpointed(named.join(least.hint("merge"), "component").select("sid", "component_id"))
+    named = named.join(least.hint("merge"), "component").select("sid", "component_id")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id"))
     return marks.select("doc_id", "n_shingles", "sid").join(named, "sid", "left").select("doc_id", "n_shingles", component.alias("component_id"))

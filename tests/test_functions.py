@@ -87,3 +87,10 @@ def test_conversation_text(spark):
     df = spark.createDataFrame([(m,)], "m array<struct<role:string,content:string>>")
     assert df.select(text.conversation_text(F.col("m"))).first()[0] == "System: be\nUser: hi\nyo"
     assert df.select(text.conversation_text(F.col("m"), False)).first()[0] == "System: be\nUser: hi\n[ASSISTANT_RESPONSE]\n\n[ASSISTANT_RESPONSE]"
+
+
+def test_json_is_all_of_the_text(spark):
+    cases = {'{"a": 1}': True, " [1, 2] ": True, "12": True, '"x"': True, "null": True, "12 words after it": False, '"x" y': False, '{"a": 1} {"b": 2}': False, "1, 2": False, "1] [": False, '1, "': False, "": False}
+    got = spark.createDataFrame([(c,) for c in cases] + [(None,)], "c string").select("c", text.is_json(F.col("c")).alias("ok")).collect()
+    assert {r.c: r.ok for r in got} == cases | {None: False}
+    assert one(spark, text.feedback(F.lit("8294846167456848 tell me more"))) == "8294846167456848 tell me more"

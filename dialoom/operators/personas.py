@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+import math
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -180,46 +182,96 @@ def mean_distance(personas: DataFrame) -> DataFrame:
     return each.groupBy("n").agg((F.sum("d") / F.first(pairs(F.col("n")))).alias("distance")).select(F.col("n").cast("bigint").alias("n"), "distance")
 
 
-def close_pairs(personas: DataFrame, min_distance: int, key: str = "persona_id", priority: tuple[str, ...] = (), weight: int = 2) -> DataFrame:
-    """(i, j, distance) of the pairs i < j that lie less than min_distance apart.
-
-    Names are dealt into min_distance groups, by their order, so that none is
-    empty. Two personas so close differ in fewer names than there are groups,
-    as a name weighs one at least, so they agree in all of some group, and a
-    join on that group's features finds them. A distance beyond the number of
-    names, where all pairs may be close, is an error.
-    """
+def _groups(personas: DataFrame, min_distance: int) -> list[list[str]]:
+    """Names dealt by their order into groups, as many as leave MOST_KEYS ways to pass over min_distance - 1 of them."""
     names = sorted(r.name for r in personas.select(F.explode("features.name").alias("name")).distinct().limit(MOST_NAMES + 1).collect())
     if len(names) > MOST_NAMES:
         raise ValueError(f"more than {MOST_NAMES} names")
     if min_distance > max(len(names), 1):
         raise ValueError(f"{len(names)} names are too few for a distance of {min_distance}")
-    part = lambda g: F.filter("features", lambda x: x["name"].isin(*names[g::min_distance]))
-    groups = F.array(*[F.struct(F.lit(g).alias("g"), part(g).alias("part")) for g in range(min_distance)])
-    pair = lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))
-    slim = personas.select(F.col(key).alias("id"), F.transform("features", pair).alias("features"))
-    rows = slim.select("id", "features", F.explode(groups).alias("x")).select("id", "features", "x.g", F.xxhash64(F.array_sort("x.part")).alias("sig"))
-    a, b = rows.alias("a"), rows.alias("b")
-    met = a.join(b, (F.col("a.g") == F.col("b.g")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id")))
-    return met.select(F.col("a.id").alias("i"), F.col("b.id").alias("j"), _distance(F.col("a.features"), F.col("b.features"), priority, weight).alias("distance")).where(F.col("distance") < min_distance).distinct()
+    n = min_distance
+    while n < len(names) and math.comb(n + 1, min_distance - 1) <= MOST_KEYS:
+        n += 1
+    return [names[g::n] for g in range(n)]
+
+
+def _passed_over(weights: list[int], budget: int) -> list[tuple[int, ...]]:
+    """The sets of groups whose weights sum to budget at most and that no other group fits into."""
+    fit = [(s, budget - sum(weights[g] for g in s)) for k in range(budget // max(weights), min(budget, len(weights)) + 1) for s in itertools.combinations(range(len(weights)), k)]
+    return [s for s, left in fit if left >= 0 and all(w > left for g, w in enumerate(weights) if g not in s)]
+
+
+def _keyed(personas: DataFrame, groups: list[list[str]], min_distance: int, key: str, priority: tuple[str, ...], weight: int) -> tuple[DataFrame, int]:
+    """A row (id, sig, sig2) for each persona and each set of groups that may differ, and the number of sets: equal keys agree in all other groups."""
+    part = lambda names: F.array_sort(F.transform(F.filter("features", lambda x: x["name"].isin(*names)), lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"), x["value"].isNull().alias("none"))))
+    slim = personas.select(F.col(key).alias("id"), *[part(names).alias(f"__p{g}") for g, names in enumerate(groups)])
+    slim = slim.select("id", *[F.xxhash64(F.lit(salt), f"__p{g}").alias(f"__{salt}{g}") for salt in "ab" for g in range(len(groups))])
+    sets = _passed_over([min(weight if n in priority else 1 for n in names) for names in groups], min_distance - 1) if groups[0] else [()]
+    sig = lambda salt, i, s: F.xxhash64(F.lit(salt), F.lit(i), *[f"__{salt}{g}" for g in range(len(groups)) if g not in s])
+    keys = F.array(*[F.struct(sig("a", i, s).alias("sig"), sig("b", i, s).alias("sig2")) for i, s in enumerate(sets)])
+    return slim.select("id", F.explode(keys).alias("x")).select("id", "x.*"), len(sets)
+
+
+def close_pairs(personas: DataFrame, min_distance: int, key: str = "persona_id", priority: tuple[str, ...] = (), weight: int = 2) -> DataFrame:
+    """(i, j, distance) of the pairs i < j that lie less than min_distance apart.
+
+    Names are dealt into groups. Two personas so close differ in fewer groups
+    than min_distance, as a name weighs one at least, so they agree in all
+    groups but those of some set, and a join on what the other groups hold
+    finds them. The more groups, the less do distant personas meet. A distance
+    beyond the number of names, where all pairs may be close, is an error.
+    """
+    rows, _ = _keyed(personas, _groups(personas, min_distance), min_distance, key, priority, weight)
+    a, b = rows.select("id", "sig").alias("a"), rows.select("id", "sig").alias("b")
+    met = a.join(b, (F.col("a.sig") == F.col("b.sig")) & (F.col("a.id") < F.col("b.id"))).select(F.col("a.id").alias("i"), F.col("b.id").alias("j")).distinct()
+    return distances(personas, met, priority, weight, key).where(F.col("distance") < min_distance)
 
 
 #: Names of features that are told apart; a bank has some dozens.
 MOST_NAMES = 1000
+#: Keys of a persona in the search for close ones; more where the distance itself needs them.
+MOST_KEYS = 24
 
 
 def accept_first(personas: DataFrame, min_distance: int, key: str = "persona_id", priority: tuple[str, ...] = (), weight: int = 2) -> DataFrame:
     """The personas that a pass in order of their keys accepts: those that lie min_distance from all accepted before.
 
-    Equal personas are one, as the first decides for all. On the graph of close
-    pairs each round settles many at once: who has no undecided neighbour
-    before it is accepted, and its neighbours behind it go. The result is that
-    of the pass one by one; only whether it is over comes to the driver.
+    Equal personas are one, as the first decides for all. Each round settles
+    many at once: who has no undecided close persona before it is accepted, and
+    those close to it go. The result is that of the pass one by one; only
+    whether it is over comes to the driver. Where each name is a group of its
+    own, all personas of a key are close to each other, so the rounds need the
+    least of each key and make no pairs.
     """
     if min_distance < 1:
         return personas
     features = F.array_sort(F.transform("features", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))))
     once = checkpointed(personas.withColumn("__f", features).groupBy("__f").agg(F.min(key).alias(key), F.min_by("features", key).alias("features")).drop("__f"))
+    groups = _groups(once, min_distance)
+    if all(len(names) <= 1 for names in groups):
+        kept = _least_of_keys(once, groups, min_distance, key, priority, weight)
+    else:
+        kept = _without_close(once, min_distance, key, priority, weight)
+    return personas.join(kept, key, "left_semi")
+
+
+def _least_of_keys(once: DataFrame, groups: list[list[str]], min_distance: int, key: str, priority: tuple[str, ...], weight: int) -> DataFrame:
+    """The accepted ids, where all personas of a key are close: whoever is the least of all its keys is accepted, and its keys are closed."""
+    rows, n_sets = _keyed(once.where(F.col(key).isNotNull()), groups, min_distance, key, priority, weight)
+    left = checkpointed(rows)
+    accepted = once.select(F.col(key).alias("id")).limit(0)
+    while not left.isEmpty():
+        first = left.groupBy("sig", "sig2").agg(F.min("id").alias("first"))
+        new = checkpointed(first.groupBy(F.col("first").alias("id")).agg(F.count("*").alias("n")).where(F.col("n") == n_sets).select("id"))
+        accepted = accepted.union(new)
+        closed = left.join(new, "id", "left_semi").select("sig", "sig2")
+        gone = left.join(closed, ["sig", "sig2"], "left_semi").select("id").distinct()
+        left = checkpointed(left.join(gone, "id", "left_anti"))
+    return accepted.select(F.col("id").alias(key))
+
+
+def _without_close(once: DataFrame, min_distance: int, key: str, priority: tuple[str, ...], weight: int) -> DataFrame:
+    """The accepted ids, by rounds over the graph of close pairs."""
     left = checkpointed(close_pairs(once, min_distance, key, priority, weight).select("i", "j"))
     gone = once.select(F.col(key).alias("id")).limit(0)
     while not left.isEmpty():
@@ -229,8 +281,7 @@ def accept_first(personas: DataFrame, min_distance: int, key: str = "persona_id"
         gone = gone.union(new)
         settled = accepted.union(new)
         left = checkpointed(left.join(settled.select(F.col("id").alias("i")), "i", "left_anti").join(settled.select(F.col("id").alias("j")), "j", "left_anti"))
-    kept = once.select(key).join(gone.select(F.col("id").alias(key)), key, "left_anti")
-    return personas.join(kept, key, "left_semi")
+    return once.select(key).join(gone.select(F.col("id").alias(key)), key, "left_anti")
 
 
 def diverse_personas(ids: DataFrame, bank: list[Dimension], seed: str, min_distance: int = 3, max_attempts: int = 50, key: str = "persona_id", priority: tuple[str, ...] = (), **how) -> DataFrame:

@@ -108,3 +108,16 @@ def test_apportioned_as_draw_by_draw(spark):
                 now[k] += 1
             got = {r.stratum: r.seen + r.quota for r in personas.apportioned(df, n, "z").collect()}
             assert got == now
+
+
+# ---- diversity at size
+
+
+def test_dense_personas_are_accepted_without_pairs(spark, monkeypatch):
+    """4,000 personas of six names: hundreds of thousands of pairs are close, and none of them is made."""
+    rng = random.Random(9)
+    rows = {k: {f"d{i}": str(rng.randrange(5)) for i in range(6)} for k in range(4000)}
+    df = spark.createDataFrame([(k, list(f.items())) for k, f in rows.items()], "persona_id bigint, features array<struct<name:string,value:string>>")
+    monkeypatch.setattr(personas, "close_pairs", None)
+    got = personas.accept_first(df, 3, priority=("d2",))
+    assert sorted(r.persona_id for r in got.collect()) == one_by_one(rows, 3, ("d2",))

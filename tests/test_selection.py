@@ -121,3 +121,12 @@ def test_dense_personas_are_accepted_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(personas, "close_pairs", None)
     got = personas.accept_first(df, 3, priority=("d2",))
     assert sorted(r.persona_id for r in got.collect()) == one_by_one(rows, 3, ("d2",))
+
+
+def test_distant_personas_share_few_keys(spark):
+    """Personas of the whole bank lie far apart; a key holds few of them, and there are no more keys than MOST_KEYS for each."""
+    drawn = personas.sample_personas(spark.range(1500).withColumnRenamed("id", "persona_id"), personas.default_bank(), "s").cache()
+    rows, n = personas._keyed(drawn, personas._groups(drawn, 4), 4, "persona_id", (), 2)
+    met = rows.groupBy("sig").count().select(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("n")).first().n
+    assert n <= personas.MOST_KEYS and met < 20  # by four groups of names it would be 159
+    assert personas.close_pairs(drawn, 4).isEmpty()

@@ -166,8 +166,13 @@ def _distance(a: Column, b: Column, priority: tuple[str, ...] = (), weight: int
 
 
 def distances(personas: DataFrame, pairs: DataFrame, priority: tuple[str, ...] = (), weight: int = 2, key: str = "persona_id") -> DataFrame:
-    """(i, j, distance) of the given pairs: over all names of either, the weight of those that differ."""
-    side = lambda c: personas.select(F.col(key).alias(c), F.col("features").alias(f"__{c}"))
+    """(i, j, distance) of the given pairs: over all names of either, the weight of those that differ.
+
+    Spark takes an array for one element when it sizes a side that is computed
+    after a shuffle, and would send all features round by the driver; the hint
+    keeps them shuffled.
+    """
+    side = lambda c: personas.select(F.col(key).alias(c), F.col("features").alias(f"__{c}")).hint("merge")
     return pairs.join(side("i"), "i").join(side("j"), "j").select("i", "j", _distance(F.col("__i"), F.col("__j"), priority, weight).alias("distance"))
 
 

@@ -135,7 +135,7 @@ def _(spark, d):
 def _(spark, d):
     """Each persona against the next one."""
     ids = samples.ranked(_ids(spark, d), [F.col("persona_id")])
-    pairs = ids.select("rn", F.col("persona_id").alias("i")).join(ids.select((F.col("rn") - 1).alias("rn"), F.col("persona_id").alias("j")), "rn").select("i", "j")
+    pairs = ids.select("rn", F.col("persona_id").alias("i")).join(ids.select((F.col("rn") - 1).alias("rn"), F.col("persona_id").alias("j")).hint("merge"), "rn").select("i", "j")
     return personas.distances(personas.sample_personas(_ids(spark, d), BANK, "j09"), pairs)
 
 

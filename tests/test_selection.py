@@ -130,3 +130,10 @@ def test_distant_personas_share_few_keys(spark):
     met = rows.groupBy("sig").count().select(F.sum(F.col("count") * (F.col("count") - 1) / 2).alias("n")).first().n
     assert n <= personas.MOST_KEYS and met < 20  # by four groups of names it would be 159
     assert personas.close_pairs(drawn, 4).isEmpty()
+
+
+def test_features_are_not_sent_round(spark):
+    """Distances shuffle both sides, however small Spark takes the features for."""
+    drawn = personas.sample_personas(spark.range(30).withColumnRenamed("id", "persona_id").distinct(), personas.default_bank(), "s")
+    got = personas.distances(drawn, spark.range(29).selectExpr("id AS i", "id + 1 AS j"))
+    assert got.count() == 29 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()

@@ -347,8 +347,8 @@ def _(spark, d):
 
 @query("j13_target_and_history", f"WITH {INTER_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY persona_id ORDER BY num_turns, conv_id) AS rn FROM inter) SELECT t.persona_id, t.conv_id AS target, h.conv_id AS history FROM r t JOIN r h ON h.persona_id = t.persona_id AND h.conv_id <> t.conv_id WHERE t.rn = 1")
 def _(spark, d):
-    g = prep.target_and_history(interactions(spark, d).select("persona_id", "conv_id", _turns().alias("num_turns")), "persona_id", "conv_id")
-    return g.select("persona_id", F.col("target.conv_id").alias("target"), F.explode("history.conv_id").alias("history"))
+    rows = interactions(spark, d).select("persona_id", "conv_id", _turns().alias("num_turns"))
+    return prep.target_and_history(rows, "persona_id", "conv_id").select("persona_id", "target", F.col("conv_id").alias("history"))
 
 
 C11_SQL = f"""WITH s AS (

@@ -7,7 +7,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from dialoom.operators import personas, samples, selection
+from dialoom.operators import personas, prep, samples, selection
 from dialoom.plans import catalog
 
 SF = "/root/testdata/sf0.001"
@@ -137,3 +137,19 @@ def test_features_are_not_sent_round(spark):
     drawn = personas.sample_personas(spark.range(30).withColumnRenamed("id", "persona_id").distinct(), personas.default_bank(), "s")
     got = personas.distances(drawn, spark.range(29).selectExpr("id AS i", "id + 1 AS j"))
     assert got.count() == 29 and "Broadcast" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+# ---- targets and histories
+
+
+def test_a_key_of_many_rows_is_not_gathered(spark):
+    rng = random.Random(3)
+    rows = [(k % 3 if k % 7 else None, k, rng.choice([None, 1, 2, 3])) for k in range(500)] + [(8, 900, 1)]
+    df = spark.createDataFrame(rows, "p bigint, c bigint, num_turns bigint")
+    got = prep.target_and_history(df, "p", "c")
+    want = []
+    for key in {r[0] for r in rows}:
+        mine = sorted((t or 0, c) for p, c, t in rows if p == key)
+        want += [(key, mine[0][1], c) for _, c in mine[1:]]
+    assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select("p", "target", "c").collect())
+    assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()

@@ -93,14 +93,17 @@ def typos(text: Column, key: Column, intensity: float = 0.1, seed: str = "typo")
 
 def swaps(text: Column, key: Column, times: int = 2, seed: str = "swap") -> Column:
     """Neighbouring words change places; a lone word stays."""
-    words = words_of(text)
 
     def swap(ws, k):
-        i = _at(uniform(seed, key, k), F.size(ws) - 1)
-        return F.transform(ws, lambda x, j: F.when(j == i, F.get(ws, i + 1)).when(j == i + 1, F.get(ws, i)).otherwise(x))
+        place = F.array(_at(uniform(seed, key, k), F.size(ws) - 1))  # an element, so that it is drawn once and not at every word
+        done = lambda i: F.concat(F.slice(ws, F.lit(1), i), F.array(F.get(ws, i + 1), F.get(ws, i)), F.slice(ws, i + 3, F.size(ws)))
+        return F.get(F.transform(place, done), F.lit(0))
+
+    def swapped(words):
+        n = F.least(F.lit(times), F.floor(F.size(words) / 2).cast("int"))
+        return F.when(F.size(words) < 2, text).otherwise(F.array_join(F.aggregate(_times(n), words, swap), " "))
 
-    n = F.least(F.lit(times), F.floor(F.size(words) / 2).cast("int"))
-    return F.when(F.size(words) < 2, text).otherwise(F.array_join(F.aggregate(_times(n), words, swap), " "))
+    return F.get(F.transform(F.array(words_of(text)), swapped), F.lit(0))
 
 
 def deletions(text: Column, key: Column, rate: float = 0.05, seed: str = "del") -> Column:

@@ -94,3 +94,19 @@ def test_json_is_all_of_the_text(spark):
     got = spark.createDataFrame([(c,) for c in cases] + [(None,)], "c string").select("c", text.is_json(F.col("c")).alias("ok")).collect()
     assert {r.c: r.ok for r in got} == cases | {None: False}
     assert one(spark, text.feedback(F.lit("8294846167456848 tell me more"))) == "8294846167456848 tell me more"
+
+
+def test_swaps_draw_once_a_swap(spark):
+    """The draw stands outside the pass over the words, and the words change places one after another."""
+    texts = {k: " ".join(f"w{i}" for i in range(n)) for k, n in enumerate((0, 1, 2, 3, 4, 30))}
+    col = noise.swaps(F.col("t"), F.col("k"), times=3)
+    df = spark.createDataFrame(list(texts.items()), "k int, t string")
+    rows = df.select("k", col.alias("x"), F.transform(F.sequence(F.lit(1), F.lit(3)), lambda i: rand.uniform("swap", F.col("k"), i)).alias("u")).collect()
+    for r in rows:
+        w = texts[r.k].split()
+        for u in r.u[: min(3, len(w) // 2)]:
+            i = min(int(u * (len(w) - 1)), len(w) - 2)
+            w[i], w[i + 1] = w[i + 1], w[i]
+        assert r.x == " ".join(w)
+    assert df.select(col.alias("x"))._jdf.queryExecution().optimizedPlan().toString().count("md5(") == 1
+    assert one(spark, noise.swaps(F.lit(None).cast("string"), F.lit(1))) is None

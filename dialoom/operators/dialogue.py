@@ -19,6 +19,7 @@ from pyspark.sql import types as T
 
 from dialoom.functions import text
 from dialoom.functions.rand import choice, shuffle_key, uniform
+from dialoom.operators.batches import in_batches
 
 if TYPE_CHECKING:
     from dialoom.operators.ledger import Ledger
@@ -145,7 +146,7 @@ def simulate(tasks: DataFrame, client: Client, max_turns: int = 5, retries: int
 
     schema = "task_id bigint, messages array<struct<role:string,content:string,turn:int>>, num_turns int, attempts int"
     rows = tasks.select("task_id", "query", "persona", "target_turns")
-    return (ledger.dealt(rows, F.col("task_id")) if ledger else rows).mapInArrow(run, schema + (f", usage {USAGE}" if usage else ""))
+    return in_batches(ledger.dealt(rows, F.col("task_id")) if ledger else rows, run, schema + (f", usage {USAGE}" if usage else ""))
 
 
 def usage_rows(df: DataFrame, client: Client, module: str, col: str = "usage") -> DataFrame:
@@ -207,7 +208,7 @@ def ask(df: DataFrame, client: Client, prompt: str, answer: str, attempts: int =
 
     fields = [T.StructField(answer, T.StringType())] + ([T.StructField(usage, T._parse_datatype_string(USAGE))] if usage else [])
     rows = ledger.dealt(kept, F.coalesce(prompt, F.lit(""))) if ledger else kept
-    return rows.mapInArrow(run, T.StructType([*kept.schema.fields, *fields]))
+    return in_batches(rows, run, T.StructType([*kept.schema.fields, *fields]))
 
 
 def chosen_strategies(table: list[tuple[str, bool, float]], seed: str, key: Column) -> Column:
@@ -343,4 +344,4 @@ def score_responses(df: DataFrame, client: Client, key: str, query: str, *more:
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array([x for x, _ in got], pa.string()), pa.array([x for _, x in got], pa.string())], [*b.schema.names[:-1], "s1", "s2"])
 
     schema = T.StructType([*asked.schema.fields[:-1], T.StructField("s1", T.StringType()), T.StructField("s2", T.StringType())])
-    return asked.mapInArrow(run, schema).select(key, *more, F.struct(text.ten_score(F.col("s1")).alias("persona_score"), text.ten_score(F.col("s2")).alias("task_score"), ((F.col("s1") == "") | (F.col("s2") == "")).alias("failed")).alias("scores"))
+    return in_batches(asked, run, schema).select(key, *more, F.struct(text.ten_score(F.col("s1")).alias("persona_score"), text.ten_score(F.col("s2")).alias("task_score"), ((F.col("s1") == "") | (F.col("s2") == "")).alias("failed")).alias("scores"))

@@ -8,7 +8,6 @@ in Arrow batches. Both give the same text, as the tests hold.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
 
 import pyarrow as pa
@@ -18,6 +17,7 @@ from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, SelectedColumn
 
 from dialoom.functions.noise import FILLERS, NEIGHBOURS, SYNONYMS
+from dialoom.operators.batches import in_batches
 
 BLANKS = " \t\n\x0b\f\r"
 _BLANK = re.compile(r"[ \t\n\x0b\f\r]+")
@@ -81,9 +81,11 @@ def deletions(text: str, key, rate: float = 0.05, seed: str = "del") -> str:
     n = max(1, int(len(words) * rate))
     if len(words) <= n + 2:
         return text
-    order = ((hashlib.md5(f"{seed}:{key}:{i}".encode(), usedforsecurity=False).digest(), i) for i in range(len(words)))
-    gone = {i for _, i in heapq.nsmallest(n, order)}
-    return " ".join(w for i, w in enumerate(words) if i not in gone)
+    head, md5 = f"{seed}:{key}:".encode(), hashlib.md5
+    order = [md5(head + b"%d" % i, usedforsecurity=False).digest() for i in range(len(words))]
+    for i in sorted(range(len(words)), key=order.__getitem__)[:n]:
+        words[i] = None
+    return " ".join([w for w in words if w is not None])
 
 
 STRATEGIES = {"typo": typos, "word_deletion": deletions, "word_insertion": insertions, "synonym": synonyms}
@@ -99,7 +101,7 @@ def noisy(df: DataFrame, key: str, text: str, strategy: str, out: str = "noisy")
             said = [None if t is None else f(t, k) for k, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(said, pa.string())], [key, out])
 
-    return slim.mapInArrow(run, f"`{key}` {slim.schema[key].dataType.simpleString()}, `{out}` string")
+    return in_batches(slim, run, f"`{key}` {slim.schema[key].dataType.simpleString()}, `{out}` string")
 
 
 class Noise:

@@ -59,3 +59,26 @@ def test_noise_in_sql(spark):
         spark.sql("SELECT * FROM noise(TABLE(some_documents), 'nothing')").collect()
     with pytest.raises(Exception, match="no column"):
         spark.sql("SELECT * FROM noise(TABLE(some_documents), 'typo', text => 'body')").collect()
+
+
+def test_python_sees_bounded_slices(spark):
+    """However many rows a batch holds, a function gets some megabytes of them at once."""
+    from dialoom.operators import batches
+
+    rows = spark.range(0, 3000, 1, 1).select("id", F.repeat(F.lit("x"), 5000).alias("t"))
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+    try:
+
+        def sizes(bs):
+            import pyarrow as pa
+
+            for b in bs:
+                yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+        got = [r.n for r in batches.in_batches(rows, sizes, "n bigint").collect()]
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", before)
+    assert sum(got) == 3000 and max(got) * 5000 <= batches.BATCH_BYTES
+    plan = noising.noisy(rows, "id", "t", "synonym")
+    assert plan.count() == 3000 and int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= batches.BATCH_BYTES

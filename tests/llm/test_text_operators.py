@@ -477,3 +477,13 @@ def test_frames_in_variants_and_copies(spark):
 def test_names_of_parts(page, want):
     bs = html.blocks(page)
     assert [b.text for b, keep in zip(bs, html.keep_of(bs)[0]) if keep] == want
+
+
+@pytest.mark.parametrize("seed", range(40))
+def test_alignment_does_not_depend_on_the_number_of_pairs(seed, monkeypatch):
+    rng = np.random.default_rng(seed)
+    a, b = (rng.integers(0, rng.integers(2, 9), rng.integers(0, 60)).tolist() for _ in range(2))
+    want = html.shared(a, b)
+    monkeypatch.setattr(html, "ALIGNED_PAIRS", 0)
+    assert html.shared(a, b) == want
+    assert html.shared([1] * 9 + [2], [2] + [1] * 9) == list(range(9)) and html.shared([1, 2, 1, 3], [3, 1, 1]) == [0, 2]

@@ -21,10 +21,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, hashed_rows, in_batches, map_batches, slices, windows
+from dialoom.llm.common import WordHashes, checkpointed, hashed_rows, in_batches, map_batches, slices, windows
+from dialoom.operators.samples import ranked
 
-#: Labelled rows, chosen by hash of the id, that the forest and its threshold are fitted on at most.
-SAMPLE_ROWS = 20_000
 TREES = 128
 ROWS_PER_TREE = 256
 DEPTH = 12
@@ -156,10 +155,9 @@ def calibrate(anomaly: np.ndarray, good: np.ndarray) -> float:
 
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", quality: str = "quality") -> tuple[Forest | None, float]:
-    """Forest and threshold from a bounded sample of labelled rows."""
+    """Forest and threshold from the labelled rows: each tree on rows drawn from all good ones, the threshold on all."""
     known = labels.where(F.col(quality).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(quality).cast("int").alias("q"))
-    chosen = hashed_rows(known.distinct(), SAMPLE_ROWS, "id", "q")
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).join(F.broadcast(chosen), "id")
+    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).join(known.distinct(), "id")
 
     def stats(cols):
         both = [rule_stats(t, hashes) for t in cols["text"]]
@@ -168,16 +166,27 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "d
     hashes = WordHashes()
     arrow = pa.schema([("id", pa.int64()), ("q", pa.int32()), ("words", pa.int64()), ("repeats", pa.int64()), ("x", pa.list_(pa.float64()))])
     all_rows = map_batches(rows, stats, "id bigint, q int, words bigint, repeats bigint, x array<double>", arrow, hashes)
-    # one row of an id, so that no more come than were chosen
-    got = all_rows.groupBy("id", "q").agg(F.min(F.struct("words", "repeats", "x")).alias("s")).select("q", "s.*").collect()
-    rest = [(r.q, r.x) for r in got if not base_failed(r.words, r.repeats)]
-    rest.sort()
-    good = np.array([q == 1 for q, _ in rest], bool)
-    if not good.any() or good.all():
+    # one row of an id
+    once = all_rows.groupBy("id", "q").agg(F.min(F.struct("words", "repeats", "x")).alias("s")).select("id", "q", "s.*")
+    rest = checkpointed(once.where(~base_failed(F.col("words"), F.col("repeats"))).select("id", F.col("q") == 1, "x").toDF("id", "good", "x"))
+    if len(rest.select("good").distinct().collect()) < 2:
         return None, 1.0
-    x = np.array([v for _, v in rest])
-    forest = Forest(x[good])
-    return forest, calibrate(forest.anomaly(x), good)
+    drawn = hashed_rows(rest.where("good").select("id", "x"), TREES * ROWS_PER_TREE, "id", "x")
+    forest = Forest(np.array(sorted(r.x for r in drawn.collect())))
+    arrow = pa.schema([("good", pa.bool_()), ("anomaly", pa.float64())])
+    scored = map_batches(rest.select("good", "x"), lambda c: {"good": c["good"], "anomaly": forest.anomaly(np.array(c["x"]))}, "good boolean, anomaly double", arrow)
+    return forest, threshold_of(checkpointed(scored))
+
+
+def threshold_of(scored: DataFrame) -> float:
+    """calibrate over all rows (good, anomaly), by a range partitioning and aggregates."""
+    good = scored.where("good").select("anomaly")
+    n = good.count()
+    at = min(n - 1, math.ceil(KEEP_GOOD * n))
+    floor = ranked(good, [F.col("anomaly")]).where(F.col("rn") == at + 1).first().anomaly
+    above = min(1.0, scored.where(~F.col("good") & (F.col("anomaly") > floor)).agg(F.coalesce(F.min("anomaly"), F.lit(1.0))).first()[0])
+    below = good.where(F.col("anomaly") < above).agg(F.max("anomaly")).first()[0]
+    return (max(floor, floor if below is None else below) + above) / 2
 
 
 def judge(texts: list[str | None], hashes: WordHashes, forest: Forest | None, threshold: float) -> dict[str, np.ndarray]:

@@ -487,3 +487,14 @@ def test_alignment_does_not_depend_on_the_number_of_pairs(seed, monkeypatch):
     monkeypatch.setattr(html, "ALIGNED_PAIRS", 0)
     assert html.shared(a, b) == want
     assert html.shared([1] * 9 + [2], [2] + [1] * 9) == list(range(9)) and html.shared([1, 2, 1, 3], [3, 1, 1]) == [0, 2]
+
+
+@pytest.mark.parametrize("bad", [0, 300])
+def test_threshold_over_all_labelled_rows(spark, bad):
+    """The threshold that aggregates find is the one of all rows together."""
+    rng = np.random.default_rng(bad)
+    anomaly = np.concatenate([rng.normal(0.4, 0.05, 3000), rng.normal(0.6, 0.08, bad)]).clip(0, 1)
+    good = np.arange(len(anomaly)) < 3000
+    df = spark.createDataFrame([(bool(g), float(a)) for g, a in zip(good, anomaly, strict=True)], "good boolean, anomaly double").repartition(5)
+    assert quality.threshold_of(df) == quality.calibrate(anomaly, good)
+    assert not hasattr(quality, "SAMPLE_ROWS")

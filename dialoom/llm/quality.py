@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialoom.llm.common import WordHashes, checkpointed, hashed_rows, in_batches, map_batches, slices, windows
+from dialoom.llm.common import WordHashes, checkpointed, filter_place, hashed_rows, id_filter, in_batches, in_filter, map_batches, slices, windows
 from dialoom.operators.samples import ranked
 
 TREES = 128
@@ -154,20 +154,28 @@ def calibrate(anomaly: np.ndarray, good: np.ndarray) -> float:
     return float((g[g < above[0]].max(initial=floor) + above[0]) / 2)
 
 
-def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", quality: str = "quality") -> tuple[Forest | None, float]:
-    """Forest and threshold from the labelled rows: each tree on rows drawn from all good ones, the threshold on all."""
-    known = labels.where(F.col(quality).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(quality).cast("int").alias("q"))
-    rows = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text")).join(known.distinct(), "id")
+def labelled_stats(docs: DataFrame, known: DataFrame, text: str, id_col: str) -> DataFrame:
+    """(id, q, words, repeats, x) for each of known (id, q) that has a text; statistics are taken where the texts lie, and only they are shuffled."""
+    shared = docs.sparkSession.sparkContext.broadcast(id_filter(known, "id"))  # of a fixed size
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(text).alias("text"))
+    hashes = WordHashes()
 
-    def stats(cols):
-        both = [rule_stats(t, hashes) for t in cols["text"]]
-        return {"id": cols["id"], "q": cols["q"], "words": [a[0] for a, _ in both], "repeats": [a[4] for a, _ in both], "x": [b for _, b in both]}
+    def run(batches):
+        for whole in batches:
+            for b in slices(whole):
+                b = b.filter(in_filter(shared.value, b.column(0)))
+                both = [rule_stats(t, hashes) for t in b.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(1), pa.array([a[0] for a, _ in both], pa.int64()), pa.array([a[4] for a, _ in both], pa.int64()), pa.array([x for _, x in both], pa.list_(pa.float64()))], ["id", "words", "repeats", "x"])
 
-    hashes = WordHashes()
-    arrow = pa.schema([("id", pa.int64()), ("q", pa.int32()), ("words", pa.int64()), ("repeats", pa.int64()), ("x", pa.list_(pa.float64()))])
-    all_rows = map_batches(rows, stats, "id bigint, q int, words bigint, repeats bigint, x array<double>", arrow, hashes)
+    stats = in_batches(rows.select(filter_place(F.col("id")).alias("at"), "id", "text"), run, "id bigint, words bigint, repeats bigint, x array<double>", hashes)
     # one row of an id
-    once = all_rows.groupBy("id", "q").agg(F.min(F.struct("words", "repeats", "x")).alias("s")).select("id", "q", "s.*")
+    return stats.join(known.hint("merge"), "id").groupBy("id", "q").agg(F.min(F.struct("words", "repeats", "x")).alias("s")).select("id", "q", "s.*")
+
+
+def fit(docs: DataFrame, labels: DataFrame, text: str = "text", id_col: str = "doc_id", quality: str = "quality") -> tuple[Forest | None, float]:
+    """Forest and threshold from the labelled rows: each tree on rows drawn from all good ones, the threshold on all."""
+    known = labels.where(F.col(quality).isNotNull() & F.col(id_col).isNotNull()).select(F.col(id_col).cast("bigint").alias("id"), F.col(quality).cast("int").alias("q"))
+    once = labelled_stats(docs, known.distinct(), text, id_col)
     rest = checkpointed(once.where(~base_failed(F.col("words"), F.col("repeats"))).select("id", F.col("q") == 1, "x").toDF("id", "good", "x"))
     if len(rest.select("good").distinct().collect()) < 2:
         return None, 1.0

@@ -498,3 +498,19 @@ def test_threshold_over_all_labelled_rows(spark, bad):
     df = spark.createDataFrame([(bool(g), float(a)) for g, a in zip(good, anomaly, strict=True)], "good boolean, anomaly double").repartition(5)
     assert quality.threshold_of(df) == quality.calibrate(anomaly, good)
     assert not hasattr(quality, "SAMPLE_ROWS")
+
+
+def test_labelled_statistics_shuffle_no_text(spark):
+    """However large the labels, no join or exchange of the fit holds a text."""
+    df = docs(spark, [prose(i) for i in range(60)])
+    known = spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 80, 2)], "id bigint, q int")
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        got = quality.labelled_stats(df, known, "text", "doc_id")
+        plan = got._jdf.queryExecution().optimizedPlan().toString()
+        assert "text" in plan and "text" not in plan[plan.index("Join") : plan.index("MapInArrow")]
+        want = {(i, int(i % 3 > 0)): quality.rule_stats(prose(i), WordHashes()) for i in range(0, 60, 2)}
+        assert {(r.id, r.q): ([r.words, r.repeats], r.x) for r in got.collect()} == {k: ([s[0], s[4]], x) for k, (s, x) in want.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)

@@ -514,3 +514,14 @@ def test_labelled_statistics_shuffle_no_text(spark):
         assert {(r.id, r.q): ([r.words, r.repeats], r.x) for r in got.collect()} == {k: ([s[0], s[4]], x) for k, (s, x) in want.items()}
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+
+
+def test_the_forest_counts_every_good_row(spark):
+    """More good rows than were ever drawn, in several tasks: the forest is that of all of them."""
+    x = np.random.default_rng(5).uniform(0, 1, (40_000, len(quality.FEATURES))) ** 3
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "x array<double>").repartition(5)
+    got, want = quality.grown(df), quality.Forest(x)
+    assert all(np.array_equal(a, b) for t, u in zip(got.trees, want.trees, strict=True) for a, b in zip(t, u, strict=True))
+    feature, cut = quality.splits()
+    assert quality.leaf_counts(x, feature, cut).sum() == quality.TREES * len(x)
+    assert not hasattr(quality, "hashed_rows")

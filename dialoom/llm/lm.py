@@ -122,45 +122,67 @@ class Network:
         self.past: dict[str, np.ndarray] = {}
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        h = self.b + self.e[0][around[0]]
+        h = np.take(self.e[0], around[0], 0, mode="clip")
+        h += self.b
         for k in range(1, len(AROUND)):
-            h += self.e[k][around[k]]
+            h += np.take(self.e[k], around[k], 0, mode="clip")
         return np.tanh(h, out=h)
 
+    def _members(self, h: np.ndarray, groups: list[tuple[int, slice]]) -> np.ndarray:
+        """The outputs within the groups, of rows that are sorted by group."""
+        z = np.empty((groups[-1][1].stop if groups else 0, MEMBERS), np.float32)
+        for g, rows in groups:
+            np.matmul(h[rows], self.w2[g], out=z[rows])
+            z[rows] += self.c2[g]
+        return z
+
     def log_outputs(self, around: np.ndarray, cls: np.ndarray, slot: np.ndarray) -> np.ndarray:
         """The logarithm of each token's output in the tree; the share in a group's rest is yet to be added."""
         h = self.hidden(around)
-        out = _log_softmax(h @ self.w + self.c, cls)
-        for g, rows in _grouped(cls):
-            out[rows] += _log_softmax(h[rows] @ self.w2[g] + self.c2[g], slot[rows])
+        z = h @ self.w
+        z += self.c
+        out = _log_softmax(z, cls)
+        order, groups = _grouped(cls)
+        out[order] += _log_softmax(self._members(h[order], groups), slot[order])
         return out
 
     def _move(self, name: str, at, value: np.ndarray, slope: np.ndarray, rate: float) -> None:
-        past = self.past.setdefault(name, np.full(getattr(self, name).shape, 1e-8, np.float32))
-        past = past if at is None else past[at]
+        if name not in self.past:
+            self.past[name] = np.full(getattr(self, name).shape, 1e-8, np.float32)
+        past = self.past[name] if at is None else self.past[name][at]
         past += slope * slope
-        value -= rate * slope / np.sqrt(past)
+        slope = rate * slope
+        slope /= np.sqrt(past)
+        value -= slope
 
     def step(self, around: np.ndarray, cls: np.ndarray, slot: np.ndarray, rate: float) -> None:
         """One update towards the outputs of a batch; steps shrink with what a weight has seen (Adagrad)."""
         h = self.hidden(around)
         n = np.float32(1 / len(cls))
-        p = _error(h @ self.w + self.c, cls, n)
+        z = h @ self.w
+        z += self.c
+        p = _error(z, cls, n)
         back = p @ self.w.T
         self._move("w", None, self.w, h.T @ p, rate)
         self._move("c", None, self.c, p.sum(0), rate)
-        for g, rows in _grouped(cls):
-            hg = h[rows]
-            p = _error(hg @ self.w2[g] + self.c2[g], slot[rows], n)
-            back[rows] += p @ self.w2[g].T
-            self._move("w2", g, self.w2[g], hg.T @ p, rate)
-            self._move("c2", g, self.c2[g], p.sum(0), rate)
+        order, groups = _grouped(cls)
+        hg = h[order]
+        p = _error(self._members(hg, groups), slot[order], n)
+        back_g = np.empty_like(hg)
+        slope, slope_c = np.zeros_like(self.w2), np.zeros_like(self.c2)
+        for g, rows in groups:
+            np.matmul(p[rows], self.w2[g].T, out=back_g[rows])
+            np.matmul(hg[rows].T, p[rows], out=slope[g])
+            p[rows].sum(0, out=slope_c[g])
+        back[order] += back_g
+        self._move("w2", None, self.w2, slope, rate)
+        self._move("c2", None, self.c2, slope_c, rate)
         back *= 1 - h * h
         self._move("b", None, self.b, back.sum(0), rate)
-        flat, each = back.ravel(), np.arange(DIM)
+        flat, each, at = back.ravel().astype(np.float64), np.arange(DIM), np.empty(back.shape, np.int64)
         for k in range(len(AROUND)):
-            at = (around[k][:, None] * DIM + each).ravel()
-            slope = np.bincount(at, flat, (INPUTS + 1) * DIM).astype(np.float32).reshape(INPUTS + 1, DIM)
+            np.add((around[k] * DIM)[:, None], each, out=at)
+            slope = np.bincount(at.ravel(), flat, (INPUTS + 1) * DIM).astype(np.float32).reshape(INPUTS + 1, DIM)
             self._move("e", k, self.e[k], slope, rate)
 
 
@@ -177,13 +199,12 @@ def _error(z: np.ndarray, at: np.ndarray, scale: np.float32) -> np.ndarray:
     return p
 
 
-def _grouped(cls: np.ndarray):
-    """Each group that occurs, with its rows."""
-    order = np.argsort(cls, kind="stable")
+def _grouped(cls: np.ndarray) -> tuple[np.ndarray, list[tuple[int, slice]]]:
+    """The rows of groups, sorted by group, and where in them each group lies that occurs."""
+    order = np.argsort(cls.astype(np.int8), kind="stable")
     ends = np.searchsorted(cls[order], np.arange(OWN, CLASSES + 1))
-    for g in range(GROUPS):
-        if ends[g] < ends[g + 1]:
-            yield g, order[ends[g] : ends[g + 1]]
+    cuts = (ends - ends[0]).tolist()
+    return order[ends[0] :], [(g, slice(cuts[g], cuts[g + 1])) for g in range(GROUPS) if cuts[g] < cuts[g + 1]]
 
 
 def lay(ids: list[np.ndarray], inp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -309,3 +309,29 @@ def test_toxicity_of_repeated_rows_and_clashing_columns(spark, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2, "clash") for i in range(61)] * 2, "doc_id bigint, toxic int, id string")
     got = toxicity.toxicity(df, toxicity.fit(df, labels)).collect()
     assert len(got) == len(rows) and sum(r.predicted == 1 for r in got if r.doc_id is not None and r.doc_id < 50) == 100
+
+
+def test_one_softmax_for_all_groups(monkeypatch):
+    """A step and a score take two softmaxes, however many groups occur, and give what each group alone gives."""
+    rng = np.random.default_rng(1)
+    n = 500
+    around = rng.integers(0, lm.INPUTS + 1, (len(lm.AROUND), n))
+    cls = rng.integers(0, lm.CLASSES, n)
+    slot = np.where(cls < lm.OWN, -1, rng.integers(0, lm.MEMBERS, n))
+    net, calls = lm.Network(), []
+    h = net.hidden(around)
+    z = h @ net.w + net.c
+    want = z[np.arange(n), cls] - np.log(np.exp(z).sum(1))
+    for g in range(lm.GROUPS):
+        rows = cls == lm.OWN + g
+        z = h[rows] @ net.w2[g] + net.c2[g]
+        want[rows] += z[np.arange(len(z)), slot[rows]] - np.log(np.exp(z).sum(1))
+    for name in ("_log_softmax", "_error"):
+        f = getattr(lm, name)
+        monkeypatch.setattr(lm, name, lambda *a, f=f, name=name: calls.append(name) or f(*a))
+    assert net.log_outputs(around, cls, slot) == pytest.approx(want, abs=1e-5)
+    net.step(around, cls, slot, 0.1)
+    assert calls == ["_log_softmax"] * 2 + ["_error"] * 2
+    few = cls < lm.OWN
+    net.step(around[:, few], cls[few], slot[few], 0.1)
+    assert np.isfinite(net.log_outputs(around[:, few], cls[few], slot[few])).all()

@@ -47,6 +47,19 @@ def read_bank(path: str) -> list[Dimension]:
 BANK_SCHEMA = "ord int, name string, category string, is_constraint boolean, `values` array<string>"
 
 
+#: Rows of a task where a row is small but dear to work on.
+TASK_ROWS = 8192
+
+
+def spread(rows: DataFrame, count: int, key: str) -> DataFrame:
+    """rows dealt by key into tasks of about TASK_ROWS, for count rows.
+
+    After a shuffle Spark joins tasks up to a size in bytes, and millions of
+    small rows would come to one; a number that is asked for stays.
+    """
+    return rows.repartition(max(1, -(-count // TASK_ROWS)), key)
+
+
 def bank_frame(spark: SparkSession, bank: list[Dimension]) -> DataFrame:
     validate(bank)
     return spark.createDataFrame([(i, d.name, d.category, d.is_constraint, list(d.values)) for i, d in enumerate(bank)], BANK_SCHEMA)
@@ -251,7 +264,7 @@ def accept_first(personas: DataFrame, min_distance: int, key: str = "persona_id"
     if min_distance < 1:
         return personas
     features = F.array_sort(F.transform("features", lambda x: F.struct(x["name"].alias("name"), x["value"].alias("value"))))
-    once = checkpointed(personas.withColumn("__f", features).groupBy("__f").agg(F.min(key).alias(key), F.min_by("features", key).alias("features")).drop("__f"))
+    once = checkpointed(spread(personas.withColumn("__f", features).groupBy("__f").agg(F.min(key).alias(key), F.min_by("features", key).alias("features")).drop("__f"), personas.count(), key))
     groups = _groups(once, min_distance)
     if all(len(names) <= 1 for names in groups):
         kept = _least_of_keys(once, groups, min_distance, key, priority, weight)

@@ -34,7 +34,8 @@ def _(spark, d):
 
 
 def _ids(spark, d):
-    return table(spark, d, "documents").select(F.col("doc_id").alias("persona_id")).distinct()
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("persona_id"))
+    return personas.spread(docs, docs.count(), "persona_id").distinct()
 
 
 @query("t29_persona_prompts")

@@ -51,8 +51,9 @@ def _exploded(df):
 
 
 def _ids(spark, d):
-    """A persona for each document."""
-    return table(spark, d, "documents").select(F.col("doc_id").alias("persona_id")).distinct()
+    """A persona for each document; drawing them is the work, so they are dealt out by their number."""
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("persona_id"))
+    return personas.spread(docs, docs.count(), "persona_id").distinct()
 
 
 @query("r02_random_personas", f"WITH {_draw_sql('r02', 15, 15)} SELECT persona_id, ord, name, value FROM f")

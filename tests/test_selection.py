@@ -153,3 +153,15 @@ def test_a_key_of_many_rows_is_not_gathered(spark):
         want += [(key, mine[0][1], c) for _, c in mine[1:]]
     assert sorted(map(repr, want)) == sorted(repr(tuple(r)) for r in got.select("p", "target", "c").collect())
     assert "collect_list" not in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_small_rows_that_are_dear_are_dealt_by_their_number(spark):
+    """Tasks that Spark joins by their bytes alone would leave all draws to one."""
+    from dialoom.plans import randoms
+
+    rows = spark.range(personas.TASK_ROWS * 5 + 1).withColumnRenamed("id", "persona_id")
+    dealt = personas.spread(rows, rows.count(), "persona_id").distinct()
+    assert dealt.rdd.getNumPartitions() == 6 and dealt.count() == rows.count()
+    few = personas.sample_personas(personas.spread(rows.limit(300), 300, "persona_id"), personas.default_bank(), "s")
+    assert sorted(few.collect()) == sorted(personas.sample_personas(rows.limit(300), personas.default_bank(), "s").collect())
+    assert "spread" in randoms._ids.__code__.co_names

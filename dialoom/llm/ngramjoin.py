@@ -132,7 +132,7 @@ def token_rows(sets: DataFrame, asked: np.ndarray | None = None, tokens: np.ndar
 
 def frequent_filter(counts: DataFrame) -> np.ndarray | None:
     """A bit for each frequent token of (token, n); the threshold rises until the tokens fit the filter. None without one."""
-    many = counts.where(F.col("n") > FREQUENT)
+    many = checkpointed(counts.where(F.col("n") > FREQUENT))  # few, so that they are counted once
     least, size = FREQUENT, many.count()
     while size > FREQUENT_TOKENS:
         least *= 2
@@ -264,11 +264,11 @@ def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str,
     rows = rows.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same)).withColumn("n", F.count("*").over(same))
     rows = checkpointed(rows.where("lo < hi").select("sid", "token", "n"))
     ends = reps.select("sid", "n", "last")
-    new = bits = frequent_filter(rows.groupBy("token").agg(F.first("n").alias("n")))
+    new = bits = frequent_filter(rows.where(F.col("n") > FREQUENT).groupBy("token").agg(F.first("n").alias("n")))
     if new is None:
-        return rows.select("sid", "token").distinct(), ends
+        return rows.select("sid", "token").repartition("sid").distinct(), ends
     moved = None
-    for _ in range(ROUNDS):
+    for left in reversed(range(ROUNDS)):
         bits = bits | new
         # whoever has none of the new tokens first stays as it is
         changed = token_rows(sets, asked, new).select("sid")
@@ -277,13 +277,18 @@ def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str,
         ids = changed.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
         again = checkpointed(token_sets(docs, id_filter(ids, "rep"), bits, text, id_col))
         moved = again if moved is None else checkpointed(moved.join(again.select("sid").hint("merge"), "sid", "left_anti").union(again))
+        if not left:
+            break
         new = frequent_filter(moved.select(F.explode("first").alias("token")).where(F.col("token") < LAST).groupBy("token").agg(F.count("*").alias("n")))
         if new is None:
             break
     theirs = moved.select("sid", F.explode("first").alias("token"))
-    others = rows.select("sid", "token").union(token_rows(sets, asked, id_filter(theirs, "token", token_place))).join(moved.select("sid").hint("merge"), "sid", "left_anti")
+    others = rows.select("sid", "token").union(token_rows(sets, asked, id_filter(theirs, "token", token_place)))
+    # one shuffle by sid leaves the new tokens of sets that moved, makes rows distinct, and serves the join by sid that follows
+    both = theirs.withColumn("new", F.lit(True)).union(others.withColumn("new", F.lit(False))).repartition("sid")
+    both = both.withColumn("moved", F.max("new").over(Window.partitionBy("sid"))).where("new = moved").select("sid", "token").distinct()
     ends = ends.join(moved.groupBy("sid").agg(F.max(F.element_at("first", -1)).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
-    return theirs.union(others).distinct(), ends
+    return both, ends
 
 
 def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:

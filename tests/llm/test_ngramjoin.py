@@ -94,3 +94,19 @@ def test_empty_table_and_no_words(spark):
     got = ngramjoin.jaccard_classes(spark.createDataFrame([(1, None, "", 1, 1), (2, " ", "", 1, 1), (None, "a b", "", 1, 1)], DOCS)).collect()
     assert sorted(tuple(r) for r in got if r.doc_id) == [(1, 0, 1), (2, 0, 2)]
     assert [tuple(r) for r in got if r.doc_id is None] == [(None, 1, None)]
+
+
+def test_first_tokens_are_shuffled_once_by_their_sets(spark, monkeypatch):
+    """Telling sets that moved apart, distinct rows and the join by sid that follows share one exchange."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 2)
+    common = " ".join(f"c{i}" for i in range(30))
+    texts = [(i, f"{common} " + " ".join(f"w{i}x{k}" for k in range(4))) for i in range(12)] + [(50 + i, " ".join(f"v{i}x{k}" for k in range(20))) for i in range(3)]
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    marks = ngramjoin.checkpointed(ngramjoin.sketches(docs))
+    reps = ngramjoin.checkpointed(marks.selectExpr("sid", "doc_id AS rep", "n_shingles AS n", "keys", "element_at(first, -1) AS last"))
+    rows, ends = ngramjoin.shared_tokens(marks, reps, docs, "text", "doc_id")
+    assert rows._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    got = {(r.sid, r.token) for r in rows.collect()}
+    assert len(got) == rows.count() and ends.count() == len(texts)
+    moved = {r.sid for r in marks.where("doc_id < 50").collect()}
+    assert {s for s, t in got if t >= ngramjoin.LAST} <= moved and {s for s, _ in got} >= moved

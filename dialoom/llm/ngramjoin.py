@@ -5,18 +5,20 @@ equal sets are one. Similar sets are first brought together by minwise keys and
 linked inside bounded groups; the components of these links, dealt into groups
 of bounded size, are the groups of the matrix, and every other set is a group
 of its own. Then each set asks the groups of larger components: the matrix
-holds the union of its members' rarest tokens for each group, the number of a
-query's tokens found there bounds its overlap with any member, and only groups
-that may hold a member similar enough are opened, where the whole union gives a
-second bound before members are compared.
+holds the rarest tokens of a group's members with the places where they stand,
+the places of a common token bound the overlap of query and member, a histogram
+of all tokens bounds it again, and only groups that may hold a member similar
+enough are opened, where the whole union gives a third bound before members are
+compared. A large group of one key shares a few hubs, its members of most
+company, so that copies of one text become one component before the matrix.
 
 No link is lost: with any order of tokens that is the same for all, two sets of
 the similarity share one of their first n - ceil(0.85 n) + 1 tokens each. The
 order is that of hashes with frequent tokens last. Frequent are those that stand
-first in many documents, counted round by round, as others come to the front of
-documents that lose theirs; sets without a frequent token at the front are never
-read again. The tokens are kept in a filter of 4 MB, and what it takes for
-frequent changes the work only. Of the first tokens only those of two sets or
+first in many documents, and, as others come to the front of documents that lose
+theirs, those found often in a sample of such documents; sets without a frequent
+token at the front are never read again. The tokens are kept in a filter of 4 MB,
+and what it takes for frequent changes the work only, as the order is one for all. Of the first tokens only those of two sets or
 more leave the one shuffle that brings equal ones together.
 
 Sets are told apart by a 64-bit hash and their size. The result does not depend
@@ -48,12 +50,16 @@ SHINGLE = 4
 PERCENT = 85
 #: Members of a group, and queries that open it in one task; and their tokens, where texts are long.
 GROUP, GROUP_TOKENS = 32, 1_000_000
-#: Minwise keys by which similar sets are brought together first.
-KEYS = 2
+#: Minwise keys by which similar sets are brought together first; and all keys, which tell a large group's hubs.
+KEYS, COMPANY = 2, 16
+#: Hubs of a large group.
+HUBS = 4
+#: Parts of the token space whose counts bound the overlap of two sets.
+PARTS = 64
 #: A token that stands first in more documents is frequent; at most so many are told apart.
-FREQUENT, FREQUENT_TOKENS = 64, 1 << 21
-#: Times that first tokens are looked through for frequent ones; any number gives the same links.
-ROUNDS = 2
+FREQUENT, FREQUENT_TOKENS = 256, 1 << 21
+#: Of the sets with a frequent token at the front, one in so many is looked through whole for others; any number gives the same links.
+SAMPLE = 8
 SEED = 13
 #: Tokens are 62 bits of a hash; this bit puts the frequent ones last.
 LAST = 1 << 62
@@ -70,7 +76,13 @@ def minwise(s: np.ndarray, factors: np.ndarray) -> np.ndarray:
     with np.errstate(over="ignore"):
         for at in range(0, len(s), _BLOCK):
             np.minimum(out, np.multiply.outer(factors, s[at : at + _BLOCK]).min(1), out)
-    return out.view(np.int64)
+    return (out >> np.uint64(32)).astype(np.uint32).view(np.int32)
+
+
+def histogram(s: np.ndarray) -> bytes | None:
+    """How many tokens fall in each part of the token space; None where a byte cannot count them."""
+    n = np.bincount((s >> np.uint64(58)).astype(np.intp), minlength=PARTS)
+    return n.astype(np.uint8).tobytes() if n.max() < 256 else None
 
 
 def set_id(s: np.ndarray) -> int:
@@ -82,26 +94,26 @@ def _rows(docs: DataFrame, text: str, id_col: str) -> DataFrame:
 
 
 def sketches(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, n_shingles, sid, keys, first): the set's hash, its minwise keys and its first tokens by the hash alone."""
-    factors = np.random.default_rng(SEED).integers(1, 1 << 63, KEYS, np.uint64) * np.uint64(2) + np.uint64(1)
+    """(doc_id, n_shingles, sid, keys, hist, first): the set's hash, its minwise keys, its histogram and its first tokens by the hash alone."""
+    factors = np.random.default_rng(SEED).integers(1, 1 << 63, COMPANY, np.uint64) * np.uint64(2) + np.uint64(1)
     hashes = WordHashes()
 
     def sketch(cols):
-        out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "sid": [], "keys": [], "first": []}
+        out: dict[str, list] = {"doc_id": cols["doc_id"], "n_shingles": [], "sid": [], "keys": [], "hist": [], "first": []}
         for t in cols["text"]:
             s = shingles(t, hashes, SHINGLE)
             out["n_shingles"].append(len(s))
             out["sid"].append(set_id(s) if len(s) else None)
             out["keys"].append(minwise(s, factors) if len(s) else None)
+            out["hist"].append(histogram(s) if len(s) else None)
             out["first"].append((s[: first_tokens(len(s))] >> np.uint64(2)).view(np.int64) if len(s) else None)
         return out
 
-    many = pa.list_(pa.int64())
     return map_batches(
         _rows(docs, text, id_col),
         sketch,
-        "doc_id bigint, n_shingles bigint, sid bigint, keys array<bigint>, first array<bigint>",
-        pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("keys", many), ("first", many)]),
+        "doc_id bigint, n_shingles bigint, sid bigint, keys array<int>, hist binary, first array<bigint>",
+        pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("sid", pa.int64()), ("keys", pa.list_(pa.int32())), ("hist", pa.binary()), ("first", pa.list_(pa.int64()))]),
         hashes,
     )
 
@@ -112,7 +124,7 @@ def token_place(token: Column) -> Column:
 
 
 def token_rows(sets: DataFrame, asked: np.ndarray | None = None, tokens: np.ndarray | None = None) -> DataFrame:
-    """(sid, token): the first tokens of sets (at, sid, first), of those in the filter asked; with a filter of tokens only those in it."""
+    """(sid, token, pos): the first tokens of sets (at, sid, first) and their places, of those in the filter asked; with a filter of tokens only those in it."""
     shared = sets.sparkSession.sparkContext.broadcast((asked, tokens))  # filters of a fixed size
 
     def run(batches):
@@ -121,19 +133,32 @@ def token_rows(sets: DataFrame, asked: np.ndarray | None = None, tokens: np.ndar
             if asked is not None:
                 b = b.filter(in_filter(asked, b.column(0)))
             sid, first = b.column(1), b.column(2)
-            rows = pa.RecordBatch.from_arrays([sid.take(pc.list_parent_indices(first)), first.flatten()], ["sid", "token"])
+            size = pc.list_value_length(first).to_numpy(zero_copy_only=False).astype(np.int64)
+            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+            rows = pa.RecordBatch.from_arrays([sid.take(pc.list_parent_indices(first)), first.flatten(), pa.array(pos, pa.int32())], ["sid", "token", "pos"])
             if tokens is not None:
                 rows = rows.filter(in_filter(tokens, pc.bit_wise_and(rows.column(1), FILTER_BITS - 1)))
             if rows.num_rows:
                 yield rows
 
-    return in_batches(sets.select("at", "sid", "first"), run, "sid bigint, token bigint")
+    return in_batches(sets.select("at", "sid", "first"), run, "sid bigint, token bigint, pos int")
+
+
+def all_tokens(sets: DataFrame) -> DataFrame:
+    """(token): each token of sets (sid, set)."""
+
+    def run(batches):
+        for b in batches:
+            for s in b.column("set"):
+                yield pa.RecordBatch.from_arrays([pa.array((np.frombuffer(s.as_buffer(), np.uint64) >> np.uint64(2)).view(np.int64))], ["token"])
 
+    return in_batches(sets.select("set"), run, "token bigint")
 
-def frequent_filter(counts: DataFrame) -> np.ndarray | None:
-    """A bit for each frequent token of (token, n); the threshold rises until the tokens fit the filter. None without one."""
-    many = checkpointed(counts.where(F.col("n") > FREQUENT))  # few, so that they are counted once
-    least, size = FREQUENT, many.count()
+
+def frequent_filter(counts: DataFrame, least: int) -> np.ndarray | None:
+    """A bit for each token of (token, n) with n over least; that rises until the tokens fit the filter. None without one."""
+    many = checkpointed(counts.where(F.col("n") > least))  # few, so that they are counted once
+    size = many.count()
     while size > FREQUENT_TOKENS:
         least *= 2
         size = many.where(F.col("n") > least).count()
@@ -236,18 +261,19 @@ def parts(count: Column, tokens: Column) -> Column:
 
 
 def key_groups(reps: DataFrame) -> DataFrame:
-    """(r, key, sub, sid): sets of one minwise key in bounded groups; the key's hub is in each of them."""
-    rows = reps.select("sid", "n", F.posexplode("keys").alias("r", "key"))
-    sizes = rows.groupBy("r", "key").agg(F.count("*").alias("size"), F.sum("n").alias("tokens"), F.min(F.struct("n", "sid")).alias("hub")).where("size > 1")
-    sizes = sizes.select("r", "key", parts(F.col("size"), F.col("tokens")).alias("subs"), F.col("hub.sid").alias("hub"))
-    dealt = rows.join(sizes.hint("merge"), ["r", "key"]).select("r", "key", F.pmod(F.xxhash64("sid"), F.col("subs")).alias("sub"), "sid")
-    hubs = sizes.where("subs > 1").select("r", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1)).alias("sub"), F.col("hub").alias("sid"))
-    return dealt.union(hubs).distinct()
-
-
-def may_link(n: str, m: str) -> Column:
-    """Sizes that allow the similarity."""
-    return 100 * F.least(n, m) >= PERCENT * F.greatest(n, m)
+    """(r, key, sub, sid): sets of one minwise key in bounded groups; a large group's hubs, who share most keys with most sets, are in each of its parts."""
+    rows = reps.select("sid", "n", F.posexplode(F.slice("keys", 1, KEYS)).alias("r", "key"))
+    sizes = rows.groupBy("r", "key").agg(F.count("*").alias("size"), F.sum("n").alias("tokens")).where("size > 1")
+    sizes = sizes.select("r", "key", parts(F.col("size"), F.col("tokens")).alias("subs"))
+    dealt = checkpointed(rows.join(sizes.hint("merge"), ["r", "key"]).select("r", "key", "subs", "sid"))
+    large = dealt.where("subs > 1")
+    keys = large.select("sid").distinct().join(reps.select("sid", F.posexplode("keys").alias("k", "v")).hint("merge"), "sid")
+    company = keys.groupBy("k", "v").agg(F.count("*").alias("size"))
+    weight = keys.join(company.hint("merge"), ["k", "v"]).groupBy("sid").agg(F.sum("size").alias("weight"))
+    first = Window.partitionBy("r", "key").orderBy(F.desc("weight"), "sid")
+    hubs = large.join(weight.hint("merge"), "sid").withColumn("at", F.row_number().over(first)).where(F.col("at") <= HUBS)
+    hubs = hubs.select("r", "key", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("subs") - 1)).alias("sub"), "sid")
+    return dealt.select("r", "key", F.pmod(F.xxhash64("sid"), F.col("subs")).alias("sub"), "sid").union(hubs).distinct()
 
 
 def _share(n: Column, m: Column) -> Column:
@@ -256,72 +282,92 @@ def _share(n: Column, m: Column) -> Column:
 
 
 def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(sid, token): first tokens that two sets or more have first; and (sid, n, last) of all sets."""
+    """(sid, token, pos): first tokens that two sets or more have first, and their places; and (sid, n) of all sets."""
     same = Window.partitionBy("token")
     asked = id_filter(reps, "rep")
     sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select(filter_place(F.col("doc_id")).alias("at"), "sid", "first")
     rows = token_rows(sets, asked).repartition("token")
     rows = rows.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same)).withColumn("n", F.count("*").over(same))
-    rows = checkpointed(rows.where("lo < hi").select("sid", "token", "n"))
-    ends = reps.select("sid", "n", "last")
-    new = bits = frequent_filter(rows.where(F.col("n") > FREQUENT).groupBy("token").agg(F.first("n").alias("n")))
-    if new is None:
-        return rows.select("sid", "token").repartition("sid").distinct(), ends
-    moved = None
-    for left in reversed(range(ROUNDS)):
-        bits = bits | new
-        # whoever has none of the new tokens first stays as it is
-        changed = token_rows(sets, asked, new).select("sid")
-        if moved is not None:
-            changed = changed.join(moved.select("sid").hint("merge"), "sid", "left_anti").union(token_rows(moved.withColumn("at", F.lit(0)), None, new).select("sid"))
-        ids = changed.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
-        again = checkpointed(token_sets(docs, id_filter(ids, "rep"), bits, text, id_col))
-        moved = again if moved is None else checkpointed(moved.join(again.select("sid").hint("merge"), "sid", "left_anti").union(again))
-        if not left:
-            break
-        new = frequent_filter(moved.select(F.explode("first").alias("token")).where(F.col("token") < LAST).groupBy("token").agg(F.count("*").alias("n")))
-        if new is None:
-            break
-    theirs = moved.select("sid", F.explode("first").alias("token"))
-    others = rows.select("sid", "token").union(token_rows(sets, asked, id_filter(theirs, "token", token_place)))
+    rows = checkpointed(rows.where("lo < hi").select("sid", "token", "pos", "n"))
+    ends = reps.select("sid", "n")
+    bits = frequent_filter(rows.where(F.col("n") > FREQUENT).groupBy("token").agg(F.first("n").alias("n")), FREQUENT)
+    if bits is None:
+        return rows.select("sid", "token", "pos").repartition("sid").distinct(), ends
+
+    def first_in(tokens):
+        # whoever has none of these tokens first stays as it is
+        return token_rows(sets, asked, tokens).select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
+
+    some = token_sets(docs, id_filter(first_in(bits).where(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0), "rep"), None, text, id_col)
+    others = frequent_filter(all_tokens(some).groupBy("token").agg(F.count("*").alias("n")), FREQUENT // SAMPLE)
+    bits = bits if others is None else bits | others
+    moved = checkpointed(token_sets(docs, id_filter(first_in(bits), "rep"), bits, text, id_col))
+    theirs = moved.select("sid", F.posexplode("first").alias("pos", "token")).select("sid", "token", "pos")
+    others = rows.select("sid", "token", "pos").union(token_rows(sets, asked, id_filter(theirs, "token", token_place)))
     # one shuffle by sid leaves the new tokens of sets that moved, makes rows distinct, and serves the join by sid that follows
     both = theirs.withColumn("new", F.lit(True)).union(others.withColumn("new", F.lit(False))).repartition("sid")
-    both = both.withColumn("moved", F.max("new").over(Window.partitionBy("sid"))).where("new = moved").select("sid", "token").distinct()
-    ends = ends.join(moved.groupBy("sid").agg(F.max(F.element_at("first", -1)).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
+    both = both.withColumn("moved", F.max("new").over(Window.partitionBy("sid"))).where("new = moved").select("sid", "token", "pos").distinct()
     return both, ends
 
 
-def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame) -> tuple[DataFrame, DataFrame]:
+def bounded(met: DataFrame) -> DataFrame:
+    """Of met (q, comp, sub, n, found, least, mine, theirs) those whose histograms allow an overlap of least: (q, comp, sub, n, found)."""
+
+    def run(batches):
+        for b in batches:
+            both = [[h or b"\xff" * PARTS for h in b.column(c).to_pylist()] for c in ("mine", "theirs")]
+            mine, theirs = (np.frombuffer(b"".join(x), np.uint8).reshape(-1, PARTS) for x in both)
+            no_bound = pc.or_(pc.is_null(b.column("mine")), pc.is_null(b.column("theirs"))).to_numpy(zero_copy_only=False)
+            may = np.minimum(mine, theirs).sum(1, dtype=np.int64) >= b.column("least").to_numpy()
+            yield b.select(["q", "comp", "sub", "n", "found"]).filter(pa.array(may | no_bound))
+
+    return in_batches(met.select("q", "comp", "sub", "n", "found", "least", "mine", "theirs"), run, "q bigint, comp bigint, sub bigint, n bigint, found bigint")
+
+
+def group_histograms(named: DataFrame, hists: DataFrame) -> DataFrame:
+    """(comp, sub, theirs): for each part of the token space the most tokens that a member of the group has; null where a member's are not known."""
+    all_of = named.select("sid", "comp", "sub").join(hists.hint("merge"), "sid").groupBy("comp", "sub").agg(F.count("*").alias("size"), F.collect_list("hist").alias("hists"))
+
+    def run(batches):
+        for b in batches:
+            most = [np.frombuffer(b"".join(h), np.uint8).reshape(-1, PARTS).max(0).tobytes() for h in b.column("hists").to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("sub"), pa.array(most, pa.binary())], ["comp", "sub", "theirs"])
+
+    return in_batches(all_of.where(F.size("hists") == F.col("size")).select("comp", "sub", "hists"), run, "comp bigint, sub bigint, theirs binary")
+
+
+def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(q, comp, sub, n, found): the groups that a set may have to ask; and (sid, comp, sub) of all sets.
 
-    rows are first tokens (sid, token), ends the size and last first token of
-    each set.
+    rows are first tokens and their places (sid, token, pos), ends the size of
+    each set, hists its histogram (sid, hist).
+
+    In two sets of n and m tokens the first common one stands at places i and
+    j with n - i and m - j no less than the overlap, so that for similar sets
+    85 m <= 100 n - 185 i and 85 n <= 100 m - 185 j.
     """
     same = Window.partitionBy("token")
     named = ends.join(comps.select(F.col("id").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     sizes = named.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("n")).select("comp", "members", parts(F.col("members"), F.col("n")).alias("subs"))
-    named = checkpointed(named.join(sizes.hint("merge"), "comp").withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).withColumn("size", F.col("n") - F.ceil(PERCENT * F.col("n") / 100) + 1).drop("subs"))
-    groups = named.groupBy("comp", "sub").agg(
-        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.min("last").alias("last_lo"), F.count("*").alias("size"), F.first("size").alias("tokens")
+    named = checkpointed(named.join(sizes.hint("merge"), "comp").withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs"))
+
+    cross = rows.join(named.select("sid", "comp", "sub", "members", "n").hint("merge"), "sid")
+    cross = cross.withColumn("room", 100 * F.col("n") - (100 + PERCENT) * F.col("pos")).drop("pos").repartition("token")
+    cross = cross.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).withColumn("least", F.min("n").over(same))
+    cross = checkpointed(cross.where((F.col("lo") < F.col("hi")) & (PERCENT * F.col("least") <= F.col("room"))).drop("lo", "hi", "least"))
+    matrix = cross.groupBy("token", F.col("comp").alias("g"), F.col("sub").alias("g_sub")).agg(
+        F.first("members").alias("g_members"), F.max("room").alias("g_room"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
     )
-
-    cross = rows.join(named.select("sid", "comp", "sub", "members").hint("merge"), "sid").repartition("token")
-    cross = cross.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).where("lo < hi").drop("lo", "hi")
-    cross = checkpointed(cross)
-    matrix = cross.select("token", F.col("comp").alias("g"), F.col("sub").alias("g_sub"), F.col("members").alias("g_members")).distinct()
     # a set asks the groups of larger components, so that either of two similar sets asks for the other
     larger = (F.col("members") < F.col("g_members")) | ((F.col("members") == F.col("g_members")) & (F.col("comp") < F.col("g")))
-    met = cross.join(matrix.hint("merge"), "token").where(larger).groupBy("sid", "g", "g_sub").agg(F.count("*").alias("found"))
-    met = met.join(named.select("sid", "n", F.col("size").alias("own"), "last").hint("merge"), "sid")
-    met = met.join(groups.select(F.col("comp").alias("g"), F.col("sub").alias("g_sub"), "n_lo", "n_hi", "last_lo", "size", "tokens").hint("merge"), ["g", "g_sub"])
-    least = F.greatest("n_lo", F.ceil(PERCENT * F.col("n") / 100))
     sized = (100 * F.col("n") >= PERCENT * F.col("n_lo")) & (100 * F.col("n_hi") >= PERCENT * F.col("n"))
-    # of a query's first tokens those not found are in no member, if no member's first tokens end before them
-    by_query = F.col("own") - F.col("found") <= F.col("n") - _share(F.col("n"), least)
-    by_member = F.col("tokens") - F.col("found") <= F.col("n_lo") - _share(F.col("n"), F.col("n_lo"))
-    may = F.when(F.col("last") <= F.col("last_lo"), by_query).when(F.col("size") == 1, by_member).otherwise(True)
-    asks = checkpointed(met.where(sized & may).select(F.col("sid").alias("q"), F.col("g").alias("comp"), F.col("g_sub").alias("sub"), "n", "found"))
-    return asks, named.select("sid", "comp", "sub")
+    least = F.greatest("n_lo", F.ceil(PERCENT * F.col("n") / 100))
+    placed = (PERCENT * least <= F.col("room")) & (PERCENT * F.col("n") <= F.col("g_room"))
+    met = cross.join(matrix.hint("merge"), "token").where(larger & sized & placed).groupBy("sid", "g", "g_sub").agg(F.first("n").alias("n"), F.count("*").alias("found"), F.min(least).alias("m"))
+    met = met.select(F.col("sid").alias("q"), F.col("g").alias("comp"), F.col("g_sub").alias("sub"), "n", "found", _share(F.col("n"), F.col("m")).alias("least"))
+    met = met.join(hists.select(F.col("sid").alias("q"), F.col("hist").alias("mine")).hint("merge"), "q")
+    met = met.join(group_histograms(named, hists).hint("merge"), ["comp", "sub"], "left")
+    return checkpointed(bounded(met)), named.select("sid", "comp", "sub")
 
 
 def opened_links(asks: DataFrame, named: DataFrame, sets_of: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -348,8 +394,8 @@ def linked_by_matrix(asks: DataFrame, named: DataFrame, links: DataFrame, sets_o
 def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     marks = checkpointed(sketches(docs, text, id_col))
-    sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select("doc_id", "sid", "n_shingles", "keys", F.element_at("first", -1).alias("last"))
-    reps = checkpointed(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("last").alias("last")))
+    sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select("doc_id", "sid", "n_shingles", "keys", "hist")
+    reps = checkpointed(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("hist").alias("hist")))
 
     def sets_of(sids):
         ids = sids.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
@@ -358,7 +404,7 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
     grouped = checkpointed(key_groups(reps))
     near = in_runs(grouped.join(sets_of(grouped.select("sid")).hint("merge"), "sid").select("r", "key", "sub", "sid", "set"), ["r", "key", "sub"], linked)
     links = checkpointed(near.distinct())
-    asks, named = candidates(*shared_tokens(marks, reps, docs, text, id_col), components(links, "a", "b"))
+    asks, named = candidates(*shared_tokens(marks, reps, docs, text, id_col), components(links, "a", "b"), reps.select("sid", "hist"))
     if not asks.isEmpty():
         links = linked_by_matrix(asks, named, links, sets_of)
     comps = components(links, "a", "b").select(F.col("id").alias("sid"), "component")

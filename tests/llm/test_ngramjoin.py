@@ -110,3 +110,23 @@ def test_first_tokens_are_shuffled_once_by_their_sets(spark, monkeypatch):
     assert len(got) == rows.count() and ends.count() == len(texts)
     moved = {r.sid for r in marks.where("doc_id < 50").collect()}
     assert {s for s, t in got if t >= ngramjoin.LAST} <= moved and {s for s, _ in got} >= moved
+
+
+def test_a_crowd_leaves_no_frequent_token_at_the_front(spark, monkeypatch):
+    """All tokens of a text that many documents vary come last at once, however many of them follow each other to the front."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 8)
+    monkeypatch.setattr(ngramjoin, "SAMPLE", 2, raising=False)
+    rng = np.random.default_rng(2)
+    base = [f"b{i}" for i in range(150)]
+    texts = []
+    for i in range(100):
+        x = list(base)
+        for at in rng.integers(0, 150, 8):
+            x[at] = f"own{i}x{at}"
+        texts.append((i, " ".join(x)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    marks = ngramjoin.checkpointed(ngramjoin.sketches(docs))
+    reps = ngramjoin.checkpointed(marks.selectExpr("sid", "doc_id AS rep", "n_shingles AS n", "keys", "element_at(first, -1) AS last"))
+    rows, _ = ngramjoin.shared_tokens(marks, reps, docs, "text", "doc_id")
+    first = rows.where(rows.token < ngramjoin.LAST).groupBy("token").count()
+    assert first.where("count > 8").count() == 0

@@ -10,6 +10,8 @@ from dialoom.llm.common import checkpointed
 
 #: A vertex of very many links is dealt into so many parts when its minimum is joined back.
 SALTS = 8
+#: Links, after each partition has contracted its own, that one task contracts further; with so few no round is needed.
+LINKS = 1 << 17
 
 
 def _contracted(links: DataFrame) -> DataFrame:
@@ -66,9 +68,15 @@ def components(links: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
 
     A bounded driver loop (rounds grow with the logarithm of the longest
     path); each round is cut off by a checkpoint, and only whether it is over
-    comes to the driver.
+    comes to the driver. Where LINKS links or fewer are left of all partitions,
+    one task's stars are the components.
     """
-    now = checkpointed(_contracted(links.select(F.col(u).cast("bigint").alias("u"), F.col(v).cast("bigint").alias("v"))).distinct())
+    now = checkpointed(_contracted(links.select(F.col(u).cast("bigint").alias("u"), F.col(v).cast("bigint").alias("v"))))
+    tasks = -(-now.count() // LINKS)
+    now = _contracted(now.coalesce(max(1, tasks)))
+    if tasks <= 1:
+        return checkpointed(now).select(F.col("u").alias("id"), F.col("v").alias("component"))
+    now = checkpointed(now.distinct())
     while not _are_stars(now):
         now = checkpointed(_small_star(checkpointed(_large_star(now))))
     return now.select(F.col("u").alias("id"), F.col("v").alias("component"))

@@ -6,10 +6,10 @@ linked inside bounded groups; the components of these links, dealt into groups
 of bounded size, are the groups of the matrix, and every other set is a group
 of its own. Then each set asks the groups of larger components: the matrix
 holds the rarest tokens of a group's members with the places where they stand,
-the places of a common token bound the overlap of query and member, a histogram
-of all tokens bounds it again, and only groups that may hold a member similar
-enough are opened, where the whole union gives a third bound before members are
-compared. A large group of one key shares a few hubs, its members of most
+the places and the number of a query's tokens found there bound its overlap with
+any member, a histogram of all tokens bounds it again, and only groups that may
+hold a member similar enough are opened, where the whole union gives a third
+bound before members are compared. A large group of one key shares a few hubs, its members of most
 company, so that copies of one text become one component before the matrix.
 
 No link is lost: with any order of tokens that is the same for all, two sets of
@@ -282,14 +282,14 @@ def _share(n: Column, m: Column) -> Column:
 
 
 def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(sid, token, pos): first tokens that two sets or more have first, and their places; and (sid, n) of all sets."""
+    """(sid, token, pos): first tokens that two sets or more have first, and their places; and (sid, n, last) of all sets."""
     same = Window.partitionBy("token")
     asked = id_filter(reps, "rep")
     sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select(filter_place(F.col("doc_id")).alias("at"), "sid", "first")
     rows = token_rows(sets, asked).repartition("token")
     rows = rows.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same)).withColumn("n", F.count("*").over(same))
     rows = checkpointed(rows.where("lo < hi").select("sid", "token", "pos", "n"))
-    ends = reps.select("sid", "n")
+    ends = reps.select("sid", "n", "last")
     bits = frequent_filter(rows.where(F.col("n") > FREQUENT).groupBy("token").agg(F.first("n").alias("n")), FREQUENT)
     if bits is None:
         return rows.select("sid", "token", "pos").repartition("sid").distinct(), ends
@@ -307,6 +307,7 @@ def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str,
     # one shuffle by sid leaves the new tokens of sets that moved, makes rows distinct, and serves the join by sid that follows
     both = theirs.withColumn("new", F.lit(True)).union(others.withColumn("new", F.lit(False))).repartition("sid")
     both = both.withColumn("moved", F.max("new").over(Window.partitionBy("sid"))).where("new = moved").select("sid", "token", "pos").distinct()
+    ends = ends.join(moved.groupBy("sid").agg(F.max(F.element_at("first", -1)).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
     return both, ends
 
 
@@ -339,8 +340,8 @@ def group_histograms(named: DataFrame, hists: DataFrame) -> DataFrame:
 def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(q, comp, sub, n, found): the groups that a set may have to ask; and (sid, comp, sub) of all sets.
 
-    rows are first tokens and their places (sid, token, pos), ends the size of
-    each set, hists its histogram (sid, hist).
+    rows are first tokens and their places (sid, token, pos), ends the size and
+    last first token of each set, hists its histogram (sid, hist).
 
     In two sets of n and m tokens the first common one stands at places i and
     j with n - i and m - j no less than the overlap, so that for similar sets
@@ -350,11 +351,13 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFr
     named = ends.join(comps.select(F.col("id").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     sizes = named.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("n")).select("comp", "members", parts(F.col("members"), F.col("n")).alias("subs"))
     named = checkpointed(named.join(sizes.hint("merge"), "comp").withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs"))
+    own = lambda n: F.col(n) - F.ceil(PERCENT * F.col(n) / 100) + 1
+    groups = named.groupBy("comp", "sub").agg(F.min("n").alias("n_lo"), F.min("last").alias("last_lo"), F.count("*").alias("size"))
 
     cross = rows.join(named.select("sid", "comp", "sub", "members", "n").hint("merge"), "sid")
     cross = cross.withColumn("room", 100 * F.col("n") - (100 + PERCENT) * F.col("pos")).drop("pos").repartition("token")
-    cross = cross.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same)).withColumn("least", F.min("n").over(same))
-    cross = checkpointed(cross.where((F.col("lo") < F.col("hi")) & (PERCENT * F.col("least") <= F.col("room"))).drop("lo", "hi", "least"))
+    cross = cross.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same))
+    cross = checkpointed(cross.where("lo < hi").drop("lo", "hi"))
     matrix = cross.groupBy("token", F.col("comp").alias("g"), F.col("sub").alias("g_sub")).agg(
         F.first("members").alias("g_members"), F.max("room").alias("g_room"), F.min("n").alias("n_lo"), F.max("n").alias("n_hi")
     )
@@ -363,8 +366,14 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFr
     sized = (100 * F.col("n") >= PERCENT * F.col("n_lo")) & (100 * F.col("n_hi") >= PERCENT * F.col("n"))
     least = F.greatest("n_lo", F.ceil(PERCENT * F.col("n") / 100))
     placed = (PERCENT * least <= F.col("room")) & (PERCENT * F.col("n") <= F.col("g_room"))
-    met = cross.join(matrix.hint("merge"), "token").where(larger & sized & placed).groupBy("sid", "g", "g_sub").agg(F.first("n").alias("n"), F.count("*").alias("found"), F.min(least).alias("m"))
+    met = cross.join(matrix.hint("merge"), "token").where(larger & sized)
+    met = met.groupBy("sid", "g", "g_sub").agg(F.first("n").alias("n"), F.count("*").alias("found"), F.max(placed).alias("placed"), F.min(least).alias("m")).where("placed")
     met = met.select(F.col("sid").alias("q"), F.col("g").alias("comp"), F.col("g_sub").alias("sub"), "n", "found", _share(F.col("n"), F.col("m")).alias("least"))
+    met = met.join(named.select(F.col("sid").alias("q"), "last").hint("merge"), "q").join(groups.hint("merge"), ["comp", "sub"])
+    # of a query's first tokens those not found are in no member, if no member's first tokens end before them
+    by_query = own("n") - F.col("found") <= F.col("n") - F.col("least")
+    by_member = own("n_lo") - F.col("found") <= F.col("n_lo") - _share(F.col("n"), F.col("n_lo"))
+    met = met.where(F.when(F.col("last") <= F.col("last_lo"), by_query).when(F.col("size") == 1, by_member).otherwise(True))
     met = met.join(hists.select(F.col("sid").alias("q"), F.col("hist").alias("mine")).hint("merge"), "q")
     met = met.join(group_histograms(named, hists).hint("merge"), ["comp", "sub"], "left")
     return checkpointed(bounded(met)), named.select("sid", "comp", "sub")
@@ -394,8 +403,8 @@ def linked_by_matrix(asks: DataFrame, named: DataFrame, links: DataFrame, sets_o
 def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
     """One row per document: doc_id, n_shingles and component_id."""
     marks = checkpointed(sketches(docs, text, id_col))
-    sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select("doc_id", "sid", "n_shingles", "keys", "hist")
-    reps = checkpointed(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("hist").alias("hist")))
+    sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select("doc_id", "sid", "n_shingles", "keys", "hist", F.element_at("first", -1).alias("last"))
+    reps = checkpointed(sets.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.first("hist").alias("hist"), F.first("last").alias("last")))
 
     def sets_of(sids):
         ids = sids.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")

@@ -313,3 +313,13 @@ def test_items_that_overlap_and_long_spans(spark):
     left = decontam.clean(docs.withColumn("i", F.lit(1)).withColumn("h", F.lit("clash")), bench)
     assert left.columns == [*docs.columns, "i", "h"]
     assert sorted((r.doc_id or -1, r.text or "") for r in left.collect()) == [(-1, ""), (-1, "no id, clean"), (4, "clean")]
+
+
+@pytest.mark.parametrize("links", [1 << 17, 20])
+def test_components_by_one_task_and_by_rounds(spark, monkeypatch, links):
+    """Few links take one task and no shuffle after their own; more go on in rounds to the same components."""
+    monkeypatch.setattr(components, "LINKS", links)
+    path = [(i, i + 1) for i in range(99)] + [(200, 201), (203, 201)]
+    out = components.components(spark.createDataFrame(path, "u bigint, v bigint").repartition(7))
+    assert {r.id: r.component for r in out.collect()} == {i: 0 for i in range(1, 100)} | {201: 200, 203: 200}
+    assert (out.rdd.getNumPartitions() == 1) or links == 20

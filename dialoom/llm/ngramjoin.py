@@ -15,10 +15,10 @@ company, so that copies of one text become one component before the matrix.
 No link is lost: with any order of tokens that is the same for all, two sets of
 the similarity share one of their first n - ceil(0.85 n) + 1 tokens each. The
 order is that of hashes with frequent tokens last. Frequent are those that stand
-first in many documents, and, as others come to the front of documents that lose
-theirs, those found often in a sample of such documents; sets without a frequent
+first in many documents of a sample, and, as others come to the front of documents that lose
+theirs, those found often in such documents of it; sets without a frequent
 token at the front are never read again. The tokens are kept in a filter of 4 MB,
-and what it takes for frequent changes the work only, as the order is one for all. Of the first tokens only those of two sets or
+and what it takes for frequent changes the work only, as the order is one for all. Of the first tokens only those of two components or
 more leave the one shuffle that brings equal ones together.
 
 Sets are told apart by a 64-bit hash and their size. The result does not depend
@@ -56,9 +56,9 @@ KEYS, COMPANY = 2, 16
 HUBS = 4
 #: Parts of the token space whose counts bound the overlap of two sets.
 PARTS = 64
-#: A token that stands first in more documents is frequent; at most so many are told apart.
+#: A token that stands first in more documents, as the sample has it, is frequent; at most so many are told apart.
 FREQUENT, FREQUENT_TOKENS = 256, 1 << 21
-#: Of the sets with a frequent token at the front, one in so many is looked through whole for others; any number gives the same links.
+#: One set in so many is looked through for frequent tokens, whole if it has one at the front; any number gives the same links.
 SAMPLE = 8
 SEED = 13
 #: Tokens are 62 bits of a hash; this bit puts the frequent ones last.
@@ -123,25 +123,22 @@ def token_place(token: Column) -> Column:
     return token.bitwiseAND(F.lit(FILTER_BITS - 1))
 
 
-def token_rows(sets: DataFrame, asked: np.ndarray | None = None, tokens: np.ndarray | None = None) -> DataFrame:
-    """(sid, token, pos): the first tokens of sets (at, sid, first) and their places, of those in the filter asked; with a filter of tokens only those in it."""
+def asked_sets(sets: DataFrame, asked: np.ndarray, tokens: np.ndarray | None = None) -> DataFrame:
+    """(sid, first, hot): of sets (at, sid, first) those in the filter asked, and whether a first token is in the filter of tokens."""
     shared = sets.sparkSession.sparkContext.broadcast((asked, tokens))  # filters of a fixed size
 
     def run(batches):
         asked, tokens = shared.value
         for b in batches:
-            if asked is not None:
-                b = b.filter(in_filter(asked, b.column(0)))
-            sid, first = b.column(1), b.column(2)
-            size = pc.list_value_length(first).to_numpy(zero_copy_only=False).astype(np.int64)
-            pos = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            rows = pa.RecordBatch.from_arrays([sid.take(pc.list_parent_indices(first)), first.flatten(), pa.array(pos, pa.int32())], ["sid", "token", "pos"])
+            b = b.filter(in_filter(asked, b.column(0)))
+            first = b.column(2)
+            hot = np.zeros(b.num_rows, bool)
             if tokens is not None:
-                rows = rows.filter(in_filter(tokens, pc.bit_wise_and(rows.column(1), FILTER_BITS - 1)))
-            if rows.num_rows:
-                yield rows
+                found = in_filter(tokens, pc.bit_wise_and(first.flatten(), FILTER_BITS - 1))
+                hot[pc.list_parent_indices(first).filter(found).to_numpy(zero_copy_only=False)] = True
+            yield pa.RecordBatch.from_arrays([b.column(1), first, pa.array(hot)], ["sid", "first", "hot"])
 
-    return in_batches(sets.select("at", "sid", "first"), run, "sid bigint, token bigint, pos int")
+    return in_batches(sets.select("at", "sid", "first"), run, "sid bigint, first array<bigint>, hot boolean")
 
 
 def all_tokens(sets: DataFrame) -> DataFrame:
@@ -225,6 +222,19 @@ def _arrays(rows: list[tuple]) -> dict[int, np.ndarray]:
     return {sid: np.frombuffer(raw, np.uint64) for sid, raw in rows}
 
 
+def alike(rows: list[tuple]) -> Iterator[tuple[int, int]]:
+    """(sid, at) of those rows (sid, n, hist, at) of a group whose histogram allows the similarity with another member's."""
+    n = np.array([r[1] for r in rows])
+    hist = np.frombuffer(b"".join(r[2] or b"\xff" * PARTS for r in rows), np.uint8).reshape(-1, PARTS)
+    unknown = np.array([r[2] is None for r in rows])
+    for k, (sid, size, _, at) in enumerate(rows):
+        both = np.minimum(np.minimum(n, size), np.where(unknown | unknown[k], size, np.minimum(hist, hist[k]).sum(1, dtype=np.int64)))
+        may = 100 * both >= PERCENT * (n + size - both)
+        may[k] = False
+        if may.any():
+            yield sid, at
+
+
 def linked(rows: list[tuple]) -> Iterator[tuple[int, int]]:
     """Links that join the similar sets of a group; pairs that earlier links connect are skipped."""
     sets = _arrays(rows)
@@ -282,33 +292,33 @@ def _share(n: Column, m: Column) -> Column:
 
 
 def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str, id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(sid, token, pos): first tokens that two sets or more have first, and their places; and (sid, n, last) of all sets."""
-    same = Window.partitionBy("token")
+    """(sid, token, pos): the first tokens by which sets can meet, and their places; and (sid, n, last) of all sets.
+
+    Sets travel whole, once, and their tokens part where they are joined by sid: which tokens two
+    sets share is only asked when their components are known.
+    """
     asked = id_filter(reps, "rep")
     sets = marks.where("doc_id IS NOT NULL AND sid IS NOT NULL").select(filter_place(F.col("doc_id")).alias("at"), "sid", "first")
-    rows = token_rows(sets, asked).repartition("token")
-    rows = rows.withColumn("lo", F.min("sid").over(same)).withColumn("hi", F.max("sid").over(same)).withColumn("n", F.count("*").over(same))
-    rows = checkpointed(rows.where("lo < hi").select("sid", "token", "pos", "n"))
+    sample = sets.where(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0)
     ends = reps.select("sid", "n", "last")
-    bits = frequent_filter(rows.where(F.col("n") > FREQUENT).groupBy("token").agg(F.first("n").alias("n")), FREQUENT)
+    often = max(1, FREQUENT // SAMPLE)
+    bits = frequent_filter(asked_sets(sample, asked).select(F.explode("first").alias("token")).groupBy("token").agg(F.count("*").alias("n")), often)
     if bits is None:
-        return rows.select("sid", "token", "pos").repartition("sid").distinct(), ends
+        rows = asked_sets(sets, asked).select("sid", "first")
+    else:
 
-    def first_in(tokens):
-        # whoever has none of these tokens first stays as it is
-        return token_rows(sets, asked, tokens).select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
+        def hot(some, tokens):
+            # whoever has none of these tokens first stays as it is
+            return id_filter(asked_sets(some, asked, tokens).where("hot").select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid"), "rep")
 
-    some = token_sets(docs, id_filter(first_in(bits).where(F.pmod(F.xxhash64("sid"), F.lit(SAMPLE)) == 0), "rep"), None, text, id_col)
-    others = frequent_filter(all_tokens(some).groupBy("token").agg(F.count("*").alias("n")), FREQUENT // SAMPLE)
-    bits = bits if others is None else bits | others
-    moved = checkpointed(token_sets(docs, id_filter(first_in(bits), "rep"), bits, text, id_col))
-    theirs = moved.select("sid", F.posexplode("first").alias("pos", "token")).select("sid", "token", "pos")
-    others = rows.select("sid", "token", "pos").union(token_rows(sets, asked, id_filter(theirs, "token", token_place)))
-    # one shuffle by sid leaves the new tokens of sets that moved, makes rows distinct, and serves the join by sid that follows
-    both = theirs.withColumn("new", F.lit(True)).union(others.withColumn("new", F.lit(False))).repartition("sid")
-    both = both.withColumn("moved", F.max("new").over(Window.partitionBy("sid"))).where("new = moved").select("sid", "token", "pos").distinct()
-    ends = ends.join(moved.groupBy("sid").agg(F.max(F.element_at("first", -1)).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
-    return both, ends
+        others = frequent_filter(all_tokens(token_sets(docs, hot(sample, bits), None, text, id_col)).groupBy("token").agg(F.count("*").alias("n")), often)
+        bits = bits if others is None else bits | others
+        moved = checkpointed(token_sets(docs, hot(sets, bits), bits, text, id_col))
+        # a set read again without need has the same first tokens again
+        rows = asked_sets(sets, asked, bits).where("NOT hot").select("sid", "first").union(moved)
+        ends = ends.join(moved.groupBy("sid").agg(F.max(F.element_at("first", -1)).alias("other")).hint("merge"), "sid", "left").select("sid", "n", F.coalesce("other", "last").alias("last"))
+    # one shuffle by sid leaves each set once, and serves the join by sid that follows
+    return rows.repartition("sid").dropDuplicates(["sid"]).select("sid", F.posexplode("first").alias("pos", "token")).select("sid", "token", "pos"), ends
 
 
 def bounded(met: DataFrame) -> DataFrame:
@@ -355,7 +365,9 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFr
     groups = named.groupBy("comp", "sub").agg(F.min("n").alias("n_lo"), F.min("last").alias("last_lo"), F.count("*").alias("size"))
 
     cross = rows.join(named.select("sid", "comp", "sub", "members", "n").hint("merge"), "sid")
-    cross = cross.withColumn("room", 100 * F.col("n") - (100 + PERCENT) * F.col("pos")).drop("pos").repartition("token")
+    # a set that is a component by itself takes its name along once
+    cross = cross.withColumn("comp", F.nullif("comp", "sid")).repartition("token").withColumn("comp", F.coalesce("comp", "sid"))
+    cross = cross.withColumn("room", 100 * F.col("n") - (100 + PERCENT) * F.col("pos")).drop("pos")
     cross = cross.withColumn("lo", F.min("comp").over(same)).withColumn("hi", F.max("comp").over(same))
     cross = checkpointed(cross.where("lo < hi").drop("lo", "hi"))
     matrix = cross.groupBy("token", F.col("comp").alias("g"), F.col("sub").alias("g_sub")).agg(
@@ -410,8 +422,11 @@ def jaccard_classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id")
         ids = sids.distinct().join(reps.select("sid", "rep").hint("merge"), "sid")
         return token_sets(docs, id_filter(ids, "rep"), None, text, id_col)
 
-    grouped = checkpointed(key_groups(reps))
-    near = in_runs(grouped.join(sets_of(grouped.select("sid")).hint("merge"), "sid").select("r", "key", "sub", "sid", "set"), ["r", "key", "sub"], linked)
+    dealt = key_groups(reps).select(F.xxhash64("r", "key", "sub").alias("group"), "sid")
+    dealt = dealt.join(reps.select("sid", "n", "hist").hint("merge"), "sid").select("group", "sid", "n", "hist", F.col("group").alias("at"))
+    # many share a key by chance, more of them in larger tables; their sets are not fetched
+    grouped = checkpointed(in_runs(dealt, ["group"], alike).toDF("sid", "group"))
+    near = in_runs(grouped.join(sets_of(grouped.select("sid")).hint("merge"), "sid").select("group", "sid", "set"), ["group"], linked)
     links = checkpointed(near.distinct())
     asks, named = candidates(*shared_tokens(marks, reps, docs, text, id_col), components(links, "a", "b"), reps.select("sid", "hist"))
     if not asks.isEmpty():

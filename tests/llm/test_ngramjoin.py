@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from dialoom.llm import ngramjoin
 
@@ -130,3 +131,57 @@ def test_a_crowd_leaves_no_frequent_token_at_the_front(spark, monkeypatch):
     rows, _ = ngramjoin.shared_tokens(marks, reps, docs, "text", "doc_id")
     first = rows.where(rows.token < ngramjoin.LAST).groupBy("token").count()
     assert first.where("count > 8").count() == 0
+
+
+def first_rows(spark, texts):
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    marks = ngramjoin.checkpointed(ngramjoin.sketches(docs))
+    reps = ngramjoin.checkpointed(marks.groupBy("sid").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("keys").alias("keys"), F.max(F.element_at("first", -1)).alias("last")))
+    return marks, ngramjoin.shared_tokens(marks, reps, docs, "text", "doc_id")[0]
+
+
+def test_tokens_of_sets_that_moved_call_no_others_again(spark, monkeypatch):
+    """Each set's first tokens leave once, in one order for all, whatever sets share a bit of the filter of tokens with it."""
+    monkeypatch.setattr(ngramjoin, "FREQUENT", 8)
+    monkeypatch.setattr(ngramjoin, "SAMPLE", 2)
+    common = " ".join(f"c{i}" for i in range(60))
+    texts = [(i, f"{common} " + " ".join(f"w{i}x{k}" for k in range(40))) for i in range(60)] + [(100 + i, " ".join(f"v{i}x{k}" for k in range(50))) for i in range(9)]
+    marks, rows = first_rows(spark, texts + [(200, texts[0][1]), (201, texts[65][1])])
+    got = rows.groupBy("sid").agg(F.count("*").alias("n"), F.sort_array(F.collect_list("pos")).alias("pos"), F.sort_array(F.collect_list(F.struct("pos", "token"))).alias("x")).collect()
+    sizes = {r.sid: r.n_shingles for r in marks.collect()}
+    assert {r.sid: r.n for r in got} == {sid: ngramjoin.first_tokens(n) for sid, n in sizes.items()}
+    assert all(r.pos == list(range(r.n)) and (t := [x.token for x in r.x]) == sorted(t) for r in got)
+    plan = rows._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1 and "Window" not in plan
+
+
+def test_sets_with_a_key_in_common_by_chance_are_not_fetched(spark, monkeypatch):
+    """Of a key's members only those whose histograms allow the similarity have their sets read for it."""
+    rng = np.random.default_rng(3)
+    say = lambda n: rng.choice([f"u{i}" for i in range(5000)], n).tolist()
+    texts = [(i, " ".join(say(150))) for i in range(20)]
+    x = say(150)
+    texts += [(50, " ".join(x)), (51, " ".join([*x[:-2], "other", "end"]))]
+    monkeypatch.setattr(ngramjoin, "minwise", lambda s, factors: np.zeros(len(factors), np.int32))  # all keys are the same
+    seen = spark.sparkContext.accumulator(0)
+    linked = ngramjoin.linked
+
+    def counted(rows):
+        seen.add(len(rows))
+        return linked(rows)
+
+    monkeypatch.setattr(ngramjoin, "linked", counted)
+    got = {r.doc_id: r.component_id for r in ngramjoin.jaccard_classes(spark.createDataFrame(texts, "doc_id bigint, text string")).collect()}
+    assert got == {i: 50 if i == 51 else i for i, _ in texts}
+    assert seen.value == 2 * ngramjoin.KEYS
+
+
+def test_histograms_rule_out_no_similar_pair():
+    rng = np.random.default_rng(5)
+    for n in (1, 3, 40, 300, 30_000):
+        base = np.unique(rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2))
+        sets = [base, *(np.unique(np.concatenate([base[k:], rng.integers(0, 1 << 63, k, np.uint64)])) for k in (0, n // 30, n // 15, n // 8, n // 2))]
+        rows = [(i, len(s), ngramjoin.histogram(s), 7) for i, s in enumerate(sets)]
+        similar = {i for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j and ngramjoin._similar(x, y)}
+        assert similar <= {i for i, at in ngramjoin.alike(rows) if at == 7}
+    assert not list(ngramjoin.alike([])) and not list(ngramjoin.alike([(1, 5, None, 7)]))

@@ -124,7 +124,7 @@ def token_place(token: Column) -> Column:
 
 
 def asked_sets(sets: DataFrame, asked: np.ndarray, tokens: np.ndarray | None = None) -> DataFrame:
-    """(sid, first, hot): of sets (at, sid, first) those in the filter asked, and whether a first token is in the filter of tokens."""
+    """(at, sid, first, hot): of sets (at, sid, first) those in the filter asked, and whether a first token is in the filter of tokens."""
     shared = sets.sparkSession.sparkContext.broadcast((asked, tokens))  # filters of a fixed size
 
     def run(batches):
@@ -136,9 +136,9 @@ def asked_sets(sets: DataFrame, asked: np.ndarray, tokens: np.ndarray | None = N
             if tokens is not None:
                 found = in_filter(tokens, pc.bit_wise_and(first.flatten(), FILTER_BITS - 1))
                 hot[pc.list_parent_indices(first).filter(found).to_numpy(zero_copy_only=False)] = True
-            yield pa.RecordBatch.from_arrays([b.column(1), first, pa.array(hot)], ["sid", "first", "hot"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), first, pa.array(hot)], ["at", "sid", "first", "hot"])
 
-    return in_batches(sets.select("at", "sid", "first"), run, "sid bigint, first array<bigint>, hot boolean")
+    return in_batches(sets.select("at", "sid", "first"), run, "at bigint, sid bigint, first array<bigint>, hot boolean")
 
 
 def all_tokens(sets: DataFrame) -> DataFrame:
@@ -155,11 +155,11 @@ def all_tokens(sets: DataFrame) -> DataFrame:
 def frequent_filter(counts: DataFrame, least: int) -> np.ndarray | None:
     """A bit for each token of (token, n) with n over least; that rises until the tokens fit the filter. None without one."""
     many = checkpointed(counts.where(F.col("n") > least))  # few, so that they are counted once
-    size = many.count()
-    while size > FREQUENT_TOKENS:
+    bits = id_filter(many, "token", token_place)
+    while np.unpackbits(bits).sum(dtype=np.int64) > FREQUENT_TOKENS:
         least *= 2
-        size = many.where(F.col("n") > least).count()
-    return id_filter(many.where(F.col("n") > least), "token", token_place) if size else None
+        bits = id_filter(many.where(F.col("n") > least), "token", token_place)
+    return bits if bits.any() else None
 
 
 def ordered(s: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -309,7 +309,7 @@ def shared_tokens(marks: DataFrame, reps: DataFrame, docs: DataFrame, text: str,
 
         def hot(some, tokens):
             # whoever has none of these tokens first stays as it is
-            return id_filter(asked_sets(some, asked, tokens).where("hot").select("sid").distinct().join(reps.select("sid", "rep").hint("merge"), "sid"), "rep")
+            return id_filter(asked_sets(some, asked, tokens).where("hot"), "at", lambda at: at)
 
         others = frequent_filter(all_tokens(token_sets(docs, hot(sample, bits), None, text, id_col)).groupBy("token").agg(F.count("*").alias("n")), often)
         bits = bits if others is None else bits | others
@@ -335,16 +335,17 @@ def bounded(met: DataFrame) -> DataFrame:
     return in_batches(met.select("q", "comp", "sub", "n", "found", "least", "mine", "theirs"), run, "q bigint, comp bigint, sub bigint, n bigint, found bigint")
 
 
-def group_histograms(named: DataFrame, hists: DataFrame) -> DataFrame:
-    """(comp, sub, theirs): for each part of the token space the most tokens that a member of the group has; null where a member's are not known."""
-    all_of = named.select("sid", "comp", "sub").join(hists.hint("merge"), "sid").groupBy("comp", "sub").agg(F.count("*").alias("size"), F.collect_list("hist").alias("hists"))
+def group_bounds(named: DataFrame) -> DataFrame:
+    """(comp, sub, n_lo, last_lo, size, theirs): theirs is for each part of the token space the most tokens that a member of the group has; null where a member's are not known."""
+    all_of = named.groupBy("comp", "sub").agg(F.min("n").alias("n_lo"), F.min("last").alias("last_lo"), F.count("*").alias("size"), F.collect_list("hist").alias("hists"))
 
     def run(batches):
         for b in batches:
-            most = [np.frombuffer(b"".join(h), np.uint8).reshape(-1, PARTS).max(0).tobytes() for h in b.column("hists").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("comp"), b.column("sub"), pa.array(most, pa.binary())], ["comp", "sub", "theirs"])
+            hists = zip(b.column("hists").to_pylist(), b.column("size").to_pylist())
+            most = [np.frombuffer(b"".join(h), np.uint8).reshape(-1, PARTS).max(0).tobytes() if len(h) == size else None for h, size in hists]
+            yield pa.RecordBatch.from_arrays([*b.select(range(5)).columns, pa.array(most, pa.binary())], ["comp", "sub", "n_lo", "last_lo", "size", "theirs"])
 
-    return in_batches(all_of.where(F.size("hists") == F.col("size")).select("comp", "sub", "hists"), run, "comp bigint, sub bigint, theirs binary")
+    return in_batches(all_of, run, "comp bigint, sub bigint, n_lo bigint, last_lo bigint, size bigint, theirs binary")
 
 
 def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -358,11 +359,10 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFr
     85 m <= 100 n - 185 i and 85 n <= 100 m - 185 j.
     """
     same = Window.partitionBy("token")
-    named = ends.join(comps.select(F.col("id").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
+    named = ends.join(hists.hint("merge"), "sid").join(comps.select(F.col("id").alias("sid"), "component").hint("merge"), "sid", "left").withColumn("comp", F.coalesce("component", "sid")).drop("component")
     sizes = named.groupBy("comp").agg(F.count("*").alias("members"), F.sum("n").alias("n")).select("comp", "members", parts(F.col("members"), F.col("n")).alias("subs"))
     named = checkpointed(named.join(sizes.hint("merge"), "comp").withColumn("sub", F.pmod(F.xxhash64("sid"), F.col("subs"))).drop("subs"))
     own = lambda n: F.col(n) - F.ceil(PERCENT * F.col(n) / 100) + 1
-    groups = named.groupBy("comp", "sub").agg(F.min("n").alias("n_lo"), F.min("last").alias("last_lo"), F.count("*").alias("size"))
 
     cross = rows.join(named.select("sid", "comp", "sub", "members", "n").hint("merge"), "sid")
     # a set that is a component by itself takes its name along once
@@ -381,13 +381,11 @@ def candidates(rows: DataFrame, ends: DataFrame, comps: DataFrame, hists: DataFr
     met = cross.join(matrix.hint("merge"), "token").where(larger & sized)
     met = met.groupBy("sid", "g", "g_sub").agg(F.first("n").alias("n"), F.count("*").alias("found"), F.max(placed).alias("placed"), F.min(least).alias("m")).where("placed")
     met = met.select(F.col("sid").alias("q"), F.col("g").alias("comp"), F.col("g_sub").alias("sub"), "n", "found", _share(F.col("n"), F.col("m")).alias("least"))
-    met = met.join(named.select(F.col("sid").alias("q"), "last").hint("merge"), "q").join(groups.hint("merge"), ["comp", "sub"])
+    met = met.join(named.select(F.col("sid").alias("q"), "last", F.col("hist").alias("mine")).hint("merge"), "q").join(group_bounds(named).hint("merge"), ["comp", "sub"])
     # of a query's first tokens those not found are in no member, if no member's first tokens end before them
     by_query = own("n") - F.col("found") <= F.col("n") - F.col("least")
     by_member = own("n_lo") - F.col("found") <= F.col("n_lo") - _share(F.col("n"), F.col("n_lo"))
     met = met.where(F.when(F.col("last") <= F.col("last_lo"), by_query).when(F.col("size") == 1, by_member).otherwise(True))
-    met = met.join(hists.select(F.col("sid").alias("q"), F.col("hist").alias("mine")).hint("merge"), "q")
-    met = met.join(group_histograms(named, hists).hint("merge"), ["comp", "sub"], "left")
     return checkpointed(bounded(met)), named.select("sid", "comp", "sub")
 
 

@@ -136,6 +136,12 @@ def first_truthy(*cols: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in cols])
 
 
+def first_or_last(*cols: Column) -> Column:
+    """The first that is not empty, else the last as it is: empty, or null."""
+    *some, last = cols
+    return F.coalesce(first_truthy(*some), last)
+
+
 def is_json(c: Column) -> Column:
     """Whether all of it is one JSON value.
 
